@@ -140,3 +140,45 @@ def with_ctes(*needed: str, extra: str = "") -> str:
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(parts) + "\n"
+
+TXC = """txc AS (
+  SELECT * EXCLUDE (rn, k1, k2, k3, k4, k5, k6, k7, k8, k9, lp_partkey, lp_linenumber) FROM (
+    SELECT *, row_number() OVER (PARTITION BY transaction_hash, chain
+                                 ORDER BY k1, k2, k3, k4, k5, k6, k7, k8, k9) AS rn
+    FROM tx_collect) WHERE rn = 1
+)"""
+
+SUPP_HOLDERS = f"""supp_holders AS (
+  SELECT {addr('s.s_suppkey')} AS address,
+    CAST(s.s_acctbal AS DECIMAL(18,2)) AS balance,
+    CASE WHEN s.s_suppkey % 2 = 0 THEN 'USDC' ELSE 'USDT' END AS stablecoin,
+    CASE s.s_suppkey % 3 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'bsc' ELSE 'polygon' END AS chain,
+    CAST(NULL AS TIMESTAMP) AS first_seen, CAST(NULL AS TIMESTAMP) AS last_activity,
+    s.s_nationkey % 2 = 0 AS is_store_of_value, 'secondary' AS source_explorer,
+    false AS is_sov_heuristic
+  FROM supplier s
+)"""
+
+_ORDER += ["TXC", "SUPP_HOLDERS"]
+_DEPS.update({"TXC": ["TX_COLLECT"], "SUPP_HOLDERS": []})
+
+
+def week_tue(ts: str) -> str:
+    """Tuesday-start week of a timestamp, as DATE."""
+    return f"(CAST(date_trunc('week', CAST({ts} AS DATE) - 1) AS DATE) + 1)"
+
+
+def period_sql(ts: str, aggregation: str) -> str:
+    if aggregation == "daily":
+        return f"CAST({ts} AS DATE)"
+    if aggregation == "weekly":
+        return week_tue(ts)
+    return f"CAST(date_trunc('month', {ts}) AS DATE)"
+
+
+def ymd(d: str) -> str:
+    return f"strftime({d}, '%Y-%m-%d')"
+
+
+def ymdhms(t: str) -> str:
+    return f"strftime({t}, '%Y-%m-%d %H:%M:%S')"

@@ -30,3 +30,338 @@ SELECT j.ea AS activity_type, CAST(coalesce(j.n, 0) AS BIGINT) AS tx_count,
 FROM j, t WHERE j.ea IS NOT NULL""")
 def q_activity_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return A.activity_breakdown(_tx(spark, sf)).drop("activity_rank")
+
+
+def _hsov(spark, sf, tx=None):
+    return TD.holders_sov(spark, sf, tx if tx is not None else _tx(spark, sf))
+
+
+_ACTS = dims.ACTIVITY_TYPES
+
+
+def _pct_sql(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 100.0 ELSE 0.0 END"
+
+
+def _per_dim_sql(dim: str, values: list[str], gas: bool, extra_select: str = "",
+                 extra_cte: str = "") -> str:
+    acts = ", ".join(f"count_if(activity_type = '{a}') AS n_{a}" for a in _ACTS)
+    gas_agg = (", count_if(gas_used IS NOT NULL AND gas_price IS NOT NULL) AS gn, "
+               "sum(CASE WHEN gas_used IS NOT NULL AND gas_price IS NOT NULL THEN "
+               "CAST(gas_used AS DECIMAL(38,0)) * CAST(gas_price AS DECIMAL(38,0)) END) AS gwei"
+               if gas else "")
+    vals = ", ".join(f"('{v}')" for v in values)
+    cte = f"""
+g AS (SELECT {dim}, count(*) AS n, sum(amount) AS vol, {acts}{gas_agg} FROM tx GROUP BY {dim}),
+hs AS (SELECT {dim}, count(*) AS hn, sum(CAST(coalesce(is_store_of_value, false) AS INT)) AS hsov
+       FROM holders_typed GROUP BY {dim}),
+e AS (SELECT * FROM (VALUES {vals}) t({dim})){extra_cte}"""
+    n = "coalesce(g.n, 0)"
+    pcts = ", ".join(f"{_pct_sql(f'coalesce(g.n_{a}, 0)', n)} AS pct_{a}" for a in _ACTS)
+    gas_sel = (f", CASE WHEN coalesce(g.gn, 0) > 0 THEN CAST(g.gwei AS DOUBLE) / CAST(g.gn AS DOUBLE) / 1e18 END AS avg_gas_cost,"
+               f" CAST({n} - coalesce(g.gn, 0) AS BIGINT) AS excluded_gas_count" if gas else "")
+    sel = f"""
+SELECT e.{dim}, CAST({n} AS BIGINT) AS transaction_count,
+  CAST(coalesce(g.vol, 0) AS DOUBLE) AS total_volume,
+  CASE WHEN {n} > 0 THEN CAST(coalesce(g.vol, 0) AS DOUBLE) / CAST({n} AS DOUBLE) ELSE 0.0 END AS avg_transaction_size,
+  {pcts},
+  CASE WHEN coalesce(hs.hn, 0) > 0 THEN CAST(coalesce(hs.hsov, 0) AS DOUBLE) / CAST(hs.hn AS DOUBLE) ELSE 0.0 END AS sov_ratio
+  {gas_sel}{extra_select}
+FROM e LEFT JOIN g ON g.{dim} = e.{dim} LEFT JOIN hs ON hs.{dim} = e.{dim}"""
+    return cte, sel
+
+
+# --------------------------------------------------------------------- A2
+_c, _s = _per_dim_sql("stablecoin", dims.STABLECOINS, False,
+                      extra_select=", t.all_transactions, t.all_volume",
+                      extra_cte=",\nt AS (SELECT CAST(count(*) AS BIGINT) AS all_transactions, "
+                                "CAST(coalesce(sum(amount), 0) AS DOUBLE) AS all_volume FROM tx)")
+
+
+@register("by_stablecoin", C.with_ctes("TX", "HOLDERS_TYPED", extra=_c.strip()) + _s + ", t")
+def q_by_stablecoin(spark, sf):
+    tx = _tx(spark, sf)
+    return A.by_stablecoin(tx, _hsov(spark, sf, tx)).drop("coin_rank")
+
+
+# --------------------------------------------------------------------- A10
+_c, _s = _per_dim_sql("chain", dims.CHAINS, True)
+
+
+@register("by_chain", C.with_ctes("TX", "HOLDERS_TYPED", extra=_c.strip()) + _s)
+def q_by_chain(spark, sf):
+    tx = _tx(spark, sf)
+    return A.by_chain(tx, _hsov(spark, sf, tx)).drop("chain_rank")
+
+
+# --------------------------------------------------------------------- T5 / T6
+@register("most_active_chain", C.with_ctes("TX", "HOLDERS_TYPED", extra=_c.strip()) + f"""
+, bc AS ({_s.strip()})
+SELECT chain, transaction_count FROM bc WHERE transaction_count > 0
+ORDER BY transaction_count DESC, CASE chain WHEN 'ethereum' THEN 1 WHEN 'bsc' THEN 2 ELSE 3 END LIMIT 1""")
+def q_most_active_chain(spark, sf):
+    tx = _tx(spark, sf)
+    return A.most_active_chain(A.by_chain(tx, _hsov(spark, sf, tx)))
+
+
+@register("top_sov_chain", C.with_ctes("TX", "HOLDERS_TYPED", extra=_c.strip()) + f"""
+, bc AS ({_s.strip()})
+SELECT chain, sov_ratio FROM bc WHERE sov_ratio > 0
+ORDER BY sov_ratio DESC, CASE chain WHEN 'ethereum' THEN 1 WHEN 'bsc' THEN 2 ELSE 3 END LIMIT 1""")
+def q_top_sov_chain(spark, sf):
+    tx = _tx(spark, sf)
+    return A.top_sov_chain(A.by_chain(tx, _hsov(spark, sf, tx)))
+
+
+# --------------------------------------------------------------------- A25
+@register("chart_long", C.with_ctes("TX", "HOLDERS_TYPED", extra=_c.strip()) + f"""
+, bc AS ({_s.strip()})
+SELECT chain, metric, value FROM (
+  SELECT chain, 'total_volume' AS metric, total_volume AS value FROM bc
+  UNION ALL SELECT chain, 'avg_transaction_size', avg_transaction_size FROM bc
+  UNION ALL SELECT chain, 'sov_ratio', sov_ratio FROM bc
+  UNION ALL SELECT chain, 'avg_gas_cost', avg_gas_cost FROM bc)""")
+def q_chart_long(spark, sf):
+    tx = _tx(spark, sf)
+    bc = A.by_chain(tx, _hsov(spark, sf, tx))
+    return A.chart_long(bc, "chain", ["total_volume", "avg_transaction_size", "sov_ratio",
+                                      "avg_gas_cost"])
+
+
+# --------------------------------------------------------------------- A3
+@register("volume_by_dim", C.with_ctes("TX", extra="""
+v AS (SELECT chain, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS volume FROM tx
+      WHERE chain IS NOT NULL GROUP BY chain)""") + "SELECT * FROM v")
+def q_volume_by_dim(spark, sf):
+    return A.volume_by_dim(_tx(spark, sf), "chain")
+
+
+# --------------------------------------------------------------------- A4
+@register("avg_tx_size", C.with_ctes("TX") + """
+SELECT 'total' AS "group", CASE WHEN count(amount) > 0 THEN CAST(sum(amount) AS DOUBLE) / CAST(count(amount) AS DOUBLE) ELSE 0.0 END AS avg_transaction_size FROM tx""")
+def q_avg_tx_size(spark, sf):
+    return A.avg_tx_size(_tx(spark, sf))
+
+
+@register("avg_tx_size_by_coin", C.with_ctes("TX") + """
+SELECT stablecoin, CASE WHEN count(amount) > 0 THEN CAST(sum(amount) AS DOUBLE) / CAST(count(amount) AS DOUBLE) ELSE 0.0 END AS avg_transaction_size
+FROM tx WHERE stablecoin IS NOT NULL GROUP BY stablecoin""")
+def q_avg_tx_size_by_coin(spark, sf):
+    return A.avg_tx_size(_tx(spark, sf), "stablecoin")
+
+
+# --------------------------------------------------------------------- A5
+@register("holder_metrics", C.with_ctes("HOLDERS_TYPED", extra="""
+h AS (SELECT *, coalesce(is_store_of_value, false) AS sov FROM holders_typed)""") + """
+SELECT CAST(count(*) AS BIGINT) AS total_holders, CAST(count_if(sov) AS BIGINT) AS sov_count,
+  CASE WHEN count(*) > 0 THEN CAST(count_if(sov) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END AS sov_percentage,
+  CASE WHEN count_if(sov) > 0 THEN CAST(coalesce(sum(CASE WHEN sov THEN balance END), 0) AS DOUBLE) / CAST(count_if(sov) AS DOUBLE) ELSE 0.0 END AS avg_balance_sov,
+  CASE WHEN count_if(NOT sov) > 0 THEN CAST(coalesce(sum(CASE WHEN NOT sov THEN balance END), 0) AS DOUBLE) / CAST(count_if(NOT sov) AS DOUBLE) ELSE 0.0 END AS avg_balance_active,
+  coalesce(avg(CASE WHEN sov THEN CAST(holding_period_days AS DOUBLE) END), 0.0) AS avg_holding_period_days,
+  coalesce(quantile_cont(CASE WHEN sov THEN CAST(holding_period_days AS DOUBLE) END, 0.5), 0.0) AS median_holding_period_days
+FROM h""")
+def q_holder_metrics(spark, sf):
+    return A.holder_metrics(_hsov(spark, sf))
+
+
+# --------------------------------------------------------------------- A11
+@register("chain_activity_dist", C.with_ctes("TX", extra="""
+g AS (SELECT chain, activity_type, count(*) AS n FROM tx
+      WHERE chain IS NOT NULL AND activity_type IS NOT NULL GROUP BY chain, activity_type),
+g2 AS (SELECT *, sum(n) OVER (PARTITION BY chain) AS ct FROM g),
+grid AS (SELECT * FROM (VALUES ('ethereum'), ('bsc'), ('polygon')) c(chain),
+                       (VALUES ('transaction'), ('store_of_value'), ('other')) a(activity_type))""") + """
+SELECT grid.chain, grid.activity_type, CAST(coalesce(g2.n, 0) AS BIGINT) AS count,
+  CASE WHEN g2.ct > 0 THEN round_even(CAST(coalesce(g2.n, 0) AS DOUBLE) / CAST(g2.ct AS DOUBLE) * 100.0 * 100.0, 0) / 100.0 ELSE 0.0 END AS percentage
+FROM grid LEFT JOIN g2 ON g2.chain = grid.chain AND g2.activity_type = grid.activity_type""")
+def q_chain_activity_dist(spark, sf):
+    return A.chain_activity_dist(_tx(spark, sf)).drop("chain_rank", "activity_rank")
+
+
+# --------------------------------------------------------------------- A26
+def _pivot_sql(dim, values):
+    cols = ", ".join(f"coalesce(max(CASE WHEN {dim} = '{v}' THEN pct END), 0.0) AS {v}" for v in values)
+    return C.with_ctes("TX", extra=f"""
+g AS (SELECT {dim}, activity_type, count(*) AS n FROM tx GROUP BY {dim}, activity_type),
+g2 AS (SELECT *, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY {dim}) AS DOUBLE) * 100.0 AS pct FROM g),
+e AS (SELECT * FROM (VALUES ('transaction'), ('store_of_value'), ('other')) t(activity_type)),
+p AS (SELECT activity_type, {cols} FROM g2 GROUP BY activity_type)""") + f"""
+SELECT e.activity_type, {", ".join(f"coalesce(p.{v}, 0.0) AS {v}" for v in values)}
+FROM e LEFT JOIN p ON p.activity_type = e.activity_type"""
+
+
+@register("activity_pivot_coin", _pivot_sql("stablecoin", dims.STABLECOINS))
+def q_activity_pivot_coin(spark, sf):
+    return A.activity_pivot(_tx(spark, sf), "stablecoin", dims.STABLECOINS).drop("activity_rank")
+
+
+@register("activity_pivot_chain", _pivot_sql("chain", dims.CHAINS))
+def q_activity_pivot_chain(spark, sf):
+    return A.activity_pivot(_tx(spark, sf), "chain", dims.CHAINS).drop("activity_rank")
+
+
+# --------------------------------------------------------------------- A6-A9, A18
+from tokenflow.operators import timeseries as TS  # noqa: E402
+
+
+def _ts_sql(aggregation: str, keys: list[str], totals: bool = False) -> str:
+    per = C.period_sql('"timestamp"', aggregation)
+    nn = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    ks = ", ".join(keys)
+    body = f"""
+s AS (SELECT {per} AS period, {ks}, CAST(count("timestamp") AS BIGINT) AS transaction_count,
+        CAST(coalesce(sum(amount), 0) AS DOUBLE) AS volume
+      FROM tx WHERE "timestamp" IS NOT NULL AND {nn} GROUP BY {per}, {ks})"""
+    if totals:
+        body += """,
+t AS (SELECT CAST(count(*) AS BIGINT) AS total_count, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_volume FROM tx)"""
+        return C.with_ctes("TX", extra=body.strip()) + f"SELECT {C.ymd('period')} AS period, {ks}, transaction_count, volume, total_count, total_volume FROM s, t"
+    return C.with_ctes("TX", extra=body.strip()) + f"SELECT {C.ymd('period')} AS period, {ks}, transaction_count, volume FROM s"
+
+
+for _agg in TS.PERIODS:
+    def _mk(agg):
+        @register(f"time_series_{agg}", _ts_sql(agg, ["activity_type", "stablecoin"]))
+        def q(spark, sf):
+            return TS.time_series(_tx(spark, sf), agg)
+        return q
+    _mk(_agg)
+
+
+@register("time_series_totals", _ts_sql("monthly", ["activity_type", "stablecoin"], totals=True))
+def q_ts_totals(spark, sf):
+    return TS.time_series_totals(_tx(spark, sf), "monthly")
+
+
+@register("ts_by_activity", _ts_sql("weekly", ["activity_type"]))
+def q_ts_by_activity(spark, sf):
+    return TS.ts_by_activity(_tx(spark, sf), "weekly")
+
+
+@register("ts_by_stablecoin", _ts_sql("weekly", ["stablecoin"]))
+def q_ts_by_stablecoin(spark, sf):
+    return TS.ts_by_stablecoin(_tx(spark, sf), "weekly")
+
+
+@register("ts_summary", C.with_ctes("TX", extra=f"""
+s AS (SELECT {C.week_tue('"timestamp"')} AS period, activity_type, count("timestamp") AS transaction_count,
+        coalesce(sum(amount), 0) AS volume
+      FROM tx WHERE "timestamp" IS NOT NULL AND activity_type IS NOT NULL GROUP BY ALL),
+per AS (SELECT period, sum(transaction_count) AS cnt FROM s GROUP BY period),
+pk AS (SELECT period, cnt FROM per ORDER BY cnt DESC, period ASC LIMIT 1)""") + f"""
+SELECT CAST((SELECT count(*) FROM per) AS BIGINT) AS total_periods, {C.ymd('pk.period')} AS peak_period,
+  CAST(pk.cnt AS BIGINT) AS peak_count,
+  CAST((SELECT sum(transaction_count) FROM s) AS BIGINT) AS total_transactions,
+  CAST((SELECT sum(volume) FROM s) AS DOUBLE) AS total_volume
+FROM pk""")
+def q_ts_summary(spark, sf):
+    return TS.ts_summary(TS.ts_by_activity(_tx(spark, sf), "weekly"))
+
+
+@register("ts_all_levels", C.with_ctes("TX", extra=f"""
+b AS (SELECT {C.week_tue('"timestamp"')} AS period, activity_type, stablecoin, "timestamp", amount FROM tx
+      WHERE "timestamp" IS NOT NULL)""") + f"""
+SELECT level, {C.ymd('period')} AS period, activity_type, stablecoin, transaction_count, volume FROM (
+  SELECT 'activity_coin' AS level, period, activity_type, stablecoin, CAST(count("timestamp") AS BIGINT) AS transaction_count, CAST(coalesce(sum(amount),0) AS DOUBLE) AS volume
+    FROM b WHERE activity_type IS NOT NULL AND stablecoin IS NOT NULL GROUP BY period, activity_type, stablecoin
+  UNION ALL
+  SELECT 'activity', period, activity_type, NULL, CAST(count("timestamp") AS BIGINT), CAST(coalesce(sum(amount),0) AS DOUBLE)
+    FROM b WHERE activity_type IS NOT NULL GROUP BY period, activity_type
+  UNION ALL
+  SELECT 'coin', period, NULL, stablecoin, CAST(count("timestamp") AS BIGINT), CAST(coalesce(sum(amount),0) AS DOUBLE)
+    FROM b WHERE stablecoin IS NOT NULL GROUP BY period, stablecoin)""")
+def q_ts_all_levels(spark, sf):
+    return TS.ts_all_levels(_tx(spark, sf), "weekly")
+
+
+# --------------------------------------------------------------------- T1 + P19
+@register("top_holders", C.with_ctes("HOLDERS_TYPED", extra="""
+t AS (SELECT address, coalesce(balance, 0) AS balance, stablecoin, chain,
+             coalesce(is_store_of_value, false) AS is_store_of_value FROM holders_typed
+      ORDER BY balance DESC, address, stablecoin, chain LIMIT 10)""") + """
+SELECT CAST(row_number() OVER (ORDER BY balance DESC, address, stablecoin, chain) AS BIGINT) AS rank,
+  CASE WHEN length(address) > 10 THEN substring(address, 1, 6) || '...' || right(address, 4) ELSE address END AS address_masked,
+  address, CAST(balance AS DOUBLE) AS balance, stablecoin, chain, is_store_of_value FROM t""")
+def q_top_holders(spark, sf):
+    return A.top_holders_table(_hsov(spark, sf), 10)
+
+
+# --------------------------------------------------------------------- A12-A14
+@register("summary_by_stablecoin", C.with_ctes("TX", "HOLDERS", extra="""
+g AS (SELECT stablecoin, count(*) AS n, sum(amount) AS vol FROM tx GROUP BY stablecoin),
+ends AS (SELECT stablecoin, lower(from_address) AS a FROM tx
+         UNION SELECT stablecoin, lower(to_address) FROM tx
+         UNION SELECT stablecoin, lower(address) FROM holders WHERE stablecoin IN (SELECT stablecoin FROM g)),
+u AS (SELECT stablecoin, count(*) AS ua FROM ends GROUP BY stablecoin)""") + """
+SELECT g.stablecoin, CAST(g.n AS BIGINT) AS total_transactions, CAST(g.vol AS DOUBLE) AS total_volume,
+  CAST(u.ua AS BIGINT) AS unique_addresses FROM g LEFT JOIN u ON u.stablecoin = g.stablecoin""")
+def q_summary_by_stablecoin(spark, sf):
+    tx = _tx(spark, sf)
+    return A.summary_by_stablecoin(tx, TD.holders(spark, sf, tx))
+
+
+@register("summary_by_activity", C.with_ctes("TX", "HOLDERS_TYPED") + """
+SELECT activity_type, CAST(count(*) AS BIGINT) AS count FROM (
+  SELECT activity_type FROM tx
+  UNION ALL SELECT 'store_of_value' FROM holders_typed WHERE is_store_of_value) GROUP BY activity_type""")
+def q_summary_by_activity(spark, sf):
+    tx = _tx(spark, sf)
+    return A.summary_by_activity(tx, _hsov(spark, sf, tx))
+
+
+@register("summary_by_chain", C.with_ctes("TX", "HOLDERS") + """
+SELECT chain, CAST(count(*) AS BIGINT) AS records FROM (
+  SELECT chain FROM tx UNION ALL SELECT chain FROM holders) GROUP BY chain""")
+def q_summary_by_chain(spark, sf):
+    tx = _tx(spark, sf)
+    return A.summary_by_chain(tx, TD.holders(spark, sf, tx))
+
+
+# --------------------------------------------------------------------- A15
+@register("aggregate_metrics", C.with_ctes("TXC", "HOLDERS_TYPED") + f"""
+SELECT * FROM (SELECT CAST(count(*) AS BIGINT) AS total_transactions,
+  {", ".join(f"CAST(count_if(activity_type = '{a}') AS BIGINT) AS tx_{a}" for a in dims.ACTIVITY_TYPES_COLLECT)}
+  FROM txc),
+ (SELECT CAST(count(*) AS BIGINT) AS total_holders, CAST(count_if(is_store_of_value) AS BIGINT) AS sov_holders
+  FROM holders_typed)""")
+def q_aggregate_metrics(spark, sf):
+    tx = _tx(spark, sf)
+    return A.aggregate_metrics(TD.collected_tx(spark, sf), _hsov(spark, sf, tx))
+
+
+# --------------------------------------------------------------------- A16 / A17
+_FIELDS = A.REQUIRED_QUALITY_FIELDS
+_NN = " + ".join(f'count("{f}")' for f in _FIELDS)
+
+
+@register("field_completeness", C.with_ctes("TX") + f"""
+SELECT CAST(count(*) AS BIGINT) AS rows,
+  CASE WHEN count(*) > 0 THEN CAST({_NN} AS DOUBLE) / CAST(count(*) * {len(_FIELDS)} AS DOUBLE) ELSE 0.0 END AS field_completeness
+FROM tx""")
+def q_field_completeness(spark, sf):
+    return A.field_completeness(_tx(spark, sf))
+
+
+@register("confidence", C.with_ctes("TX", extra=f"""
+o AS (SELECT CAST(count(*) AS BIGINT) AS sample_size,
+  CASE WHEN count(*) > 0 THEN CAST({_NN} AS DOUBLE) / CAST(count(*) * {len(_FIELDS)} AS DOUBLE) ELSE 0.0 END AS data_completeness,
+  CAST(count(DISTINCT CASE WHEN chain IN ('ethereum', 'bsc', 'polygon') THEN chain END) AS DOUBLE) / 3.0 AS chain_coverage
+  FROM tx),
+m AS (SELECT *, data_completeness * 0.7 + chain_coverage * 0.3 AS quality_mix FROM o),
+s AS (SELECT *, least(CAST(sample_size AS DOUBLE) / 1000.0, 1.0) * 0.6 + quality_mix * 0.4 AS score FROM m)""") + """
+SELECT *, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM s""")
+def q_confidence(spark, sf):
+    return A.confidence(_tx(spark, sf))
+
+
+# --------------------------------------------------------------------- A19
+@register("balance_histogram", C.with_ctes("HOLDERS_TYPED", extra="""
+p AS (SELECT CAST(balance AS DOUBLE) AS b,
+             CASE WHEN coalesce(is_store_of_value, false) THEN 'Store of Value' ELSE 'Active Transactor' END AS label
+      FROM holders_typed WHERE balance > 0),
+r AS (SELECT min(b) AS lo, max(b) AS hi FROM p)""") + """
+SELECT label, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((b - lo) / ((hi - lo) / 30.0)), 29) END AS BIGINT) AS bin,
+  CAST(count(*) AS BIGINT) AS count, min(lo) AS lo, min(hi) AS hi
+FROM p, r GROUP BY 1, 2""")
+def q_balance_histogram(spark, sf):
+    return A.balance_histogram(_hsov(spark, sf), 30)

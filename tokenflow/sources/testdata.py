@@ -148,3 +148,31 @@ def supplier_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("secondary").alias("source_explorer"),
         F.lit(False).alias("is_sov_heuristic"),
     ).drop("address_raw")
+
+
+def collected_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplicated transfers with the collect-time activity (may hold
+    ``unknown``), as the aggregator sees them before classification."""
+    from tokenflow.operators.merge import dedup_tx
+    return dedup_tx(raw_transfers(spark, sf_dir)).drop("ingest_key")
+
+
+def holders_sov(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
+    """HOLDER with E2 flags at REFERENCE_TIME and S4 holding_period_days."""
+    from tokenflow.operators.classify import sov_heuristic
+    from tokenflow.sources.typed import with_holding_period_days
+    tx = tx if tx is not None else canonical_tx(spark, sf_dir)
+    h = sov_heuristic(holders(spark, sf_dir, tx), tx, REFERENCE_TIME)
+    return with_holding_period_days(h)
+
+
+def source_runs(spark: SparkSession, tx: DataFrame) -> DataFrame:
+    """SOURCE_RUN derived from what each configured source delivered:
+    success = delivered rows; a source without rows carries an error."""
+    cnt = tx.groupBy("source_explorer").agg(F.count("*").alias("n"))
+    s = dims.sources(spark).join(F.broadcast(cnt), "source_explorer", "left")
+    ok = F.coalesce(F.col("n"), F.lit(0)) > 0
+    return s.select("source_explorer", "chain", ok.alias("success"),
+                    F.when(ok, F.array().cast("array<string>"))
+                     .otherwise(F.array(F.lit("no records returned"))).alias("errors"),
+                    F.lit(0.0).alias("seconds"))
