@@ -365,3 +365,401 @@ SELECT label, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((b - lo) / ((hi - l
 FROM p, r GROUP BY 1, 2""")
 def q_balance_histogram(spark, sf):
     return A.balance_histogram(_hsov(spark, sf), 30)
+
+
+# --------------------------------------------------------------------- E1 / E2 / S4
+from tokenflow.operators import classify as CL  # noqa: E402
+from tokenflow.operators import merge as MG  # noqa: E402
+from tokenflow.operators import quality as QL  # noqa: E402
+from tokenflow.functions import rules as RU  # noqa: E402
+from tokenflow.functions import scalar as SC  # noqa: E402
+from tokenflow.sources import pages as PG  # noqa: E402
+
+
+@register("holding_period", C.with_ctes("HOLDERS_HP") + """
+SELECT address, stablecoin, chain, holding_period FROM holders_hp""")
+def q_holding_period(spark, sf):
+    tx = _tx(spark, sf)
+    return CL.holding_period(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME).select(
+        "address", "stablecoin", "chain", "holding_period")
+
+
+@register("sov_heuristic", C.with_ctes("HOLDERS_SOV") + """
+SELECT address, is_store_of_value, is_sov_heuristic FROM holders_sov""")
+def q_sov_heuristic(spark, sf):
+    tx = _tx(spark, sf)
+    return CL.sov_heuristic(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME).select(
+        "address", "is_store_of_value", "is_sov_heuristic")
+
+
+@register("typed_holders", C.with_ctes("HOLDERS_TYPED") + f"""
+SELECT address, CAST(balance AS DOUBLE) AS balance, stablecoin, chain, {C.ymdhms('first_seen')} AS first_seen,
+  {C.ymdhms('last_activity')} AS last_activity, holding_period_days FROM holders_typed""")
+def q_typed_holders(spark, sf):
+    return _hsov(spark, sf).select("address", "balance", "stablecoin", "chain", "first_seen",
+                                   "last_activity", "holding_period_days")
+
+
+# --------------------------------------------------------------------- D2 / P5 / P6
+_TX_OUT = f"""transaction_hash, block_number, {C.ymdhms('"timestamp"')} AS "timestamp", from_address, to_address,
+  CAST(amount AS DOUBLE) AS amount, stablecoin, chain, activity_type, source_explorer, gas_used,
+  CAST(gas_price AS DOUBLE) AS gas_price"""
+
+
+@register("dedup_tx", C.with_ctes("TX") + f"SELECT {_TX_OUT} FROM tx")
+def q_dedup_tx(spark, sf):
+    return _tx(spark, sf)
+
+
+@register("dedup_report", C.with_ctes("TX_RAW", extra="""
+k AS (SELECT transaction_hash, chain, count(*) AS n FROM tx_raw GROUP BY 1, 2)""") + """
+SELECT CAST(sum(n) AS BIGINT) AS input_rows, CAST(count(*) AS BIGINT) AS unique_rows,
+  CAST(sum(n) - count(*) AS BIGINT) AS duplicates_removed FROM k""")
+def q_dedup_report(spark, sf):
+    return MG.duplicates_removed(TD.raw_transfers(spark, sf))
+
+
+@register("classify_tx", C.with_ctes("TX_CLS") + """
+SELECT chain, activity_type, CAST(count(*) AS BIGINT) AS n FROM tx_cls GROUP BY 1, 2""")
+def q_classify_tx(spark, sf):
+    return (CL.classify_transactions(TD.raw_transfers(spark, sf))
+            .groupBy("chain", "activity_type").agg(F.count("*").cast("bigint").alias("n")))
+
+
+@register("classify_collect", C.with_ctes("TX_COLLECT") + """
+SELECT chain, activity_type, CAST(count(*) AS BIGINT) AS n FROM tx_collect GROUP BY 1, 2""")
+def q_classify_collect(spark, sf):
+    return (TD.raw_transfers(spark, sf)
+            .groupBy("chain", "activity_type").agg(F.count("*").cast("bigint").alias("n")))
+
+
+# --------------------------------------------------------------------- D1 / D3
+def _holder_batches(spark, sf):
+    tx = _tx(spark, sf)
+    return [TD.holders(spark, sf, tx), TD.supplier_holders(spark, sf)]
+
+
+@register("union_sources", C.with_ctes("HOLDERS", "SUPP_HOLDERS") + """
+SELECT source_explorer, CAST(src_rank AS BIGINT) AS source_rank, CAST(count(*) AS BIGINT) AS rows FROM (
+  SELECT source_explorer, 0 AS src_rank FROM holders UNION ALL
+  SELECT source_explorer, 1 FROM supp_holders) GROUP BY 1, 2""")
+def q_union_sources(spark, sf):
+    u = MG.union_sources(_holder_batches(spark, sf))
+    return u.groupBy("source_explorer", F.col("ingest_key.source_rank").alias("source_rank")).agg(
+        F.count("*").cast("bigint").alias("rows"))
+
+
+@register("merge_holders", C.with_ctes("HOLDERS", "SUPP_HOLDERS", extra="""
+src AS (SELECT *, 0 AS r FROM holders UNION ALL SELECT *, 1 FROM supp_holders),
+ps AS (SELECT lower(address) AS ak, stablecoin, chain, source_explorer, min(r) AS sf,
+         max(balance) AS balance, min(first_seen) AS first_seen, max(last_activity) AS last_activity,
+         bool_or(coalesce(is_store_of_value, false)) AS sov, bool_or(coalesce(is_sov_heuristic, false)) AS sovh,
+         min(address) AS address
+       FROM src GROUP BY 1, 2, 3, 4)""") + f"""
+SELECT arg_min(address, sf) AS address, CAST(max(balance) AS DOUBLE) AS balance, stablecoin, chain,
+  {C.ymdhms('min(first_seen)')} AS first_seen, {C.ymdhms('max(last_activity)')} AS last_activity,
+  bool_or(sov) AS is_store_of_value, string_agg(source_explorer, ',' ORDER BY sf) AS source_explorer,
+  bool_or(sovh) AS is_sov_heuristic
+FROM ps GROUP BY ak, stablecoin, chain""")
+def q_merge_holders(spark, sf):
+    return MG.merge_holders(MG.union_sources(_holder_batches(spark, sf)))
+
+
+# --------------------------------------------------------------------- D4 / D5
+_SRC_RUN = C.with_ctes("TX", extra="""
+cnt AS (SELECT source_explorer, count(*) AS n FROM tx GROUP BY 1),
+sr AS (SELECT s.source_explorer, coalesce(cnt.n, 0) > 0 AS success,
+              CASE WHEN coalesce(cnt.n, 0) > 0 THEN 0 ELSE 1 END AS error_count
+       FROM (VALUES ('etherscan'), ('bscscan'), ('polygonscan')) s(source_explorer)
+       LEFT JOIN cnt ON cnt.source_explorer = s.source_explorer)""")
+
+
+@register("completeness_gate", _SRC_RUN + """
+SELECT CAST(count_if(success) AS BIGINT) AS successful_sources, CAST(3 AS BIGINT) AS expected_sources,
+  CAST(count_if(success) AS DOUBLE) / 3.0 AS completeness_ratio,
+  coalesce(string_agg(CASE WHEN success THEN source_explorer END, ',' ORDER BY source_explorer), '') AS successful,
+  coalesce(string_agg(CASE WHEN NOT success THEN source_explorer END, ',' ORDER BY source_explorer), '') AS failed
+FROM sr""")
+def q_completeness_gate(spark, sf):
+    tx = _tx(spark, sf)
+    c = MG.completeness(TD.source_runs(spark, tx))
+    return c.select("successful_sources", "expected_sources", "completeness_ratio",
+                    F.array_join("successful", ",").alias("successful"),
+                    F.array_join("failed", ",").alias("failed"))
+
+
+@register("gated_rows", _SRC_RUN + """
+SELECT source_explorer, CAST(count(*) AS BIGINT) AS rows FROM tx
+WHERE source_explorer IN (SELECT source_explorer FROM sr WHERE success) GROUP BY 1""")
+def q_gated_rows(spark, sf):
+    tx = _tx(spark, sf)
+    g = MG.completeness_gate(TD.source_runs(spark, tx), tx, min_sources=2)
+    return g.groupBy("source_explorer").agg(F.count("*").cast("bigint").alias("rows"))
+
+
+@register("collection_report", C.with_ctes("TX", "HOLDERS", extra="""
+cnt AS (SELECT source_explorer, count(*) AS n FROM tx GROUP BY 1),
+sr AS (SELECT s.source_explorer, CASE WHEN coalesce(cnt.n, 0) > 0 THEN 0 ELSE 1 END AS error_count
+       FROM (VALUES ('etherscan'), ('bscscan'), ('polygonscan')) s(source_explorer)
+       LEFT JOIN cnt ON cnt.source_explorer = s.source_explorer),
+recs AS (SELECT source_explorer, count(*) AS records FROM (
+           SELECT source_explorer FROM tx UNION ALL SELECT source_explorer FROM holders) GROUP BY 1),
+r AS (SELECT coalesce(sr.source_explorer, recs.source_explorer) AS source_explorer,
+             CAST(coalesce(recs.records, 0) AS BIGINT) AS records,
+             CAST(coalesce(sr.error_count, 0) AS BIGINT) AS error_count, CAST(0.0 AS DOUBLE) AS seconds
+      FROM sr FULL JOIN recs ON recs.source_explorer = sr.source_explorer)""") + """
+SELECT *, error_count > 0 AND records = 0 AS failed, CAST(sum(records) OVER () AS BIGINT) AS total_records,
+  sum(records) OVER () > 0 AS success FROM r""")
+def q_collection_report(spark, sf):
+    tx = _tx(spark, sf)
+    return MG.collection_report(tx, TD.holders(spark, sf, tx), TD.source_runs(spark, tx))
+
+
+# --------------------------------------------------------------------- V1-V6, V8
+def _amt_sql(e: str) -> str:
+    """DuckDB form of V3 for a text expression ``e``."""
+    ip = f"ltrim(regexp_extract({e}, '^([0-9]+)', 1), '0')"
+    fr = f"regexp_extract({e}, '\\.([0-9]+)$', 1)"
+    mx = f"'{RU.MAX_UINT256}'"
+    return (f"coalesce(regexp_matches({e}, '^[0-9]+(\\.[0-9]{{1,18}})?$') AND ("
+            f"length({ip}) < 78 OR (length({ip}) = 78 AND ({ip} < {mx} OR "
+            f"({ip} = {mx} AND ({fr} = '' OR regexp_matches({fr}, '^0+$')))))), false)")
+
+
+@register("dq_holder_record", C.with_ctes("HOLDERS", extra="""
+r AS (SELECT address, CAST(balance AS VARCHAR) AS bal FROM holders)""") + f"""
+SELECT address, bal AS balance_text,
+  coalesce(regexp_matches(address, '^0x[a-fA-F0-9]{{40}}$'), false) AS address_ok,
+  {_amt_sql('bal')} AS amount_ok,
+  array_to_string(list_filter([CASE WHEN NOT coalesce(regexp_matches(address, '^0x[a-fA-F0-9]{{40}}$'), false) THEN 'address' END,
+                               CASE WHEN NOT {_amt_sql('bal')} THEN 'balance' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM r""")
+def q_dq_holder_record(spark, sf):
+    h = TD.holders(spark, sf).select("address", F.col("balance").cast("decimal(18,2)").cast("string").alias("balance"))
+    e = QL.holder_record_errors(h)
+    return e.select("address", F.col("balance").alias("balance_text"),
+                    RU.address_ok("address").alias("address_ok"), RU.amount_ok("balance").alias("amount_ok"),
+                    F.array_join("errors", ",").alias("errors"))
+
+
+@register("dq_tx_record", C.with_ctes("TX_RAW", extra="""
+mk AS (SELECT chain, max(block_number) AS mx FROM tx_raw GROUP BY chain),
+r AS (SELECT t.transaction_hash, t.chain, t.from_address, t.to_address, CAST(t.amount AS VARCHAR) AS amt,
+             t.block_number, mk.mx FROM tx_raw t JOIN mk ON mk.chain = t.chain)""") + f"""
+SELECT CAST(count(*) AS BIGINT) AS records,
+  CAST(count_if(NOT coalesce(regexp_matches(transaction_hash, '^0x[a-fA-F0-9]{{64}}$'), false)) AS BIGINT) AS bad_hash,
+  CAST(count_if(NOT coalesce(regexp_matches(from_address, '^0x[a-fA-F0-9]{{40}}$'), false)) AS BIGINT) AS bad_from,
+  CAST(count_if(NOT coalesce(regexp_matches(to_address, '^0x[a-fA-F0-9]{{40}}$'), false)) AS BIGINT) AS bad_to,
+  CAST(count_if(NOT {_amt_sql('amt')}) AS BIGINT) AS bad_amount,
+  CAST(count_if(NOT coalesce(block_number >= 0 AND (mx IS NULL OR block_number <= mx + 1000), false)) AS BIGINT) AS bad_block
+FROM r""")
+def q_dq_tx_record(spark, sf):
+    raw = TD.raw_transfers(spark, sf)
+    mk = raw.groupBy("chain").agg(F.max("block_number").alias("_mx"))
+    r = raw.join(F.broadcast(mk), "chain").select(
+        "transaction_hash", "chain", "from_address", "to_address",
+        F.col("amount").cast("decimal(18,2)").cast("string").alias("amount"), "block_number", "_mx")
+    e = QL.tx_record_errors(r, max_known="_mx")
+    has = lambda f: F.count_if(F.array_contains("errors", f)).cast("bigint")
+    return e.agg(F.count("*").cast("bigint").alias("records"), has("transaction_hash").alias("bad_hash"),
+                 has("from_address").alias("bad_from"), has("to_address").alias("bad_to"),
+                 has("amount").alias("bad_amount"), has("block_number").alias("bad_block"))
+
+
+@register("dq_timestamp", f"""
+SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'bsc' ELSE 'polygon' END AS chain,
+  coalesce(epoch(CAST(ts AS TIMESTAMP)) >= CASE user_id % 3 WHEN 0 THEN {dims.GENESIS['ethereum']} WHEN 1 THEN {dims.GENESIS['bsc']} ELSE {dims.GENESIS['polygon']} END
+       AND CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) <= epoch(TIMESTAMP '2024-01-15 00:00:00') + 300, false) AS timestamp_ok
+FROM events""")
+def q_dq_timestamp(spark, sf):
+    ev = TD.table(spark, sf, "events").select("event_id", "user_id", SC.ensure_utc("ts").alias("ts"))
+    chain = TD._chain_of_key("user_id")
+    return ev.select("event_id", chain.alias("chain"),
+                     RU.timestamp_ok(F.unix_seconds("ts"), chain, "2024-01-15 00:00:00").alias("timestamp_ok"))
+
+
+@register("invariants_holder", C.with_ctes("HOLDERS") + """
+SELECT address, array_to_string(list_filter([
+   CASE WHEN NOT coalesce(balance >= 0, false) THEN 'balance' END,
+   CASE WHEN NOT (first_seen IS NULL OR last_activity IS NULL OR first_seen <= last_activity) THEN 'last_activity' END],
+   lambda x: x IS NOT NULL), ',') AS errors
+FROM holders WHERE NOT coalesce(balance >= 0, false)
+   OR NOT (first_seen IS NULL OR last_activity IS NULL OR first_seen <= last_activity)""")
+def q_invariants_holder(spark, sf):
+    e = QL.holder_invariant_errors(TD.holders(spark, sf))
+    _, quarantine, _ = QL.split_valid(e)
+    return quarantine.select("address", F.array_join("errors", ",").alias("errors"))
+
+
+@register("invariants_tx", C.with_ctes("TX") + """
+SELECT CAST(count(*) AS BIGINT) AS records,
+  CAST(count_if(NOT (block_number >= 0 AND amount >= 0 AND (gas_used IS NULL OR gas_used >= 0)
+        AND (gas_price IS NULL OR gas_price >= 0))) AS BIGINT) AS rejected FROM tx""")
+def q_invariants_tx(spark, sf):
+    e = QL.tx_invariant_errors(_tx(spark, sf))
+    return e.agg(F.count("*").cast("bigint").alias("records"),
+                 F.count_if(F.size("errors") > 0).cast("bigint").alias("rejected"))
+
+
+@register("required_tx", C.with_ctes("TX") + """
+SELECT CAST(count(*) AS BIGINT) AS kept FROM tx WHERE length(trim(transaction_hash)) > 0
+  AND length(trim(from_address)) > 0 AND length(trim(to_address)) > 0 AND "timestamp" IS NOT NULL
+  AND length(trim(stablecoin)) > 0 AND length(trim(chain)) > 0""")
+def q_required_tx(spark, sf):
+    return QL.required_tx(_tx(spark, sf)).agg(F.count("*").cast("bigint").alias("kept"))
+
+
+@register("required_holder", C.with_ctes("HOLDERS") + """
+SELECT CAST(count(*) AS BIGINT) AS kept FROM holders WHERE length(trim(address)) > 0
+  AND length(trim(stablecoin)) > 0 AND length(trim(chain)) > 0 AND balance IS NOT NULL""")
+def q_required_holder(spark, sf):
+    return QL.required_holder(TD.holders(spark, sf)).agg(F.count("*").cast("bigint").alias("kept"))
+
+
+@register("enum_check", C.with_ctes("TXC") + """
+SELECT activity_type, CAST(count(*) AS BIGINT) AS rows FROM txc
+WHERE activity_type IS NOT NULL AND activity_type NOT IN ('transaction', 'store_of_value', 'other')
+GROUP BY 1""")
+def q_enum_check(spark, sf):
+    bad = QL.invalid_enum_rows(TD.collected_tx(spark, sf), "activity_type", dims.ACTIVITY_TYPES)
+    return bad.groupBy("activity_type").agg(F.count("*").cast("bigint").alias("rows"))
+
+
+@register("run_filters", C.with_ctes("TX") + f"""
+SELECT {_TX_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY source_explorer, stablecoin
+    ORDER BY block_number DESC, "timestamp" DESC, transaction_hash) AS rn FROM tx
+  WHERE source_explorer IN ('etherscan', 'polygonscan') AND stablecoin IN ('USDC', 'USDT')) WHERE rn <= 1000""")
+def q_run_filters(spark, sf):
+    return QL.run_filters(_tx(spark, sf), ["etherscan", "polygonscan"], ["USDC", "USDT"], 1000)
+
+
+# --------------------------------------------------------------------- S5 / P1-P3 / S6 / P4
+_P5 = f"""CASE WHEN lower(from_address) = {C.ZERO} THEN 'other' WHEN lower(to_address) = {C.ZERO} THEN 'other'
+  WHEN amount > 0 AND length(from_address) > 0 AND length(to_address) > 0 THEN 'transaction' ELSE 'unknown' END"""
+
+
+@register("read_api_transfers", C.with_ctes("TX") + f"""
+SELECT transaction_hash, block_number, {C.ymdhms('"timestamp"')} AS "timestamp", lower(from_address) AS from_address,
+  lower(to_address) AS to_address, CAST(amount AS DOUBLE) AS amount, stablecoin, chain, {_P5} AS activity_type,
+  source_explorer, gas_used, CAST(gas_price AS DOUBLE) AS gas_price
+FROM tx""")
+def q_read_api_transfers(spark, sf):
+    pages = PG.landed_transfer_pages(_tx(spark, sf))
+    valid, _, _ = QL.split_valid(PG.read_api_transfers(pages, limit=PG.MAX_ITEMS))
+    return valid.drop("ingest_key")
+
+
+@register("read_api_holders", C.with_ctes("HOLDERS") + """
+SELECT lower(address) AS address, CAST(balance AS DOUBLE) AS balance, stablecoin, chain,
+  CAST(NULL AS VARCHAR) AS first_seen, CAST(NULL AS VARCHAR) AS last_activity, false AS is_store_of_value,
+  source_explorer, false AS is_sov_heuristic
+FROM holders WHERE balance >= 0""")
+def q_read_api_holders(spark, sf):
+    pages = PG.landed_holder_pages(TD.holders(spark, sf))
+    valid, _, _ = QL.split_valid(PG.read_api_holders(pages, cap=100))
+    return valid
+
+
+@register("api_holder_rejects", C.with_ctes("HOLDERS") + """
+SELECT 'TokenHolderQuantity' AS field, CAST(count(*) AS BIGINT) AS rejected FROM holders WHERE balance < 0""")
+def q_api_holder_rejects(spark, sf):
+    pages = PG.landed_holder_pages(TD.holders(spark, sf))
+    _, _, counts = QL.split_valid(PG.read_api_holders(pages, cap=100))
+    return counts
+
+
+# --------------------------------------------------------------------- V11 / V12 / V16
+@register("response_status", C.with_ctes("TX") + """
+SELECT source_explorer, stablecoin, chain, CAST(floor(block_number / 1000) AS BIGINT) AS page,
+  true AS response_ok, false AS rate_limited, false AS is_empty, CAST(count(*) AS BIGINT) AS records
+FROM tx GROUP BY 1, 2, 3, 4""")
+def q_response_status(spark, sf):
+    pages = PG.response_status(PG.landed_transfer_pages(_tx(spark, sf)))
+    arr = F.from_json("result", "array<struct<hash:string>>")
+    return pages.select("source_explorer", "stablecoin", "chain", F.col("page").cast("bigint").alias("page"),
+                        "response_ok", "rate_limited", "is_empty",
+                        F.size(arr).cast("bigint").alias("records"))
+
+
+@register("response_schema", C.with_ctes("TX") + """
+SELECT source_explorer, stablecoin, chain, CAST(floor(block_number / 1000) AS BIGINT) AS page,
+  true AS schema_ok, CAST(0 AS BIGINT) AS n_errors
+FROM tx GROUP BY 1, 2, 3, 4""")
+def q_response_schema(spark, sf):
+    pages = PG.response_schema_errors(PG.landed_transfer_pages(_tx(spark, sf)))
+    return pages.select("source_explorer", "stablecoin", "chain", F.col("page").cast("bigint").alias("page"),
+                        "schema_ok", F.size("schema_errors").cast("bigint").alias("n_errors"))
+
+
+# --------------------------------------------------------------------- S8 / P12 / P13
+@register("source_select", C.with_ctes("TX", extra="""
+con AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{c}', '{a}')" for k, c, a in dims.CONTRACTS) + """) t(stablecoin, chain, contract))""") + """
+SELECT tx.source_explorer, tx.stablecoin, con.contract, CAST(count(*) AS BIGINT) AS rows
+FROM tx JOIN con ON con.stablecoin = tx.stablecoin AND con.chain = tx.chain
+WHERE tx.source_explorer IN ('etherscan', 'bscscan') GROUP BY 1, 2, 3""")
+def q_source_select(spark, sf):
+    from tokenflow.plans.pipeline import select_sources
+    s = select_sources(spark, ["etherscan", "bscscan"])
+    tx = _tx(spark, sf).join(F.broadcast(s), ["source_explorer", "stablecoin", "chain"])
+    return tx.groupBy("source_explorer", "stablecoin", "contract").agg(F.count("*").cast("bigint").alias("rows"))
+
+
+@register("gas_cost_native", C.with_ctes("TX") + """
+SELECT transaction_hash, chain, CAST(CAST(gas_used AS DECIMAL(38,0)) * CAST(gas_price AS DECIMAL(38,0)) AS DOUBLE) / 1e18 AS gas_cost
+FROM tx WHERE gas_used IS NOT NULL AND gas_price IS NOT NULL""")
+def q_gas_cost_native(spark, sf):
+    return (_tx(spark, sf).where(F.col("gas_used").isNotNull() & F.col("gas_price").isNotNull())
+            .select("transaction_hash", "chain", SC.gas_cost_native("gas_used", "gas_price").alias("gas_cost")))
+
+
+@register("period_bucket", C.with_ctes("TX") + f"""
+SELECT {C.ymd('CAST("timestamp" AS DATE)')} AS day, {C.ymd(C.week_tue('"timestamp"'))} AS week,
+  {C.ymd(C.period_sql('"timestamp"', 'monthly'))} AS month, CAST(count(*) AS BIGINT) AS n
+FROM tx GROUP BY 1, 2, 3""")
+def q_period_bucket(spark, sf):
+    t = _tx(spark, sf)
+    return (t.select(SC.period_bucket("timestamp", "daily").alias("day"),
+                     SC.period_bucket("timestamp", "weekly").alias("week"),
+                     SC.period_bucket("timestamp", "monthly").alias("month"))
+            .groupBy("day", "week", "month").agg(F.count("*").cast("bigint").alias("n")))
+
+
+@register("explorer_for_chain", """
+SELECT CASE o_custkey % 4 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'bsc' WHEN 2 THEN 'polygon' ELSE 'avalanche' END AS chain,
+  CASE o_custkey % 4 WHEN 0 THEN 'etherscan' WHEN 1 THEN 'bscscan' WHEN 2 THEN 'polygonscan' ELSE 'etherscan' END AS explorer,
+  CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2""")
+def q_explorer_for_chain(spark, sf):
+    o = TD.table(spark, sf, "orders").select("o_custkey")
+    k = F.col("o_custkey") % 4
+    chain = F.when(k == 0, "ethereum").when(k == 1, "bsc").when(k == 2, "polygon").otherwise("avalanche")
+    return (o.select(chain.alias("chain")).select("chain", SC.explorer_for_chain(F.col("chain")).alias("explorer"))
+            .groupBy("chain", "explorer").agg(F.count("*").cast("bigint").alias("n")))
+
+
+@register("normalize_address", C.with_ctes("HOLDERS", "SUPP_HOLDERS") + """
+SELECT lower(a) AS normalized, CASE WHEN regexp_matches(a, '^0x[a-fA-F0-9]{40}$') THEN lower(a) END AS validated
+FROM (SELECT upper(substring(address, 3)) AS a FROM holders UNION ALL SELECT '0x' || upper(substring(address, 3)) FROM supp_holders)""")
+def q_normalize_address(spark, sf):
+    h = TD.holders(spark, sf).select(F.upper(F.substring("address", 3, 100)).alias("a"))
+    s = TD.supplier_holders(spark, sf).select(F.concat(F.lit("0x"), F.upper(F.substring("address", 3, 100))).alias("a"))
+    u = h.unionByName(s)
+    return u.select(SC.normalize_address("a").alias("normalized"),
+                    SC.validate_and_normalize_address("a").alias("validated"))
+
+
+@register("safe_parse", C.with_ctes("TX_RAW") + f"""
+SELECT transaction_hash, CAST(TRY_CAST(amt AS DECIMAL(38,18)) AS DOUBLE) AS amount,
+  {C.ymdhms('TRY_CAST(ts AS TIMESTAMP)')} AS "timestamp" FROM (
+  SELECT transaction_hash,
+    CASE WHEN gas_used IS NULL THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS amt,
+    CASE WHEN gas_used IS NULL THEN '' ELSE strftime("timestamp", '%Y-%m-%dT%H:%M:%SZ') END AS ts
+  FROM tx_raw)""")
+def q_safe_parse(spark, sf):
+    raw = TD.raw_transfers(spark, sf)
+    s = raw.select("transaction_hash",
+                   F.when(F.col("gas_used").isNull(), F.lit("n/a"))
+                   .otherwise(F.col("amount").cast("decimal(18,2)").cast("string")).alias("amt"),
+                   F.when(F.col("gas_used").isNull(), F.lit(""))
+                   .otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"))
+    return s.select("transaction_hash", SC.safe_decimal("amt").alias("amount"),
+                    SC.safe_timestamp("ts").alias("timestamp"))
