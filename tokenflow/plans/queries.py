@@ -763,3 +763,105 @@ def q_safe_parse(spark, sf):
                    .otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"))
     return s.select("transaction_hash", SC.safe_decimal("amt").alias("amount"),
                     SC.safe_timestamp("ts").alias("timestamp"))
+
+
+# --------------------------------------------------------------------- M1 / W1 / M3 / M4 / A24
+from tokenflow.operators import features as FE  # noqa: E402
+
+_FEATS = C.with_ctes("TX", "HOLDERS", extra=f"""
+ends AS (SELECT lower(from_address) AS a, true AS o, amount AS amt, chain AS ch FROM tx
+         UNION ALL SELECT lower(to_address), false, amount, chain FROM tx),
+st AS (SELECT a, count_if(o) AS n_from, count_if(NOT o) AS n_to,
+         sum(CASE WHEN o THEN amt END) AS sum_from, count(CASE WHEN o THEN amt END) AS c_from,
+         sum(CASE WHEN NOT o THEN amt END) AS sum_to, count(CASE WHEN NOT o THEN amt END) AS c_to,
+         stddev_samp(CASE WHEN o THEN CAST(amt AS DOUBLE) END) AS std_from,
+         stddev_samp(CASE WHEN NOT o THEN CAST(amt AS DOUBLE) END) AS std_to,
+         count(DISTINCT CASE WHEN o THEN ch END) AS chains_from, count(DISTINCT CASE WHEN NOT o THEN ch END) AS chains_to
+       FROM ends GROUP BY a),
+pr AS (SELECT address,
+         CASE WHEN balance IS NULL THEN NULL ELSE
+           (CAST(rank() OVER (ORDER BY balance) - 1 AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY balance) AS DOUBLE) + 1.0) / 2.0)
+           / CAST(count(balance) OVER () AS DOUBLE) * 100.0 END AS balance_percentile,
+         greatest(coalesce(CAST(epoch_us({C.REF}) - epoch_us(first_seen) AS DOUBLE) / 86400000000.0, 0.0), 0.0) AS holding_period_days,
+         greatest(coalesce(CAST(epoch_us({C.REF}) - epoch_us(last_activity) AS DOUBLE) / 86400000000.0, 0.0), 0.0) AS activity_recency_days
+       FROM holders),
+f0 AS (SELECT pr.*, CAST(coalesce(n_from, 0) + coalesce(n_to, 0) AS BIGINT) AS transaction_count,
+         coalesce(CAST(sum_from AS DOUBLE) / CAST(c_from AS DOUBLE), 0.0) AS mf,
+         coalesce(CAST(sum_to AS DOUBLE) / CAST(c_to AS DOUBLE), 0.0) AS mt,
+         (coalesce(std_from, 0.0) + coalesce(std_to, 0.0)) / 2.0 AS balance_volatility,
+         CAST(coalesce(chains_from, 0) > 1 OR coalesce(chains_to, 0) > 1 AS INTEGER) AS cross_chain_flag
+       FROM pr LEFT JOIN st ON st.a = lower(pr.address)),
+feats AS (SELECT address, transaction_count,
+         CASE WHEN mf > 0 AND mt > 0 THEN (mf + mt) / 2.0 ELSE greatest(mf, mt) END AS avg_transaction_size,
+         balance_percentile, holding_period_days, activity_recency_days,
+         CAST(transaction_count AS DOUBLE) / greatest(holding_period_days, 1.0) AS transaction_frequency,
+         balance_volatility, cross_chain_flag FROM f0)""")
+
+
+def _features(spark, sf):
+    tx = _tx(spark, sf)
+    return FE.holder_features(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME)
+
+
+@register("holder_features", _FEATS + """
+SELECT address, transaction_count, avg_transaction_size, balance_percentile, holding_period_days,
+  activity_recency_days, transaction_frequency, round(balance_volatility, 6) AS balance_volatility,
+  CAST(cross_chain_flag AS BIGINT) AS cross_chain_flag FROM feats""")
+def q_holder_features(spark, sf):
+    return _features(spark, sf).withColumn("balance_volatility", F.round("balance_volatility", 6))
+
+
+@register("balance_percentile", _FEATS + "SELECT address, balance_percentile FROM feats")
+def q_balance_percentile(spark, sf):
+    h = TD.holders(spark, sf)
+    from tokenflow.operators.rank import average_percentile
+    return average_percentile(h.select("address", "balance"), "balance", "balance_percentile").drop("balance")
+
+
+_LABEL = """CASE WHEN balance_percentile >= 99.0 THEN 'whale'
+  WHEN transaction_frequency > 1.0 AND holding_period_days < 7.0 THEN 'trader'
+  WHEN transaction_frequency < 0.1 AND holding_period_days > 30.0 THEN 'holder' ELSE 'retail' END"""
+
+
+@register("label_wallets", _FEATS + f"SELECT address, {_LABEL} AS behavior_class FROM feats")
+def q_label_wallets(spark, sf):
+    return FE.label_wallets(_features(spark, sf)).select("address", "behavior_class")
+
+
+@register("class_weights", _FEATS + f""", lab AS (SELECT {_LABEL} AS behavior_class FROM feats),
+g AS (SELECT behavior_class, count(*) AS n FROM lab GROUP BY 1)
+SELECT behavior_class, CAST(n AS BIGINT) AS count,
+  CAST(sum(n) OVER () AS DOUBLE) / CAST(count(*) OVER () * n AS DOUBLE) AS weight FROM g""")
+def q_class_weights(spark, sf):
+    return FE.class_weights(FE.label_wallets(_features(spark, sf)))
+
+
+@register("class_breakdown", _FEATS + f""", lab AS (SELECT {_LABEL} AS behavior_class FROM feats),
+g AS (SELECT behavior_class, count(*) AS n FROM lab GROUP BY 1),
+e AS (SELECT * FROM (VALUES ('trader'), ('holder'), ('whale'), ('retail')) t(behavior_class)),
+j AS (SELECT e.behavior_class AS eb, g.n FROM e FULL JOIN g ON g.behavior_class = e.behavior_class),
+t AS (SELECT sum(coalesce(n, 0)) AS total FROM j)
+SELECT eb AS behavior_class, CAST(coalesce(n, 0) AS BIGINT) AS count,
+  CASE WHEN total > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 ELSE 0.0 END AS percentage,
+  CAST(total AS BIGINT) AS total FROM j, t WHERE eb IS NOT NULL""")
+def q_class_breakdown(spark, sf):
+    return A.class_breakdown(FE.label_wallets(_features(spark, sf))).drop("class_rank")
+
+
+_FCOLS = ["transaction_count", "avg_transaction_size", "balance_percentile", "holding_period_days",
+          "activity_recency_days", "transaction_frequency", "balance_volatility", "cross_chain_flag"]
+
+
+@register("feature_stats", _FEATS + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, "
+    f"round(min(CAST({c} AS DOUBLE)), 6) AS min, round(max(CAST({c} AS DOUBLE)), 6) AS max FROM feats" for c in _FCOLS) + ")")
+def q_feature_stats(spark, sf):
+    s = FE.feature_stats(_features(spark, sf))
+    return s.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    lab = FE.label_wallets(_features(spark, sf))
+    return (FE.split(lab).groupBy("behavior_class", "is_test")
+            .agg(F.count("*").cast("bigint").alias("rows")))
