@@ -865,3 +865,284 @@ def q_stratified_split(spark, sf):
     lab = FE.label_wallets(_features(spark, sf))
     return (FE.split(lab).groupBy("behavior_class", "is_test")
             .agg(F.count("*").cast("bigint").alias("rows")))
+
+
+# --------------------------------------------------------------------- R1 / T2-T4 / E6 / W3 / W4 / S22
+import uuid  # noqa: E402
+
+from tokenflow.operators import history as HI  # noqa: E402
+from tokenflow.session import scratch_path  # noqa: E402
+
+_RE = """re AS (SELECT 'run-' || CAST(user_id AS VARCHAR) || '-' || strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS run_id,
+  CAST(user_id AS VARCHAR) AS user_id,
+  CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed'
+                  WHEN 'error' THEN 'failed' END AS status,
+  CASE WHEN event_type = 'view' THEN value END AS progress,
+  CASE WHEN event_type = 'error' THEN props END AS error, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq FROM events),
+rs AS (SELECT run_id, min(user_id) AS user_id, min(ts) AS created_at,
+  arg_max(status, {'t': ts, 's': seq}) FILTER (WHERE status IS NOT NULL) AS status,
+  arg_max(progress, {'t': ts, 's': seq}) FILTER (WHERE progress IS NOT NULL) AS progress,
+  max(ts) FILTER (WHERE status IN ('completed', 'failed', 'partial')) AS completed_at,
+  arg_max(error, {'t': ts, 's': seq}) FILTER (WHERE error IS NOT NULL) AS error_message,
+  CAST(count(*) AS BIGINT) AS events FROM re GROUP BY run_id)"""
+
+
+def _runs(spark, sf):
+    return HI.run_state(TD.run_events(spark, sf))
+
+
+@register("run_state", "WITH " + _RE + f"""
+SELECT run_id, user_id, {C.ymdhms('created_at')} AS created_at, status, progress,
+  {C.ymdhms('completed_at')} AS completed_at, error_message, events FROM rs""")
+def q_run_state(spark, sf):
+    return _runs(spark, sf)
+
+
+@register("user_runs", "WITH " + _RE + f"""
+SELECT run_id, user_id, {C.ymdhms('created_at')} AS created_at, status, CAST(row_num AS BIGINT) AS row_num FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, run_id DESC) AS row_num FROM rs)
+WHERE row_num > 0 AND row_num <= 20""")
+def q_user_runs(spark, sf):
+    return HI.user_runs(_runs(spark, sf), limit=20).select("run_id", "user_id", "created_at", "status", "row_num")
+
+
+_AUD = """aud AS (SELECT event_id AS log_id, CAST(user_id AS VARCHAR) AS user_id, event_type AS action,
+  'run' AS resource_type, 'run-' || CAST(user_id AS VARCHAR) || '-' || strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS resource_id,
+  CAST(ts AS TIMESTAMP) AS "timestamp", props AS details FROM events)"""
+
+
+@register("user_audit", "WITH " + _AUD + f"""
+SELECT log_id, user_id, action, {C.ymdhms('"timestamp"')} AS "timestamp", CAST(row_num AS BIGINT) AS row_num FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, log_id DESC) AS row_num FROM aud)
+WHERE row_num > 10 AND row_num <= 60""")
+def q_user_audit(spark, sf):
+    return HI.user_audit(TD.audit_log(spark, sf), limit=50, offset=10).select(
+        "log_id", "user_id", "action", "timestamp", "row_num")
+
+
+@register("resource_audit", "WITH " + _AUD + f"""
+SELECT log_id, resource_type, resource_id, action, CAST(row_num AS BIGINT) AS row_num FROM (
+  SELECT *, row_number() OVER (PARTITION BY resource_type, resource_id ORDER BY "timestamp" DESC, log_id DESC) AS row_num FROM aud)
+WHERE row_num > 0 AND row_num <= 5""")
+def q_resource_audit(spark, sf):
+    return HI.resource_audit(TD.audit_log(spark, sf), limit=5).select(
+        "log_id", "resource_type", "resource_id", "action", "row_num")
+
+
+@register("run_with_result", "WITH " + _RE + """,
+res AS (SELECT run_id, 'res-' || run_id AS result_id, events AS total_records,
+               '/exports/' || run_id || '.json' AS output_file_path FROM rs WHERE status = 'completed')
+SELECT rs.run_id, rs.status, res.result_id, res.total_records, res.output_file_path
+FROM rs LEFT JOIN res ON res.run_id = rs.run_id""")
+def q_run_with_result(spark, sf):
+    runs = _runs(spark, sf)
+    res = runs.where(F.col("status") == "completed").select(
+        "run_id", F.concat(F.lit("res-"), F.col("run_id")).alias("result_id"),
+        F.col("events").alias("total_records"),
+        F.concat(F.lit("/exports/"), F.col("run_id"), F.lit(".json")).alias("output_file_path"))
+    return HI.run_with_result(runs.select("run_id", "status"), res)
+
+
+@register("latest_run", f"""
+SELECT event_type AS pipeline, arg_max(event_id, {{'t': CAST(ts AS TIMESTAMP), 'r': event_id}}) AS latest_run_id,
+  {C.ymdhms('max(CAST(ts AS TIMESTAMP))')} AS latest_created_at, CAST(count(*) AS BIGINT) AS run_count
+FROM events GROUP BY event_type""")
+def q_latest_run(spark, sf):
+    return HI.latest_run(TD.pipeline_runs(spark, sf))
+
+
+@register("latest_artifacts", """
+WITH l AS (SELECT event_type AS pipeline, arg_max(event_id, {'t': CAST(ts AS TIMESTAMP), 'r': event_id}) AS run_id
+           FROM events WHERE event_type <> 'error' GROUP BY event_type)
+SELECT pipeline, run_id, a.artifact, CAST(run_id AS VARCHAR) || '/' || a.artifact AS path FROM l,
+  (VALUES """ + ", ".join(f"('{a}')" for a in HI.ARTIFACTS) + """) a(artifact)""")
+def q_latest_artifacts(spark, sf):
+    return HI.latest_artifacts(TD.pipeline_runs(spark, sf))
+
+
+@register("request_rate", """
+WITH e AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
+w AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window,
+             min(us) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS oldest FROM e)
+SELECT event_id, user_id, CAST(in_window AS BIGINT) AS in_window, in_window - 1 < 5 AS allowed,
+  CAST(CASE WHEN in_window - 1 < 5 THEN 5 - in_window ELSE 0 END AS BIGINT) AS remaining,
+  CAST(CASE WHEN in_window - 1 < 5 THEN 0 ELSE greatest(1, floor((oldest + 86400000000 - us) / 1000000) + 1) END AS BIGINT) AS retry_after
+FROM w""")
+def q_request_rate(spark, sf):
+    ev = TD.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return HI.request_rate(ev, "user_id", "ts", window_seconds=86400, limit=5).select(
+        "event_id", "user_id", "in_window", "allowed", "remaining", "retry_after")
+
+
+# --------------------------------------------------------------------- M7 / M10 / M12 / A20 / A21 / N1-N3 / P17
+from tokenflow.operators import ml as ML  # noqa: E402
+from tokenflow.operators import monitor as MO  # noqa: E402
+
+
+def _rule_preds(spark, sf, scorer: str = "percentile"):
+    tx = _tx(spark, sf)
+    feats = FE.holder_features(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME)
+    lab = _hsov(spark, sf, tx).select("address", F.col("is_store_of_value").cast("int").alias("label"))
+    score = (F.col("balance_percentile") / 100.0 if scorer == "percentile"
+             else F.least(F.col("holding_period_days") / 60.0, F.lit(1.0)))
+    p = feats.join(lab, "address").select("address", "label", score.alias("score"))
+    return p.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+
+
+def _preds_sql(name: str, scorer: str) -> str:
+    score = ("f.balance_percentile / 100.0" if scorer == "percentile"
+             else "least(f.holding_period_days / 60.0, 1.0)")
+    return f"""{name} AS (SELECT f.address, CAST(h.is_store_of_value AS INTEGER) AS label, {score} AS score,
+  CAST({score} >= 0.5 AS INTEGER) AS prediction FROM feats f JOIN holders_typed h ON h.address = f.address)"""
+
+
+def _eval_sql(p: str, out: str) -> str:
+    return f"""{out}_r AS (SELECT *, CAST(rank() OVER (ORDER BY score) - 1 AS DOUBLE) AS below,
+                            CAST(count(*) OVER (PARTITION BY score) AS DOUBLE) AS cnt FROM {p}),
+{out}_c AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS DOUBLE) AS tp,
+                   CAST(count_if(label = 0 AND prediction = 1) AS DOUBLE) AS fp,
+                   CAST(count_if(label = 1 AND prediction = 0) AS DOUBLE) AS fn,
+                   CAST(count_if(label = 1) AS DOUBLE) AS p, CAST(count_if(label = 0) AS DOUBLE) AS n,
+                   sum(CASE WHEN label = 1 THEN below + (cnt + 1.0) / 2.0 END) AS rs FROM {out}_r),
+{out} AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+                 CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+                 CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1.0) / 2.0) / (p * n) ELSE 0.5 END AS auc,
+                 CAST(p AS BIGINT) AS positives, CAST(n AS BIGINT) AS negatives FROM {out}_c),
+{out}_m AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM {out})"""
+
+
+def _ml_ctes(*extra: str) -> str:
+    # features CTEs + typed holders (labels) + the given extra CTEs
+    base = C.with_ctes("TX", "HOLDERS", "HOLDERS_TYPED")
+    body = _FEATS[len(C.with_ctes("TX", "HOLDERS")):]
+    return base.rstrip() + ",\n" + body.strip() + (",\n" + ",\n".join(extra) if extra else "") + "\n"
+
+
+@register("eval_binary", _ml_ctes(_preds_sql("pr1", "percentile"), _eval_sql("pr1", "ev1")) + """
+SELECT precision, recall, f1, auc, positives, negatives FROM ev1_m""")
+def q_eval_binary(spark, sf):
+    return ML.eval_binary(_rule_preds(spark, sf, "percentile"))
+
+
+def _metrics_long_sql():
+    parts = []
+    for ver, ev in (("rule-percentile", "ev1_m"), ("rule-holding", "ev2_m")):
+        for m in MO.METRICS:
+            parts.append(f"SELECT 'sov_predictor' AS model_name, '{ver}' AS version, '{m}' AS metric, {m} AS value FROM {ev}")
+    return "ml AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("metrics_long", _ml_ctes(_preds_sql("pr1", "percentile"), _eval_sql("pr1", "ev1"),
+                                   _preds_sql("pr2", "holding"), _eval_sql("pr2", "ev2"), _metrics_long_sql()) + """
+SELECT * FROM ml""")
+def q_metrics_long(spark, sf):
+    return _metrics_long(spark, sf)
+
+
+def _metrics_long(spark, sf):
+    e1 = ML.eval_binary(_rule_preds(spark, sf, "percentile")).select(
+        F.lit("sov_predictor").alias("model_name"), F.lit("rule-percentile").alias("version"), *MO.METRICS)
+    e2 = ML.eval_binary(_rule_preds(spark, sf, "holding")).select(
+        F.lit("sov_predictor").alias("model_name"), F.lit("rule-holding").alias("version"), *MO.METRICS)
+    return MO.to_long(e1.unionByName(e2))
+
+
+_CHECK_SQL = _ml_ctes(_preds_sql("pr1", "percentile"), _eval_sql("pr1", "ev1"),
+                      _preds_sql("pr2", "holding"), _eval_sql("pr2", "ev2"), _metrics_long_sql(), """
+thr AS (SELECT * FROM (VALUES ('precision', 0, 0.70), ('recall', 1, 0.65), ('f1', 2, 0.67), ('auc', 3, 0.75)) t(metric, mr, mn)),
+abs_v AS (SELECT ml.model_name, ml.version, ml.metric, thr.mr, 0 AS kind,
+                 CASE WHEN ml.value < thr.mn * 0.9 THEN 2 ELSE 1 END AS sev
+          FROM ml JOIN thr ON thr.metric = ml.metric WHERE ml.value < thr.mn),
+prod AS (SELECT metric, value AS pv FROM ml WHERE version = 'rule-holding'),
+rel_v AS (SELECT ml.model_name, ml.version, ml.metric, thr.mr, 1 AS kind, 1 AS sev
+          FROM ml JOIN prod ON prod.metric = ml.metric JOIN thr ON thr.metric = ml.metric
+          WHERE ml.version = 'rule-percentile' AND prod.pv > 0 AND (prod.pv - ml.value) / prod.pv > 0.10),
+v AS (SELECT * FROM abs_v UNION ALL SELECT * FROM rel_v),
+agg AS (SELECT model_name, version, max(sev) AS r, string_agg(metric, ', ' ORDER BY kind * 10 + mr) AS violated,
+               count(*) AS vc FROM v GROUP BY 1, 2),
+mv AS (SELECT DISTINCT model_name, version FROM ml WHERE version = 'rule-percentile')""")
+
+
+@register("model_check", _CHECK_SQL + """
+SELECT mv.model_name, mv.version,
+  CASE coalesce(agg.r, 0) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'none' END AS severity,
+  coalesce(agg.r, 0) > 0 AS is_degraded, CAST(coalesce(agg.vc, 0) AS BIGINT) AS violation_count,
+  coalesce(agg.violated, '') AS violated_metrics,
+  CASE WHEN coalesce(agg.r, 0) = 0 THEN 'Model meets all performance thresholds. Safe to promote.'
+       WHEN agg.r = 2 THEN 'CRITICAL: Model shows significant performance degradation. Do not promote. Review training data and model configuration.'
+       ELSE 'WARNING: Model shows degradation in: ' || agg.violated || '. Manual review required before promotion.' END AS recommendation
+FROM mv LEFT JOIN agg ON agg.model_name = mv.model_name AND agg.version = mv.version""")
+def q_model_check(spark, sf):
+    ml = _metrics_long(spark, sf)
+    cand = ml.where(F.col("version") == "rule-percentile")
+    prod = ml.where(F.col("version") == "rule-holding")
+    return MO.check_models(cand, MO.thresholds_frame(spark), prod)
+
+
+@register("threshold_violations", _CHECK_SQL + """
+SELECT abs_v.model_name, abs_v.version, abs_v.metric, CASE abs_v.sev WHEN 2 THEN 'critical' ELSE 'warning' END AS severity
+FROM abs_v""")
+def q_threshold_violations(spark, sf):
+    ml = _metrics_long(spark, sf)
+    return MO.threshold_violations(ml, MO.thresholds_frame(spark)).select("model_name", "version", "metric", "severity")
+
+
+@register("sov_pred_summary", _ml_ctes(_preds_sql("pr1", "percentile")) + """
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(score >= 0.5) AS BIGINT) AS likely_sov,
+  CASE WHEN count(*) > 0 THEN CAST(count_if(score >= 0.5) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END AS likely_sov_pct,
+  CAST(count_if(score < 0.5) AS BIGINT) AS likely_active,
+  CASE WHEN count(*) > 0 THEN CAST(count_if(score < 0.5) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END AS likely_active_pct,
+  round(coalesce(avg(score), 0.0), 9) AS mean_probability FROM pr1""")
+def q_sov_pred_summary(spark, sf):
+    p = _rule_preds(spark, sf).withColumnRenamed("score", "sov_probability")
+    return A.sov_pred_summary(p).withColumn("mean_probability", F.round("mean_probability", 9))
+
+
+@register("pred_metadata", _ml_ctes(_preds_sql("pr1", "percentile")) + """
+SELECT CAST(count(*) AS BIGINT) AS prediction_count, CAST(count_if(prediction = 1) AS BIGINT) AS predicted_sov,
+  CASE WHEN count(*) > 0 THEN CAST(count_if(prediction = 1) AS DOUBLE) / CAST(count(*) AS DOUBLE) ELSE 0.0 END AS sov_ratio,
+  round(coalesce(avg(score), 0.0), 9) AS mean_probability FROM pr1""")
+def q_pred_metadata(spark, sf):
+    p = _rule_preds(spark, sf).select("address", F.col("score").alias("sov_probability"),
+                                      (F.col("prediction") == 1).alias("predicted_class"))
+    return ML.pred_metadata(p).withColumn("mean_probability", F.round("mean_probability", 9))
+
+
+@register("sov_prob_histogram", _ml_ctes(_preds_sql("pr1", "percentile")) + """
+SELECT CASE WHEN score >= 0.5 THEN 'Likely SoV' ELSE 'Likely Active' END AS label,
+  CAST(least(floor(score * 20), 19) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS count
+FROM pr1 WHERE score IS NOT NULL GROUP BY 1, 2""")
+def q_sov_prob_histogram(spark, sf):
+    p = _rule_preds(spark, sf).withColumnRenamed("score", "sov_probability")
+    return A.sov_prob_histogram(p)
+
+
+_ALT = """CASE WHEN balance_percentile >= 95.0 THEN 'whale'
+  WHEN transaction_frequency > 0.5 AND holding_period_days < 7.0 THEN 'trader'
+  WHEN transaction_frequency < 0.1 AND holding_period_days > 30.0 THEN 'holder' ELSE 'retail' END"""
+
+
+@register("eval_multiclass", _FEATS + f""",
+lp AS (SELECT {_LABEL} AS y, {_ALT} AS yhat FROM feats),
+cm AS (SELECT y, yhat, count(*) AS n FROM lp GROUP BY 1, 2),
+pt AS (SELECT y, sum(n) AS support, sum(CASE WHEN y = yhat THEN n END) AS tp FROM cm GROUP BY y),
+pp AS (SELECT yhat AS y, sum(n) AS predicted FROM cm GROUP BY yhat),
+pc AS (SELECT coalesce(pt.y, pp.y) AS class, coalesce(pt.tp, 0) AS tp, coalesce(pt.support, 0) AS support,
+              coalesce(pp.predicted, 0) AS predicted FROM pt FULL JOIN pp ON pp.y = pt.y),
+m AS (SELECT class, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / CAST(predicted AS DOUBLE) ELSE 0.0 END AS precision,
+             CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / CAST(support AS DOUBLE) ELSE 0.0 END AS recall,
+             CAST(tp AS BIGINT) AS tp, CAST(support AS BIGINT) AS support FROM pc),
+m2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)
+SELECT class, precision, recall, tp, support, f1,
+  CAST(sum(tp) OVER () AS DOUBLE) / CAST(sum(support) OVER () AS DOUBLE) AS accuracy,
+  round(avg(precision) OVER (), 9) AS macro_precision, round(avg(recall) OVER (), 9) AS macro_recall,
+  round(avg(f1) OVER (), 9) AS macro_f1 FROM m2""")
+def q_eval_multiclass(spark, sf):
+    f = _features(spark, sf)
+    y = FE.label_wallets(f).select("address", F.col("behavior_class").alias("label"))
+    alt = FE.label_wallets(f, FE.Thresholds(whale_percentile=95.0, trader_frequency=0.5)).select(
+        "address", F.col("behavior_class").alias("prediction"))
+    r = ML.eval_multiclass(y.join(alt, "address"))
+    return r.select("class", "precision", "recall", F.col("tp").cast("bigint").alias("tp"),
+                    F.col("support").cast("bigint").alias("support"), "f1", "accuracy",
+                    *[F.round(c, 9).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1")])

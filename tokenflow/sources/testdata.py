@@ -176,3 +176,45 @@ def source_runs(spark: SparkSession, tx: DataFrame) -> DataFrame:
                     F.when(ok, F.array().cast("array<string>"))
                      .otherwise(F.array(F.lit("no records returned"))).alias("errors"),
                     F.lit(0.0).alias("seconds"))
+
+
+# --- run history / audit / requests from `events` ---------------------------
+_STATUS_OF = {"signup": "pending", "click": "running", "purchase": "completed", "error": "failed"}
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUN_EVENTS: one run per (user, day); signup -> pending, click ->
+    running, purchase -> completed, error -> failed (props as error text),
+    view -> progress update (value as progress)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    ts = F.col("ts").cast("timestamp")
+    m = F.create_map(*[x for k, v in _STATUS_OF.items() for x in (F.lit(k), F.lit(v))])
+    return ev.select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string"), F.lit("-"),
+                 F.date_format(ts, "yyyyMMdd")).alias("run_id"),
+        F.col("user_id").cast("string").alias("user_id"),
+        m[F.col("event_type")].alias("status"),
+        F.when(F.col("event_type") == "view", F.col("value")).alias("progress"),
+        F.col("event_type").alias("message"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+        ts.alias("ts"), F.col("event_id").alias("seq"))
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUDIT rows: every event is an action on its run."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    ts = F.col("ts").cast("timestamp")
+    return ev.select(F.col("event_id").alias("log_id"), F.col("user_id").cast("string").alias("user_id"),
+                     F.col("event_type").alias("action"), F.lit("run").alias("resource_type"),
+                     F.concat(F.lit("run-"), F.col("user_id").cast("string"), F.lit("-"),
+                              F.date_format(ts, "yyyyMMdd")).alias("resource_id"),
+                     ts.alias("timestamp"), F.col("props").alias("details"))
+
+
+def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUNS of named pipelines: event type = pipeline, event = one run;
+    status completed unless the event is an error."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    return ev.select(F.col("event_type").alias("pipeline"), F.col("event_id").alias("run_id"),
+                     F.col("ts").cast("timestamp").alias("created_at"),
+                     F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
