@@ -1146,3 +1146,239 @@ def q_eval_multiclass(spark, sf):
     return r.select("class", "precision", "recall", F.col("tp").cast("bigint").alias("tp"),
                     F.col("support").cast("bigint").alias("support"), "f1", "accuracy",
                     *[F.round(c, 9).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1")])
+
+
+# --------------------------------------------------------------------- G1 / G2 / G3
+from tokenflow.operators import report as RP  # noqa: E402
+
+_G_CTES = C.with_ctes("TX", "HOLDERS_TYPED", extra=_per_dim_sql("chain", dims.CHAINS, True)[0].strip()) + f""",
+bc AS ({_per_dim_sql("chain", dims.CHAINS, True)[1].strip()}),
+actc AS (SELECT count_if(activity_type = 'transaction') AS t, count_if(activity_type = 'store_of_value') AS s FROM tx),
+hm AS (SELECT count(*) AS total_holders,
+         CASE WHEN count(*) > 0 THEN CAST(count_if(coalesce(is_store_of_value, false)) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END AS sp
+       FROM holders_typed),
+cf0 AS (SELECT CAST(count(*) AS BIGINT) AS sample_size,
+  CASE WHEN count(*) > 0 THEN CAST({_NN} AS DOUBLE) / CAST(count(*) * {len(_FIELDS)} AS DOUBLE) ELSE 0.0 END AS data_completeness,
+  CAST(count(DISTINCT CASE WHEN chain IN ('ethereum', 'bsc', 'polygon') THEN chain END) AS DOUBLE) / 3.0 AS chain_coverage FROM tx),
+cf AS (SELECT *, least(CAST(sample_size AS DOUBLE) / 1000.0, 1.0) * 0.6 + (data_completeness * 0.7 + chain_coverage * 0.3) * 0.4 AS score FROM cf0),
+lv AS (SELECT *, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM cf)
+"""
+
+
+def _cap_sql(c):
+    return f"(upper(substring({c}, 1, 1)) || lower(substring({c}, 2)))"
+
+
+def _pct1_sql(x):
+    return f"(printf('%.1f', ({x}) * 100.0) || '%')"
+
+
+@register("conclusions", _G_CTES + f"""
+SELECT * FROM (
+SELECT 1 AS finding_rank, 'Dominant Usage Pattern' AS finding,
+  CASE WHEN CAST(t AS DOUBLE) / (t + s) > CAST(s AS DOUBLE) / (t + s) THEN 'Transaction' ELSE 'Store of Value' END AS value,
+  lv.level AS confidence,
+  'Based on activity type distribution: ' || CASE WHEN CAST(t AS DOUBLE) / (t + s) > CAST(s AS DOUBLE) / (t + s)
+     THEN {_pct1_sql('CAST(t AS DOUBLE) / (t + s)')} || ' transactions vs ' || {_pct1_sql('CAST(s AS DOUBLE) / (t + s)')} || ' store-of-value'
+     ELSE {_pct1_sql('CAST(s AS DOUBLE) / (t + s)')} || ' store-of-value vs ' || {_pct1_sql('CAST(t AS DOUBLE) / (t + s)')} || ' transactions' END AS explanation
+FROM actc, lv WHERE t + s > 0
+UNION ALL
+SELECT 2, 'Holder Behavior Pattern', CASE WHEN sp > 100.0 - sp THEN 'Store of Value' ELSE 'Active Transactors' END, lv.level,
+  CASE WHEN sp > 100.0 - sp THEN printf('%.1f', sp) || '% holders are store-of-value'
+       ELSE printf('%.1f', 100.0 - sp) || '% holders are active transactors' END
+FROM hm, lv WHERE total_holders > 0
+UNION ALL
+SELECT 3, 'Most Active Chain', {_cap_sql('chain')}, lv.level,
+  {_cap_sql('chain')} || ' has ' || format('{{:,}}', transaction_count) || ' transactions'
+FROM (SELECT * FROM bc ORDER BY transaction_count DESC, CASE chain WHEN 'ethereum' THEN 1 WHEN 'bsc' THEN 2 ELSE 3 END LIMIT 1) x, lv
+WHERE transaction_count > 0
+UNION ALL
+SELECT 4, 'Highest Store-of-Value Ratio', {_cap_sql('chain')}, lv.level,
+  {_cap_sql('chain')} || ' has ' || {_pct1_sql('sov_ratio')} || ' store-of-value ratio'
+FROM (SELECT * FROM bc WHERE sov_ratio > 0 ORDER BY sov_ratio DESC, CASE chain WHEN 'ethereum' THEN 1 WHEN 'bsc' THEN 2 ELSE 3 END LIMIT 1) y, lv)""")
+def q_conclusions(spark, sf):
+    tx = _tx(spark, sf)
+    h = _hsov(spark, sf, tx)
+    return RP.conclusions(A.activity_breakdown(tx), A.holder_metrics(h), A.by_chain(tx, h), A.confidence(tx)).withColumn(
+        "finding_rank", F.col("finding_rank").cast("bigint"))
+
+
+@register("quality_warnings", _G_CTES + """
+SELECT * FROM (
+  SELECT 3 AS warning_rank, 'Low confidence score (' || printf('%.2f', score) || '). Consider collecting more data for reliable conclusions.' AS message FROM lv WHERE level = 'low'
+  UNION ALL SELECT 4, 'Data from ' || CAST(3 - CAST(round(chain_coverage * 3) AS INTEGER) AS VARCHAR) || ' chain(s) is missing. Cross-chain analysis may be incomplete.' FROM lv WHERE CAST(round(chain_coverage * 3) AS INTEGER) < 3
+  UNION ALL SELECT 5, 'Field completeness is ' || printf('%.1f', data_completeness * 100.0) || '%. Some records have missing required fields.' FROM lv WHERE data_completeness < 0.9
+  UNION ALL SELECT 6, 'Small sample size (' || CAST(sample_size AS VARCHAR) || ' transactions). Statistical conclusions may not be representative.' FROM lv WHERE sample_size < 100
+  UNION ALL SELECT 0, 'Data collection reported ' || CAST(count(*) AS VARCHAR) || ' error(s). Results may be incomplete.' FROM tx WHERE amount < 0 HAVING count(*) > 0)""")
+def q_quality_warnings(spark, sf):
+    tx = _tx(spark, sf)
+    errs = tx.where(F.col("amount") < 0).select(F.col("transaction_hash").alias("error"),
+                                                F.col("block_number").alias("ord"))
+    return RP.quality_warnings(A.confidence(tx), errs).withColumn("warning_rank", F.col("warning_rank").cast("bigint"))
+
+
+@register("bundle_findings", C.with_ctes("TX", "HOLDERS_TYPED", extra="""
+g AS (SELECT activity_type, count(*) AS n FROM tx GROUP BY 1),
+tot AS (SELECT sum(n) AS total FROM g),
+e AS (SELECT * FROM (VALUES ('transaction', 0), ('store_of_value', 1), ('other', 2)) t(activity_type, r)),
+a AS (SELECT e.activity_type, e.r, CASE WHEN total > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / CAST(total AS DOUBLE) * 100.0 ELSE 0.0 END AS pct
+      FROM e LEFT JOIN g ON g.activity_type = e.activity_type, tot),
+d AS (SELECT * FROM a ORDER BY pct DESC, r ASC LIMIT 1),
+hm AS (SELECT CASE WHEN count(*) > 0 THEN CAST(count_if(coalesce(is_store_of_value, false)) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END AS sp FROM holders_typed)""") + """
+SELECT 'dominant_activity' AS type, activity_type AS value, pct AS percentage,
+  'Primary usage pattern: ' || activity_type || ' (' || printf('%.1f', pct) || '%)' AS description FROM d
+UNION ALL SELECT 'sov_ratio', NULL, sp, 'Store of Value holders: ' || printf('%.1f', sp) || '%' FROM hm""")
+def q_bundle_findings(spark, sf):
+    tx = _tx(spark, sf)
+    out = RP.bundle_findings(A.activity_breakdown(tx), A.holder_metrics(_hsov(spark, sf, tx)))
+    return out.withColumn("value", F.when(F.col("type") == "sov_ratio", F.lit(None).cast("string")).otherwise(F.col("value")))
+
+
+# --------------------------------------------------------------------- S1 / S9 / S11 / S16 / S18 / S17
+from tokenflow.sources import export as EX  # noqa: E402
+from tokenflow.sources import sample as SM  # noqa: E402
+
+
+@register("export_roundtrip", C.with_ctes("TX") + f"SELECT {_TX_OUT} FROM tx")
+def q_export_roundtrip(spark, sf):
+    """S9 write -> S1 read -> S3 typing gives back the canonical TX."""
+    tx = _tx(spark, sf)
+    out = EX.write_export(spark, scratch_path(spark, f"exports/{uuid.uuid4().hex}"), "run-1", tx,
+                          TD.holders(spark, sf, tx), ["etherscan", "bscscan", "polygonscan"])
+    t, _, _ = EX.read_export(spark, out)
+    return t
+
+
+@register("tx_to_json", C.with_ctes("TX") + f"""
+SELECT transaction_hash, CAST(amount AS DOUBLE) AS amount, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS "timestamp",
+  CAST(CAST(gas_price AS DECIMAL(38,0)) AS VARCHAR) AS gas_price_wei FROM tx""")
+def q_tx_to_json(spark, sf):
+    j = EX.tx_to_json(_tx(spark, sf))
+    return j.select("transaction_hash", F.col("amount").cast("double").alias("amount"),
+                    F.regexp_replace("timestamp", r"Z$", "+00:00").alias("timestamp"),
+                    F.regexp_replace("gas_price", r"\.0+$", "").alias("gas_price_wei"))
+
+
+@register("sample_summary", C.with_ctes("TX", extra="""
+e AS (SELECT * FROM (VALUES ('stablecoin', 'USDC'), ('stablecoin', 'USDT'), ('activity_type', 'transaction'),
+        ('activity_type', 'store_of_value'), ('activity_type', 'other'), ('chain', 'ethereum'), ('chain', 'bsc'),
+        ('chain', 'polygon')) t(kind, "key")),
+g AS (SELECT 'stablecoin' AS kind, stablecoin AS "key", count(*) AS n, sum(amount) AS v FROM tx GROUP BY 2
+      UNION ALL SELECT 'activity_type', activity_type, count(*), sum(amount) FROM tx GROUP BY 2
+      UNION ALL SELECT 'chain', chain, count(*), sum(amount) FROM tx GROUP BY 2)""") + """
+SELECT coalesce(e.kind, g.kind) AS kind, coalesce(e."key", g."key") AS "key", CAST(coalesce(n, 0) AS BIGINT) AS count,
+  CAST(coalesce(v, 0) AS DOUBLE) AS volume FROM e FULL JOIN g ON g.kind = e.kind AND g."key" = e."key\"""")
+def q_sample_summary(spark, sf):
+    return SM.sample_summary(_tx(spark, sf))
+
+
+@register("sample_data")
+def q_sample_data(spark, sf):
+    ids = TD.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    s = SM.sample_transactions(ids, "id")
+    return s.groupBy("chain", "activity_type").agg(F.count("*").cast("bigint").alias("n"))
+
+
+# --------------------------------------------------------------------- E3 / E5
+@register("sov_ml_override", _ml_ctes(_preds_sql("pr1", "percentile")) + """
+SELECT h.address, coalesce(CAST(p.prediction AS BOOLEAN), h.is_store_of_value) AS is_store_of_value
+FROM holders_typed h LEFT JOIN pr1 p ON p.address = h.address""")
+def q_sov_ml_override(spark, sf):
+    p = _rule_preds(spark, sf).select("address", "prediction")
+    return CL.sov_ml_override(_hsov(spark, sf), p).select("address", "is_store_of_value")
+
+
+@register("label_join", _FEATS.rstrip() + ",\n" + C.SIDES + ",\n" + C.HOLDERS_HP + ",\n" + C.HOLDERS_SOV + """
+SELECT f.address, CAST(h.is_store_of_value AS INTEGER) AS label, CAST(f.transaction_count AS BIGINT) AS transaction_count
+FROM feats f JOIN (SELECT DISTINCT lower(address) AS a, is_store_of_value FROM holders_sov) h ON h.a = lower(f.address)""")
+def q_label_join(spark, sf):
+    f = _features(spark, sf)
+    return ML.label_join(f, _hsov(spark, sf)).select("address", "label", "transaction_count")
+
+
+# --------------------------------------------------------------------- M6 / M8 / M11 / M9 / M13-M16 / S20 (rows-only)
+def _trained_sov(spark, sf, trees=100):
+    f = _features(spark, sf)
+    lab = ML.label_join(f, _hsov(spark, sf), one_row_per_address=True)
+    return f, ML.train_sov(lab, trees=trees)
+
+
+@register("predict_sov")
+def q_predict_sov(spark, sf):
+    f, (model, _, _) = _trained_sov(spark, sf)
+    return ML.predict_sov(f, model)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    _, (model, _, _) = _trained_sov(spark, sf)
+    return ML.feature_importance(spark, model)
+
+
+@register("training_metadata")
+def q_training_metadata(spark, sf):
+    _, (_, _, s) = _trained_sov(spark, sf, trees=10)
+    return ML.training_metadata(s)
+
+
+@register("classify_wallets")
+def q_classify_wallets(spark, sf):
+    f = _features(spark, sf)
+    model, _, _ = ML.train_wallets(FE.label_wallets(f))
+    return ML.classify_wallets(f, model)
+
+
+@register("class_summary")
+def q_class_summary(spark, sf):
+    f = _features(spark, sf)
+    model, _, _ = ML.train_wallets(FE.label_wallets(f), trees=20)
+    return ML.class_summary(ML.classify_wallets(f, model))
+
+
+@register("class_confidence")
+def q_class_confidence(spark, sf):
+    f = _features(spark, sf)
+    model, _, _ = ML.train_wallets(FE.label_wallets(f), trees=20)
+    return A.class_confidence(ML.classify_wallets(f, model))
+
+
+@register("model_store")
+def q_model_store(spark, sf):
+    _, (model, preds, _) = _trained_sov(spark, sf, trees=10)
+    base = scratch_path(spark, f"models/{uuid.uuid4().hex}")
+    m = ML.eval_binary(preds.withColumn("score", vector_to_array_1("probability")))
+    row = m.first()
+    v = ML.save_model(spark, model, base, "sov_predictor", {k: float(row[k]) for k in MO.METRICS}, "v1")
+    ML.promote_model(spark, base, "sov_predictor", v)
+    return ML.model_versions(spark, base, "sov_predictor").select("model_name", "version", "is_production", "promotable")
+
+
+def vector_to_array_1(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(c)[1]
+
+
+# --------------------------------------------------------------------- X1 / X2 (rows-only; batch-equality tested)
+from tokenflow.streaming import ingest as ST  # noqa: E402
+
+
+def _landed_raw(spark, sf) -> str:
+    land = scratch_path(spark, f"landing/{uuid.uuid4().hex}")
+    TD.raw_transfers(spark, sf).drop("ingest_key").write.mode("overwrite").parquet(land)
+    return land
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, sf):
+    land = _landed_raw(spark, sf)
+    base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    ST.incremental_ingest(spark, land, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("transaction_hash", "chain")
+
+
+@register("streaming_time_series")
+def q_streaming_time_series(spark, sf):
+    land = _landed_raw(spark, sf)
+    base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    ST.streaming_time_series(spark, land, f"{base}/out", f"{base}/ckpt")
+    return ST.latest_windows(spark, f"{base}/out")
