@@ -33,16 +33,22 @@ def dedup_tx(tx: DataFrame, keys: tuple[str, ...] = ("transaction_hash", "chain"
              extra_keys: tuple[str, ...] = (), order_col: str = ORDER) -> DataFrame:
     """Keep the first row (smallest ``ingest_key``) per (hash, chain).
 
-    ``groupBy + min_by`` aggregates map-side before the shuffle, so only one
-    candidate per key and partition crosses the network; no global sort.
-    ``dropDuplicates`` would keep an arbitrary row.
+    ``groupBy`` + ``min(order)`` / ``min_by(rest, order)`` aggregates map-side
+    before the shuffle, so only one candidate per key and map partition
+    crosses the network; ``dropDuplicates`` would keep an arbitrary row.
+    Columns that are already fields of the order struct are not carried a
+    second time. Callers with wide rows should dedup on compact keys and
+    derive the wide columns afterwards (see ``sources.testdata``).
     """
     k = list(keys) + list(extra_keys)
-    rest = [c for c in tx.columns if c not in k]
     if order_col not in tx.columns:
         raise ValueError(f"dedup_tx needs an order column {order_col!r}")
-    agg = tx.groupBy(*k).agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
-    return agg.select(*k, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*tx.columns)
+    rest = [c for c in tx.columns if c not in k and c != order_col]
+    aggs = [F.min(F.col(order_col)).alias(order_col)]
+    if rest:
+        aggs.append(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
+    agg = tx.groupBy(*k).agg(*aggs)
+    return agg.select(*k, *[F.col(f"_first.{c}").alias(c) for c in rest], order_col).select(*tx.columns)
 
 
 def duplicates_removed(raw: DataFrame, keys=("transaction_hash", "chain")) -> DataFrame:

@@ -56,50 +56,82 @@ def _coin_of_key(key) -> F.Column:
     return F.when(S.col(key) % 2 == 0, "USDC").otherwise("USDT")
 
 
-def raw_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x orders -> TX rows as a collector would emit them
-    (collect-time activity, duplicates across sources not yet removed),
-    plus ``ingest_key``: the arrival order used for "keep first"."""
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact numeric rows of lineitem x orders: the transfer id
+    (orderkey * 8 + linenumber; line numbers are 1..7, so it is unique and
+    the 64-digit hash string is a function of it), the return flag (-> chain),
+    the order key, and ``ingest_key`` = the arrival order, which also carries
+    every other source column."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    amount = (F.when(F.col("l_discount") == 0, F.lit(0).cast("decimal(18,2)"))
-              .otherwise(F.col("l_extendedprice").cast("decimal(18,2)")).cast(AMOUNT))
-    chain = _chain_of_flag(F.col("l_returnflag"))
-    frm = key_address("o_custkey")
-    to = key_address("l_suppkey")
     return j.select(
-        F.concat(F.lit("0x"), F.lpad((F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-                                     .cast("string"), 64, "0")).alias("transaction_hash"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_tid"),
+        "l_returnflag", "l_orderkey",
+        F.struct(F.col("l_shipdate").alias("k1"), F.col("l_partkey").alias("k2"),
+                 F.col("l_suppkey").alias("k3"), F.col("l_extendedprice").alias("k4"),
+                 F.col("l_quantity").alias("k5"), F.col("l_discount").alias("k6"),
+                 F.col("l_tax").alias("k7"), F.col("o_custkey").alias("k8"),
+                 F.col("l_linestatus").alias("k9")).alias("ingest_key"))
+
+
+def _to_tx(j: DataFrame, canonical: bool, keep_ingest_key: bool = True) -> DataFrame:
+    """Compact rows -> TX columns (string building happens here, i.e. after
+    any de-duplication shuffle, in parallel and only for surviving rows)."""
+    k = lambda n: F.col(f"ingest_key.{n}")
+    amount = (F.when(k("k6") == 0, F.lit(0).cast("decimal(18,2)"))
+              .otherwise(k("k4").cast("decimal(18,2)")).cast(AMOUNT))
+    chain = _chain_of_flag(F.col("l_returnflag"))
+    frm = key_address(k("k8"))
+    to = key_address(k("k3"))
+    act = (S.classify_tx(frm, to, amount) if canonical else S.classify_collect(frm, to, amount))
+    cols = [
+        F.concat(F.lit("0x"), F.lpad(F.col("_tid").cast("string"), 64, "0")).alias("transaction_hash"),
         F.col("l_orderkey").cast("bigint").alias("block_number"),
-        S.ensure_utc("l_shipdate").alias("timestamp"),
+        S.ensure_utc(k("k1")).alias("timestamp"),
         frm.alias("from_address"),
         to.alias("to_address"),
         amount.alias("amount"),
-        _coin_of_status(F.col("l_linestatus")).alias("stablecoin"),
+        _coin_of_status(k("k9")).alias("stablecoin"),
         chain.alias("chain"),
-        S.classify_collect(frm, to, amount).alias("activity_type"),
+        act.alias("activity_type"),
         dims.explorer_expr(chain).alias("source_explorer"),
-        F.when(F.col("l_tax") == 0, F.lit(None).cast("bigint"))
-         .otherwise(F.lit(21000) + F.col("l_partkey")).alias("gas_used"),
-        (F.col("l_quantity") * F.lit(1e9)).cast(GAS_PRICE).alias("gas_price"),
-        F.struct(F.col("l_shipdate").alias("k1"), F.col("l_partkey").alias("k2"),
-                 F.col("l_suppkey").alias("k3"), F.col("l_extendedprice").alias("k4"),
-                 F.col("l_quantity").alias("k5"), F.col("l_discount").alias("k6"),
-                 F.col("l_tax").alias("k7"), F.col("o_custkey").alias("k8"),
-                 F.col("l_linestatus").alias("k9")).alias("ingest_key"),
-    )
+        F.when(k("k7") == 0, F.lit(None).cast("bigint"))
+         .otherwise(F.lit(21000) + k("k2")).alias("gas_used"),
+        (k("k5") * F.lit(1e9)).cast(GAS_PRICE).alias("gas_price"),
+    ]
+    if keep_ingest_key:
+        cols.append(F.col("ingest_key"))
+    return j.select(*cols)
+
+
+def raw_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem x orders -> TX rows as a collector would emit them
+    (collect-time activity, duplicates across sources not yet removed),
+    plus ``ingest_key``: the arrival order used for "keep first"."""
+    return _to_tx(_joined(spark, sf_dir), canonical=False)
 
 
 def canonical_tx(spark: SparkSession, sf_dir: str, keep_ingest_key: bool = False) -> DataFrame:
-    """Raw transfers -> canonical activity (P6) -> first per (hash, chain)."""
-    from tokenflow.operators.classify import classify_transactions
+    """Raw transfers -> first per (hash, chain) (D2) -> canonical activity.
+
+    D2 runs on the compact key (transfer id, return flag), which is one-to-one
+    with (transaction_hash, chain); classification is per row, so applying it
+    after the de-duplication gives the same rows."""
     from tokenflow.operators.merge import dedup_tx
-    tx = dedup_tx(classify_transactions(raw_transfers(spark, sf_dir)))
-    return tx if keep_ingest_key else tx.drop("ingest_key")
+    first = dedup_tx(_joined(spark, sf_dir), keys=("_tid", "l_returnflag"))
+    return _to_tx(first, canonical=True, keep_ingest_key=keep_ingest_key)
+
+
+def collected_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplicated transfers with the collect-time activity (may hold
+    ``unknown``), as the aggregator sees them before classification."""
+    from tokenflow.operators.merge import dedup_tx
+    first = dedup_tx(_joined(spark, sf_dir), keys=("_tid", "l_returnflag"))
+    return _to_tx(first, canonical=False, keep_ingest_key=False)
 
 
 def address_activity(tx: DataFrame) -> DataFrame:
@@ -150,13 +182,6 @@ def supplier_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("address_raw")
 
 
-def collected_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """De-duplicated transfers with the collect-time activity (may hold
-    ``unknown``), as the aggregator sees them before classification."""
-    from tokenflow.operators.merge import dedup_tx
-    return dedup_tx(raw_transfers(spark, sf_dir)).drop("ingest_key")
-
-
 def holders_sov(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
     """HOLDER with E2 flags at REFERENCE_TIME and S4 holding_period_days."""
     from tokenflow.operators.classify import sov_heuristic
