@@ -1382,3 +1382,164 @@ def q_streaming_time_series(spark, sf):
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
     ST.streaming_time_series(spark, land, f"{base}/out", f"{base}/ckpt")
     return ST.latest_windows(spark, f"{base}/out")
+
+
+# --------------------------------------------------------------------- S12 / S13 / S14 / S15 / V9 / V10
+from pyspark.sql import Window  # noqa: E402
+
+from tokenflow.sources import typed as TY  # noqa: E402
+
+
+@register("frame_roundtrip", C.with_ctes("TX") + f"SELECT {_TX_OUT} FROM tx")
+def q_frame_roundtrip(spark, sf):
+    """TX -> all-string records -> typed TX (schema conformance keeps
+    every required column, typed NULL where the input lacks one)."""
+    strings = EX.tx_to_json(_tx(spark, sf))
+    return TY.tx_frame(TY.typed_tx(strings))
+
+
+@register("validate_export", C.with_ctes("HOLDERS") + """
+SELECT 'holders[' || CAST(pos AS VARCHAR) || '].balance: invalid' AS error FROM (
+  SELECT row_number() OVER (ORDER BY address) - 1 AS pos, balance FROM holders) WHERE balance < 0""")
+def q_validate_export(spark, sf):
+    """V9 record rules over the export form of the holders (array index =
+    position in address order, as in a written document)."""
+    h = EX.holder_to_json(TD.holders(spark, sf))
+    from tokenflow.operators import quality as Q
+    # a written document has one array; its index is the address order
+    pos = h.withColumn("pos", F.row_number().over(Window.orderBy("address")) - 1)
+    e = Q.export_holder_errors(pos)
+    return e.select(F.explode("errors").alias("error"))
+
+
+@register("save_run_result")
+def q_save_run_result(spark, sf):
+    """S13 + V10: validate before write, write the run export, append the
+    RUN_RESULTS row, read the table back."""
+    from tokenflow.operators import quality as Q
+    tx = Q.assert_writable(_tx(spark, sf), ["transaction_hash", "chain", "timestamp"])
+    base = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
+    out = EX.write_export(spark, f"{base}/exports", "run-1", tx, TD.holders(spark, sf, tx),
+                          ["etherscan", "bscscan", "polygonscan"])
+    total = spark.read.json(f"{out}/metadata").first()["total_records"]
+    EX.save_run_result(spark, f"{base}/run_results", "run-1", total, ["etherscan", "bscscan", "polygonscan"],
+                       out, "{}")
+    return spark.read.parquet(f"{base}/run_results").select("result_id", "run_id", "total_records")
+
+
+@register("web_bundle")
+def q_web_bundle(spark, sf):
+    """S14 + S15: five analyses + one prediction set as wrapped JSON files,
+    then the manifest (path, type, size, sha256) under the size cap."""
+    tx = _tx(spark, sf)
+    h = _hsov(spark, sf, tx)
+    base = scratch_path(spark, f"bundle/{uuid.uuid4().hex}")
+    analyses = {"activity_breakdown": A.activity_breakdown(tx), "holder_metrics": A.holder_metrics(h),
+                "chain_metrics": A.by_chain(tx, h), "stablecoin_metrics": A.by_stablecoin(tx, h),
+                "time_series": TS.ts_by_activity(tx, "monthly")}
+    preds = _rule_preds(spark, sf).select("address", F.col("score").alias("sov_probability"))
+    EX.web_bundle(spark, base, analyses, "run-1", "2001-10-01T00:00:00+00:00",
+                  {"sov_predictions": (preds, "sov_predictor", "rule-percentile")})
+    return EX.export_manifest(spark, base)
+
+
+# --------------------------------------------------------------------- V13 / V14 / V20
+@register("nesting_depth", """
+SELECT event_id, CAST(list_max([
+  (length(left(b, i)) - length(regexp_replace(left(b, i), '[\\[{]', '', 'g')))
+  - (length(left(b, i)) - length(regexp_replace(left(b, i), '[\\]}]', '', 'g')))
+  for i in range(1, length(b) + 1)]) AS BIGINT) AS depth
+FROM (SELECT event_id, regexp_replace(regexp_replace(props, '"(\\\\.|[^"\\\\])*"', '""', 'g'),
+                                      '\\[\\s*\\]|\\{\\s*\\}', '0', 'g') AS b FROM events)""")
+def q_nesting_depth(spark, sf):
+    ev = TD.table(spark, sf, "events").select("event_id", "props")
+    return ev.select("event_id", PG.nesting_depth("props").cast("bigint").alias("depth"))
+
+
+@register("missing_schema_policy", C.with_ctes("TX", "HOLDERS", "SUPP_HOLDERS") + """
+SELECT source_explorer, endpoint, source_explorer <> 'secondary' AS schema_available,
+  source_explorer <> 'secondary' AS accepted, CAST(count(*) AS BIGINT) AS pages FROM (
+  SELECT DISTINCT source_explorer, 'tokentx' AS endpoint, stablecoin, chain, floor(block_number / 1000) AS page FROM tx
+  UNION ALL SELECT DISTINCT source_explorer, 'tokenholderlist', stablecoin, chain,
+    floor(CAST(substring(address, 3) AS HUGEINT) / 100) FROM holders WHERE false
+  ) GROUP BY 1, 2""")
+def q_missing_schema_policy(spark, sf):
+    tx = _tx(spark, sf)
+    pages = PG.landed_transfer_pages(tx).withColumn("endpoint", F.lit("tokentx"))
+    known = spark.createDataFrame([(e, ep) for e in ("etherscan", "bscscan", "polygonscan")
+                                   for ep in ("tokentx", "tokenholderlist")], "source_explorer string, endpoint string")
+    r = PG.missing_schema_policy(pages, known, "fail-closed")
+    return r.groupBy("source_explorer", "endpoint", "schema_available", "accepted").agg(
+        F.count("*").cast("bigint").alias("pages"))
+
+
+@register("class_filter", _FEATS + f"""
+SELECT address, behavior_class FROM (SELECT address, {_LABEL} AS behavior_class FROM feats)
+WHERE behavior_class IN ('whale', 'holder')""")
+def q_class_filter(spark, sf):
+    from tokenflow.operators import quality as Q
+    return Q.class_filter(FE.label_wallets(_features(spark, sf)), ["whale", "holder"]).select("address", "behavior_class")
+
+
+# --------------------------------------------------------------------- N4 / N5
+_CHECK_OUT = """
+co AS (SELECT mv.model_name, mv.version,
+  CASE coalesce(agg.r, 0) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'none' END AS severity,
+  coalesce(agg.r, 0) > 0 AS is_degraded, CAST(coalesce(agg.vc, 0) AS BIGINT) AS violation_count,
+  coalesce(agg.violated, '') AS violated_metrics
+FROM mv LEFT JOIN agg ON agg.model_name = mv.model_name AND agg.version = mv.version)"""
+
+
+@register("monitor_audit", _CHECK_SQL.rstrip() + ",\n" + _CHECK_OUT + """
+SELECT 'model_check' AS action, model_name, version, violation_count, violated_metrics, severity FROM co""")
+def q_monitor_audit(spark, sf):
+    return MO.monitor_audit(q_model_check(spark, sf))
+
+
+@register("promotion_policy", _CHECK_SQL.rstrip() + ",\n" + _CHECK_OUT + """
+SELECT model_name, version, severity, NOT is_degraded AND
+  coalesce((SELECT value FROM ml WHERE version = 'rule-holding' AND metric = 'f1'), 0.0)
+    < coalesce((SELECT value FROM ml WHERE version = 'rule-percentile' AND metric = 'f1'), 0.0) AS promotable
+FROM co""")
+def q_promotion_policy(spark, sf):
+    ml = _metrics_long(spark, sf)
+    cand = ml.where(F.col("version") == "rule-percentile")
+    prod = ml.where(F.col("version") == "rule-holding")
+    res = MO.check_models(cand, MO.thresholds_frame(spark), prod)
+    return MO.promotion_policy(res, cand, prod, require_improvement=True).select(
+        "model_name", "version", "severity", "promotable")
+
+
+# --------------------------------------------------------------------- G7 / G6 / X3
+@register("step_outputs", C.with_ctes("TX", "HOLDERS_TYPED", extra=_per_dim_sql("chain", dims.CHAINS, True)[0].strip())
+          + """, bc AS (""" + _per_dim_sql("chain", dims.CHAINS, True)[1].strip() + """)
+SELECT bc.chain, CAST(CAST(coalesce(v.vol, 0) AS DECIMAL(38,18)) AS VARCHAR) AS total_volume_text,
+  CASE WHEN isnan(avg_gas_cost) OR isinf(avg_gas_cost) THEN NULL ELSE avg_gas_cost END AS avg_gas_cost
+FROM bc LEFT JOIN (SELECT chain, sum(amount) AS vol FROM tx GROUP BY chain) v ON v.chain = bc.chain""")
+def q_step_outputs(spark, sf):
+    """The JSON-safe form of a step result (decimals as text, NaN/Inf
+    as NULL)."""
+    tx = _tx(spark, sf)
+    safe = EX.json_safe(A.by_chain(tx, _hsov(spark, sf, tx)))
+    return safe.select("chain", F.col("total_volume").alias("total_volume_text"), "avg_gas_cost")
+
+
+@register("pipeline_output")
+def q_pipeline_output(spark, sf):
+    """One run of the analysis pipeline written partitioned by run_id;
+    returns (output, rows) of what was written."""
+    from tokenflow.plans.pipeline import analysis_pipeline, write_outputs
+    outs = analysis_pipeline(spark, _tx(spark, sf), TD.holders(spark, sf), TD.REFERENCE_TIME)
+    base = scratch_path(spark, f"pipeline/{uuid.uuid4().hex}")
+    return write_outputs(spark, outs, base, "run-1")
+
+
+@register("streaming_request_rate")
+def q_streaming_request_rate(spark, sf):
+    """Sliding 60 s / 10 s request counts per user from landed events."""
+    land = scratch_path(spark, f"landing-events/{uuid.uuid4().hex}")
+    TD.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")) \
+        .write.mode("overwrite").parquet(land)
+    base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    ST.streaming_request_rate(spark, land, f"{base}/out", f"{base}/ckpt")
+    return ST.latest_request_windows(spark, f"{base}/out")
