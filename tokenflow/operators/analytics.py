@@ -44,41 +44,61 @@ def _ratio(num, den) -> F.Column:
 
 
 # A1 -------------------------------------------------------------------------
+def _stack(one_row: DataFrame, labels: list[str], label_col: str, fields: list[str]) -> DataFrame:
+    """One wide row -> one row per label: ``<field>__<label>`` -> ``<field>``."""
+    parts = ", ".join(f"'{lab}', {i}, " + ", ".join(f"`{f}__{lab}`" for f in fields)
+                      for i, lab in enumerate(labels))
+    cols = ", ".join([label_col, f"{label_col}_rank", *fields])
+    keep = [c for c in one_row.columns if "__" not in c]
+    return one_row.selectExpr(*[f"`{c}`" for c in keep],
+                              f"stack({len(labels)}, {parts}) AS ({cols})")
+
+
 def activity_breakdown(tx: DataFrame, strict: bool = True) -> DataFrame:
     """Per activity (enum order, zero-filled): count, count % of *all* rows,
-    volume (nulls skipped), volume % of the enum total."""
+    volume (nulls skipped), volume % of the enum total.
+
+    One global aggregation with a conditional count / sum per enum value
+    (partial aggregates per task, a single small final row), then ``stack``
+    into rows: no join, nothing broadcast, no per-value re-scan."""
     require_columns(tx, {"activity_type", "amount"})
-    spark = tx.sparkSession
-    g = tx.groupBy("activity_type").agg(F.count("*").alias("n"),
-                                        F.sum("amount").alias("vol"))
-    if strict:
-        g = enum_gate(g, "activity_type", dims.ACTIVITY_TYPES)
-    e = dims.activities(spark)
-    j = e.join(F.broadcast(g), "activity_type", "full")
-    inenum = F.col("activity_rank").isNotNull()
-    j = (j.withColumn("_total_rows", F.sum(F.coalesce("n", F.lit(0))).over(_all()))
-          .withColumn("_total_vol", F.sum(F.when(inenum, F.coalesce("vol", F.lit(0))))
-                      .over(_all())))
-    return j.where(inenum).select(
-        "activity_type", "activity_rank",
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("tx_count"),
-        _pct(F.coalesce("n", F.lit(0)), F.col("_total_rows")).alias("count_pct"),
-        F.coalesce("vol", F.lit(0).cast("decimal(38,18)")).alias("volume"),
-        _pct(F.coalesce("vol", F.lit(0)).cast("double"),
-             F.col("_total_vol").cast("double")).alias("volume_pct"))
+    src = enum_gate(tx, "activity_type", dims.ACTIVITY_TYPES) if strict else tx
+    a = F.col("activity_type")
+    aggs = [F.count("*").alias("_total_rows")]
+    for v in dims.ACTIVITY_TYPES:
+        aggs += [F.count_if(a == v).alias(f"n__{v}"),
+                 F.coalesce(F.sum(F.when(a == v, F.col("amount"))), F.lit(0).cast("decimal(38,18)"))
+                 .alias(f"vol__{v}")]
+    one = src.agg(*aggs)
+    one = one.withColumn("_total_vol", sum((F.col(f"vol__{v}") for v in dims.ACTIVITY_TYPES[1:]),
+                                           F.col(f"vol__{dims.ACTIVITY_TYPES[0]}")))
+    r = _stack(one, dims.ACTIVITY_TYPES, "activity_type", ["n", "vol"])
+    return r.select(
+        "activity_type", "activity_type_rank",
+        F.col("n").cast("bigint").alias("tx_count"),
+        _pct(F.col("n"), F.col("_total_rows")).alias("count_pct"),
+        F.col("vol").alias("volume"),
+        _pct(F.col("vol").cast("double"), F.col("_total_vol").cast("double")).alias("volume_pct")
+    ).withColumnRenamed("activity_type_rank", "activity_rank")
 
 
 # A2 -------------------------------------------------------------------------
-def _holder_sov_by(holders: DataFrame | None, dim: str) -> DataFrame | None:
+def _holder_sov_by(holders: DataFrame | None, dim: str, values: list[str]) -> DataFrame | None:
+    """SoV holder counts per enum value (at most len(values) rows)."""
     if holders is None or "is_store_of_value" not in holders.columns or dim not in holders.columns:
         return None
-    return holders.groupBy(dim).agg(
+    return holders.where(F.col(dim).isin(*values)).groupBy(dim).agg(
         F.count("*").alias("_hn"),
         F.sum(F.coalesce(F.col("is_store_of_value").cast("int"), F.lit(0))).alias("_hsov"))
 
 
-def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, enum_df: DataFrame,
+def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, values: list[str],
              gas: bool = False) -> DataFrame:
+    """Per enum value of ``dim``. Rows are filtered to the enum before the
+    groupBy, so the aggregated side has at most len(enum) rows: a proven
+    bound for the broadcast join against the enum table."""
+    enum_df = tx.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)],
+                                              f"{dim} string, {dim}_rank int")
     aggs = [F.count("*").alias("_n"), F.sum("amount").alias("_vol")]
     for a in dims.ACTIVITY_TYPES:
         aggs.append(F.count_if(F.col("activity_type") == a).alias(f"_n_{a}"))
@@ -86,9 +106,9 @@ def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, enum_df: DataFr
         ok = F.col("gas_used").isNotNull() & F.col("gas_price").isNotNull()
         aggs += [F.count_if(ok).alias("_gas_n"),
                  F.sum(F.when(ok, S.gas_wei_product("gas_used", "gas_price"))).alias("_gas_wei")]
-    g = tx.groupBy(dim).agg(*aggs)
+    g = tx.where(F.col(dim).isin(*values)).groupBy(dim).agg(*aggs)
     j = enum_df.join(F.broadcast(g), dim, "left")
-    hs = _holder_sov_by(holders, dim)
+    hs = _holder_sov_by(holders, dim, values)
     if hs is not None:
         j = j.join(F.broadcast(hs), dim, "left")
     else:
@@ -113,7 +133,7 @@ def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, enum_df: DataFr
 def by_stablecoin(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """A2: one row per coin (USDC, USDT), plus global totals as columns."""
     require_columns(tx, {"stablecoin", "amount", "activity_type"})
-    r = _per_dim(tx, holders, "stablecoin", dims.stablecoins(tx.sparkSession))
+    r = _per_dim(tx, holders, "stablecoin", dims.STABLECOINS).withColumnRenamed("stablecoin_rank", "coin_rank")
     tot = tx.agg(F.count("*").cast("bigint").alias("all_transactions"),
                  F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(38,18)")).alias("all_volume"))
     return _attach_one_row(r, tot)
@@ -178,25 +198,29 @@ def by_chain(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     native units (null if no gas data), rows excluded for null gas, SoV
     ratio, activity %. Gas cost is summed exactly in wei."""
     require_columns(tx, {"chain", "amount", "activity_type"})
-    return _per_dim(tx, holders, "chain", dims.chains(tx.sparkSession), gas=True).drop("explorer")
+    return _per_dim(tx, holders, "chain", dims.CHAINS, gas=True)
 
 
 # A11 ------------------------------------------------------------------------
 def chain_activity_dist(tx: DataFrame) -> DataFrame:
     """(chain, activity) count and % within chain, rounded half-even to 2;
-    complete 3x3 grid. The denominator counts every row of the chain,
-    including activities outside the enum."""
-    g = (tx.where(F.col("chain").isNotNull() & F.col("activity_type").isNotNull())
-           .groupBy("chain", "activity_type").agg(F.count("*").alias("n")))
-    g = g.withColumn("_chain_total", F.sum("n").over(Window.partitionBy("chain")))
-    grid = dims.chain_activity_grid(tx.sparkSession)
-    j = grid.join(F.broadcast(g), ["chain", "activity_type"], "left")
+    complete 3x3 grid. The denominator counts every row of the chain with a
+    non-null activity, including activities outside the enum.
+
+    groupBy(chain) over the enum chains with one conditional count per
+    activity (<= 3 aggregated rows), then ``stack`` into the grid."""
+    c, a = F.col("chain"), F.col("activity_type")
+    g = (tx.where(c.isin(*dims.CHAINS) & a.isNotNull()).groupBy("chain")
+           .agg(F.count("*").alias("_chain_total"),
+                *[F.count_if(a == v).alias(f"n__{v}") for v in dims.ACTIVITY_TYPES]))
+    grid = dims.chains(tx.sparkSession).select("chain", "chain_rank").join(F.broadcast(g), "chain", "left")
+    st = _stack(grid.drop("explorer"), dims.ACTIVITY_TYPES, "activity_type", ["n"])
     n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return j.select("chain", "activity_type", "chain_rank", "activity_rank",
-                    n.alias("count"),
-                    F.when(F.col("_chain_total") > 0,
-                           S.round2_half_even(n.cast("double") / F.col("_chain_total").cast("double") * 100.0))
-                    .otherwise(0.0).alias("percentage"))
+    return st.select("chain", "activity_type", "chain_rank", F.col("activity_type_rank").alias("activity_rank"),
+                     n.alias("count"),
+                     F.when(F.col("_chain_total") > 0,
+                            S.round2_half_even(n.cast("double") / F.col("_chain_total").cast("double") * 100.0))
+                     .otherwise(0.0).alias("percentage"))
 
 
 # A12-A14 --------------------------------------------------------------------
@@ -351,16 +375,26 @@ def chart_long(metrics: DataFrame, key: str, value_cols: list[str]) -> DataFrame
 
 def activity_pivot(tx: DataFrame, dim: str, values: list[str]) -> DataFrame:
     """activity x dim percentage cross-table with fixed rows and columns;
-    percentage of the dim's rows; absent = 0."""
-    spark = tx.sparkSession
-    g = tx.groupBy(dim, "activity_type").agg(F.count("*").alias("n"))
-    g = g.withColumn("_tot", F.sum("n").over(Window.partitionBy(dim)))
-    g = g.withColumn("pct", F.col("n").cast("double") / F.col("_tot").cast("double") * 100.0)
-    p = g.groupBy("activity_type").pivot(dim, values).agg(F.first("pct"))
-    e = dims.activities(spark)
-    out = e.join(F.broadcast(p), "activity_type", "left")
-    return out.select("activity_type", "activity_rank",
-                      *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values])
+    percentage of the dim value's rows; absent = 0. One global aggregation
+    of conditional counts (len(values) x (1 + activities) cells), then
+    ``stack`` into one row per activity."""
+    d, a = F.col(dim), F.col("activity_type")
+    aggs = []
+    for v in values:
+        aggs.append(F.count_if(d == v).alias(f"_t_{v}"))
+        for act in dims.ACTIVITY_TYPES:
+            aggs.append(F.count_if((d == v) & (a == act)).alias(f"_n_{v}_{act}"))
+    one = tx.agg(*aggs)
+    cells = {}
+    for v in values:
+        for act in dims.ACTIVITY_TYPES:
+            cells[f"{v}__{act}"] = F.when(F.col(f"_t_{v}") > 0, F.col(f"_n_{v}_{act}").cast("double")
+                                          / F.col(f"_t_{v}").cast("double") * 100.0).otherwise(0.0)
+    wide = one.select(*[c.alias(k) for k, c in cells.items()])
+    parts = ", ".join(f"'{act}', {i}, " + ", ".join(f"`{v}__{act}`" for v in values)
+                      for i, act in enumerate(dims.ACTIVITY_TYPES))
+    return wide.selectExpr(f"stack({len(dims.ACTIVITY_TYPES)}, {parts}) AS (activity_type, activity_rank, "
+                           + ", ".join(f"`{v}`" for v in values) + ")")
 
 
 # T1 / P19 -------------------------------------------------------------------

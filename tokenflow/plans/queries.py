@@ -1406,8 +1406,11 @@ def q_validate_export(spark, sf):
     position in address order, as in a written document)."""
     h = EX.holder_to_json(TD.holders(spark, sf))
     from tokenflow.operators import quality as Q
-    # a written document has one array; its index is the address order
-    pos = h.withColumn("pos", F.row_number().over(Window.orderBy("address")) - 1)
+    # a written document has one array; its index is the address order,
+    # taken from the range-partitioned rank (no single-partition window)
+    from tokenflow.operators.rank import value_ranks
+    r = value_ranks(h, "address").select(F.col("address").alias("_a"), F.col("_below").alias("pos"))
+    pos = h.join(r, h["address"] == r["_a"]).drop("_a")
     e = Q.export_holder_errors(pos)
     return e.select(F.explode("errors").alias("error"))
 
