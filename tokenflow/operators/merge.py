@@ -30,7 +30,8 @@ def union_sources(batches: list[DataFrame], order_col: str = ORDER) -> DataFrame
 
 # D2 -----------------------------------------------------------------------
 def dedup_tx(tx: DataFrame, keys: tuple[str, ...] = ("transaction_hash", "chain"),
-             extra_keys: tuple[str, ...] = (), order_col: str = ORDER) -> DataFrame:
+             extra_keys: tuple[str, ...] = (), order_col: str = ORDER,
+             shuffle_first: bool = True) -> DataFrame:
     """Keep the first row (smallest ``ingest_key``) per (hash, chain).
 
     ``groupBy`` + ``min(order)`` / ``min_by(rest, order)`` aggregates map-side
@@ -39,6 +40,13 @@ def dedup_tx(tx: DataFrame, keys: tuple[str, ...] = ("transaction_hash", "chain"
     Columns that are already fields of the order struct are not carried a
     second time. Callers with wide rows should dedup on compact keys and
     derive the wide columns afterwards (see ``sources.testdata``).
+
+    ``shuffle_first`` hash-partitions on the keys before aggregating: the
+    same single exchange the aggregate would add, but the (sort-based) first
+    pick then runs in the post-shuffle tasks. Copies of one transfer arrive
+    from different sources, i.e. different input partitions, so map-side
+    pre-aggregation removes almost nothing; set False when copies are
+    co-located in the input.
     """
     k = list(keys) + list(extra_keys)
     if order_col not in tx.columns:
@@ -47,7 +55,8 @@ def dedup_tx(tx: DataFrame, keys: tuple[str, ...] = ("transaction_hash", "chain"
     aggs = [F.min(F.col(order_col)).alias(order_col)]
     if rest:
         aggs.append(F.min_by(F.struct(*rest), F.col(order_col)).alias("_first"))
-    agg = tx.groupBy(*k).agg(*aggs)
+    src = tx.repartition(*k) if shuffle_first else tx
+    agg = src.groupBy(*k).agg(*aggs)
     return agg.select(*k, *[F.col(f"_first.{c}").alias(c) for c in rest], order_col).select(*tx.columns)
 
 

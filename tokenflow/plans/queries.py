@@ -13,7 +13,8 @@ from tokenflow.sources import testdata as TD
 
 
 def _tx(spark, sf):
-    return TD.canonical_tx(spark, sf)
+    """Canonical TX, read from the table written once per application."""
+    return TD.tx_table(spark, sf)
 
 
 # --------------------------------------------------------------------- A1
@@ -32,8 +33,14 @@ def q_activity_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return A.activity_breakdown(_tx(spark, sf)).drop("activity_rank")
 
 
+def _holders(spark, sf):
+    """Base HOLDER (customers, first/last activity from TX), written once."""
+    return TD.holders_base_table(spark, sf)
+
+
 def _hsov(spark, sf, tx=None):
-    return TD.holders_sov(spark, sf, tx if tx is not None else _tx(spark, sf))
+    """Holders with SoV flags, read from the table written once."""
+    return TD.holders_table(spark, sf)
 
 
 _ACTS = dims.ACTIVITY_TYPES
@@ -297,7 +304,7 @@ SELECT g.stablecoin, CAST(g.n AS BIGINT) AS total_transactions, CAST(g.vol AS DO
   CAST(u.ua AS BIGINT) AS unique_addresses FROM g LEFT JOIN u ON u.stablecoin = g.stablecoin""")
 def q_summary_by_stablecoin(spark, sf):
     tx = _tx(spark, sf)
-    return A.summary_by_stablecoin(tx, TD.holders(spark, sf, tx))
+    return A.summary_by_stablecoin(tx, _holders(spark, sf))
 
 
 @register("summary_by_activity", C.with_ctes("TX", "HOLDERS_TYPED") + """
@@ -314,7 +321,7 @@ SELECT chain, CAST(count(*) AS BIGINT) AS records FROM (
   SELECT chain FROM tx UNION ALL SELECT chain FROM holders) GROUP BY chain""")
 def q_summary_by_chain(spark, sf):
     tx = _tx(spark, sf)
-    return A.summary_by_chain(tx, TD.holders(spark, sf, tx))
+    return A.summary_by_chain(tx, _holders(spark, sf))
 
 
 # --------------------------------------------------------------------- A15
@@ -380,7 +387,7 @@ from tokenflow.sources import pages as PG  # noqa: E402
 SELECT address, stablecoin, chain, holding_period FROM holders_hp""")
 def q_holding_period(spark, sf):
     tx = _tx(spark, sf)
-    return CL.holding_period(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME).select(
+    return CL.holding_period(_holders(spark, sf), tx, TD.REFERENCE_TIME).select(
         "address", "stablecoin", "chain", "holding_period")
 
 
@@ -388,7 +395,7 @@ def q_holding_period(spark, sf):
 SELECT address, is_store_of_value, is_sov_heuristic FROM holders_sov""")
 def q_sov_heuristic(spark, sf):
     tx = _tx(spark, sf)
-    return CL.sov_heuristic(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME).select(
+    return CL.sov_heuristic(_holders(spark, sf), tx, TD.REFERENCE_TIME).select(
         "address", "is_store_of_value", "is_sov_heuristic")
 
 
@@ -408,7 +415,8 @@ _TX_OUT = f"""transaction_hash, block_number, {C.ymdhms('"timestamp"')} AS "time
 
 @register("dedup_tx", C.with_ctes("TX") + f"SELECT {_TX_OUT} FROM tx")
 def q_dedup_tx(spark, sf):
-    return _tx(spark, sf)
+    """D2 itself: join + first-per-(hash, chain), computed (not read)."""
+    return TD.canonical_tx(spark, sf)
 
 
 @register("dedup_report", C.with_ctes("TX_RAW", extra="""
@@ -436,7 +444,7 @@ def q_classify_collect(spark, sf):
 # --------------------------------------------------------------------- D1 / D3
 def _holder_batches(spark, sf):
     tx = _tx(spark, sf)
-    return [TD.holders(spark, sf, tx), TD.supplier_holders(spark, sf)]
+    return [_holders(spark, sf), TD.supplier_holders(spark, sf)]
 
 
 @register("union_sources", C.with_ctes("HOLDERS", "SUPP_HOLDERS") + """
@@ -512,7 +520,7 @@ SELECT *, error_count > 0 AND records = 0 AS failed, CAST(sum(records) OVER () A
   sum(records) OVER () > 0 AS success FROM r""")
 def q_collection_report(spark, sf):
     tx = _tx(spark, sf)
-    return MG.collection_report(tx, TD.holders(spark, sf, tx), TD.source_runs(spark, tx))
+    return MG.collection_report(tx, _holders(spark, sf), TD.source_runs(spark, tx))
 
 
 # --------------------------------------------------------------------- V1-V6, V8
@@ -535,7 +543,7 @@ SELECT address, bal AS balance_text,
                                CASE WHEN NOT {_amt_sql('bal')} THEN 'balance' END], lambda x: x IS NOT NULL), ',') AS errors
 FROM r""")
 def q_dq_holder_record(spark, sf):
-    h = TD.holders(spark, sf).select("address", F.col("balance").cast("decimal(18,2)").cast("string").alias("balance"))
+    h = _holders(spark, sf).select("address", F.col("balance").cast("decimal(18,2)").cast("string").alias("balance"))
     e = QL.holder_record_errors(h)
     return e.select("address", F.col("balance").alias("balance_text"),
                     RU.address_ok("address").alias("address_ok"), RU.amount_ok("balance").alias("amount_ok"),
@@ -586,7 +594,7 @@ SELECT address, array_to_string(list_filter([
 FROM holders WHERE NOT coalesce(balance >= 0, false)
    OR NOT (first_seen IS NULL OR last_activity IS NULL OR first_seen <= last_activity)""")
 def q_invariants_holder(spark, sf):
-    e = QL.holder_invariant_errors(TD.holders(spark, sf))
+    e = QL.holder_invariant_errors(_holders(spark, sf))
     _, quarantine, _ = QL.split_valid(e)
     return quarantine.select("address", F.array_join("errors", ",").alias("errors"))
 
@@ -613,7 +621,7 @@ def q_required_tx(spark, sf):
 SELECT CAST(count(*) AS BIGINT) AS kept FROM holders WHERE length(trim(address)) > 0
   AND length(trim(stablecoin)) > 0 AND length(trim(chain)) > 0 AND balance IS NOT NULL""")
 def q_required_holder(spark, sf):
-    return QL.required_holder(TD.holders(spark, sf)).agg(F.count("*").cast("bigint").alias("kept"))
+    return QL.required_holder(_holders(spark, sf)).agg(F.count("*").cast("bigint").alias("kept"))
 
 
 @register("enum_check", C.with_ctes("TXC") + """
@@ -655,7 +663,7 @@ SELECT lower(address) AS address, CAST(balance AS DOUBLE) AS balance, stablecoin
   source_explorer, false AS is_sov_heuristic
 FROM holders WHERE balance >= 0""")
 def q_read_api_holders(spark, sf):
-    pages = PG.landed_holder_pages(TD.holders(spark, sf))
+    pages = PG.landed_holder_pages(_holders(spark, sf))
     valid, _, _ = QL.split_valid(PG.read_api_holders(pages, cap=100))
     return valid
 
@@ -663,7 +671,7 @@ def q_read_api_holders(spark, sf):
 @register("api_holder_rejects", C.with_ctes("HOLDERS") + """
 SELECT 'TokenHolderQuantity' AS field, CAST(count(*) AS BIGINT) AS rejected FROM holders WHERE balance < 0""")
 def q_api_holder_rejects(spark, sf):
-    pages = PG.landed_holder_pages(TD.holders(spark, sf))
+    pages = PG.landed_holder_pages(_holders(spark, sf))
     _, _, counts = QL.split_valid(PG.read_api_holders(pages, cap=100))
     return counts
 
@@ -740,7 +748,7 @@ def q_explorer_for_chain(spark, sf):
 SELECT lower(a) AS normalized, CASE WHEN regexp_matches(a, '^0x[a-fA-F0-9]{40}$') THEN lower(a) END AS validated
 FROM (SELECT upper(substring(address, 3)) AS a FROM holders UNION ALL SELECT '0x' || upper(substring(address, 3)) FROM supp_holders)""")
 def q_normalize_address(spark, sf):
-    h = TD.holders(spark, sf).select(F.upper(F.substring("address", 3, 100)).alias("a"))
+    h = _holders(spark, sf).select(F.upper(F.substring("address", 3, 100)).alias("a"))
     s = TD.supplier_holders(spark, sf).select(F.concat(F.lit("0x"), F.upper(F.substring("address", 3, 100))).alias("a"))
     u = h.unionByName(s)
     return u.select(SC.normalize_address("a").alias("normalized"),
@@ -800,7 +808,7 @@ feats AS (SELECT address, transaction_count,
 
 def _features(spark, sf):
     tx = _tx(spark, sf)
-    return FE.holder_features(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME)
+    return FE.holder_features(_holders(spark, sf), tx, TD.REFERENCE_TIME)
 
 
 @register("holder_features", _FEATS + """
@@ -813,7 +821,7 @@ def q_holder_features(spark, sf):
 
 @register("balance_percentile", _FEATS + "SELECT address, balance_percentile FROM feats")
 def q_balance_percentile(spark, sf):
-    h = TD.holders(spark, sf)
+    h = _holders(spark, sf)
     from tokenflow.operators.rank import average_percentile
     return average_percentile(h.select("address", "balance"), "balance", "balance_percentile").drop("balance")
 
@@ -981,7 +989,7 @@ from tokenflow.operators import monitor as MO  # noqa: E402
 
 def _rule_preds(spark, sf, scorer: str = "percentile"):
     tx = _tx(spark, sf)
-    feats = FE.holder_features(TD.holders(spark, sf, tx), tx, TD.REFERENCE_TIME)
+    feats = FE.holder_features(_holders(spark, sf), tx, TD.REFERENCE_TIME)
     lab = _hsov(spark, sf, tx).select("address", F.col("is_store_of_value").cast("int").alias("label"))
     score = (F.col("balance_percentile") / 100.0 if scorer == "percentile"
              else F.least(F.col("holding_period_days") / 60.0, F.lit(1.0)))
@@ -1244,7 +1252,7 @@ def q_export_roundtrip(spark, sf):
     """S9 write -> S1 read -> S3 typing gives back the canonical TX."""
     tx = _tx(spark, sf)
     out = EX.write_export(spark, scratch_path(spark, f"exports/{uuid.uuid4().hex}"), "run-1", tx,
-                          TD.holders(spark, sf, tx), ["etherscan", "bscscan", "polygonscan"])
+                          _holders(spark, sf), ["etherscan", "bscscan", "polygonscan"])
     t, _, _ = EX.read_export(spark, out)
     return t
 
@@ -1404,7 +1412,7 @@ SELECT 'holders[' || CAST(pos AS VARCHAR) || '].balance: invalid' AS error FROM
 def q_validate_export(spark, sf):
     """V9 record rules over the export form of the holders (array index =
     position in address order, as in a written document)."""
-    h = EX.holder_to_json(TD.holders(spark, sf))
+    h = EX.holder_to_json(_holders(spark, sf))
     from tokenflow.operators import quality as Q
     # a written document has one array; its index is the address order,
     # taken from the range-partitioned rank (no single-partition window)
@@ -1422,7 +1430,7 @@ def q_save_run_result(spark, sf):
     from tokenflow.operators import quality as Q
     tx = Q.assert_writable(_tx(spark, sf), ["transaction_hash", "chain", "timestamp"])
     base = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
-    out = EX.write_export(spark, f"{base}/exports", "run-1", tx, TD.holders(spark, sf, tx),
+    out = EX.write_export(spark, f"{base}/exports", "run-1", tx, _holders(spark, sf),
                           ["etherscan", "bscscan", "polygonscan"])
     total = spark.read.json(f"{out}/metadata").first()["total_records"]
     EX.save_run_result(spark, f"{base}/run_results", "run-1", total, ["etherscan", "bscscan", "polygonscan"],
@@ -1532,7 +1540,7 @@ def q_pipeline_output(spark, sf):
     """One run of the analysis pipeline written partitioned by run_id;
     returns (output, rows) of what was written."""
     from tokenflow.plans.pipeline import analysis_pipeline, write_outputs
-    outs = analysis_pipeline(spark, _tx(spark, sf), TD.holders(spark, sf), TD.REFERENCE_TIME)
+    outs = analysis_pipeline(spark, _tx(spark, sf), _holders(spark, sf), TD.REFERENCE_TIME)
     base = scratch_path(spark, f"pipeline/{uuid.uuid4().hex}")
     return write_outputs(spark, outs, base, "run-1")
 

@@ -243,3 +243,52 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("pipeline"), F.col("event_id").alias("run_id"),
                      F.col("ts").cast("timestamp").alias("created_at"),
                      F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
+
+
+# --- written derived tables ---------------------------------------------------
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    """Materialise a derived table once per application as parquet below the
+    shared checkpoint folder and return a reader over it (a "silver" table:
+    every later query reads compact columnar files instead of recomputing
+    the join + de-duplication, and the files survive executor loss)."""
+    import os
+    import uuid
+    from tokenflow.session import scratch_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    df = _WRITTEN.get(key)
+    if df is None:
+        built = build()
+        cols = built.columns
+        path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+        w = built.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        df = spark.read.parquet(path).select(*cols)
+        _WRITTEN[key] = df
+    return df
+
+
+def tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical TX as a written table partitioned by chain."""
+    return written(spark, sf_dir, "tx", lambda: canonical_tx(spark, sf_dir), ["chain"])
+
+
+def holders_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HOLDER from customers with first/last activity, written once."""
+    return written(spark, sf_dir, "holders", lambda: holders(spark, sf_dir, tx_table(spark, sf_dir)), ["chain"])
+
+
+def holders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HOLDER with SoV flags (E2 at REFERENCE_TIME) and holding_period_days,
+    written once."""
+    from tokenflow.operators.classify import sov_heuristic
+    from tokenflow.sources.typed import with_holding_period_days
+
+    def build():
+        tx = tx_table(spark, sf_dir)
+        return with_holding_period_days(sov_heuristic(holders_base_table(spark, sf_dir), tx, REFERENCE_TIME))
+    return written(spark, sf_dir, "holders_sov", build, ["chain"])
