@@ -1376,7 +1376,8 @@ def _landed_raw(spark, sf) -> str:
     return land
 
 
-@register("incremental_ingest")
+@register("incremental_ingest", C.with_ctes("TX_RAW") + """
+SELECT DISTINCT transaction_hash, chain FROM tx_raw""")
 def q_incremental_ingest(spark, sf):
     land = _landed_raw(spark, sf)
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
@@ -1384,7 +1385,10 @@ def q_incremental_ingest(spark, sf):
     return spark.read.parquet(f"{base}/out").select("transaction_hash", "chain")
 
 
-@register("streaming_time_series")
+@register("streaming_time_series", C.with_ctes("TX_CLS") + f"""
+SELECT {C.ymd('CAST("timestamp" AS DATE)')} AS period, activity_type, CAST(count("timestamp") AS BIGINT) AS transaction_count,
+  CAST(coalesce(sum(amount), 0) AS DOUBLE) AS volume
+FROM tx_cls WHERE "timestamp" IS NOT NULL AND activity_type IS NOT NULL GROUP BY 1, 2""")
 def q_streaming_time_series(spark, sf):
     land = _landed_raw(spark, sf)
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
@@ -1423,7 +1427,9 @@ def q_validate_export(spark, sf):
     return e.select(F.explode("errors").alias("error"))
 
 
-@register("save_run_result")
+@register("save_run_result", C.with_ctes("TX", "HOLDERS") + """
+SELECT 'res-run-1' AS result_id, 'run-1' AS run_id,
+  CAST((SELECT count(*) FROM tx) + (SELECT count(*) FROM holders) AS BIGINT) AS total_records""")
 def q_save_run_result(spark, sf):
     """S13 + V10: validate before write, write the run export, append the
     RUN_RESULTS row, read the table back."""
@@ -1535,7 +1541,14 @@ def q_step_outputs(spark, sf):
     return safe.select("chain", F.col("total_volume").alias("total_volume_text"), "avg_gas_cost")
 
 
-@register("pipeline_output")
+@register("pipeline_output", C.with_ctes("TX", "HOLDERS") + """
+SELECT * FROM (VALUES ('activity_breakdown', CAST(3 AS BIGINT)), ('holder_metrics', 1), ('chain_metrics', 3)) t(output, rows)
+UNION ALL SELECT 'top_holders', CAST(least(count(*), 10) AS BIGINT) FROM holders
+UNION ALL SELECT 'features', CAST(count(*) AS BIGINT) FROM holders
+UNION ALL SELECT 'wallet_labels', CAST(count(*) AS BIGINT) FROM holders
+UNION ALL SELECT 'time_series', CAST(count(*) AS BIGINT) FROM (
+  SELECT DISTINCT CAST("timestamp" AS DATE), activity_type, stablecoin FROM tx
+  WHERE "timestamp" IS NOT NULL AND activity_type IS NOT NULL AND stablecoin IS NOT NULL)""")
 def q_pipeline_output(spark, sf):
     """One run of the analysis pipeline written partitioned by run_id;
     returns (output, rows) of what was written."""
@@ -1545,7 +1558,12 @@ def q_pipeline_output(spark, sf):
     return write_outputs(spark, outs, base, "run-1")
 
 
-@register("streaming_request_rate")
+@register("streaming_request_rate", """
+WITH e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
+w AS (SELECT user_id, (us // 10000000) * 10000000 - k * 10000000 AS s FROM e, range(0, 6) r(k))
+SELECT user_id, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(make_timestamp(s + 60000000), '%Y-%m-%d %H:%M:%S') AS window_end, CAST(count(*) AS BIGINT) AS requests
+FROM w GROUP BY user_id, s""")
 def q_streaming_request_rate(spark, sf):
     """Sliding 60 s / 10 s request counts per user from landed events."""
     land = scratch_path(spark, f"landing-events/{uuid.uuid4().hex}")
