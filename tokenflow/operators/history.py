@@ -92,10 +92,9 @@ def request_rate(events: DataFrame, key: str = "user_id", ts: str = "ts",
     requests are counted too (rate report over the full log, Q28)."""
     wus = window_seconds * 1_000_000
     e = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    e = e.withColumn("_b", F.floor(F.col("_us") / F.lit(wus)))
-    own = e.withColumn("_own", F.lit(True))
-    ctx = e.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    both = own.unionByName(ctx)
+    # one scan: every event as itself (bucket b) and as context of bucket b+1
+    both = (e.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+             .withColumn("_b", F.floor(F.col("_us") / F.lit(wus)) + F.when(F.col("_own"), 0).otherwise(1)))
     w = (Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(wus - 1), 0))
     r = (both.withColumn("in_window", F.count("*").over(w))
              .withColumn("_oldest", F.min("_us").over(w))
