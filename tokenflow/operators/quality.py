@@ -164,3 +164,21 @@ def run_filters(tx: DataFrame, sources: list[str] | None = None, coins: list[str
             *[F.col(c).desc() for c in order_cols], F.col("transaction_hash"))
         out = out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_records).drop("_rn")
     return out
+
+
+def export_metadata_errors(meta: DataFrame) -> DataFrame:
+    """V9 document rules on the metadata row of each export: required fields,
+    ISO collection time, integer non-negative total_records, explorers list
+    present; messages name the field only."""
+    rules = [
+        ("metadata.run_id", R.nonempty("run_id")),
+        ("metadata.collection_timestamp",
+         F.coalesce(F.col("collection_timestamp").rlike(ISO_RE), F.lit(False))),
+        ("metadata.agent_version", R.nonempty("agent_version")),
+        ("metadata.explorers_queried", F.col("explorers_queried").isNotNull()),
+        ("metadata.total_records",
+         F.coalesce(F.col("total_records").cast("string").rlike(r"^[0-9]+$"), F.lit(False))),
+    ]
+    arr = F.filter(F.array(*[F.when(~ok, F.concat(F.lit(f"{f}: "), F.lit("missing or invalid")))
+                             for f, ok in rules]), lambda x: x.isNotNull())
+    return meta.withColumn(ERR, arr)
