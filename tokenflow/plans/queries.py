@@ -664,7 +664,7 @@ SELECT lower(address) AS address, CAST(balance AS DOUBLE) AS balance, stablecoin
 FROM holders WHERE balance >= 0""")
 def q_read_api_holders(spark, sf):
     pages = PG.landed_holder_pages(_holders(spark, sf))
-    valid, _, _ = QL.split_valid(PG.read_api_holders(pages, cap=100))
+    valid, _, _ = QL.split_valid(PG.read_api_holders(pages, cap=None))
     return valid
 
 
@@ -672,31 +672,31 @@ def q_read_api_holders(spark, sf):
 SELECT 'TokenHolderQuantity' AS field, CAST(count(*) AS BIGINT) AS rejected FROM holders WHERE balance < 0""")
 def q_api_holder_rejects(spark, sf):
     pages = PG.landed_holder_pages(_holders(spark, sf))
-    _, _, counts = QL.split_valid(PG.read_api_holders(pages, cap=100))
+    _, _, counts = QL.split_valid(PG.read_api_holders(pages, cap=None))
     return counts
 
 
 # --------------------------------------------------------------------- V11 / V12 / V16
 @register("response_status", C.with_ctes("TX") + """
-SELECT source_explorer, stablecoin, chain, CAST(floor(block_number / 1000) AS BIGINT) AS page,
-  true AS response_ok, false AS rate_limited, false AS is_empty, CAST(count(*) AS BIGINT) AS records
-FROM tx GROUP BY 1, 2, 3, 4""")
+SELECT source_explorer, stablecoin, chain, true AS all_ok, false AS any_rate_limited, false AS any_empty,
+  CAST(count(*) AS BIGINT) AS records FROM tx GROUP BY 1, 2, 3""")
 def q_response_status(spark, sf):
     pages = PG.response_status(PG.landed_transfer_pages(_tx(spark, sf)))
     arr = F.from_json("result", "array<struct<hash:string>>")
-    return pages.select("source_explorer", "stablecoin", "chain", F.col("page").cast("bigint").alias("page"),
-                        "response_ok", "rate_limited", "is_empty",
-                        F.size(arr).cast("bigint").alias("records"))
+    return pages.groupBy("source_explorer", "stablecoin", "chain").agg(
+        F.bool_and("response_ok").alias("all_ok"), F.bool_or("rate_limited").alias("any_rate_limited"),
+        F.bool_or("is_empty").alias("any_empty"), F.sum(F.size(arr)).cast("bigint").alias("records"))
 
 
 @register("response_schema", C.with_ctes("TX") + """
-SELECT source_explorer, stablecoin, chain, CAST(floor(block_number / 1000) AS BIGINT) AS page,
-  true AS schema_ok, CAST(0 AS BIGINT) AS n_errors
-FROM tx GROUP BY 1, 2, 3, 4""")
+SELECT source_explorer, stablecoin, chain, true AS schema_ok, CAST(0 AS BIGINT) AS n_errors,
+  CAST(count(*) AS BIGINT) AS records FROM tx GROUP BY 1, 2, 3""")
 def q_response_schema(spark, sf):
     pages = PG.response_schema_errors(PG.landed_transfer_pages(_tx(spark, sf)))
-    return pages.select("source_explorer", "stablecoin", "chain", F.col("page").cast("bigint").alias("page"),
-                        "schema_ok", F.size("schema_errors").cast("bigint").alias("n_errors"))
+    arr = F.from_json("result", "array<struct<hash:string>>")
+    return pages.groupBy("source_explorer", "stablecoin", "chain").agg(
+        F.bool_and("schema_ok").alias("schema_ok"), F.sum(F.size("schema_errors")).cast("bigint").alias("n_errors"),
+        F.sum(F.size(arr)).cast("bigint").alias("records"))
 
 
 # --------------------------------------------------------------------- S8 / P12 / P13
@@ -1475,19 +1475,32 @@ def q_nesting_depth(spark, sf):
 
 @register("missing_schema_policy", C.with_ctes("TX", "HOLDERS", "SUPP_HOLDERS") + """
 SELECT source_explorer, endpoint, source_explorer <> 'secondary' AS schema_available,
-  source_explorer <> 'secondary' AS accepted, CAST(count(*) AS BIGINT) AS pages FROM (
-  SELECT DISTINCT source_explorer, 'tokentx' AS endpoint, stablecoin, chain, floor(block_number / 1000) AS page FROM tx
-  UNION ALL SELECT DISTINCT source_explorer, 'tokenholderlist', stablecoin, chain,
-    floor(CAST(substring(address, 3) AS HUGEINT) / 100) FROM holders WHERE false
-  ) GROUP BY 1, 2""")
+  source_explorer <> 'secondary' AS accepted, CAST(count(*) AS BIGINT) AS records FROM (
+  SELECT source_explorer, 'tokentx' AS endpoint FROM tx
+  UNION ALL SELECT source_explorer, 'tokenholderlist' FROM holders WHERE balance >= 0
+  UNION ALL SELECT source_explorer, 'tokenholderlist' FROM supp_holders WHERE balance >= 0) GROUP BY 1, 2""")
 def q_missing_schema_policy(spark, sf):
+    """V14 fail-closed over transfer pages, holder pages and the pages of a
+    source without a schema (the secondary holder listing)."""
     tx = _tx(spark, sf)
-    pages = PG.landed_transfer_pages(tx).withColumn("endpoint", F.lit("tokentx"))
+    tp = PG.landed_transfer_pages(tx).withColumn("endpoint", F.lit("tokentx"))
+    hold = _holders(spark, sf).unionByName(TD.supplier_holders(spark, sf))
+    hp = PG.landed_holder_pages(hold).withColumn("endpoint", F.lit("tokenholderlist"))
+    pages = tp.unionByName(hp)
     known = spark.createDataFrame([(e, ep) for e in ("etherscan", "bscscan", "polygonscan")
                                    for ep in ("tokentx", "tokenholderlist")], "source_explorer string, endpoint string")
     r = PG.missing_schema_policy(pages, known, "fail-closed")
-    return r.groupBy("source_explorer", "endpoint", "schema_available", "accepted").agg(
-        F.count("*").cast("bigint").alias("pages"))
+    valid = r.select("source_explorer", "endpoint", "schema_available", "accepted", "result", "stablecoin", "chain", "page")
+    parsed = valid.where(F.col("endpoint") == "tokentx").select(
+        "source_explorer", "endpoint", "schema_available", "accepted",
+        F.size(F.from_json("result", "array<struct<hash:string>>")).alias("n"))
+    hparsed = (valid.where(F.col("endpoint") == "tokenholderlist")
+               .select("source_explorer", "endpoint", "schema_available", "accepted",
+                       F.from_json("result", PG.T.ArrayType(PG.RAW_HOLDER)).alias("a"))
+               .select("source_explorer", "endpoint", "schema_available", "accepted",
+                       F.size(F.filter("a", lambda x: ~x["TokenHolderQuantity"].startswith("-"))).alias("n")))
+    return parsed.unionByName(hparsed).groupBy("source_explorer", "endpoint", "schema_available", "accepted").agg(
+        F.sum("n").cast("bigint").alias("records"))
 
 
 @register("class_filter", _FEATS + f"""
