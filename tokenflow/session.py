@@ -41,6 +41,10 @@ def pin_session(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on: UTC session time zone and
     a reliable checkpoint folder."""
     spark.conf.set("spark.sql.session.timeZone", UTC)
+    # newest-N paging / per-source record caps go up to 100,000 rows per group:
+    # keep Spark's partial per-partition group limit (WindowGroupLimit) in play
+    # for them, so a hot group never reaches one task whole.
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
     checkpoint_dir(spark)
     return spark
 
