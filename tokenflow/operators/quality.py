@@ -100,8 +100,8 @@ def export_tx_errors(records: DataFrame, pos_col: str = "pos") -> DataFrame:
         msg("activity_type", F.coalesce(F.col("activity_type").isin(*dims.ACTIVITY_TYPES), F.lit(False))),
         msg("block_number", F.coalesce(F.col("block_number").rlike(r"^[0-9]+$"), F.lit(False))),
     ]
-    arr = F.filter(F.array(*[F.when(~ok, F.concat(F.lit("transactions["), p, F.lit(f"].{f}: invalid")))
-                             for f, ok in rules]), lambda x: x.isNotNull())
+    arr = F.array_compact(F.array(*[F.when(~ok, F.concat(F.lit("transactions["), p, F.lit(f"].{f}: invalid")))
+                                    for f, ok in rules]))
     return records.withColumn(ERR, arr)
 
 
@@ -117,8 +117,8 @@ def export_holder_errors(records: DataFrame, pos_col: str = "pos") -> DataFrame:
         ("is_store_of_value", F.coalesce(F.lower("is_store_of_value").isin("true", "false"), F.lit(False))),
         ("last_activity", fs.isNull() | la.isNull() | (la >= fs)),
     ]
-    arr = F.filter(F.array(*[F.when(~ok, F.concat(F.lit("holders["), p, F.lit(f"].{f}: invalid")))
-                             for f, ok in rules]), lambda x: x.isNotNull())
+    arr = F.array_compact(F.array(*[F.when(~ok, F.concat(F.lit("holders["), p, F.lit(f"].{f}: invalid")))
+                                    for f, ok in rules]))
     return records.withColumn(ERR, arr)
 
 
@@ -179,6 +179,6 @@ def export_metadata_errors(meta: DataFrame) -> DataFrame:
         ("metadata.total_records",
          F.coalesce(F.col("total_records").cast("string").rlike(r"^[0-9]+$"), F.lit(False))),
     ]
-    arr = F.filter(F.array(*[F.when(~ok, F.concat(F.lit(f"{f}: "), F.lit("missing or invalid")))
-                             for f, ok in rules]), lambda x: x.isNotNull())
+    arr = F.array_compact(F.array(*[F.when(~ok, F.concat(F.lit(f"{f}: "), F.lit("missing or invalid")))
+                                    for f, ok in rules]))
     return meta.withColumn(ERR, arr)
