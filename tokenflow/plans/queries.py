@@ -1369,6 +1369,8 @@ def vector_to_array_1(c):
 # --------------------------------------------------------------------- X1 / X2 (rows-only; batch-equality tested)
 from tokenflow.streaming import ingest as ST  # noqa: E402
 
+BACKFILL_WATERMARK = "36500 days"
+
 
 def _landed_raw(spark, sf) -> str:
     land = scratch_path(spark, f"landing/{uuid.uuid4().hex}")
@@ -1381,7 +1383,8 @@ SELECT DISTINCT transaction_hash, chain FROM tx_raw""")
 def q_incremental_ingest(spark, sf):
     land = _landed_raw(spark, sf)
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
-    ST.incremental_ingest(spark, land, f"{base}/out", f"{base}/ckpt")
+    # backfill over years of history: watermark wider than the data's time span
+    ST.incremental_ingest(spark, land, f"{base}/out", f"{base}/ckpt", watermark=BACKFILL_WATERMARK)
     return spark.read.parquet(f"{base}/out").select("transaction_hash", "chain")
 
 
@@ -1392,7 +1395,7 @@ FROM tx_cls WHERE "timestamp" IS NOT NULL AND activity_type IS NOT NULL GROUP BY
 def q_streaming_time_series(spark, sf):
     land = _landed_raw(spark, sf)
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
-    ST.streaming_time_series(spark, land, f"{base}/out", f"{base}/ckpt")
+    ST.streaming_time_series(spark, land, f"{base}/out", f"{base}/ckpt", watermark=BACKFILL_WATERMARK)
     return ST.latest_windows(spark, f"{base}/out")
 
 
@@ -1583,5 +1586,5 @@ def q_streaming_request_rate(spark, sf):
     TD.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")) \
         .write.mode("overwrite").parquet(land)
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
-    ST.streaming_request_rate(spark, land, f"{base}/out", f"{base}/ckpt")
+    ST.streaming_request_rate(spark, land, f"{base}/out", f"{base}/ckpt", watermark=BACKFILL_WATERMARK)
     return ST.latest_request_windows(spark, f"{base}/out")
