@@ -1000,7 +1000,7 @@ def _rule_preds(spark, sf, scorer: str = "percentile"):
 def _preds_sql(name: str, scorer: str) -> str:
     score = ("f.balance_percentile / 100.0" if scorer == "percentile"
              else "least(f.holding_period_days / 60.0, 1.0)")
-    return f"""{name} AS (SELECT f.address, CAST(h.is_store_of_value AS INTEGER) AS label, {score} AS score,
+    return f"""{name} AS (SELECT f.address, CAST(h.is_store_of_value AS BIGINT) AS label, {score} AS score,
   CAST({score} >= 0.5 AS INTEGER) AS prediction FROM feats f JOIN holders_typed h ON h.address = f.address)"""
 
 
@@ -1182,7 +1182,7 @@ def _pct1_sql(x):
 
 
 @register("conclusions", _G_CTES + f"""
-SELECT * FROM (
+SELECT * REPLACE (CAST(finding_rank AS BIGINT) AS finding_rank) FROM (
 SELECT 1 AS finding_rank, 'Dominant Usage Pattern' AS finding,
   CASE WHEN CAST(t AS DOUBLE) / (t + s) > CAST(s AS DOUBLE) / (t + s) THEN 'Transaction' ELSE 'Store of Value' END AS value,
   lv.level AS confidence,
@@ -1212,7 +1212,7 @@ def q_conclusions(spark, sf):
 
 
 @register("quality_warnings", _G_CTES + """
-SELECT * FROM (
+SELECT * REPLACE (CAST(warning_rank AS BIGINT) AS warning_rank) FROM (
   SELECT 3 AS warning_rank, 'Low confidence score (' || printf('%.2f', score) || '). Consider collecting more data for reliable conclusions.' AS message FROM lv WHERE level = 'low'
   UNION ALL SELECT 4, 'Data from ' || CAST(3 - CAST(round(chain_coverage * 3) AS INTEGER) AS VARCHAR) || ' chain(s) is missing. Cross-chain analysis may be incomplete.' FROM lv WHERE CAST(round(chain_coverage * 3) AS INTEGER) < 3
   UNION ALL SELECT 5, 'Field completeness is ' || printf('%.1f', data_completeness * 100.0) || '%. Some records have missing required fields.' FROM lv WHERE data_completeness < 0.9
@@ -1297,7 +1297,7 @@ def q_sov_ml_override(spark, sf):
 
 
 @register("label_join", _FEATS.rstrip() + ",\n" + C.SIDES + ",\n" + C.HOLDERS_HP + ",\n" + C.HOLDERS_SOV + """
-SELECT f.address, CAST(h.is_store_of_value AS INTEGER) AS label, CAST(f.transaction_count AS BIGINT) AS transaction_count
+SELECT f.address, CAST(h.is_store_of_value AS BIGINT) AS label, CAST(f.transaction_count AS BIGINT) AS transaction_count
 FROM feats f JOIN (SELECT DISTINCT lower(address) AS a, is_store_of_value FROM holders_sov) h ON h.a = lower(f.address)""")
 def q_label_join(spark, sf):
     f = _features(spark, sf)
