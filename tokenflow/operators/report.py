@@ -85,8 +85,8 @@ def quality_warnings(confidence: DataFrame, errors: DataFrame | None = None,
         parts.append(n.where(F.col("n") > 0).select(F.lit(0).alias("warning_rank"), F.concat(
             F.lit("Data collection reported "), F.col("n").cast("string"),
             F.lit(" error(s). Results may be incomplete.")).alias("message")))
-        first3 = (errors.orderBy("ord").limit(3)
-                  .select((F.lit(1) + F.col("ord") * 0).alias("warning_rank"),
+        first3 = (errors.orderBy("ord").limit(3)  # the first three errors are the feature
+                  .select(F.lit(1).alias("warning_rank"),
                           F.concat(F.lit("Collection error: "), F.col("error")).alias("message")))
         parts.append(first3)
         parts.append(n.where(F.col("n") > 3).select(F.lit(2).alias("warning_rank"), F.concat(

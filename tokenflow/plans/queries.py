@@ -1169,7 +1169,8 @@ cf0 AS (SELECT CAST(count(*) AS BIGINT) AS sample_size,
   CASE WHEN count(*) > 0 THEN CAST({_NN} AS DOUBLE) / CAST(count(*) * {len(_FIELDS)} AS DOUBLE) ELSE 0.0 END AS data_completeness,
   CAST(count(DISTINCT CASE WHEN chain IN ('ethereum', 'bsc', 'polygon') THEN chain END) AS DOUBLE) / 3.0 AS chain_coverage FROM tx),
 cf AS (SELECT *, least(CAST(sample_size AS DOUBLE) / 1000.0, 1.0) * 0.6 + (data_completeness * 0.7 + chain_coverage * 0.3) * 0.4 AS score FROM cf0),
-lv AS (SELECT *, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM cf)
+lv AS (SELECT *, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM cf),
+errs AS (SELECT 'holder ' || address || ' failed: balance' AS error, address AS ord FROM holders_typed WHERE balance < 0)
 """
 
 
@@ -1181,6 +1182,15 @@ def _pct1_sql(x):
     return f"(printf('%.1f', ({x}) * 100.0) || '%')"
 
 
+def _collection_errors(spark, sf):
+    """Collection errors of the run: holders that fail the record
+    invariants (one message per holder, ordered by address)."""
+    from tokenflow.operators import quality as Q
+    _, bad, _ = Q.split_valid(Q.holder_invariant_errors(_hsov(spark, sf)))
+    return bad.select(F.concat(F.lit("holder "), F.col("address"), F.lit(" failed: "),
+                               F.array_join("errors", ",")).alias("error"), F.col("address").alias("ord"))
+
+
 @register("conclusions", _G_CTES + f"""
 SELECT * REPLACE (CAST(finding_rank AS BIGINT) AS finding_rank) FROM (
 SELECT 1 AS finding_rank, 'Dominant Usage Pattern' AS finding,
@@ -1203,12 +1213,16 @@ WHERE transaction_count > 0
 UNION ALL
 SELECT 4, 'Highest Store-of-Value Ratio', {_cap_sql('chain')}, lv.level,
   {_cap_sql('chain')} || ' has ' || {_pct1_sql('sov_ratio')} || ' store-of-value ratio'
-FROM (SELECT * FROM bc WHERE sov_ratio > 0 ORDER BY sov_ratio DESC, CASE chain WHEN 'ethereum' THEN 1 WHEN 'bsc' THEN 2 ELSE 3 END LIMIT 1) y, lv)""")
+FROM (SELECT * FROM bc WHERE sov_ratio > 0 ORDER BY sov_ratio DESC, CASE chain WHEN 'ethereum' THEN 1 WHEN 'bsc' THEN 2 ELSE 3 END LIMIT 1) y, lv
+UNION ALL
+SELECT 5, 'Data Quality Warning', CAST(count(*) AS VARCHAR) || ' error(s) detected', 'low',
+  'Data collection encountered errors that may affect the accuracy of conclusions. Review the errors list for details.'
+FROM errs HAVING count(*) > 0)""")
 def q_conclusions(spark, sf):
     tx = _tx(spark, sf)
     h = _hsov(spark, sf, tx)
-    return RP.conclusions(A.activity_breakdown(tx), A.holder_metrics(h), A.by_chain(tx, h), A.confidence(tx)).withColumn(
-        "finding_rank", F.col("finding_rank").cast("bigint"))
+    return RP.conclusions(A.activity_breakdown(tx), A.holder_metrics(h), A.by_chain(tx, h), A.confidence(tx),
+                          _collection_errors(spark, sf)).withColumn("finding_rank", F.col("finding_rank").cast("bigint"))
 
 
 @register("quality_warnings", _G_CTES + """
@@ -1217,12 +1231,13 @@ SELECT * REPLACE (CAST(warning_rank AS BIGINT) AS warning_rank) FROM (
   UNION ALL SELECT 4, 'Data from ' || CAST(3 - CAST(round(chain_coverage * 3) AS INTEGER) AS VARCHAR) || ' chain(s) is missing. Cross-chain analysis may be incomplete.' FROM lv WHERE CAST(round(chain_coverage * 3) AS INTEGER) < 3
   UNION ALL SELECT 5, 'Field completeness is ' || printf('%.1f', data_completeness * 100.0) || '%. Some records have missing required fields.' FROM lv WHERE data_completeness < 0.9
   UNION ALL SELECT 6, 'Small sample size (' || CAST(sample_size AS VARCHAR) || ' transactions). Statistical conclusions may not be representative.' FROM lv WHERE sample_size < 100
-  UNION ALL SELECT 0, 'Data collection reported ' || CAST(count(*) AS VARCHAR) || ' error(s). Results may be incomplete.' FROM tx WHERE amount < 0 HAVING count(*) > 0)""")
+  UNION ALL SELECT 0, 'Data collection reported ' || CAST(count(*) AS VARCHAR) || ' error(s). Results may be incomplete.' FROM errs HAVING count(*) > 0
+  UNION ALL SELECT 1, 'Collection error: ' || error FROM (SELECT * FROM errs ORDER BY ord LIMIT 3)
+  UNION ALL SELECT 2, '... and ' || CAST(count(*) - 3 AS VARCHAR) || ' more error(s)' FROM errs HAVING count(*) > 3)""")
 def q_quality_warnings(spark, sf):
     tx = _tx(spark, sf)
-    errs = tx.where(F.col("amount") < 0).select(F.col("transaction_hash").alias("error"),
-                                                F.col("block_number").alias("ord"))
-    return RP.quality_warnings(A.confidence(tx), errs).withColumn("warning_rank", F.col("warning_rank").cast("bigint"))
+    return RP.quality_warnings(A.confidence(tx), _collection_errors(spark, sf)).withColumn(
+        "warning_rank", F.col("warning_rank").cast("bigint"))
 
 
 @register("bundle_findings", C.with_ctes("TX", "HOLDERS_TYPED", extra="""
