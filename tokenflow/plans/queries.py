@@ -333,7 +333,7 @@ SELECT * FROM (SELECT CAST(count(*) AS BIGINT) AS total_transactions,
   FROM holders_typed)""")
 def q_aggregate_metrics(spark, sf):
     tx = _tx(spark, sf)
-    return A.aggregate_metrics(TD.collected_tx(spark, sf), _hsov(spark, sf, tx))
+    return A.aggregate_metrics(TD.collected_tx_table(spark, sf), _hsov(spark, sf, tx))
 
 
 # --------------------------------------------------------------------- A16 / A17
@@ -629,7 +629,7 @@ SELECT activity_type, CAST(count(*) AS BIGINT) AS rows FROM txc
 WHERE activity_type IS NOT NULL AND activity_type NOT IN ('transaction', 'store_of_value', 'other')
 GROUP BY 1""")
 def q_enum_check(spark, sf):
-    bad = QL.invalid_enum_rows(TD.collected_tx(spark, sf), "activity_type", dims.ACTIVITY_TYPES)
+    bad = QL.invalid_enum_rows(TD.collected_tx_table(spark, sf), "activity_type", dims.ACTIVITY_TYPES)
     return bad.groupBy("activity_type").agg(F.count("*").cast("bigint").alias("rows"))
 
 

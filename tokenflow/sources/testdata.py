@@ -292,3 +292,8 @@ def holders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx = tx_table(spark, sf_dir)
         return with_holding_period_days(sov_heuristic(holders_base_table(spark, sf_dir), tx, REFERENCE_TIME))
     return written(spark, sf_dir, "holders_sov", build, ["chain"])
+
+
+def collected_tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplicated TX with collect-time activity, written once."""
+    return written(spark, sf_dir, "txc", lambda: collected_tx(spark, sf_dir), ["chain"])
