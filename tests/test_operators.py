@@ -174,3 +174,16 @@ def test_wallet_labels_priority(spark):
     f = spark.createDataFrame([(99.5, 5.0, 1.0), (50.0, 5.0, 2.0), (50.0, 0.01, 40.0), (50.0, 0.5, 10.0)],
                               "balance_percentile double, transaction_frequency double, holding_period_days double")
     assert [r.behavior_class for r in FE.label_wallets(f).collect()] == ["whale", "trader", "holder", "retail"]
+
+
+def test_column_checks_and_sov_flag_type(spark):
+    tx = spark.createDataFrame([tx_row()], TX)
+    with pytest.raises(ValueError):
+        A.activity_breakdown(tx.drop("amount"))
+    h_str = spark.createDataFrame([("0x" + "a" * 40, "ethereum", "yes")], "address string, chain string, is_store_of_value string")
+    with pytest.raises(ValueError):
+        A.by_chain(tx, h_str)
+    h_num = spark.createDataFrame([("0x" + "a" * 40, "ethereum", 1), ("0x" + "b" * 40, "ethereum", 0)],
+                                  "address string, chain string, is_store_of_value int")
+    r = {x.chain: x.sov_ratio for x in A.by_chain(tx, h_num).collect()}
+    assert r["ethereum"] == 0.5 and r["bsc"] == 0.0

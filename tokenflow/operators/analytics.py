@@ -83,13 +83,25 @@ def activity_breakdown(tx: DataFrame, strict: bool = True) -> DataFrame:
 
 
 # A2 -------------------------------------------------------------------------
+def check_sov_flag_type(holders: DataFrame) -> None:
+    """The SoV flag must be boolean or numeric (plan-time schema check)."""
+    from pyspark.sql import types as T
+    t = holders.schema["is_store_of_value"].dataType
+    if not isinstance(t, (T.BooleanType, T.NumericType)):
+        raise ValueError(f"Column 'is_store_of_value' must be boolean or numeric, got {t.simpleString()}")
+
+
 def _holder_sov_by(holders: DataFrame | None, dim: str, values: list[str]) -> DataFrame | None:
-    """SoV holder counts per enum value (at most len(values) rows)."""
+    """SoV holder counts per enum value (at most len(values) rows). A boolean
+    flag counts true rows; a numeric flag is summed, as the reference does."""
     if holders is None or "is_store_of_value" not in holders.columns or dim not in holders.columns:
         return None
+    check_sov_flag_type(holders)
+    flag = F.col("is_store_of_value")
+    if holders.schema["is_store_of_value"].dataType.simpleString() == "boolean":
+        flag = flag.cast("int")
     return holders.where(F.col(dim).isin(*values)).groupBy(dim).agg(
-        F.count("*").alias("_hn"),
-        F.sum(F.coalesce(F.col("is_store_of_value").cast("int"), F.lit(0))).alias("_hsov"))
+        F.count("*").alias("_hn"), F.sum(F.coalesce(flag, F.lit(0))).alias("_hsov"))
 
 
 def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, values: list[str],
