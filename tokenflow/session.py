@@ -55,7 +55,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session; only when the cluster names none (local tests) a
     fresh scratch folder is taken.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf:
+            conf = tempfile.mkdtemp(prefix="tokenflow-ckpt-", dir="/tmp")
+            spark.conf.set("spark.checkpoint.dir", conf)
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -67,6 +74,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate
     tables (used instead of any machine-local temp folder)."""

@@ -256,8 +256,8 @@ def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: li
     the join + de-duplication, and the files survive executor loss)."""
     import os
     import uuid
-    from tokenflow.session import scratch_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    from tokenflow.session import app_id, scratch_path
+    key = (app_id(spark), os.path.abspath(sf_dir), name)
     df = _WRITTEN.get(key)
     if df is None:
         built = build()
