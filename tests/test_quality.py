@@ -140,3 +140,19 @@ def test_hot_address_third_of_rows(spark):
     assert r.last_out == dt.datetime(2024, 1, 28)
     plan = sides._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan
+
+
+def test_fetch_limit_is_per_source_and_coin(spark):
+    rec = lambda i: ('{"TokenHolderAddress":"0x' + f"{i:040x}" + '","TokenHolderQuantity":"' + str(i) + '"}')
+    rows = []
+    for page in range(3):
+        items = ",".join(rec(page * 10 + j) for j in range(10))
+        rows.append(("etherscan", "USDC", "ethereum", page, "1", "OK", "[" + items + "]"))
+    rows.append(("etherscan", "USDT", "ethereum", 0, "1", "OK", "[" + rec(99) + "]"))
+    pages = spark.createDataFrame(rows, "source_explorer string, stablecoin string, chain string, page long, "
+                                        "status string, message string, result string")
+    h = PG.read_api_holders(pages, cap=25).collect()
+    usdc = sorted(int(r.address, 16) for r in h if r.stablecoin == "USDC")
+    assert usdc == list(range(25))
+    assert len([r for r in h if r.stablecoin == "USDT"]) == 1
+    assert PG.read_api_holders(pages, cap=None).count() == 31

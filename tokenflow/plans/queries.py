@@ -653,7 +653,7 @@ SELECT transaction_hash, block_number, {C.ymdhms('"timestamp"')} AS "timestamp",
 FROM tx""")
 def q_read_api_transfers(spark, sf):
     pages = PG.landed_transfer_pages(_tx(spark, sf))
-    valid, _, _ = QL.split_valid(PG.read_api_transfers(pages, limit=PG.MAX_ITEMS))
+    valid, _, _ = QL.split_valid(PG.read_api_transfers(pages, limit=None))  # whole landed data
     return valid.drop("ingest_key")
 
 
