@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tokenflow import dims
 from tokenflow.functions import scalar as S
+from tokenflow.functions.frames import attach_scalars
 
 
 def _all():
@@ -152,11 +153,8 @@ def by_stablecoin(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
 
 
 def _attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row via an
-    equi-join on a constant key (the one-row side is broadcast)."""
-    k = "_one"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "left").drop(k))
+    """Columns of a one-row aggregate on every row (scalar subqueries)."""
+    return attach_scalars(df, one_row)
 
 
 # A3 -------------------------------------------------------------------------

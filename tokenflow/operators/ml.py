@@ -95,8 +95,9 @@ def eval_binary(pred: DataFrame, label: str = "label", prediction: str = "predic
 
 
 def _one(a: DataFrame, b: DataFrame) -> DataFrame:
-    k = "_one"
-    return a.withColumn(k, F.lit(1)).join(F.broadcast(b.withColumn(k, F.lit(1))), k, "left").drop(k)
+    """Columns of the one-row frame ``b`` on every row of ``a`` (scalar subqueries)."""
+    from tokenflow.functions.frames import attach_scalars
+    return attach_scalars(a, b)
 
 
 # M8 -------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tokenflow.functions import scalar as S
+from tokenflow.functions.frames import attach_scalars
 from tokenflow.operators.analytics import require_columns
 
 PERIODS = ["daily", "weekly", "monthly"]
@@ -40,9 +41,7 @@ def time_series_totals(tx: DataFrame, aggregation: str = "daily") -> DataFrame:
     series = time_series(tx, aggregation)
     tot = tx.agg(F.count("*").cast("bigint").alias("total_count"),
                  F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(38,18)")).alias("total_volume"))
-    k = "_one"
-    return (series.withColumn(k, F.lit(1))
-            .join(F.broadcast(tot.withColumn(k, F.lit(1))), k, "left").drop(k))
+    return attach_scalars(series, tot)
 
 
 def ts_by_activity(tx: DataFrame, aggregation: str = "daily") -> DataFrame:
@@ -86,5 +85,4 @@ def ts_summary(series: DataFrame) -> DataFrame:
         F.max("cnt").cast("bigint").alias("peak_count"))
     tot = series.agg(F.coalesce(F.sum("transaction_count"), F.lit(0)).cast("bigint").alias("total_transactions"),
                      F.coalesce(F.sum("volume"), F.lit(0).cast("decimal(38,18)")).alias("total_volume"))
-    k = "_one"
-    return (peak.withColumn(k, F.lit(1)).join(F.broadcast(tot.withColumn(k, F.lit(1))), k).drop(k))
+    return attach_scalars(peak, tot)
