@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tokenflow.llm import mixing, quality_rules, url_filter
+from tokenflow.llm import mixing, packing, quality_rules, url_filter
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op5_url_filter": url_filter.query,
     "op7_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
