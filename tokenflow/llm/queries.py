@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tokenflow.llm import language_id, mixing, packing, quality_rules, url_filter
+from tokenflow.llm import language_id, line_dedup, mixing, packing, quality_rules, url_filter
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.query,
     "op6_language_id": language_id.query,
     "op2_packing": packing.query,
     "op5_url_filter": url_filter.query,
