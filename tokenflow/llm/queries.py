@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tokenflow.llm import language_id, line_dedup, lm_scoring, mixing, packing, quality_rules, url_filter
+from tokenflow.llm import jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, quality_rules, url_filter
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.query,
     "op10_lm_scoring": lm_scoring.query,
     "op4_line_dedup": line_dedup.query,
     "op6_language_id": language_id.query,
