@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tokenflow.llm import embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, quality_rules, url_filter
+from tokenflow.llm import embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, quality_rules, url_filter
 
 QUERIES = {
+    "op3_html_extract": html_extract.query,
     "op8_embedding_dedup": embedding_dedup.query,
     "op1_jaccard_join": jaccard_join.query,
     "op10_lm_scoring": lm_scoring.query,
