@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokenflow.session import checkpoint_dir
+from tokenflow.session import checkpoint_dir, scratch_path
 
 #: white space of the word contract: space, tab, LF, VT, FF, CR
 SPACE = " \t\n\x0b\f\r"
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder: like ``cut``
+    for wide rows, compressed and with column pruning on each later read."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, everything else unchanged."""
     return F.translate(c, UPPER, LOWER)

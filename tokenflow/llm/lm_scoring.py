@@ -31,7 +31,6 @@ alike, each counted in training; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokenflow.llm import ctw
-from tokenflow.llm.common import doc_key, table
-from tokenflow.session import scratch_path
+from tokenflow.llm.common import doc_key, table, written
 
 DEPTH, TOP = 5, 2
 BLOCK = 48_000_000
@@ -162,19 +160,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ----------------------------------------------------------------- the model
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of this run in the shared folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"lm/{uuid.uuid4().hex}/{name}")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def counts(docs: DataFrame, text: str, train: Column, depth: int = DEPTH) -> DataFrame:
     """(key, n): training count of every distinct gram and word of all texts."""
     parts = docs.select(F.col(text).alias("text"), (~train).alias("held")).mapInArrow(
         _counter(depth), "key long, n long")
-    return _written(parts.repartition("key").mapInArrow(_summed, "key long, n long"), "counts")
+    return written(parts.repartition("key").mapInArrow(_summed, "key long, n long"), "counts")
 
 
 def _subtree_column(depth: int) -> Column:
@@ -214,7 +204,7 @@ def probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         _, ones = ctw.subtree(keys, n, depth, TOP, True)
         return pa.table({"key": _signed(keys), "lp": shared.value.log10(keys, ones, depth)})
 
-    return _written(rows.groupby("subtree").applyInArrow(predict, "key long, lp double"), "grams")
+    return written(rows.groupby("subtree").applyInArrow(predict, "key long, lp double"), "grams")
 
 
 # ------------------------------------------------------------------- scoring

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokenflow.llm.common import SPACE, UPPER, cut, table, words
+from tokenflow.llm.common import SPACE, UPPER, table, words, written
 
 SYMBOLS = "#*$%&|<>"
 BAD, ABSTAIN, GOOD = 0, 1, 2
@@ -144,29 +144,21 @@ def posteriors(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """All columns of ``docs`` plus ``quality``: a struct of the counts,
-    ``base_failed``, ``p_good`` and ``kept``. The judged rows are written once
-    (shared checkpoint folder) and read by the EM and by the verdict."""
-    counted = text_counts(docs, text)
-    return _verdict(counted, threshold)
+    ``base_failed``, ``p_good`` and ``kept``. The counted rows are written once
+    (shared folder) and read by the EM and by the verdict."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    counted = text_counts(docs.select(row, F.col(f"`{text}`").alias("_text")), "_text")
+    return _verdict(counted.select("_row", "_c"), threshold).select("_row.*", "quality")
 
 
 def _verdict(counted: DataFrame, threshold: float) -> DataFrame:
-    flat = counted.select("*", "_c.*") if not (set(counted.columns) & set(_COUNTS)) else None
-    if flat is None:  # a clashing column name: evaluate the rules inside the struct only
-        inner = counted.select(F.struct(*[F.col(f"`{c}`") for c in counted.columns if c != "_c"]).alias("_row"), "_c")
-        out = _verdict(inner, threshold)
-        return out.select("_row.*", "quality")
-    flat = cut(flat.withColumn("_v", votes()).withColumn("_f", base_failed()))
-    post = posteriors(flat)
-    joined = flat.join(F.broadcast(post), "_v", "left")
+    """(_row, quality) from (_row, _c)."""
+    flat = written(counted.select("*", "_c.*").withColumn("_v", votes()).withColumn("_f", base_failed())
+                   .select("_row", "_c", "_v", "_f"), "quality")
+    joined = flat.join(F.broadcast(posteriors(flat)), "_v", "left")
     kept = ~F.col("_f") & (F.col("p_good") >= threshold)
-    out = joined.withColumn("quality", F.struct(
-        "_c.*", F.col("_f").alias("base_failed"), F.col("p_good"), kept.alias("kept")))
-    return out.select(*[F.col(f"`{c}`") for c in counted.columns if c != "_c"], "quality")
-
-
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
-           "n_distinct", "_v", "_f", "p_good")
+    return joined.select("_row", F.struct("_c.*", F.col("_f").alias("base_failed"), "p_good",
+                                          kept.alias("kept")).alias("quality"))
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -176,8 +168,8 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counted = text_counts(docs.select("doc_id", "text")).select("doc_id", "_c")
+    counted = text_counts(docs.select(F.struct("doc_id").alias("_row"), "text")).select("_row", "_c")
     out = _verdict(counted, 0.5)
     q = "quality."
-    return out.select("doc_id", q + "n_words", q + "word_chars", q + "n_symbols", q + "n_dup_lines",
+    return out.select("_row.doc_id", q + "n_words", q + "word_chars", q + "n_symbols", q + "n_dup_lines",
                       q + "n_repeat_words", q + "base_failed", q + "kept", q + "p_good")
