@@ -158,10 +158,14 @@ class Top:
 
 def grams_of(data: np.ndarray, depth: int) -> np.ndarray:
     """Gram of every position of ``data`` (uint8, with ``depth`` leading zeros
-    as the context before the text)."""
+    as the context before the text); ``depth`` is at most 6."""
     n = len(data) - depth
-    wide = data.astype(np.uint64)
-    out = wide[depth:].copy()
-    for k in range(1, depth + 1):  # k-th most recent byte
-        out |= wide[depth - k:depth - k + n] << np.uint64(8 * (depth + 1 - k))
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    # 8 bytes from each place on, the first one lowest: the context is in order
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    window = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,))
+    out = window & np.uint64((1 << (8 * depth)) - 1)
+    out <<= np.uint64(8)
+    out |= (window >> np.uint64(8 * depth)) & np.uint64(255)
     return out

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenflow.llm.common import cut, table
 from tokenflow.llm.graph import components
-from tokenflow.llm.jaccard_join import NULL_ID, _mix
+from tokenflow.llm.jaccard_join import NULL_ID
 
 THRESHOLD = 0.95
 SAMPLE = 10_000

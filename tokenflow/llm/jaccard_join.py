@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenflow.llm.common import cut, table
 from tokenflow.llm.graph import components
-from tokenflow.llm.lm_scoring import _add, _chunks, _words
+from tokenflow.llm.lm_scoring import _add, _chunks, _words, mix
 
 WIDTH = 5
 #: similarity of at least NUM / DEN
@@ -54,23 +54,18 @@ HOT, SHORT, TILE = 1_000_000, 64, 4096
 BROADCAST_IDS = 2_000_000
 NULL_ID = -(1 << 63)
 
-_P, _A = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A
-    return x ^ (x >> np.uint64(29))
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each (already lower-cased) text."""
-    keys, index, count = _words(texts)
+    keys, count = _words(texts)
     out = []
     with np.errstate(over="ignore"):
-        m = _mix(keys)[index] if len(keys) else np.empty(0, np.uint64)
+        m = mix(keys)
         h = m[:max(len(m) - width + 1, 0)].copy()
         for k in range(1, width):
-            h = _mix(h * _P + m[k:k + len(h)])
+            h = mix(h * _P + m[k:k + len(h)])
         at = 0
         for c in count.tolist():
             if c >= width:
@@ -78,7 +73,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
             elif c:
                 x = m[at:at + 1] + np.uint64(c)
                 for k in range(1, c):
-                    x = _mix(x * _P + m[at + k:at + k + 1])
+                    x = mix(x * _P + m[at + k:at + k + 1])
                 out.append(x)
             else:
                 out.append(np.empty(0, np.uint64))
@@ -245,11 +240,11 @@ def _tile(leader: int, a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
     """Where a pair is verified: the list's leader, and a part per side when
     the list is too long for one tile."""
     with np.errstate(over="ignore"):
-        base = _mix(np.full(len(a), leader, np.int64).view(np.uint64))
+        base = mix(np.full(len(a), leader, np.int64).view(np.uint64))
         if parts > 1:
-            side = [(_mix(x.view(np.uint64)) % np.uint64(parts)) for x in (a, b)]
+            side = [(mix(x.view(np.uint64)) % np.uint64(parts)) for x in (a, b)]
             lo, hi = np.minimum(*side), np.maximum(*side)
-            base = _mix(base * _P + lo * np.uint64(parts) + hi)
+            base = mix(base * _P + lo * np.uint64(parts) + hi)
     return base.view(np.int64)
 
 
@@ -280,7 +275,7 @@ def _first_round(short: int):
                 out = _emit(list(_pairs_of(doc, size, pos)), doc, token)
             else:
                 with np.errstate(over="ignore"):
-                    lead = int(np.argmin(_mix(doc.view(np.uint64) * _P + np.uint64(token & (2 ** 64 - 1)))))
+                    lead = int(np.argmin(mix(doc.view(np.uint64) * _P + np.uint64(token & (2 ** 64 - 1)))))
                 out = _emit(list(_pairs_of(doc, size, pos, only=lead)), doc, token)
                 # size > 0 marks an entry of a long list
                 yield pa.RecordBatch.from_arrays(

@@ -36,15 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tokenflow.llm import ctw
 from tokenflow.llm.common import doc_key, table, written
 
+#: bytes of context; a gram and a row number share 64 bits, so at most 5
 DEPTH, TOP = 5, 2
-BLOCK = 48_000_000
-CHUNK = 8_000_000
+BLOCK = 24_000_000
+CHUNK = 2_000_000
 BROADCAST_GRAMS = 8_000_000
 
 WORD = 1 << 63  # keys from here on are words, below it grams
@@ -74,7 +74,7 @@ def _chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, pa.Array]
     row = 0
     while row < len(texts):
         done = ends[row - 1] if row else 0
-        to = max(int(np.searchsorted(ends, done + size, side="right")), row + 1)
+        to = min(max(int(np.searchsorted(ends, done + size, side="right")), row + 1), row + 60_000)
         yield row, texts.slice(row, to - row)
         row = to
 
@@ -103,17 +103,49 @@ def _grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return ctw.grams_of(wide, depth)[real[depth:]], sizes + 1
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word keys, the key's index per word, words per text."""
-    lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    real = pc.not_equal(flat, "")
-    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    row = row[real.to_numpy(zero_copy_only=False)]
-    coded = flat.filter(real).dictionary_encode()
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(w) | WORD for w in coded.dictionary.to_pylist()), dtype=np.uint64,
-                       count=len(coded.dictionary))
-    return keys, coded.indices.to_numpy(zero_copy_only=False), np.bincount(row, minlength=len(texts))
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _powers(n: int) -> np.ndarray:
+    if len(_powers.table) < n:
+        with np.errstate(over="ignore"):
+            _powers.table = np.multiply.accumulate(np.append(np.uint64(1), np.full(2 * n, _ODD, np.uint64)))
+    return _powers.table
+
+
+_powers.table = np.empty(0, np.uint64)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every word in order (a polynomial of random byte values, mixed),
+    and the number of words of each text."""
+    data, sizes = _bytes(texts)
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+    word = ~_IS_SPACE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    ends = np.cumsum(sizes)
+    heads = (ends - sizes)[sizes > 0]
+    begins[heads] = word[heads]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+    spans = np.diff(np.append(starts, len(data)))
+    at = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
+    body = data[starts[0]:]
+    with np.errstate(over="ignore"):
+        value = np.where(word[starts[0]:], _RANDOM[body] * _powers(int(spans.max()))[at], np.uint64(0))
+        keys = mix(np.add.reduceat(value, starts - starts[0])) | np.uint64(WORD)
+    return keys, np.diff(np.searchsorted(starts, np.append(0, ends)))
 
 
 def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +169,11 @@ def _counter(depth: int):
                 parts.append(tuple(np.unique(g[of_train], return_counts=True)))
                 rest = np.unique(g[~of_train])
                 parts.append((rest, np.zeros(len(rest), np.int64)))
-                keys, index, count = _words(texts)
-                parts.append((keys, np.bincount(index[np.repeat(mine, count)], minlength=len(keys))))
+                keys, count = _words(texts)
+                of_train = np.repeat(mine, count)
+                parts.append(tuple(np.unique(keys[of_train], return_counts=True)))
+                rest = np.unique(keys[~of_train])
+                parts.append((rest, np.zeros(len(rest), np.int64)))
                 parts.append((np.array([END, BYTES], np.uint64), np.array([mine.sum(), per.sum()])))
             if sum(len(k) for k, _ in parts) > 4_000_000:
                 parts = [_add(parts)]
@@ -278,15 +313,19 @@ def score(docs: DataFrame, text: str, doc_id: str, train: Column, depth: int = D
         end = known(np.array([END], np.uint64))[0]
         for _, texts in _chunks(left.column("text").combine_chunks()):
             g, per = _grams(texts, depth)
-            row = np.repeat(np.arange(len(per)), per)
-            order = np.argsort(g)  # look-ups in order stay in the cache
-            out["score"].append(np.bincount(row[order], weights=lp(g[order]), minlength=len(per)))
-            keys, index, words = _words(texts)
+            # gram and row in one integer: one sort brings equal grams together
+            g = (g << np.uint64(16)) | np.repeat(np.arange(len(per), dtype=np.uint64), per)
+            g.sort()
+            row = (g & np.uint64(65535)).astype(np.int64)
+            g >>= np.uint64(16)
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            value = np.repeat(lp(g[first]), np.diff(np.append(first, len(g))))
+            out["score"].append(np.bincount(row, weights=value, minlength=len(per)))
+            keys, words = _words(texts)
             n = known(keys)
-            base = np.log10((n + 1) / all_tokens)
             out["n_tokens"].append(words + 1)
-            out["n_known"].append(_by_row((n > 0)[index].astype(float), words) + (end > 0))
-            out["base_score"].append(_by_row(base[index], words) + math.log10((end + 1) / all_tokens))
+            out["n_known"].append(_by_row((n > 0).astype(float), words) + (end > 0))
+            out["base_score"].append(_by_row(np.log10((n + 1) / all_tokens), words) + math.log10((end + 1) / all_tokens))
         n = left.num_rows
         cols = {k: np.concatenate(v) if v else np.empty(0) for k, v in out.items()}
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held"),
