@@ -430,9 +430,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its component."""
     out = cut(near_duplicates(docs, text, doc_id))
-    drop = out.groupBy("doc").agg(F.min("component").alias("component")).where("doc <> component").select("doc")
+    drop = out.groupBy("doc").agg(F.min("component").alias("component")).where("doc <> component").select(
+        F.col("doc").alias("__dropped"))
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    return docs.join(drop, key == F.col("doc"), "left_anti")
+    return docs.join(drop, key == F.col("__dropped"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

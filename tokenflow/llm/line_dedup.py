@@ -31,7 +31,8 @@ Defined results: null text stays null, empty text stays empty; blank lines
 have no words but belong to runs; rows equal in id and text are one document
 and get equal results; rows with one id and different texts are ordered by
 text hash; ids may be null (they come first); an empty table gives an empty
-result; other columns are carried through, whatever their names.
+result; other columns are carried through, one named
+``line_dedup`` is replaced.
 """
 
 from __future__ import annotations
@@ -162,8 +163,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words
     return out.select("_row", kept.alias("_kept"), F.struct(
         n_lines.alias("n_lines"), removed.alias("n_removed"),
         F.coalesce("runs", F.expr("cast(array() as array<struct<from: int, to: int>>)")).alias("runs")).alias("_info")
-    ).select(*[F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
-             F.col("_info").alias("line_dedup"))
+    ).select(*[F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns
+               if c != "line_dedup"], F.col("_info").alias("line_dedup"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ broadcast back.
 
 Defined results: null text counts as empty; an empty text has zero counts,
 ``base_failed`` true and ``kept`` false; an empty table gives an empty result;
-extra columns are ignored; repeated rows are judged alike, each in its row.
+other columns are carried through, one named
+``quality`` is replaced by the verdict in ``judge``; repeated rows are judged alike, each in its row.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
     (shared folder) and read by the EM and by the verdict."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     counted = text_counts(docs.select(row, F.col(f"`{text}`").alias("_text")), "_text")
-    return _verdict(counted.select("_row", "_c"), threshold).select("_row.*", "quality")
+    out = _verdict(counted.select("_row", "_c"), threshold)
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "quality"], "quality")
 
 
 def _verdict(counted: DataFrame, threshold: float) -> DataFrame:
@@ -163,7 +165,9 @@ def _verdict(counted: DataFrame, threshold: float) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return judge(docs, text).where("quality.kept").drop("quality")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    counted = text_counts(docs.select(row, F.col(f"`{text}`").alias("_text")), "_text").select("_row", "_c")
+    return _verdict(counted, 0.5).where("quality.kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ Defined results: a null url or one without ``://`` has empty host and path, no
 tokens and the verdict ``default``; ties between mined rules go to the higher
 confidence, then support, then the longer and alphabetically first token set;
 repeated rows get the same verdict in their own row; an empty table gives an
-empty result (nothing is mined); extra columns are kept out of the result.
+empty result (nothing is mined); other columns are carried through, one named
+``url_verdict`` is replaced.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, default: str = "allow
     open_sets = held.where("_rule is null and size(_tokens) > 0").select(F.col("_tokens").alias("tokens")).distinct()
     found = match(open_sets, mined).select(F.col("tokens").alias("_tokens"), F.col("verdict").alias("_mv"), "mined_rule")
     out = held.join(found, "_tokens", "left")
-    return out.select("_row.*", F.struct(
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c != "url_verdict"], F.struct(
         F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
         F.coalesce("_rule.verdict", "_mv", F.lit(default)).alias("verdict"),
         F.when(F.col("_rule").isNull(), F.col("mined_rule")).alias("mined_rule")).alias("url_verdict"))
