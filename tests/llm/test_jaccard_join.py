@@ -31,9 +31,8 @@ def variants(r, base, n, edits):
 
 
 @pytest.mark.parametrize("seed,short,tile", [(0, 64, 4096), (1, 4, 4096), (2, 2, 8)])
-def test_groups_equal_brute_force(spark, seed, short, tile, monkeypatch):
+def test_groups_equal_brute_force(spark, seed, short, tile):
     """Near copies around the threshold, long lists and small tiles."""
-    monkeypatch.setattr(J, "TILE", tile)
     r = random.Random(seed)
     texts = []
     for g in range(6):
@@ -44,7 +43,7 @@ def test_groups_equal_brute_force(spark, seed, short, tile, monkeypatch):
     texts += ["Short Text", "short text", "a b c d e", "A B c d e", "", None, "  "]
     rows = list(enumerate(texts))
     r.shuffle(rows)
-    got = J.near_duplicates(simple(spark, rows), short=short, hot=50 if seed else J.HOT).collect()
+    got = J.near_duplicates(simple(spark, rows), short=short, tile=tile, hot=50 if seed else J.HOT).collect()
     assert sorted((x.doc, x.n_shingles, x.component) for x in got) == brute(rows)
 
 

@@ -10,21 +10,25 @@ a component that is already known are never looked for.
 2. A second pass indexes the prefix of each set that any partner must hit
    (n - ceil(0.8 n) + 1 shingles) with the set's size and the position. Equal
    sets count once, by their smallest id.
-3. Index-level skipping: a list is sorted in blocks of equal size and
-   position. A set skips whole blocks whose size or whose position leaves too
-   few shingles to reach the threshold. Lists of up to ``SHORT`` entries give
-   all remaining pairs, longer ones give the pairs with their leader only.
-4. Answer-level skipping: pairs are verified in tiles of similar sets. The sets
-   of a tile are kept as differences from the tile's leader, so a set's
-   overlaps come from the leader's overlaps minus what the set lacks plus what
-   it has more.
-5. Verified links make components. Long lists are then revisited: only pairs
-   whose sets are in different components are left, and are verified alike.
+3. Index-level skipping: a list is sorted by size and position. A set skips
+   everything behind the first partner that is too large, and partners whose
+   position leaves too few shingles to reach the threshold. Lists of up to
+   ``SHORT`` entries give all remaining pairs, longer ones only the pairs with
+   their ``LEADERS`` leaders.
+4. Pairs are verified in tiles of sets that hang together. Verified links make
+   components.
+5. Sets that share long lists are gathered in clusters. Pairs inside a component
+   need no answer any more, so only sets outside a cluster's largest component
+   ask, and their links to other components are all that is returned.
+6. Answer-level skipping, in both kinds of tiles: the answers of a set that is
+   much like a leader are derived from the leader's answers, minus what the set
+   lacks plus what it has more, so only the lists of the difference are read.
 
 Exactness: each pair at or above the threshold shares a prefix shingle and
-passes both bounds, so it is verified or its sets are already connected.
+passes both bounds, so it is verified, or both sets are in one cluster and
+either connected already or compared there.
 Scale: postings are dealt by shingle and never sorted as a whole; a long list
-is linear in the first round; tiles hold at most about ``TILE`` sets a side;
+gives rows in proportion to its length; tiles hold about ``TILE`` sets a side;
 links and components stay in tables.
 
 Defined results: null text, empty text and text without words have no shingle
@@ -49,7 +53,7 @@ from tokenflow.llm.lm_scoring import _add, _chunks, _words, mix
 WIDTH = 5
 #: similarity of at least NUM / DEN
 NUM, DEN = 4, 5
-HOT, SHORT, TILE = 1_000_000, 64, 4096
+HOT, SHORT, LEADERS, TILE = 1_000_000, 64, 3, 4096
 #: ids up to this many are broadcast (8 bytes each), beyond it joined by shuffle
 BROADCAST_IDS = 2_000_000
 NULL_ID = -(1 << 63)
@@ -188,124 +192,72 @@ def _postings(hot):
 
 # ----------------------------------------------------------- candidate search
 
-def _lists(batches: Iterator[pa.RecordBatch], columns: int):
-    """(token, column arrays) of every list with at least two entries, sorted
-    by size and position."""
-    got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-    if not got:
-        return
-    cols = [np.concatenate([g[k] for g in got]) for k in range(columns)]
-    token = cols[0]
-    order = np.argsort(token, kind="stable")
-    t = token[order]
-    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-    stops = np.append(starts[1:], len(t))
-    for a, b in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist()):
-        rows = order[a:b]
-        rows = rows[np.lexsort((cols[1][rows], cols[3][rows], cols[2][rows]))]
-        yield int(t[a]), [c[rows] for c in cols[1:]]
-
-
-def _pairs_of(doc, size, pos, comp=None, only=None):
-    """Index pairs of a list (sorted by size, position) that pass the bounds.
-
-    Entries of equal size and position form one block; for each block of
-    probes the partner blocks are judged as a whole and skipped or taken.
-    ``only``: pairs with that entry; ``comp``: pairs across components."""
-    first = np.flatnonzero(np.append(True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1])))
-    last = np.append(first[1:], len(size))
-    bs, bp = size[first].astype(np.int64), pos[first].astype(np.int64)
-    for k in range(len(first)):
-        reach = int(np.searchsorted(bs, bs[k] * DEN // NUM, side="right"))
-        other = np.arange(k, reach)
-        room = 1 + np.minimum(bs[k] - 1 - bp[k], bs[other] - 1 - bp[other])
-        for o in other[room >= _needed(bs[k], bs[other])].tolist():
-            left = np.arange(first[k], last[k])
-            right = np.arange(first[o], last[o])
-            if only is not None:
-                if first[k] <= only < last[k]:
-                    yield np.full(len(right), only), right
-                if o != k and first[o] <= only < last[o]:
-                    yield left, np.full(len(left), only)
-                continue
-            for i in left.tolist():
-                r = right[right > i]
-                if comp is not None:
-                    r = r[comp[r] != comp[i]]
-                if len(r):
-                    yield np.full(len(r), i), r
-
-
-def _tile(leader: int, a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
-    """Where a pair is verified: the list's leader, and a part per side when
-    the list is too long for one tile."""
-    with np.errstate(over="ignore"):
-        base = mix(np.full(len(a), leader, np.int64).view(np.uint64))
-        if parts > 1:
-            side = [(mix(x.view(np.uint64)) % np.uint64(parts)) for x in (a, b)]
-            lo, hi = np.minimum(*side), np.maximum(*side)
-            base = mix(base * _P + lo * np.uint64(parts) + hi)
-    return base.view(np.int64)
-
-
-def _emit(found, doc, token) -> pa.RecordBatch | None:
-    if not found:
-        return None
-    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-    real = a != b
-    a, b = a[real], b[real]
-    tile = _tile(int(doc.min()), a, b, -(-len(doc) // TILE))
-    zero = np.zeros(len(a), np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(a), pa.array(b), pa.array(zero), pa.array(zero)],
-                                      ["token", "a", "b", "size", "pos"])
-
-
-def _first_round(short: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, (doc, size, pos, ident) in _lists(batches, 5):
-            # equal sets once, by their smallest id: the order has them next to each other
-            order = np.lexsort((doc, ident, pos, size))
-            doc, size, pos, ident = (x[order] for x in (doc, size, pos, ident))
-            keep = np.append(True, (ident[1:] != ident[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]))
-            doc, size, pos = doc[keep], size[keep], pos[keep]
-            if len(doc) < 2:
-                continue
-            if len(doc) <= short:
-                out = _emit(list(_pairs_of(doc, size, pos)), doc, token)
-            else:
-                with np.errstate(over="ignore"):
-                    lead = int(np.argmin(mix(doc.view(np.uint64) * _P + np.uint64(token & (2 ** 64 - 1)))))
-                out = _emit(list(_pairs_of(doc, size, pos, only=lead)), doc, token)
-                # size > 0 marks an entry of a long list
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(doc), token, np.int64)), pa.array(doc), pa.array(doc), pa.array(size),
-                     pa.array(pos)], ["token", "a", "b", "size", "pos"])
-            if out is not None and out.num_rows:
-                yield out
-    return run
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return starts, np.append(starts[1:], len(x))
 
 
-def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for token, (doc, size, pos, comp) in _lists(batches, 5):
-        if (comp == comp[0]).all():
-            continue
-        for f in _grouped(_pairs_of(doc, size, pos, comp=comp)):
-            out = _emit(f, doc, token)
-            if out is not None and out.num_rows:
-                yield out
+def _reaches(size_a, pos_a, size_b, pos_b):
+    """Position bound: enough shingles are left behind both positions."""
+    return 1 + np.minimum(size_a - 1 - pos_a, size_b - 1 - pos_b) >= _needed(size_a, size_b)
+
 
+def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)),
+                                       pa.array(b.astype(np.int64))], ["kind", "a", "b"])
 
-def _grouped(found, most: int = 200_000):
-    part, n = [], 0
-    for f in found:
-        part.append(f)
-        n += len(f[0])
-        if n >= most:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+
+def _search(short: int):
+    """Lists of a partition: pairs (kind 0) of short lists and of the leaders of
+    long ones, and (kind 1) which set is in a list led by which.
+
+    A list is sorted by size and position. Sets look at later entries one step
+    after the other, all lists at once; the first partner that is too large ends
+    a set's list (all blocks behind it are skipped), a partner without room at
+    its position is passed over."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        token, doc, size, pos, ident = (np.concatenate([g[k] for g in got]) for k in range(5))
+        order = np.argsort(token, kind="stable")
+        starts, ends = _runs(token[order])
+        many = np.repeat(ends - starts > 1, ends - starts)
+        token, doc, size, pos, ident = (x[order[many]] for x in (token, doc, size, pos, ident))
+        order = np.lexsort((doc, ident, pos, size, token))
+        token, doc, size, pos, ident = (x[order] for x in (token, doc, size, pos, ident))
+        # equal sets are next to each other: once, by the smallest id
+        fresh = np.append(True, (token[1:] != token[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1])
+                          | (ident[1:] != ident[:-1]))[:len(token)]
+        token, doc = token[fresh], doc[fresh]
+        size, pos = size[fresh].astype(np.int64), pos[fresh].astype(np.int64)
+        starts, ends = _runs(token)
+        length = np.repeat(ends - starts, ends - starts)
+        stop = np.repeat(ends, ends - starts)
+        here = np.flatnonzero(length <= short)
+        step = 1
+        while len(here):
+            here = here[here + step < stop[here]]
+            there = here + step
+            near = size[there] * NUM <= size[here] * DEN
+            here, there = here[near], there[near]
+            good = _reaches(size[here], pos[here], size[there], pos[there]) & (doc[here] != doc[there])
+            if good.any():
+                x, y = doc[here[good]], doc[there[good]]
+                yield _rows(0, np.minimum(x, y), np.maximum(x, y))
+            step += 1
+        for at, to in zip(starts[ends - starts > short].tolist(), ends[ends - starts > short].tolist()):
+            d, n, q = doc[at:to], size[at:to], pos[at:to]
+            lead = np.argsort(mix(d.view(np.uint64)), kind="stable")[:LEADERS]
+            yield _rows(1, np.full(len(d), d[lead[0]]), d)
+            for k in lead.tolist():
+                small, large = np.minimum(n, n[k]), np.maximum(n, n[k])
+                good = (large * NUM <= small * DEN) & _reaches(n, q, n[k], q[k]) & (d != d[k])
+                yield _rows(0, np.minimum(d[good], d[k]), np.maximum(d[good], d[k]))
+    return run
 
 
 # --------------------------------------------------------------- verification
@@ -371,16 +323,16 @@ def _sums(mark: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
     return total[ends] - total[ends - [len(p) for p in parts]]
 
 
-def _links(pairs: DataFrame, scan: DataFrame) -> DataFrame:
-    """Verified links (a, b) of candidate pairs (tile, a, b). Only documents
-    that are in a pair have their sets built again."""
-    pairs = cut(pairs.groupBy("a", "b").agg(F.min("token").alias("tile")))
-    need = cut(pairs.select("tile", F.col("a").alias("doc")).unionByName(
-        pairs.select("tile", F.col("b").alias("doc"))).distinct())
-    ids = need.select("doc").distinct()
+def _parts(c, n):
+    """Part of an id among ``n``."""
+    return F.pmod(F.xxhash64(c), n)
+
+
+def _build(scan: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, shingles) of the documents in ``ids`` only."""
     some = scan.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for docs, sets in _sets(b):
                 rows = [k for k, s in enumerate(sets) if len(s)]
@@ -388,15 +340,98 @@ def _links(pairs: DataFrame, scan: DataFrame) -> DataFrame:
                     [pa.array(docs[rows]), pa.array([sets[k].view(np.int64) for k in rows], pa.list_(pa.int64()))],
                     ["doc", "shingles"])
 
-    sets = some.select("doc", "text").mapInArrow(build, "doc long, shingles array<long>")
-    placed = sets.join(need, "doc").select("tile", "doc", "shingles")
-    return cut(pairs.groupby("tile").cogroup(placed.groupby("tile")).applyInArrow(_verify, "a long, b long"))
+    return some.select("doc", "text").mapInArrow(run, "doc long, shingles array<long>")
+
+
+def _links(pairs: DataFrame, scan: DataFrame, tile: int) -> DataFrame:
+    """Verified links (a, b) of candidate pairs (a, b). Pairs that hang together
+    are verified in one tile, so a set is sent once; only a component of more
+    than ``tile`` sets is cut into parts."""
+    pairs = cut(pairs.distinct())
+    label = cut(components(pairs))
+    parts = label.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("long").alias("k"))
+    placed = (pairs.join(label.withColumnRenamed("node", "a"), "a").join(parts, "component")
+              .withColumn("p", _parts("a", F.col("k"))).withColumn("q", _parts("b", F.col("k")))
+              .select("a", "b", F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")).alias("tile")))
+    placed = cut(placed)
+    need = placed.select("tile", F.col("a").alias("doc")).unionByName(
+        placed.select("tile", F.col("b").alias("doc"))).distinct()
+    sets = _build(scan, label.select(F.col("node").alias("doc"))).join(need, "doc").select(
+        F.col("tile").alias("at"), "doc", "shingles")
+    return cut(placed.groupby("tile").cogroup(sets.groupby("at")).applyInArrow(_verify, "a long, b long"))
+
+
+def _across(t: pa.Table) -> pa.Table:
+    """Links between components among the sets of a tile: every query against
+    all data sets. Counts of shared shingles are merged from the data's lists;
+    a query that is like the last leader starts from the leader's counts and
+    merges only the lists of the shingles in which they differ."""
+    sets = [np.asarray(s) for s in t.column("shingles").to_pylist()]
+    comp, query = t.column("comp").to_numpy(), t.column("query").to_numpy(zero_copy_only=False)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    sets = [flat[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    data = np.flatnonzero(~query)
+    rows = np.repeat(np.arange(len(data)), sizes[data])
+    shingle = np.concatenate([sets[k] for k in data]) if len(data) else np.empty(0, np.int64)
+    order = np.argsort(shingle, kind="stable")
+    rows, bounds = rows[order], np.searchsorted(shingle[order], np.arange(flat.max(initial=0) + 2))
+
+    def merged(part: np.ndarray) -> np.ndarray:
+        lists = [rows[bounds[x]:bounds[x + 1]] for x in part.tolist()]
+        return np.bincount(np.concatenate(lists), minlength=len(data)) if lists else np.zeros(len(data), np.int64)
+
+    found = set()
+    lead, base = None, None
+    in_lead = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    for k in np.flatnonzero(query).tolist():
+        s = sets[k]
+        count = None
+        if lead is not None:
+            more = s[~in_lead[s]]
+            lack = np.setdiff1d(lead, s, assume_unique=True)
+            if len(more) + len(lack) < len(s) // 2:
+                count = base + merged(more) - merged(lack)
+        if count is None:
+            count = merged(s)
+            if lead is not None:
+                in_lead[lead] = False
+            lead, base = s, count
+            in_lead[lead] = True
+        hit = (count >= _needed(len(s), sizes[data])) & (comp[data] != comp[k])
+        found.update((int(comp[k]), int(c)) for c in np.unique(comp[data][hit]))
+    a, b = zip(*sorted(found)) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _cross_links(members: DataFrame, known: DataFrame, scan: DataFrame, tile: int) -> DataFrame:
+    """Links (a, b) between components inside the clusters of sets that share
+    long lists. Sets of a cluster's largest component are data only (their
+    pairs are connected already); all others are queries against all sets."""
+    cluster = cut(components(members))
+    labelled = cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(
+        known, F.col("doc") == F.col("node"), "left").select(
+        "doc", "cluster", F.coalesce("component", "doc").alias("comp"))
+    each = labelled.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = each.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("k"))
+    main = main.select("cluster", F.col("m.comp").alias("main"), F.col("k"), (F.col("k") - F.col("m.n")).alias("q")).where("q > 0")
+    rows = labelled.join(main, "cluster").withColumn("query", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("dp", F.ceil(F.col("k") / F.lit(float(tile)))).withColumn("qp", F.ceil(F.col("q") / F.lit(float(tile))))
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    data = rows.select("doc", "comp", "cluster", F.lit(False).alias("query"), _parts("doc", F.col("dp")).alias("x"),
+                       F.explode(whole("qp")).alias("y"))
+    asks = rows.where("query").select("doc", "comp", "cluster", "query", F.explode(whole("dp")).alias("x"),
+                                      _parts("doc", F.col("qp")).alias("y"))
+    placed = cut(data.unionByName(asks).select("doc", "comp", "query", F.xxhash64("cluster", "x", "y").alias("tile")))
+    sets = _build(scan, placed.select("doc").distinct())
+    return placed.join(sets, "doc").groupby("tile").applyInArrow(_across, "a long, b long")
 
 
 # ------------------------------------------------------------------- operator
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT,
-                    short: int = SHORT) -> DataFrame:
+                    short: int = SHORT, tile: int = TILE) -> DataFrame:
     """(doc, n_shingles, component): one row per row of ``docs``; null ids are
     ``NULL_ID`` here."""
     spark = docs.sparkSession
@@ -404,14 +439,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = cut(scan.mapInArrow(_first_pass, "kind int, a long, b long, c long, n long"))
     shared = spark.sparkContext.broadcast(_hot(first.where("kind = 1"), hot))
     postings = scan.mapInArrow(_postings(shared), "token long, doc long, size int, pos int, ident long")
-    rows = "token long, a long, b long, size int, pos int"
-    found = cut(postings.repartition("token").mapInArrow(_first_round(short), rows))
-    links = _links(found.where("size = 0").select("token", "a", "b"), scan)
+    found = cut(postings.repartition("token").mapInArrow(_search(short), "kind int, a long, b long").distinct())
+    links = _links(found.where("kind = 0").select("a", "b"), scan, tile)
     known = cut(components(links))
-    long_lists = found.where("size > 0").select("token", F.col("a").alias("doc"), "size", "pos")
-    labelled = (long_lists.join(known, F.col("doc") == F.col("node"), "left")
-                .select("token", "doc", "size", "pos", F.coalesce("component", "doc").alias("comp")))
-    more = _links(labelled.repartition("token").mapInArrow(_second_round, rows).select("token", "a", "b"), scan)
+    more = _cross_links(found.where("kind = 1").select("a", "b"), known, scan, tile)
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     members = first.where("kind = 0").select(F.col("a").alias("doc"), "b", "c", F.col("n").alias("n_shingles"))
     # equal sets and equal ids: one node, the smallest id
