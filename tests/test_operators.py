@@ -72,8 +72,8 @@ def test_merge_holders_case_insensitive(spark):
     t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
     rows = [holder_row(a=A1, bal="5", first=t2, last=t2, src="etherscan"),
             holder_row(a=A1.upper().replace("0X", "0x"), bal="7", first=t1, last=None, sov=True, src="bscscan")]
-    out = MG.merge_holders(MG.union_sources([spark.createDataFrame(rows[:1], HOLDER),
-                                             spark.createDataFrame(rows[1:], HOLDER)])).collect()
+    out = MG.merge_holders(MG.union_sources([spark.createDataFrame(x, HOLDER).withColumn("ingest_key", F.lit(0))
+                                             for x in (rows[:1], rows[1:])])).collect()
     assert len(out) == 1
     r = out[0]
     assert r.balance == Decimal("7") and r.first_seen == t1 and r.last_activity == t2

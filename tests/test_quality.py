@@ -156,3 +156,78 @@ def test_fetch_limit_is_per_source_and_coin(spark):
     assert usdc == list(range(25))
     assert len([r for r in h if r.stablecoin == "USDT"]) == 1
     assert PG.read_api_holders(pages, cap=None).count() == 31
+
+
+def test_malformed_fields_are_rejected_and_missing_ones_take_defaults(spark):
+    """Only absent text takes a default; malformed text is an error."""
+    good = dict(hash="0x" + "a" * 64, blockNumber="7", timeStamp="1700000000", to="0x" + "b" * 40, value="1.5",
+                gasUsed="21000", gasPrice="25.5", contractAddress="0x" + "c" * 40, **{"from": "0x" + "d" * 40})
+    cases = [({}, []), ({"timeStamp": "abc"}, ["timeStamp"]), ({"blockNumber": None}, []), ({"blockNumber": "x"}, ["blockNumber"]),
+             ({"gasUsed": "xx"}, ["gasUsed"]), ({"timeStamp": None}, []), ({"gasPrice": "1e"}, ["gasPrice"])]
+    import json
+    recs = [{k: v for k, v in (good | c).items() if v is not None} for c, _ in cases]
+    pages = spark.createDataFrame([("etherscan", "USDC", "ethereum", 0, "1", "OK", json.dumps(recs))],
+                                  "source_explorer string, stablecoin string, chain string, page long, status string, "
+                                  "message string, result string")
+    out = sorted(PG.read_api_transfers(pages).collect(), key=lambda r: r.ingest_key.pos)
+    assert [list(r.errors) for r in out] == [e for _, e in cases]
+    assert float(out[0].amount) == 1.5e-6 and out[2].block_number == 0 and out[5].timestamp.timestamp() == 0
+    from tokenflow.functions import scalar as SC
+    cost = PG.read_api_transfers(pages).where("ingest_key.pos = 0").select(SC.gas_cost_native("gas_used", "gas_price").alias("c")).first().c
+    assert abs(cost - 25.5 * 21000 / 1e18) < 1e-30
+
+
+def test_page_files_keep_file_and_page_order(spark, tmp_path):
+    """S5 over two response files: the limit takes the first records in file order."""
+    import json
+    rec = dict(blockNumber="1", timeStamp="1", to="0x" + "b" * 40, value="1", **{"from": "0x" + "d" * 40})
+    for f in range(2):
+        items = [rec | {"hash": f"0x{f}{k}" + "0" * 62} for k in range(2)]
+        (tmp_path / f"{f}.json").write_text(json.dumps({"status": "1", "message": "OK", "result": json.dumps(items)}))
+    from pyspark.sql import functions as F
+    pages = PG.read_pages(spark, str(tmp_path)).withColumns(
+        {"source_explorer": F.lit("etherscan"), "stablecoin": F.lit("USDC"), "chain": F.lit("ethereum")})
+    out = PG.read_api_transfers(pages, limit=2).collect()
+    assert sorted(r.transaction_hash[:4] for r in out) == ["0x00", "0x01"]
+    keys = {tuple(r.ingest_key) for r in PG.read_api_transfers(pages).collect()}
+    assert len(keys) == 4
+
+
+def test_optional_columns_and_nested_json(spark):
+    """A10 without gas columns, M1h without a chain column, S16 inside structs and maps."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from test_operators import TX, tx_row
+    from tokenflow.operators import analytics as A, features as FE
+    from tokenflow.sources import export as EX
+    tx = spark.createDataFrame([tx_row()], TX)
+    r = A.by_chain(tx.drop("gas_used", "gas_price")).where("chain = 'ethereum'").first()
+    assert r.avg_gas_cost is None and r.excluded_gas_count == 1
+    assert FE.side_stats(tx.drop("chain")).count() == 2
+    d = spark.createDataFrame([(1,)], "a int").select(
+        F.struct(F.lit(float("nan")).alias("x"), F.lit(Decimal("1.50")).alias("y")).alias("s"),
+        F.create_map(F.lit("k"), F.lit(float("inf"))).alias("m"), F.lit(dt.date(2020, 1, 2)).alias("d"))
+    out = EX.json_safe(d).first()
+    assert out.s.x is None and out.s.y == "1.50" and out.m == {"k": None} and out.d == "2020-01-02"
+
+
+def test_split_is_exact_per_class(spark):
+    """M5: round(0.2 n) of each class; a class too small falls back to one class."""
+    from tokenflow.operators import features as FE
+    d = spark.createDataFrame([(f"a{i}", "x" if i < 100 else "y") for i in range(137)], "address string, c string")
+    n = {(r.c, r.is_test): r["count"] for r in FE.split(d, label="c").groupBy("c", "is_test").count().collect()}
+    assert n[("x", True)] == 20 and n[("y", True)] == 7
+    small = FE.split(d.where("address < 'a11'").withColumn("c", d.address), label="c")
+    assert small.count() == round(small.count()) and small.where("is_test").count() == round(0.2 * small.count())
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+    from tokenflow import session
+    assert session._local_scratch("local[4]").startswith("/tmp/")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session._local_scratch(master)

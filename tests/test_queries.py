@@ -40,7 +40,9 @@ def test_percentages_sum_to_100_and_volume_conserved(spark):
 def test_streaming_equals_batch(spark):
     q = E.queries()
     s = q["incremental_ingest"](spark, SF)
-    b = q["dedup_tx"](spark, SF).select("transaction_hash", "chain")
+    b = q["dedup_tx"](spark, SF)
+    s = s.select("transaction_hash", "chain", "amount", "timestamp", "from_address", "to_address")
+    b = b.select(*s.columns)
     assert s.count() == b.count() and s.exceptAll(b).count() == 0
     ts = q["streaming_time_series"](spark, SF)
     from tokenflow.operators import timeseries as TS
@@ -58,16 +60,21 @@ def test_streaming_equals_batch(spark):
 
 def test_incremental_ingest_dedups_across_micro_batches(spark):
     """Copies of one transfer land in different files and are read in
-    different micro-batches (one file per trigger): state keeps the first."""
+    different micro-batches (one file per trigger): each key is written once, a
+    bad record goes to the rejects, and a second run adds nothing."""
     import tempfile
     from tokenflow.sources import testdata as TD
     from tokenflow.streaming import ingest as ST
     base = tempfile.mkdtemp(prefix="tf-x1-", dir="/tmp")
-    raw = TD.raw_transfers(spark, SF).drop("ingest_key")
-    raw.repartition(4, "source_explorer", "block_number").write.parquet(f"{base}/land")
-    ST.incremental_ingest(spark, f"{base}/land", f"{base}/out", f"{base}/ckpt",
-                          watermark="36500 days", max_files=1)
-    out = spark.read.parquet(f"{base}/out")
+    raw = TD.raw_transfers(spark, SF)
+    bad = raw.limit(1).withColumn("block_number", F.lit(-1).cast("bigint")).withColumn("transaction_hash", F.lit("0xbad"))
+    raw.unionByName(bad).repartition(4, "source_explorer", "block_number").write.parquet(f"{base}/land")
+    for _ in range(2):
+        ST.incremental_ingest(spark, f"{base}/land", f"{base}/out", f"{base}/ckpt", f"{base}/rejected",
+                              schema=raw.schema, max_files=1)
+    out = ST.ingested(spark, f"{base}/out")
+    assert spark.read.parquet(f"{base}/out").select("batch_id").distinct().count() >= 2
+    assert [r.transaction_hash for r in spark.read.parquet(f"{base}/rejected").collect()] == ["0xbad"]
     keys = raw.select("transaction_hash", "chain").distinct()
     assert out.count() == keys.count()
     assert out.select("transaction_hash", "chain").exceptAll(keys).count() == 0

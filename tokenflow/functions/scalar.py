@@ -23,26 +23,35 @@ def col(c) -> Column:
 
 # P1 ---------------------------------------------------------------------
 def scale_amount(raw, decimals) -> Column:
-    """Raw integer string / 10^decimals, exact: the decimal point is shifted
-    inside the string, so no intermediate type can overflow or round.
+    """Raw number string / 10^decimals, exact: the decimal point is shifted
+    inside the string, so no intermediate type can overflow or round. A raw
+    fraction ("1.5") moves the point by its own digits as well.
     Malformed or too large (> 20 integer digits) -> NULL."""
-    v = col(raw)
-    d = col(decimals) if not isinstance(decimals, int) else F.lit(decimals)
+    text = col(raw)
+    v = F.replace(text, F.lit("."), F.lit(""))
+    fraction = F.length(F.regexp_extract(text, r"\.([0-9]*)$", 1))
+    d = (col(decimals) if not isinstance(decimals, int) else F.lit(decimals)) + fraction
     n = F.length(v)
     width = F.greatest(n, d + 1)
     z = F.lpad(v, width, "0")
     zl = F.length(z)
     txt = F.concat(F.substring(z, F.lit(1), zl - d), F.lit("."),
                    F.substring(z, zl - d + 1, d))
-    digits_only = v.rlike(r"^[0-9]+$")
+    digits_only = text.rlike(r"^[0-9]+(\.[0-9]+)?$")
     return F.when(digits_only, txt.try_cast(AMOUNT))
 
 
 # P2 ---------------------------------------------------------------------
 def parse_epoch(s) -> Column:
-    """Unix seconds string -> UTC timestamp; missing/malformed -> epoch 0."""
-    secs = col(s).try_cast("bigint")
-    return F.timestamp_seconds(F.coalesce(secs, F.lit(0)))
+    """Unix seconds string -> UTC timestamp; missing -> epoch 0, malformed ->
+    NULL (the caller rejects the record)."""
+    secs = F.when(missing(s), F.lit(0).cast("bigint")).otherwise(col(s).try_cast("bigint"))
+    return F.timestamp_seconds(secs)
+
+
+def missing(s) -> Column:
+    """Absent or blank text."""
+    return F.coalesce(F.trim(col(s)) == "", F.lit(True))
 
 
 # P5 ---------------------------------------------------------------------
@@ -120,8 +129,13 @@ explorer_for_chain = dims.explorer_expr
 
 # P13 ----------------------------------------------------------------------
 def gas_wei_product(gas_used, gas_price) -> Column:
-    """gas_used * gas_price as an exact integer decimal (wei)."""
-    return col(gas_used).cast("decimal(38,0)") * col(gas_price).cast("decimal(38,0)")
+    """gas_used * gas_price in wei, exact to the 9 digits that a price may
+    have: whole and fractional part of the price are multiplied apart, so the
+    product keeps its scale."""
+    used, price = col(gas_used).cast("decimal(19,0)"), col(gas_price).cast("decimal(38,9)")
+    whole = F.floor(price).cast("decimal(19,0)")
+    part = (price - whole).cast("decimal(9,9)")
+    return ((used * whole).try_cast("decimal(37,9)") + (used * part).cast("decimal(28,9)")).cast("decimal(38,9)")
 
 
 def gas_cost_native(gas_used, gas_price) -> Column:

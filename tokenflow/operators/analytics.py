@@ -206,8 +206,12 @@ def holder_metrics(holders: DataFrame, period_col: str = "holding_period_days")
 def by_chain(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """Per chain (3 fixed): count, volume, avg (row count), avg gas cost in
     native units (null if no gas data), rows excluded for null gas, SoV
-    ratio, activity %. Gas cost is summed exactly in wei."""
+    ratio, activity %. Gas cost is summed exactly in wei; without gas columns
+    every row is excluded and the cost is null."""
     require_columns(tx, {"chain", "amount", "activity_type"})
+    for c in ("gas_used", "gas_price"):
+        if c not in tx.columns:
+            tx = tx.withColumn(c, F.lit(None).cast("decimal(38,9)"))
     return _per_dim(tx, holders, "chain", dims.CHAINS, gas=True)
 
 

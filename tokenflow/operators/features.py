@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from tokenflow.functions import scalar as S
-from tokenflow.operators.rank import average_percentile
+from tokenflow.operators.rank import average_percentile, value_ranks
 from tokenflow.schemas import FEATURES
 
 
@@ -18,7 +19,10 @@ def _ref(reference_time):
 def side_stats(tx: DataFrame) -> DataFrame:
     """Per lower-cased address, one pass over TX (each transfer exploded to
     its two ends, aggregated map-side before the shuffle):
-    counts, exact decimal sums, sample std and chain sets per side."""
+    counts, exact decimal sums, sample std and first / last chain per side
+    (two chains exactly if they differ). TX without a chain column has one."""
+    if "chain" not in tx.columns:
+        tx = tx.withColumn("chain", F.lit(""))
     ends = tx.select(F.explode(F.array(
         F.struct(F.lower("from_address").alias("a"), F.lit(True).alias("out"),
                  F.col("amount").alias("amt"), F.col("chain").alias("ch")),
@@ -31,8 +35,8 @@ def side_stats(tx: DataFrame) -> DataFrame:
         F.sum(F.when(i, F.col("amt"))).alias("sum_to"), F.count(F.when(i, F.col("amt"))).alias("c_to"),
         F.stddev_samp(F.when(o, F.col("amt").cast("double"))).alias("std_from"),
         F.stddev_samp(F.when(i, F.col("amt").cast("double"))).alias("std_to"),
-        F.size(F.collect_set(F.when(o, F.col("ch")))).alias("chains_from"),
-        F.size(F.collect_set(F.when(i, F.col("ch")))).alias("chains_to"))
+        (F.min(F.when(o, F.col("ch"))) != F.max(F.when(o, F.col("ch")))).alias("chains_from"),
+        (F.min(F.when(i, F.col("ch"))) != F.max(F.when(i, F.col("ch")))).alias("chains_to"))
 
 
 def holder_features(holders: DataFrame, tx: DataFrame | None, reference_time,
@@ -65,7 +69,7 @@ def holder_features(holders: DataFrame, tx: DataFrame | None, reference_time,
             F.when((mean_from > 0) & (mean_to > 0), (mean_from + mean_to) / 2.0)
              .otherwise(F.greatest(mean_from, mean_to)).alias("avg_transaction_size"),
             ((F.coalesce("std_from", F.lit(0.0)) + F.coalesce("std_to", F.lit(0.0))) / 2.0).alias("balance_volatility"),
-            ((F.coalesce("chains_from", F.lit(0)) > 1) | (F.coalesce("chains_to", F.lit(0)) > 1))
+            (F.coalesce("chains_from", F.lit(False)) | F.coalesce("chains_to", F.lit(False)))
             .cast("int").alias("cross_chain_flag"))
     else:
         h = h.select("*", F.lit(0).cast("bigint").alias("transaction_count"),
@@ -116,14 +120,31 @@ def with_weights(labeled: DataFrame, label_col: str = "behavior_class") -> DataF
     return labeled.join(F.broadcast(w), label_col, "left")
 
 
-def split(df: DataFrame, key: str = "address", test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """M5: deterministic train/test flag from a hash of the key and the seed
-    (independent of partitioning, stable on recomputation). Every class is
-    split at the same rate, which is what stratification asks for; no window
-    gathers a class into one task."""
-    buckets = 1_000_000
-    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(buckets))
-    return df.withColumn("is_test", h < F.lit(int(test_size * buckets)))
+def split(df: DataFrame, key: str = "address", test_size: float = 0.2, seed: int = 42,
+          label: str | None = None) -> DataFrame:
+    """M5: deterministic train/test flag, independent of partitioning.
+
+    Rows are ordered by md5(key | seed); the first ``round(test_size * n)`` of
+    each class of ``label`` are the test side (exactly, if keys are unique;
+    rows of one key stay together). Without a label, or when the smallest
+    class has fewer than max(2, ceil(1 / test_size)) rows, the whole frame is
+    one class. Ranks come from the range-partitioned rank over (class, hash),
+    so no class is gathered into one task."""
+    hash_ = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    cls = F.lit("") if label is None else F.coalesce(F.col(label).cast("string"), F.lit(""))
+    x = df.withColumn("_cls", cls).withColumn("_h", hash_)
+    if label is not None:
+        least = x.groupBy("_cls").count().agg(F.min("count")).first()[0]
+        if least is not None and least < max(2, math.ceil(1 / test_size)):
+            x = x.withColumn("_cls", F.lit(""))
+    x = x.withColumn("_o", F.struct("_cls", "_h"))
+    ranks = value_ranks(x, "_o")
+    per = ranks.groupBy("_o._cls").agg(F.sum("_cnt").alias("_n"), F.min("_below").alias("_first"))
+    test = (ranks.withColumn("_cls", F.col("_o._cls")).join(per, "_cls")
+            .where(F.col("_below") - F.col("_first") < F.round(F.lit(test_size) * F.col("_n")))
+            .select(F.col("_o._cls").alias("_tc"), F.col("_o._h").alias("_th"), F.lit(True).alias("_t")))
+    out = x.join(test, (F.col("_cls") == F.col("_tc")) & (F.col("_h") == F.col("_th")), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_t", F.lit(False)).alias("is_test"))
 
 
 def feature_stats(features: DataFrame, cols=FEATURES) -> DataFrame:

@@ -15,14 +15,18 @@ ORDER = "ingest_key"
 def union_sources(batches: list[DataFrame], order_col: str = ORDER) -> DataFrame:
     """UNION ALL of per-source batches in source order.
 
-    ``ingest_key`` = struct(source_rank, within-source order). A batch that
-    already carries an order column keeps it (e.g. file name + array position
-    from S1/S5); otherwise the scan order id is used.
+    ``ingest_key`` = struct(source_rank, within-source order). Every batch must
+    carry its order column (e.g. file name + array position from S1/S5): scan
+    order changes with file splits and retries. Orders of different types are
+    compared as text.
     """
+    for b in batches:
+        if order_col not in b.columns:
+            raise ValueError(f"union_sources needs an order column {order_col!r} in every batch")
+    kinds = {b.schema[order_col].dataType.simpleString() for b in batches}
     parts = []
     for rank, b in enumerate(batches):
-        inner = (F.col(order_col) if order_col in b.columns
-                 else F.monotonically_increasing_id())
+        inner = F.col(order_col) if len(kinds) == 1 else F.col(order_col).cast("string")
         parts.append(b.withColumn(order_col, F.struct(F.lit(rank).alias("source_rank"),
                                                       inner.alias("pos"))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -80,7 +84,7 @@ def merge_holders(holders: DataFrame, order_col: str = ORDER) -> DataFrame:
     """
     h = holders
     if order_col not in h.columns:
-        h = h.withColumn(order_col, F.struct(F.monotonically_increasing_id().alias("pos")))
+        raise ValueError(f"merge_holders needs an order column {order_col!r}")
     key = [F.lower("address").alias("_akey"), "stablecoin", "chain"]
     h = h.select(*key, *[c for c in h.columns])
     k = ["_akey", "stablecoin", "chain"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -45,10 +46,13 @@ def label_join(features: DataFrame, holders: DataFrame, one_row_per_address: boo
 def train_sov(labeled: DataFrame, model: str = "forest", trees: int = 100, depth: int = 10,
               seed: int = 42, test_size: float = 0.2):
     """Binary SoV model; positive weight = negatives / max(positives, 1).
-    Returns (PipelineModel | None, test predictions, train/test split frame).
-    A single-class label set returns no model (metrics short-circuit)."""
-    s = split(labeled, test_size=test_size, seed=seed)
-    counts = labeled.groupBy("label").count().collect()  # <= 2 rows
+    counted on the training side only. Returns (PipelineModel | None, test
+    predictions, train/test split frame). A single-class label set returns no
+    model (metrics short-circuit); no labelled row at all is an error."""
+    s = split(labeled, test_size=test_size, seed=seed, label="label")
+    counts = s.where(~F.col("is_test")).groupBy("label").count().collect()  # <= 2 rows
+    if not counts and labeled.isEmpty():
+        raise ValueError("no feature row matches a labelled holder")
     pos = sum(r["count"] for r in counts if r["label"] == 1)
     neg = sum(r["count"] for r in counts if r["label"] == 0)
     if pos == 0 or neg == 0:
@@ -57,7 +61,7 @@ def train_sov(labeled: DataFrame, model: str = "forest", trees: int = 100, depth
     s = s.withColumn("weight", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
     if model == "gbt":
         clf = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight",
-                            maxDepth=min(depth, 10), maxIter=trees, seed=seed)
+                            maxDepth=depth, maxIter=trees, seed=seed)
     else:
         clf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
                                      numTrees=trees, maxDepth=depth, seed=seed)
@@ -80,9 +84,10 @@ def eval_binary(pred: DataFrame, label: str = "label", prediction: str = "predic
                  F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
     r = value_ranks(pred, score)
     avg_rank = F.col("_below").cast("double") + (F.col("_cnt").cast("double") + 1.0) / 2.0
-    pos_ranks = (pred.where(y == 1).select(F.col(score).alias("_s"))
-                 .join(r.select(F.col(score).alias("_s"), avg_rank.alias("_r")), "_s")
-                 .agg(F.sum("_r").alias("rank_sum_pos")))
+    # positives per distinct score first: a common score is one row on both sides
+    per_score = pred.where(y == 1).groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_p"))
+    pos_ranks = (per_score.join(r.select(F.col(score).alias("_s"), avg_rank.alias("_r")), "_s")
+                 .agg(F.sum(F.col("_p") * F.col("_r")).alias("rank_sum_pos")))
     j = _one(c, pos_ranks)
     tp, fp, fn, p, n = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "p", "n"))
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
@@ -116,11 +121,14 @@ def class_index(c) -> F.Column:
 def train_wallets(labeled: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42,
                   model: str = "forest"):
     """4-class model on M3 labels with class weights (M4)."""
-    from tokenflow.operators.features import with_weights
-    d = with_weights(labeled).withColumn("label", class_index(F.col("behavior_class")))
-    s = split(d, test_size=0.2, seed=seed)
+    from tokenflow.operators.features import class_weights
+    d = labeled.withColumn("label", class_index(F.col("behavior_class")))
+    s = split(d, test_size=0.2, seed=seed, label="behavior_class")
+    w = class_weights(s.where(~F.col("is_test"))).select("behavior_class", "weight")  # training rows only
+    s = s.join(F.broadcast(w.where(F.col("behavior_class").isin(*dims.BEHAVIOR_CLASSES))), "behavior_class", "left")
+    s = s.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     if model == "ovr-gbt":
-        clf = OneVsRest(classifier=GBTClassifier(maxDepth=min(depth, 10), maxIter=20, seed=seed),
+        clf = OneVsRest(classifier=GBTClassifier(maxDepth=depth, maxIter=trees, seed=seed),
                         labelCol="label", featuresCol="features", weightCol="weight")
     else:
         clf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
@@ -220,11 +228,20 @@ def save_model(spark: SparkSession, model: PipelineModel, base: str, name: str,
     return version
 
 
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """Rows of one model; None if the table was never written."""
+    try:
+        return spark.read.parquet(path).where(F.col("model_name") == name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def load_model(spark: SparkSession, base: str, name: str, version: str = "latest") -> PipelineModel | None:
     """``latest`` = newest version row; missing -> None."""
-    try:
-        v = spark.read.parquet(f"{base}/_versions").where(F.col("model_name") == name)
-    except Exception:  # noqa: BLE001 - no table yet
+    v = _table(spark, f"{base}/_versions", name)
+    if v is None:
         return None
     if version == "latest":
         r = v.agg(F.max_by("path", "created").alias("p")).first()
@@ -245,10 +262,8 @@ def promote_model(spark: SparkSession, base: str, name: str, version: str) -> No
 def model_versions(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Versions with metrics and the production flag (latest promotion)."""
     v = spark.read.parquet(f"{base}/_versions").where(F.col("model_name") == name)
-    try:
-        p = (spark.read.parquet(f"{base}/_promotions").where(F.col("model_name") == name)
-             .agg(F.max_by("version", "promoted").alias("prod")))
+    events = _table(spark, f"{base}/_promotions", name)
+    if events is not None:
+        p = events.agg(F.max_by("version", "promoted").alias("prod"))
         v = _one(v.drop("is_production"), p).withColumn("is_production", F.col("version") == F.col("prod")).drop("prod")
-    except Exception:  # noqa: BLE001 - nothing promoted yet
-        pass
     return v.withColumn("promotable", ~F.col("is_production") & F.col("version").isNotNull())

@@ -15,7 +15,7 @@ def _one(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _cap(c) -> F.Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(F.col(c) if isinstance(c, str) else c, F.lit(2))))
 
 
 def _pct1(x) -> F.Column:
@@ -118,7 +118,7 @@ def bundle_findings(activity: DataFrame, holder_metrics: DataFrame) -> DataFrame
                     F.col("count_pct").alias("percentage"),
                     F.concat(F.lit("Primary usage pattern: "), F.col("activity_type"), F.lit(" ("),
                              F.format_string("%.1f", F.col("count_pct")), F.lit("%)")).alias("description"))
-    f2 = holder_metrics.select(F.lit("sov_ratio").alias("type"), F.col("sov_percentage").cast("string").alias("value"),
+    f2 = holder_metrics.select(F.lit("sov_ratio").alias("type"), F.format_string("%.1f", F.col("sov_percentage")).alias("value"),
                                F.col("sov_percentage").alias("percentage"),
                                F.concat(F.lit("Store of Value holders: "), F.format_string("%.1f", F.col("sov_percentage")),
                                         F.lit("%")).alias("description"))

@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 def finalize(df: DataFrame) -> DataFrame:
     """Output types shared with the oracle: decimals/floats -> double,
     small ints -> bigint, dates -> 'yyyy-MM-dd', timestamps ->
-    'yyyy-MM-dd HH:mm:ss' (UTC) strings."""
+    'yyyy-MM-dd HH:mm:ss.SSSSSS' (UTC) strings."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -42,6 +42,6 @@ def finalize(df: DataFrame) -> DataFrame:
         elif isinstance(t, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         cols.append(c.alias(f.name))
     return df.select(*cols)

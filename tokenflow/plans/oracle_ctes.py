@@ -181,4 +181,4 @@ def ymd(d: str) -> str:
 
 
 def ymdhms(t: str) -> str:
-    return f"strftime({t}, '%Y-%m-%d %H:%M:%S')"
+    return f"strftime({t}, '%Y-%m-%d %H:%M:%S.%f')"

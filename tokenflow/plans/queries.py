@@ -444,7 +444,8 @@ def q_classify_collect(spark, sf):
 # --------------------------------------------------------------------- D1 / D3
 def _holder_batches(spark, sf):
     tx = _tx(spark, sf)
-    return [_holders(spark, sf), TD.supplier_holders(spark, sf)]
+    return [b.withColumn("ingest_key", F.struct("address", "stablecoin", "chain"))
+            for b in (_holders(spark, sf), TD.supplier_holders(spark, sf))]
 
 
 @register("union_sources", C.with_ctes("HOLDERS", "SUPP_HOLDERS") + """
@@ -748,8 +749,8 @@ def q_explorer_for_chain(spark, sf):
 SELECT lower(a) AS normalized, CASE WHEN regexp_matches(a, '^0x[a-fA-F0-9]{40}$') THEN lower(a) END AS validated
 FROM (SELECT upper(substring(address, 3)) AS a FROM holders UNION ALL SELECT '0x' || upper(substring(address, 3)) FROM supp_holders)""")
 def q_normalize_address(spark, sf):
-    h = _holders(spark, sf).select(F.upper(F.substring("address", 3, 100)).alias("a"))
-    s = TD.supplier_holders(spark, sf).select(F.concat(F.lit("0x"), F.upper(F.substring("address", 3, 100))).alias("a"))
+    h = _holders(spark, sf).select(F.upper(F.substr("address", F.lit(3))).alias("a"))
+    s = TD.supplier_holders(spark, sf).select(F.concat(F.lit("0x"), F.upper(F.substr("address", F.lit(3)))).alias("a"))
     u = h.unionByName(s)
     return u.select(SC.normalize_address("a").alias("normalized"),
                     SC.validate_and_normalize_address("a").alias("validated"))
@@ -807,8 +808,9 @@ feats AS (SELECT address, transaction_count,
 
 
 def _features(spark, sf):
-    tx = _tx(spark, sf)
-    return FE.holder_features(_holders(spark, sf), tx, TD.REFERENCE_TIME)
+    """The features of M1, written once like the canonical TX."""
+    return TD.written(spark, sf, "features", lambda: FE.holder_features(
+        _holders(spark, sf), _tx(spark, sf), TD.REFERENCE_TIME))
 
 
 @register("holder_features", _FEATS + """
@@ -816,7 +818,8 @@ SELECT address, transaction_count, avg_transaction_size, balance_percentile, hol
   activity_recency_days, transaction_frequency, round(balance_volatility, 6) AS balance_volatility,
   CAST(cross_chain_flag AS BIGINT) AS cross_chain_flag FROM feats""")
 def q_holder_features(spark, sf):
-    return _features(spark, sf).withColumn("balance_volatility", F.round("balance_volatility", 6))
+    f = FE.holder_features(_holders(spark, sf), _tx(spark, sf), TD.REFERENCE_TIME)
+    return f.withColumn("balance_volatility", F.round("balance_volatility", 6))
 
 
 @register("balance_percentile", _FEATS + "SELECT address, balance_percentile FROM feats")
@@ -856,8 +859,7 @@ def q_class_breakdown(spark, sf):
     return A.class_breakdown(FE.label_wallets(_features(spark, sf))).drop("class_rank")
 
 
-_FCOLS = ["transaction_count", "avg_transaction_size", "balance_percentile", "holding_period_days",
-          "activity_recency_days", "transaction_frequency", "balance_volatility", "cross_chain_flag"]
+from tokenflow.schemas import FEATURES as _FCOLS  # noqa: E402
 
 
 @register("feature_stats", _FEATS + " SELECT * FROM (" + " UNION ALL ".join(
@@ -868,18 +870,21 @@ def q_feature_stats(spark, sf):
     return s.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
 
 
-@register("stratified_split")
+@register("stratified_split", _FEATS + f"""
+SELECT address, behavior_class, is_test FROM (
+  SELECT address, behavior_class, row_number() OVER (PARTITION BY behavior_class ORDER BY md5(address || '|42'))
+      <= round(0.2 * count(*) OVER (PARTITION BY behavior_class)) AS is_test
+  FROM (SELECT address, {_LABEL} AS behavior_class FROM feats))""")
 def q_stratified_split(spark, sf):
     lab = FE.label_wallets(_features(spark, sf))
-    return (FE.split(lab).groupBy("behavior_class", "is_test")
-            .agg(F.count("*").cast("bigint").alias("rows")))
+    return FE.split(lab, label="behavior_class").select("address", "behavior_class", "is_test")
 
 
 # --------------------------------------------------------------------- R1 / T2-T4 / E6 / W3 / W4 / S22
 import uuid  # noqa: E402
 
 from tokenflow.operators import history as HI  # noqa: E402
-from tokenflow.session import scratch_path  # noqa: E402
+from tokenflow.session import app_id, scratch_path  # noqa: E402
 
 _RE = """re AS (SELECT 'run-' || CAST(user_id AS VARCHAR) || '-' || strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS run_id,
   CAST(user_id AS VARCHAR) AS user_id,
@@ -988,9 +993,8 @@ from tokenflow.operators import monitor as MO  # noqa: E402
 
 
 def _rule_preds(spark, sf, scorer: str = "percentile"):
-    tx = _tx(spark, sf)
-    feats = FE.holder_features(_holders(spark, sf), tx, TD.REFERENCE_TIME)
-    lab = _hsov(spark, sf, tx).select("address", F.col("is_store_of_value").cast("int").alias("label"))
+    feats = _features(spark, sf)
+    lab = _hsov(spark, sf).select("address", F.col("is_store_of_value").cast("int").alias("label"))
     score = (F.col("balance_percentile") / 100.0 if scorer == "percentile"
              else F.least(F.col("holding_period_days") / 60.0, F.lit(1.0)))
     p = feats.join(lab, "address").select("address", "label", score.alias("score"))
@@ -1146,11 +1150,9 @@ SELECT class, precision, recall, tp, support, f1,
   round(avg(precision) OVER (), 9) AS macro_precision, round(avg(recall) OVER (), 9) AS macro_recall,
   round(avg(f1) OVER (), 9) AS macro_f1 FROM m2""")
 def q_eval_multiclass(spark, sf):
-    f = _features(spark, sf)
-    y = FE.label_wallets(f).select("address", F.col("behavior_class").alias("label"))
-    alt = FE.label_wallets(f, FE.Thresholds(whale_percentile=95.0, trader_frequency=0.5)).select(
-        "address", F.col("behavior_class").alias("prediction"))
-    r = ML.eval_multiclass(y.join(alt, "address"))
+    both = FE.label_wallets(_features(spark, sf)).withColumnRenamed("behavior_class", "label")
+    both = FE.label_wallets(both, FE.Thresholds(whale_percentile=95.0, trader_frequency=0.5))
+    r = ML.eval_multiclass(both.select("label", F.col("behavior_class").alias("prediction")))
     return r.select("class", "precision", "recall", F.col("tp").cast("bigint").alias("tp"),
                     F.col("support").cast("bigint").alias("support"), "f1", "accuracy",
                     *[F.round(c, 9).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1")])
@@ -1250,11 +1252,10 @@ d AS (SELECT * FROM a ORDER BY pct DESC, r ASC LIMIT 1),
 hm AS (SELECT CASE WHEN count(*) > 0 THEN CAST(count_if(coalesce(is_store_of_value, false)) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 ELSE 0.0 END AS sp FROM holders_typed)""") + """
 SELECT 'dominant_activity' AS type, activity_type AS value, pct AS percentage,
   'Primary usage pattern: ' || activity_type || ' (' || printf('%.1f', pct) || '%)' AS description FROM d
-UNION ALL SELECT 'sov_ratio', NULL, sp, 'Store of Value holders: ' || printf('%.1f', sp) || '%' FROM hm""")
+UNION ALL SELECT 'sov_ratio', printf('%.1f', sp), sp, 'Store of Value holders: ' || printf('%.1f', sp) || '%' FROM hm""")
 def q_bundle_findings(spark, sf):
     tx = _tx(spark, sf)
-    out = RP.bundle_findings(A.activity_breakdown(tx), A.holder_metrics(_hsov(spark, sf, tx)))
-    return out.withColumn("value", F.when(F.col("type") == "sov_ratio", F.lit(None).cast("string")).otherwise(F.col("value")))
+    return RP.bundle_findings(A.activity_breakdown(tx), A.holder_metrics(_hsov(spark, sf, tx)))
 
 
 # --------------------------------------------------------------------- S1 / S9 / S11 / S16 / S18 / S17
@@ -1273,11 +1274,11 @@ def q_export_roundtrip(spark, sf):
 
 
 @register("tx_to_json", C.with_ctes("TX") + f"""
-SELECT transaction_hash, CAST(amount AS DOUBLE) AS amount, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS "timestamp",
+SELECT transaction_hash, CAST(CAST(amount AS DECIMAL(38,18)) AS VARCHAR) AS amount, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS "timestamp",
   CAST(CAST(gas_price AS DECIMAL(38,0)) AS VARCHAR) AS gas_price_wei FROM tx""")
 def q_tx_to_json(spark, sf):
     j = EX.tx_to_json(_tx(spark, sf))
-    return j.select("transaction_hash", F.col("amount").cast("double").alias("amount"),
+    return j.select("transaction_hash", "amount",
                     F.regexp_replace("timestamp", r"Z$", "+00:00").alias("timestamp"),
                     F.regexp_replace("gas_price", r"\.0+$", "").alias("gas_price_wei"))
 
@@ -1320,10 +1321,26 @@ def q_label_join(spark, sf):
 
 
 # --------------------------------------------------------------------- M6 / M8 / M11 / M9 / M13-M16 / S20 (rows-only)
-def _trained_sov(spark, sf, trees=100):
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _fitted(spark, sf, name, train):
+    """One fit per application and input: the queries share the model."""
+    key = (app_id(spark), sf, name)
+    if key not in _FITTED:
+        _FITTED[key] = train()
+    return _FITTED[key]
+
+
+def _trained_sov(spark, sf):
     f = _features(spark, sf)
-    lab = ML.label_join(f, _hsov(spark, sf), one_row_per_address=True)
-    return f, ML.train_sov(lab, trees=trees)
+    return f, _fitted(spark, sf, "sov", lambda: ML.train_sov(
+        ML.label_join(f, _hsov(spark, sf), one_row_per_address=True)))
+
+
+def _trained_wallets(spark, sf):
+    f = _features(spark, sf)
+    return f, _fitted(spark, sf, "wallets", lambda: ML.train_wallets(FE.label_wallets(f)))
 
 
 @register("predict_sov")
@@ -1340,40 +1357,40 @@ def q_feature_importance(spark, sf):
 
 @register("training_metadata")
 def q_training_metadata(spark, sf):
-    _, (_, _, s) = _trained_sov(spark, sf, trees=10)
+    _, (_, _, s) = _trained_sov(spark, sf)
     return ML.training_metadata(s)
 
 
 @register("classify_wallets")
 def q_classify_wallets(spark, sf):
-    f = _features(spark, sf)
-    model, _, _ = ML.train_wallets(FE.label_wallets(f))
+    f, (model, _, _) = _trained_wallets(spark, sf)
     return ML.classify_wallets(f, model)
 
 
 @register("class_summary")
 def q_class_summary(spark, sf):
-    f = _features(spark, sf)
-    model, _, _ = ML.train_wallets(FE.label_wallets(f), trees=20)
+    f, (model, _, _) = _trained_wallets(spark, sf)
     return ML.class_summary(ML.classify_wallets(f, model))
 
 
 @register("class_confidence")
 def q_class_confidence(spark, sf):
-    f = _features(spark, sf)
-    model, _, _ = ML.train_wallets(FE.label_wallets(f), trees=20)
+    f, (model, _, _) = _trained_wallets(spark, sf)
     return A.class_confidence(ML.classify_wallets(f, model))
 
 
-@register("model_store")
+@register("model_store", """
+SELECT 'sov_predictor' AS model_name, 'v1' AS version, true AS is_production, false AS promotable, CAST(2 AS BIGINT) AS stages""")
 def q_model_store(spark, sf):
-    _, (model, preds, _) = _trained_sov(spark, sf, trees=10)
+    _, (model, preds, _) = _trained_sov(spark, sf)
     base = scratch_path(spark, f"models/{uuid.uuid4().hex}")
     m = ML.eval_binary(preds.withColumn("score", vector_to_array_1("probability")))
     row = m.first()
     v = ML.save_model(spark, model, base, "sov_predictor", {k: float(row[k]) for k in MO.METRICS}, "v1")
     ML.promote_model(spark, base, "sov_predictor", v)
-    return ML.model_versions(spark, base, "sov_predictor").select("model_name", "version", "is_production", "promotable")
+    loaded = ML.load_model(spark, base, "sov_predictor")
+    out = ML.model_versions(spark, base, "sov_predictor").select("model_name", "version", "is_production", "promotable")
+    return out.withColumn("stages", F.lit(len(loaded.stages)).cast("bigint"))
 
 
 def vector_to_array_1(c):
@@ -1384,23 +1401,36 @@ def vector_to_array_1(c):
 # --------------------------------------------------------------------- X1 / X2 (rows-only; batch-equality tested)
 from tokenflow.streaming import ingest as ST  # noqa: E402
 
+#: backfill over years of history: wider than the data's time span
 BACKFILL_WATERMARK = "36500 days"
 
 
-def _landed_raw(spark, sf) -> str:
+def _landed_raw(spark, sf, times: int = 1) -> str:
+    """Raw transfers landed in arrival order, in so many deliveries."""
     land = scratch_path(spark, f"landing/{uuid.uuid4().hex}")
-    TD.raw_transfers(spark, sf).drop("ingest_key").write.mode("overwrite").parquet(land)
+    raw = TD.raw_transfers(spark, sf)
+    day = F.datediff(F.to_date("ingest_key.k1"), F.lit("1992-01-01").cast("date"))
+    cuts = raw.select(F.percentile_approx(day, [k / times for k in range(1, times)]).alias("c")).first()[0] \
+        if times > 1 else []
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (day > c).cast("int")
+    for k in range(times):
+        raw.where(part == k).write.mode("append").parquet(land)
     return land
 
 
-@register("incremental_ingest", C.with_ctes("TX_RAW") + """
-SELECT DISTINCT transaction_hash, chain FROM tx_raw""")
+@register("incremental_ingest", C.with_ctes("TX") + f"SELECT {_TX_OUT} FROM tx")
 def q_incremental_ingest(spark, sf):
-    land = _landed_raw(spark, sf)
+    """Four deliveries in arrival order, at least four triggers: the result is
+    the batch answer of D2 on all columns."""
+    land = _landed_raw(spark, sf, times=4)
     base = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
-    # backfill over years of history: watermark wider than the data's time span
-    ST.incremental_ingest(spark, land, f"{base}/out", f"{base}/ckpt", watermark=BACKFILL_WATERMARK)
-    return spark.read.parquet(f"{base}/out").select("transaction_hash", "chain")
+    schema = spark.read.parquet(land).schema
+    files = len(spark.read.parquet(land).inputFiles())
+    ST.incremental_ingest(spark, land, f"{base}/out", f"{base}/ckpt", f"{base}/rejected", schema=schema,
+                          max_files=max(1, files // 4))
+    return ST.ingested(spark, f"{base}/out").drop("ingest_key")
 
 
 @register("streaming_time_series", C.with_ctes("TX_CLS") + f"""
@@ -1464,8 +1494,8 @@ def q_save_run_result(spark, sf):
 
 @register("web_bundle")
 def q_web_bundle(spark, sf):
-    """S14 + S15: five analyses + one prediction set as wrapped JSON files,
-    then the manifest (path, type, size, sha256) under the size cap."""
+    """S14 + S15: five analyses + both prediction sets as wrapped JSON files,
+    then the manifest (path, type, size, sha256)."""
     tx = _tx(spark, sf)
     h = _hsov(spark, sf, tx)
     base = scratch_path(spark, f"bundle/{uuid.uuid4().hex}")
@@ -1473,8 +1503,10 @@ def q_web_bundle(spark, sf):
                 "chain_metrics": A.by_chain(tx, h), "stablecoin_metrics": A.by_stablecoin(tx, h),
                 "time_series": TS.ts_by_activity(tx, "monthly")}
     preds = _rule_preds(spark, sf).select("address", F.col("score").alias("sov_probability"))
+    wallets = FE.label_wallets(_features(spark, sf)).select("address", "behavior_class")
     EX.web_bundle(spark, base, analyses, "run-1", "2001-10-01T00:00:00+00:00",
-                  {"sov_predictions": (preds, "sov_predictor", "rule-percentile")})
+                  {"sov_predictions": (preds, "sov_predictor", "rule-percentile"),
+                   "wallet_classifications": (wallets, "wallet_classifier", "taxonomy-1.0")})
     return EX.export_manifest(spark, base)
 
 
@@ -1592,8 +1624,8 @@ def q_pipeline_output(spark, sf):
 @register("streaming_request_rate", """
 WITH e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
 w AS (SELECT user_id, (us // 10000000) * 10000000 - k * 10000000 AS s FROM e, range(0, 6) r(k))
-SELECT user_id, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S') AS window_start,
-  strftime(make_timestamp(s + 60000000), '%Y-%m-%d %H:%M:%S') AS window_end, CAST(count(*) AS BIGINT) AS requests
+SELECT user_id, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+  strftime(make_timestamp(s + 60000000), '%Y-%m-%d %H:%M:%S.%f') AS window_end, CAST(count(*) AS BIGINT) AS requests
 FROM w GROUP BY user_id, s""")
 def q_streaming_request_rate(spark, sf):
     """Sliding 60 s / 10 s request counts per user from landed events."""

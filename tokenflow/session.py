@@ -41,10 +41,6 @@ def pin_session(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on: UTC session time zone and
     a reliable checkpoint folder."""
     spark.conf.set("spark.sql.session.timeZone", UTC)
-    # newest-N paging / per-source record caps go up to 100,000 rows per group:
-    # keep Spark's partial per-partition group limit (WindowGroupLimit) in play
-    # for them, so a hot group never reaches one task whole.
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
     checkpoint_dir(spark)
     return spark
 
@@ -52,15 +48,16 @@ def pin_session(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when the cluster names none (local tests) a
-    fresh scratch folder is taken.
+    Read from the session. Only a local master may go without: it gets a
+    fresh scratch folder. On a cluster a machine-local folder would leave every
+    executor with its own part of a table, so a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
         conf = spark.conf.get("spark.checkpoint.dir", None)
         if not conf:
-            conf = tempfile.mkdtemp(prefix="tokenflow-ckpt-", dir="/tmp")
+            conf = _local_scratch(spark.conf.get("spark.master", ""))
             spark.conf.set("spark.checkpoint.dir", conf)
         return conf
     current = sc.getCheckpointDir()
@@ -69,11 +66,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="tokenflow-ckpt-", dir="/tmp")
+        conf = _local_scratch(sc.master)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+def _local_scratch(master: str) -> str:
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share "
+                         f"(master {master!r} is not local)")
+    return tempfile.mkdtemp(prefix="tokenflow-ckpt-", dir="/tmp")
+
+
 def app_id(spark: SparkSession) -> str:
     try:
         return spark.sparkContext.applicationId

@@ -246,7 +246,36 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- written derived tables ---------------------------------------------------
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of every file of the tables that the derived ones
+    are made of (file system metadata only): a changed input is a new key."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a written table when the application ends in good order."""
+    import atexit
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    atexit.register(remove)
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
@@ -254,10 +283,9 @@ def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: li
     shared checkpoint folder and return a reader over it (a "silver" table:
     every later query reads compact columnar files instead of recomputing
     the join + de-duplication, and the files survive executor loss)."""
-    import os
     import uuid
     from tokenflow.session import app_id, scratch_path
-    key = (app_id(spark), os.path.abspath(sf_dir), name)
+    key = (app_id(spark), sf_dir.rstrip("/"), name, input_state(spark, sf_dir))
     df = _WRITTEN.get(key)
     if df is None:
         built = build()
@@ -267,6 +295,7 @@ def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: li
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
+        _remove_at_exit(spark, path)
         df = spark.read.parquet(path).select(*cols)
         _WRITTEN[key] = df
     return df
