@@ -176,4 +176,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _verdict(counted, 0.5)
     q = "quality."
     return out.select("_row.doc_id", q + "n_words", q + "word_chars", q + "n_symbols", q + "n_dup_lines",
-                      q + "n_repeat_words", q + "base_failed", q + "kept", q + "p_good")
+                      q + "n_repeat_words", q + "base_failed", q + "kept", F.round(q + "p_good", 6).alias("p_good"))

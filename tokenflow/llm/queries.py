@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tokenflow.llm import embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, lm_scoring, mixing, packing, quality_rules, url_filter
+from tokenflow.llm import (embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, lm_scoring,
+                            mixing, oracle, packing, quality_rules, url_filter)
 
 QUERIES = {
     "op3_html_extract": html_extract.query,
@@ -17,6 +18,4 @@ QUERIES = {
     "op9_mixing": mixing.query,
 }
 
-ORACLE = {
-    "op9_mixing": mixing.SQL,
-}
+ORACLE = dict(oracle.ORACLE)
