@@ -63,7 +63,8 @@ def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """(doc, th, ln, arr, words): maximal runs of lines that occur twice or
     more, with at least ``min_words`` words; arr holds (a, b, w) per line."""
     lines = cut(lines.distinct())  # equal rows are one document
-    often = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    # written, so that the join has an exchange on both sides and a hot line can be split
+    often = cut(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"))
     seen = lines.join(often, ["a", "b"])
     w = Window.partitionBy("doc", "th").orderBy("ln")
     runs = seen.withColumn("g", F.col("ln") - F.row_number().over(w))
@@ -104,9 +105,9 @@ def _matches(first: DataFrame) -> DataFrame:
         at = (F.col("doc").eqNullSafe(F.col("bd")) & (F.col("th") == F.col("bt"))
               & (F.col("ln") + F.col("len") == F.col("bl")))
         now = cut(items.join(block, at, "left").drop("bd", "bt", "bl"))
-        groups = (now.where("xa is not null").groupBy("a", "b", "xa", "xb")
-                  .agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1").drop("n")
-                  .withColumnsRenamed({"a": "ga", "b": "gb", "xa": "gxa", "xb": "gxb"}))
+        groups = cut(now.where("xa is not null").groupBy("a", "b", "xa", "xb")
+                     .agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1").drop("n")
+                     .withColumnsRenamed({"a": "ga", "b": "gb", "xa": "gxa", "xb": "gxb"}))
         on = ((F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb"))
               & (F.col("xa") == F.col("gxa")) & (F.col("xb") == F.col("gxb")))
         stay = F.struct("len", "w", "a", "b")
@@ -119,8 +120,8 @@ def _matches(first: DataFrame) -> DataFrame:
         items = now.join(groups, on, "left").select("doc", "th", "ln", F.explode(out).alias("o")).select(
             "doc", "th", "ln", "o.len", "o.w", "o.a", "o.b")
     items = cut(items.where("len > 0"))
-    firsts = items.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1").select(
-        F.col("a").alias("ga"), F.col("b").alias("gb"), "p")
+    firsts = cut(items.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("p")).where("n > 1").select(
+        F.col("a").alias("ga"), F.col("b").alias("gb"), "p"))
     return (items.join(firsts, (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb")))
             .where(~F.struct("doc", "th", "ln").eqNullSafe(F.col("p"))).select("doc", "th", "ln", "len", "w"))
 
@@ -131,8 +132,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = cut(_stretches(_lines(docs), min_words))
     key = [F.xxhash64("arr").alias("ka"), F.xxhash64(F.lit(1), "arr").alias("kb")]
     keyed = runs.select("*", *key)
-    firsts = keyed.groupBy("ka", "kb").agg(F.min(F.struct("doc", "th", "ln")).alias("p")).withColumnsRenamed(
-        {"ka": "fa", "kb": "fb"})
+    firsts = cut(keyed.groupBy("ka", "kb").agg(F.min(F.struct("doc", "th", "ln")).alias("p")).withColumnsRenamed(
+        {"ka": "fa", "kb": "fb"}))
     split = cut(keyed.join(firsts, (F.col("ka") == F.col("fa")) & (F.col("kb") == F.col("fb")))
                 .withColumn("is_first", F.struct("doc", "th", "ln").eqNullSafe(F.col("p")))
                 .select("doc", "th", "ln", "arr", "is_first"))
