@@ -476,13 +476,18 @@ def q_merge_holders(spark, sf):
 
 # --------------------------------------------------------------------- D4 / D5
 _SRC_RUN = C.with_ctes("TX", extra="""
-cnt AS (SELECT source_explorer, count(*) AS n FROM tx GROUP BY 1),
+cnt AS (SELECT source_explorer, count(*) AS n FROM tx WHERE source_explorer <> 'polygonscan' GROUP BY 1),
 sr AS (SELECT s.source_explorer, coalesce(cnt.n, 0) > 0 AS success,
               CASE WHEN coalesce(cnt.n, 0) > 0 THEN 0 ELSE 1 END AS error_count
        FROM (VALUES ('etherscan'), ('bscscan'), ('polygonscan')) s(source_explorer)
        LEFT JOIN cnt ON cnt.source_explorer = s.source_explorer)""")
 
 
+def _partial_runs(spark, sf):
+    """Source runs of a collection in which one source delivered nothing."""
+    return TD.source_runs(spark, _tx(spark, sf).where(F.col("source_explorer") != "polygonscan"))
+
+
 @register("completeness_gate", _SRC_RUN + """
 SELECT CAST(count_if(success) AS BIGINT) AS successful_sources, CAST(3 AS BIGINT) AS expected_sources,
   CAST(count_if(success) AS DOUBLE) / 3.0 AS completeness_ratio,
@@ -490,8 +495,7 @@ SELECT CAST(count_if(success) AS BIGINT) AS successful_sources, CAST(3 AS BIGINT
   coalesce(string_agg(CASE WHEN NOT success THEN source_explorer END, ',' ORDER BY source_explorer), '') AS failed
 FROM sr""")
 def q_completeness_gate(spark, sf):
-    tx = _tx(spark, sf)
-    c = MG.completeness(TD.source_runs(spark, tx))
+    c = MG.completeness(_partial_runs(spark, sf))
     return c.select("successful_sources", "expected_sources", "completeness_ratio",
                     F.array_join("successful", ",").alias("successful"),
                     F.array_join("failed", ",").alias("failed"))
@@ -502,7 +506,7 @@ SELECT source_explorer, CAST(count(*) AS BIGINT) AS rows FROM tx
 WHERE source_explorer IN (SELECT source_explorer FROM sr WHERE success) GROUP BY 1""")
 def q_gated_rows(spark, sf):
     tx = _tx(spark, sf)
-    g = MG.completeness_gate(TD.source_runs(spark, tx), tx, min_sources=2)
+    g = MG.completeness_gate(_partial_runs(spark, sf), tx, min_sources=2)
     return g.groupBy("source_explorer").agg(F.count("*").cast("bigint").alias("rows"))
 
 
@@ -553,8 +557,12 @@ def q_dq_holder_record(spark, sf):
 
 @register("dq_tx_record", C.with_ctes("TX_RAW", extra="""
 mk AS (SELECT chain, max(block_number) AS mx FROM tx_raw GROUP BY chain),
-r AS (SELECT t.transaction_hash, t.chain, t.from_address, t.to_address, CAST(t.amount AS VARCHAR) AS amt,
-             t.block_number, mk.mx FROM tx_raw t JOIN mk ON mk.chain = t.chain)""") + f"""
+r AS (SELECT CASE WHEN t.block_number % 13 = 0 THEN left(t.transaction_hash, 60) ELSE t.transaction_hash END AS transaction_hash,
+             t.chain, CASE WHEN t.block_number % 17 = 0 THEN 'x' || t.from_address ELSE t.from_address END AS from_address,
+             CASE WHEN t.block_number % 19 = 0 THEN NULL ELSE t.to_address END AS to_address,
+             CASE WHEN t.block_number % 23 = 0 THEN '-' ELSE '' END || CAST(t.amount AS VARCHAR) AS amt,
+             CASE WHEN t.block_number % 29 = 0 THEN t.block_number + 1000000000 ELSE t.block_number END AS block_number,
+             mk.mx FROM tx_raw t JOIN mk ON mk.chain = t.chain)""") + f"""
 SELECT CAST(count(*) AS BIGINT) AS records,
   CAST(count_if(NOT coalesce(regexp_matches(transaction_hash, '^0x[a-fA-F0-9]{{64}}$'), false)) AS BIGINT) AS bad_hash,
   CAST(count_if(NOT coalesce(regexp_matches(from_address, '^0x[a-fA-F0-9]{{40}}$'), false)) AS BIGINT) AS bad_from,
@@ -565,9 +573,15 @@ FROM r""")
 def q_dq_tx_record(spark, sf):
     raw = TD.raw_transfers(spark, sf)
     mk = raw.groupBy("chain").agg(F.max("block_number").alias("_mx"))
+    b = F.col("block_number")
+    text = F.col("amount").cast("decimal(18,2)").cast("string")
+    # records damaged by key, so that every rule fires
     r = raw.join(F.broadcast(mk), "chain").select(
-        "transaction_hash", "chain", "from_address", "to_address",
-        F.col("amount").cast("decimal(18,2)").cast("string").alias("amount"), "block_number", "_mx")
+        F.when(b % 13 == 0, F.substring("transaction_hash", 1, 60)).otherwise(F.col("transaction_hash")).alias("transaction_hash"),
+        "chain", F.when(b % 17 == 0, F.concat(F.lit("x"), "from_address")).otherwise(F.col("from_address")).alias("from_address"),
+        F.when(b % 19 != 0, F.col("to_address")).alias("to_address"),
+        F.when(b % 23 == 0, F.concat(F.lit("-"), text)).otherwise(text).alias("amount"),
+        F.when(b % 29 == 0, b + 1000000000).otherwise(b).alias("block_number"), "_mx")
     e = QL.tx_record_errors(r, max_known="_mx")
     has = lambda f: F.count_if(F.array_contains("errors", f)).cast("bigint")
     return e.agg(F.count("*").cast("bigint").alias("records"), has("transaction_hash").alias("bad_hash"),
@@ -611,18 +625,26 @@ def q_invariants_tx(spark, sf):
 
 
 @register("required_tx", C.with_ctes("TX") + """
-SELECT CAST(count(*) AS BIGINT) AS kept FROM tx WHERE length(trim(transaction_hash)) > 0
-  AND length(trim(from_address)) > 0 AND length(trim(to_address)) > 0 AND "timestamp" IS NOT NULL
-  AND length(trim(stablecoin)) > 0 AND length(trim(chain)) > 0""")
+SELECT CAST(count(*) AS BIGINT) AS kept FROM tx
+WHERE block_number % 13 <> 0 AND block_number % 17 <> 0 AND block_number % 19 <> 0 AND block_number % 23 <> 0""")
 def q_required_tx(spark, sf):
-    return QL.required_tx(_tx(spark, sf)).agg(F.count("*").cast("bigint").alias("kept"))
+    b = F.col("block_number")
+    tx = _tx(spark, sf).withColumns({  # required fields blanked by key
+        "transaction_hash": F.when(b % 13 != 0, F.col("transaction_hash")),
+        "timestamp": F.when(b % 17 != 0, F.col("timestamp")),
+        "chain": F.when(b % 19 == 0, F.lit(" ")).otherwise(F.col("chain")),
+        "to_address": F.when(b % 23 == 0, F.lit("")).otherwise(F.col("to_address"))})
+    return QL.required_tx(tx).agg(F.count("*").cast("bigint").alias("kept"))
 
 
 @register("required_holder", C.with_ctes("HOLDERS") + """
-SELECT CAST(count(*) AS BIGINT) AS kept FROM holders WHERE length(trim(address)) > 0
-  AND length(trim(stablecoin)) > 0 AND length(trim(chain)) > 0 AND balance IS NOT NULL""")
+SELECT CAST(count(*) AS BIGINT) AS kept FROM holders
+WHERE CAST(balance * 100 AS BIGINT) % 7 <> 0 AND CAST(balance * 100 AS BIGINT) % 11 <> 0""")
 def q_required_holder(spark, sf):
-    return QL.required_holder(_holders(spark, sf)).agg(F.count("*").cast("bigint").alias("kept"))
+    c = (F.col("balance") * 100).cast("bigint")
+    h = _holders(spark, sf).withColumns({"stablecoin": F.when(c % 11 == 0, F.lit("")).otherwise(F.col("stablecoin")),
+                                         "balance": F.when(c % 7 != 0, F.col("balance"))})
+    return QL.required_holder(h).agg(F.count("*").cast("bigint").alias("kept"))
 
 
 @register("enum_check", C.with_ctes("TXC") + """
@@ -647,13 +669,22 @@ _P5 = f"""CASE WHEN lower(from_address) = {C.ZERO} THEN 'other' WHEN lower(to_ad
   WHEN amount > 0 AND length(from_address) > 0 AND length(to_address) > 0 THEN 'transaction' ELSE 'unknown' END"""
 
 
+def _transfer_pages(spark, sf):
+    """Landed transfer pages (the input of S5), written once."""
+    return TD.written(spark, sf, "transfer_pages", lambda: PG.landed_transfer_pages(_tx(spark, sf)))
+
+
+def _holder_pages(spark, sf):
+    return TD.written(spark, sf, "holder_pages", lambda: PG.landed_holder_pages(_holders(spark, sf)))
+
+
 @register("read_api_transfers", C.with_ctes("TX") + f"""
 SELECT transaction_hash, block_number, {C.ymdhms('"timestamp"')} AS "timestamp", lower(from_address) AS from_address,
   lower(to_address) AS to_address, CAST(amount AS DOUBLE) AS amount, stablecoin, chain, {_P5} AS activity_type,
   source_explorer, gas_used, CAST(gas_price AS DOUBLE) AS gas_price
 FROM tx""")
 def q_read_api_transfers(spark, sf):
-    pages = PG.landed_transfer_pages(_tx(spark, sf))
+    pages = _transfer_pages(spark, sf)
     valid, _, _ = QL.split_valid(PG.read_api_transfers(pages, limit=None))  # whole landed data
     return valid.drop("ingest_key")
 
@@ -664,7 +695,7 @@ SELECT lower(address) AS address, CAST(balance AS DOUBLE) AS balance, stablecoin
   source_explorer, false AS is_sov_heuristic
 FROM holders WHERE balance >= 0""")
 def q_read_api_holders(spark, sf):
-    pages = PG.landed_holder_pages(_holders(spark, sf))
+    pages = _holder_pages(spark, sf)
     valid, _, _ = QL.split_valid(PG.read_api_holders(pages, cap=None))
     return valid
 
@@ -672,32 +703,63 @@ def q_read_api_holders(spark, sf):
 @register("api_holder_rejects", C.with_ctes("HOLDERS") + """
 SELECT 'TokenHolderQuantity' AS field, CAST(count(*) AS BIGINT) AS rejected FROM holders WHERE balance < 0""")
 def q_api_holder_rejects(spark, sf):
-    pages = PG.landed_holder_pages(_holders(spark, sf))
+    pages = _holder_pages(spark, sf)
     _, _, counts = QL.split_valid(PG.read_api_holders(pages, cap=None))
     return counts
 
 
 # --------------------------------------------------------------------- V11 / V12 / V16
 @register("response_status", C.with_ctes("TX") + """
-SELECT source_explorer, stablecoin, chain, true AS all_ok, false AS any_rate_limited, false AS any_empty,
-  CAST(count(*) AS BIGINT) AS records FROM tx GROUP BY 1, 2, 3""")
+SELECT event_id, event_id % 5 IN (0, 1) AS response_ok, event_id % 5 = 1 AS is_empty, event_id % 5 = 2 AS rate_limited,
+  event_id % 5 = 3 AS pro_only, event_id % 5 IN (0, 1) AS result_is_array FROM events""")
 def q_response_status(spark, sf):
-    pages = PG.response_status(PG.landed_transfer_pages(_tx(spark, sf)))
-    arr = F.from_json("result", "array<struct<hash:string>>")
-    return pages.groupBy("source_explorer", "stablecoin", "chain").agg(
-        F.bool_and("response_ok").alias("all_ok"), F.bool_or("rate_limited").alias("any_rate_limited"),
-        F.bool_or("is_empty").alias("any_empty"), F.sum(F.size(arr)).cast("bigint").alias("records"))
+    """One response per event, of every form that an explorer gives."""
+    forms = [("1", "OK", "[]"), ("0", "No transactions found", "[]"), ("0", "NOTOK", "Max rate limit reached"),
+             ("0", "NOTOK", "This endpoint needs API Pro"), (None, None, None)]
+    k = F.col("event_id") % 5
+    cols = []
+    for i, name in enumerate(("status", "message", "result")):
+        c = F.lit(None).cast("string")
+        for j, form in enumerate(forms):
+            c = F.when(k == j, F.lit(form[i])).otherwise(c)
+        cols.append(c.alias(name))
+    pages = TD.table(spark, sf, "events").select("event_id", *cols)
+    return PG.response_status(pages).select("event_id", "response_ok", "is_empty", "rate_limited", "pro_only", "result_is_array")
 
 
 @register("response_schema", C.with_ctes("TX") + """
-SELECT source_explorer, stablecoin, chain, true AS schema_ok, CAST(0 AS BIGINT) AS n_errors,
-  CAST(count(*) AS BIGINT) AS records FROM tx GROUP BY 1, 2, 3""")
+SELECT source_explorer, stablecoin, chain, error, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT *, 'result[*].value does not match pattern' AS error FROM tx WHERE block_number % 13 = 0
+  UNION ALL SELECT *, 'result[*].to is required' FROM tx WHERE block_number % 17 = 0
+  UNION ALL SELECT *, 'result[*].timeStamp does not match pattern' FROM tx WHERE block_number % 19 = 0
+  UNION ALL SELECT *, 'result[*].gasPrice does not match pattern' FROM tx WHERE block_number % 23 = 0) GROUP BY 1, 2, 3, 4""")
 def q_response_schema(spark, sf):
-    pages = PG.response_schema_errors(PG.landed_transfer_pages(_tx(spark, sf)))
-    arr = F.from_json("result", "array<struct<hash:string>>")
-    return pages.groupBy("source_explorer", "stablecoin", "chain").agg(
-        F.bool_and("schema_ok").alias("schema_ok"), F.sum(F.size("schema_errors")).cast("bigint").alias("n_errors"),
-        F.sum(F.size(arr)).cast("bigint").alias("records"))
+    """Errors per group and field of pages whose records are damaged by key."""
+    b = F.col("block_number")
+
+    def damage(r):
+        rec = F.col("rec")
+        for field, m, bad in (("value", 13, "1x"), ("to", 17, None), ("timeStamp", 19, "abc"), ("gasPrice", 23, "-1")):
+            rec = rec.withField(field, F.when(b % m == 0, F.lit(bad).cast("string")).otherwise(F.col(f"rec.{field}")))
+        return r.withColumn("rec", rec)
+
+    pages = PG.response_schema_errors(PG.landed_transfer_pages(_tx(spark, sf), change=damage))
+    e = pages.select("source_explorer", "stablecoin", "chain", F.explode("schema_errors").alias("e"))
+    return e.groupBy("source_explorer", "stablecoin", "chain", F.regexp_replace("e", r"\[[0-9]+\]", "[*]").alias("error")).agg(
+        F.count("*").cast("bigint").alias("n"))
+
+
+@register("schema_version_class", """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'minor' WHEN event_id % 3 <> 1 THEN 'major'
+  WHEN event_id % 5 <> 2 THEN 'minor' WHEN event_id % 4 <> 3 THEN 'patch' ELSE 'none' END AS change FROM events""")
+def q_schema_version_class(spark, sf):
+    """Versions from the header, or from the body where it has none."""
+    i = F.col("event_id")
+    v = F.concat_ws(".", *[(i % m).cast("string") for m in (3, 5, 4)])
+    head = F.when(i % 7 == 0, F.lit("v1")).when(i % 2 == 0, v)
+    body = F.concat(F.lit('{"meta": {"schemaVersion": "'), v, F.lit('"}}'))
+    ev = TD.table(spark, sf, "events").select("event_id", PG.detect_version(head, body).alias("detected"))
+    return ev.select("event_id", PG.schema_version_class("detected", F.lit("1.2.3")).alias("change"))
 
 
 # --------------------------------------------------------------------- S8 / P12 / P13
