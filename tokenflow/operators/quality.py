@@ -99,6 +99,10 @@ def export_tx_errors(records: DataFrame, pos_col: str = "pos") -> DataFrame:
         msg("chain", F.coalesce(F.col("chain").isin(*dims.CHAINS), F.lit(False))),
         msg("activity_type", F.coalesce(F.col("activity_type").isin(*dims.ACTIVITY_TYPES), F.lit(False))),
         msg("block_number", F.coalesce(F.col("block_number").rlike(r"^[0-9]+$"), F.lit(False))),
+        msg("source_explorer", R.nonempty("source_explorer")),
+        msg("gas_used", F.col("gas_used").isNull() | F.col("gas_used").rlike(r"^[0-9]+$")),
+        msg("gas_price", F.col("gas_price").isNull()
+            | F.coalesce(F.col("gas_price").try_cast("decimal(38,18)") >= 0, F.lit(False))),
     ]
     arr = F.array_compact(F.array(*[F.when(~ok, F.concat(F.lit("transactions["), p, F.lit(f"].{f}: invalid")))
                                     for f, ok in rules]))
@@ -115,7 +119,10 @@ def export_holder_errors(records: DataFrame, pos_col: str = "pos") -> DataFrame:
         ("stablecoin", F.coalesce(F.col("stablecoin").isin(*dims.STABLECOINS), F.lit(False))),
         ("chain", F.coalesce(F.col("chain").isin(*dims.CHAINS), F.lit(False))),
         ("is_store_of_value", F.coalesce(F.lower("is_store_of_value").isin("true", "false"), F.lit(False))),
-        ("last_activity", fs.isNull() | la.isNull() | (la >= fs)),
+        ("source_explorer", R.nonempty("source_explorer")),
+        ("first_seen", F.coalesce(F.col("first_seen").rlike(ISO_RE), F.lit(False))),
+        ("last_activity", F.coalesce(F.col("last_activity").rlike(ISO_RE), F.lit(False))
+         & F.coalesce(la >= fs, F.lit(True))),
     ]
     arr = F.array_compact(F.array(*[F.when(~ok, F.concat(F.lit("holders["), p, F.lit(f"].{f}: invalid")))
                                     for f, ok in rules]))
@@ -166,6 +173,23 @@ def run_filters(tx: DataFrame, sources: list[str] | None = None, coins: list[str
     return out
 
 
+#: fixed values: the parts that a run's summary must have
+SUMMARY_PARTS = ["stablecoin", "activity_type", "chain"]
+
+
+def export_summary_errors(summary: DataFrame) -> DataFrame:
+    """V9/V10 rules on a run's summary rows (kind, key, count, volume): one
+    ``error`` row per missing part, negative count or negative volume."""
+    spark = summary.sparkSession
+    parts = spark.createDataFrame([(k,) for k in SUMMARY_PARTS], "kind string")
+    missing = parts.join(summary.select("kind").distinct(), "kind", "left_anti").select(
+        F.concat(F.lit("summary.by_"), "kind", F.lit(": missing")).alias("error"))
+    bad = [summary.where(~F.coalesce(F.col(c) >= 0, F.lit(False))).select(
+        F.concat(F.lit("summary.by_"), "kind", F.lit("."), "key", F.lit(f".{c}: invalid")).alias("error"))
+        for c in ("count", "volume")]
+    return missing.unionByName(bad[0]).unionByName(bad[1])
+
+
 def export_metadata_errors(meta: DataFrame) -> DataFrame:
     """V9 document rules on the metadata row of each export: required fields,
     ISO collection time, integer non-negative total_records, explorers list

@@ -1331,8 +1331,36 @@ def q_export_roundtrip(spark, sf):
     tx = _tx(spark, sf)
     out = EX.write_export(spark, scratch_path(spark, f"exports/{uuid.uuid4().hex}"), "run-1", tx,
                           _holders(spark, sf), ["etherscan", "bscscan", "polygonscan"])
-    t, _, _ = EX.read_export(spark, out)
-    return t
+    return EX.read_export(spark, out)[0]
+
+
+@register("export_parts", C.with_ctes("TX", "HOLDERS") + """
+SELECT 'holders' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(balance) AS DOUBLE) AS v FROM holders
+UNION ALL SELECT 'metadata', (SELECT count(*) FROM tx) + (SELECT count(*) FROM holders), 3.0
+UNION ALL SELECT 'summary ' || stablecoin, count(*), CAST(sum(amount) AS DOUBLE) FROM tx GROUP BY stablecoin
+UNION ALL SELECT 'summary ' || chain, count(*), CAST(sum(amount) AS DOUBLE) FROM tx GROUP BY chain
+UNION ALL SELECT 'errors', 2, NULL UNION ALL SELECT 'invalid', 0, NULL""")
+def q_export_parts(spark, sf):
+    """S9 -> S1 for everything but the transfers: holders, metadata, summary,
+    errors, and the section checks of V9 on what was written."""
+    out = EX.write_export(spark, scratch_path(spark, f"exports/{uuid.uuid4().hex}"), "run-1", _tx(spark, sf),
+                          _holders(spark, sf), ["etherscan", "bscscan", "polygonscan"], errors=["timeout", "no key"])
+    _, h, meta, summary, errors = EX.read_export(spark, out)
+    n = F.count("*").cast("bigint").alias("n")
+    none = F.lit(None).cast("double").alias("v")
+    bad = QL.export_summary_errors(summary).unionByName(
+        QL.export_metadata_errors(meta).select(F.explode("errors").alias("error")))
+    parts = [h.agg(F.lit("holders").alias("part"), n, F.sum("balance").cast("double").alias("v")),
+             meta.select(F.lit("metadata").alias("part"), F.col("total_records").cast("bigint").alias("n"),
+                         F.size("explorers_queried").cast("double").alias("v")),
+             summary.where("kind in ('stablecoin', 'chain') and count > 0").select(
+                 F.concat(F.lit("summary "), "key").alias("part"), F.col("count").alias("n"),
+                 F.col("volume").cast("double").alias("v")),
+             errors.agg(F.lit("errors").alias("part"), n, none), bad.agg(F.lit("invalid").alias("part"), n, none)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("tx_to_json", C.with_ctes("TX") + f"""
@@ -1435,6 +1463,46 @@ def q_class_summary(spark, sf):
     return ML.class_summary(ML.classify_wallets(f, model))
 
 
+def _rule_classes(spark, sf):
+    """Wallet classes by rule with a confidence: a prediction table that SQL has too."""
+    f = FE.label_wallets(_features(spark, sf))
+    return f.select("address", "behavior_class", (F.col("balance_percentile") / 100.0).alias("confidence"))
+
+
+_RULE_CLASSES = _FEATS.rstrip() + f""",
+cls AS (SELECT address, {_LABEL} AS behavior_class, balance_percentile / 100.0 AS confidence FROM feats)"""
+
+
+@register("class_summary_rules", _RULE_CLASSES + """
+SELECT behavior_class, CAST(count(*) AS BIGINT) AS count,
+  CAST((SELECT count_if(confidence < 0.6) FROM cls) AS BIGINT) AS low_confidence,
+  round((SELECT avg(confidence) FROM cls), 9) AS avg_confidence, (SELECT min(confidence) FROM cls) AS min_confidence,
+  (SELECT max(confidence) FROM cls) AS max_confidence FROM cls GROUP BY behavior_class""")
+def q_class_summary_rules(spark, sf):
+    s = ML.class_summary(_rule_classes(spark, sf))
+    return s.withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
+@register("class_confidence_rules", _RULE_CLASSES + """
+SELECT round(avg(confidence), 9) AS mean_confidence, CAST(count_if(confidence < 0.6) AS BIGINT) AS low_confidence_count,
+  CAST(count_if(confidence < 0.6) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 AS low_confidence_pct,
+  min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM cls""")
+def q_class_confidence_rules(spark, sf):
+    c = A.class_confidence(_rule_classes(spark, sf))
+    return c.withColumn("mean_confidence", F.round("mean_confidence", 9))
+
+
+@register("training_metadata_rules", _RULE_CLASSES + """,
+lab AS (SELECT address, CASE WHEN behavior_class = 'holder' THEN 1 ELSE 0 END AS label FROM cls),
+sp AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(address || '|42'))
+         <= round(0.2 * count(*) OVER (PARTITION BY label)) AS is_test FROM lab)
+SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, CAST(count(*) AS BIGINT) AS samples,
+  avg(CAST(label AS DOUBLE)) AS positive_ratio, '1.0' AS taxonomy_version FROM sp GROUP BY 1""")
+def q_training_metadata_rules(spark, sf):
+    lab = _rule_classes(spark, sf).select("address", (F.col("behavior_class") == "holder").cast("int").alias("label"))
+    return ML.training_metadata(FE.split(lab, label="label"), taxonomy_version=FE.Thresholds().taxonomy_version)
+
+
 @register("class_confidence")
 def q_class_confidence(spark, sf):
     f, (model, _, _) = _trained_wallets(spark, sf)
@@ -1520,19 +1588,26 @@ def q_frame_roundtrip(spark, sf):
     return TY.tx_frame(TY.typed_tx(strings))
 
 
-@register("validate_export", C.with_ctes("HOLDERS") + """
-SELECT 'holders[' || CAST(pos AS VARCHAR) || '].balance: invalid' AS error FROM (
-  SELECT row_number() OVER (ORDER BY address) - 1 AS pos, balance FROM holders) WHERE balance < 0""")
+@register("validate_export", C.with_ctes("HOLDERS", extra="""
+h AS (SELECT row_number() OVER (ORDER BY address || '|' || coin || '|' || chain) - 1 AS pos, * FROM (
+        SELECT address, balance, stablecoin AS coin, chain, first_seen FROM holders
+        UNION ALL SELECT address, balance, CASE stablecoin WHEN 'USDC' THEN 'USDT' ELSE 'USDC' END, chain, first_seen FROM holders))""") + """
+SELECT 'holders[' || CAST(pos AS VARCHAR) || '].balance: invalid' AS error FROM h WHERE balance < 0
+UNION ALL SELECT 'holders[' || CAST(pos AS VARCHAR) || '].' || f || ': invalid' FROM h, (VALUES ('first_seen'), ('last_activity')) t(f)
+  WHERE first_seen IS NULL""")
 def q_validate_export(spark, sf):
     """V9 record rules over the export form of the holders (array index =
     position in address order, as in a written document)."""
-    h = EX.holder_to_json(_holders(spark, sf))
+    h = _holders(spark, sf)
+    other = F.when(F.col("stablecoin") == "USDC", "USDT").otherwise("USDC")
+    h = EX.holder_to_json(h.unionByName(h.withColumn("stablecoin", other)))  # every address with two coins
     from tokenflow.operators import quality as Q
-    # a written document has one array; its index is the address order,
-    # taken from the range-partitioned rank (no single-partition window)
+    # a written document has one array; its index is the order of the unique key
+    # (address, coin, chain), taken from the range-partitioned rank
     from tokenflow.operators.rank import value_ranks
-    r = value_ranks(h, "address").select(F.col("address").alias("_a"), F.col("_below").alias("pos"))
-    pos = h.join(r, h["address"] == r["_a"]).drop("_a")
+    h = h.withColumn("_k", F.concat_ws("|", "address", "stablecoin", "chain"))
+    r = value_ranks(h, "_k").select(F.col("_k").alias("_a"), F.col("_below").alias("pos"))
+    pos = h.join(r, h["_k"] == r["_a"]).drop("_a", "_k")
     e = Q.export_holder_errors(pos)
     return e.select(F.explode("errors").alias("error"))
 
