@@ -44,7 +44,9 @@ from tokenflow.llm.common import doc_key, table, written
 #: bytes of context; a gram and a row number share 64 bits, so at most 5
 DEPTH, TOP = 5, 2
 BLOCK = 24_000_000
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: distinct keys of single chunks that a counting task holds before it merges them
+PENDING = 1_500_000
 BROADCAST_GRAMS = 8_000_000
 
 WORD = 1 << 63  # keys from here on are words, below it grams
@@ -175,8 +177,8 @@ def _counter(depth: int):
                 rest = np.unique(keys[~of_train])
                 parts.append((rest, np.zeros(len(rest), np.int64)))
                 parts.append((np.array([END, BYTES], np.uint64), np.array([mine.sum(), per.sum()])))
-            if sum(len(k) for k, _ in parts) > 4_000_000:
-                parts = [_add(parts)]
+                if sum(len(k) for k, _ in parts[1:]) > PENDING:
+                    parts = [_add(parts)]
         keys, n = _add(parts)
         yield from _rows(_signed(keys), n.astype(np.int64))
     return run
