@@ -29,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrowed(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need: a small table in
+    the many partitions of a large one costs a file per partition in every
+    exchange. Larger tables keep their partitions."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own in the shared folder: like ``cut``
     for wide rows, compressed and with column pruning on each later read."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tokenflow.llm.common import cut
+from tokenflow.llm.common import cut, narrowed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,16 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     mark = _mark(e)
+    rows = mark[0]  # a step never adds edges
+    e = narrowed(e, rows)
     while mark[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = cut(large)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = cut(narrowed(narrowed(large, rows).distinct(), rows))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                 .unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
-        e = cut(small)
+                 .unionByName(least.select("hi", F.col("m").alias("lo"))))
+        e = cut(narrowed(narrowed(small, rows).distinct(), rows))
         before, mark = mark, _mark(e)
         if before == mark:
             break

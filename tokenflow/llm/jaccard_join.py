@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenflow.llm.common import cut, table
+from tokenflow.llm.common import cut, narrowed, table
 from tokenflow.llm.graph import components
 from tokenflow.llm.lm_scoring import _add, _chunks, _words, mix
 
@@ -347,13 +347,15 @@ def _links(pairs: DataFrame, scan: DataFrame, tile: int) -> DataFrame:
     """Verified links (a, b) of candidate pairs (a, b). Pairs that hang together
     are verified in one tile, so a set is sent once; only a component of more
     than ``tile`` sets is cut into parts."""
-    pairs = cut(pairs.distinct())
-    label = cut(components(pairs))
+    pairs = cut(pairs)
+    n = pairs.count()
+    pairs = narrowed(pairs, n)
+    label = cut(narrowed(components(pairs), 2 * n))
     parts = label.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("long").alias("k"))
     placed = (pairs.join(label.withColumnRenamed("node", "a"), "a").join(parts, "component")
               .withColumn("p", _parts("a", F.col("k"))).withColumn("q", _parts("b", F.col("k")))
               .select("a", "b", F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")).alias("tile")))
-    placed = cut(placed)
+    placed = cut(narrowed(placed, n))
     need = placed.select("tile", F.col("a").alias("doc")).unionByName(
         placed.select("tile", F.col("b").alias("doc"))).distinct()
     sets = _build(scan, label.select(F.col("node").alias("doc"))).join(need, "doc").select(
@@ -409,7 +411,8 @@ def _cross_links(members: DataFrame, known: DataFrame, scan: DataFrame, tile: in
     """Links (a, b) between components inside the clusters of sets that share
     long lists. Sets of a cluster's largest component are data only (their
     pairs are connected already); all others are queries against all sets."""
-    cluster = cut(components(members))
+    n = members.count()
+    cluster = cut(narrowed(components(narrowed(members, n)), 2 * n))
     labelled = cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(
         known, F.col("doc") == F.col("node"), "left").select(
         "doc", "cluster", F.coalesce("component", "doc").alias("comp"))
@@ -424,6 +427,7 @@ def _cross_links(members: DataFrame, known: DataFrame, scan: DataFrame, tile: in
     asks = rows.where("query").select("doc", "comp", "cluster", "query", F.explode(whole("dp")).alias("x"),
                                       _parts("doc", F.col("qp")).alias("y"))
     placed = cut(data.unionByName(asks).select("doc", "comp", "query", F.xxhash64("cluster", "x", "y").alias("tile")))
+    placed = narrowed(placed, placed.count())
     sets = _build(scan, placed.select("doc").distinct())
     return placed.join(sets, "doc").groupby("tile").applyInArrow(_across, "a long, b long")
 
@@ -440,8 +444,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = spark.sparkContext.broadcast(_hot(first.where("kind = 1"), hot))
     postings = scan.mapInArrow(_postings(shared), "token long, doc long, size int, pos int, ident long")
     found = cut(postings.repartition("token").mapInArrow(_search(short), "kind int, a long, b long").distinct())
+    found = narrowed(found, found.count())
     links = _links(found.where("kind = 0").select("a", "b"), scan, tile)
-    known = cut(components(links))
+    known = components(links)
+    known = cut(narrowed(known, 2 * links.count()))
     more = _cross_links(found.where("kind = 1").select("a", "b"), known, scan, tile)
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     members = first.where("kind = 0").select(F.col("a").alias("doc"), "b", "c", F.col("n").alias("n_shingles"))
