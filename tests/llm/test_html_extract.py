@@ -79,3 +79,37 @@ def test_edge_rows(spark):
     got = [(r.page_id, len(r.main_text)) for r in out.collect()]
     assert sorted(got) == [(1, 0), (2, 0), (3, 199_999), (3, 199_999)] and out.columns.count("main_text") == 1
     assert H.extract(d.limit(0)).count() == 0
+
+
+def answers(spark, htmls):
+    d = spark.createDataFrame([(k, f"http://a.org/{k}", h) for k, h in enumerate(htmls)], SCHEMA)
+    got = [{r.page_id: r.main_text for r in H.extract(d.repartition(3), **kw).collect()} for kw in ({}, {"broadcast_bytes": 0})]
+    assert got[0] == got[1]
+    return [got[0][k] for k in range(len(htmls))]
+
+
+def paras(k, n):
+    return [f"Sentence {j} of page {k}, with words of its own." for j in range(n)]
+
+
+def marked(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_wrapper_decides_inside_and_outside_article_elements(spark):
+    def one(k):
+        return (f'<div class="q1"><p>Welcome to our site</p></div><article><h1>T {k}</h1><div class="q2"><p>Read this on our app.</p>'
+                f'</div>{marked(paras(k, k % 3 + 1))}<p>Thanks for reading, come back soon.</p></article><div class="q3"><p>Made by us</p></div>')
+
+    def teaser(k):
+        return f'<article><p>Card {k}</p></article><div class="q4"><h2>T {k}</h2>{marked(paras(k, 4))}</div>'
+
+    got = answers(spark, [one(k) for k in range(9)] + [teaser(k) for k in range(9, 11)])
+    assert got[:9] == ["\n".join([f"T {k}"] + paras(k, k % 3 + 1)) for k in range(9)]
+    assert got[9:] == ["\n".join([f"Card {k}", f"T {k}"] + paras(k, 4)) for k in (9, 10)]
+
+
+def test_long_template_texts_go_too(spark):
+    legal = [f"Legal paragraph {c} " + "of many words " * 12 for c in "abcde"]
+    got = answers(spark, [f'<div class="q1"><h2>T {k}</h2>{marked(paras(k, 6))}</div><div class="q2">{marked(legal)}</div>' for k in range(8)])
+    assert got == ["\n".join([f"T {k}"] + paras(k, 6)) for k in range(8)]

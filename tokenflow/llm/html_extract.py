@@ -3,16 +3,28 @@
 Pages of one host share a template. Their token streams (tags with class or id,
 and text) are aligned one after another: equal tokens stay, adjacent repeats
 become repeated groups, tokens that only some pages have become optional
-groups, and text that differs between pages becomes a text slot; text that is
-equal on all pages is template. The result is the host's wrapper: a regular
-expression without unions plus its text slots (element path, pages, characters,
-characters in links, the template text if it has one).
-
-The wrapper tells where the article is: in ``article`` / ``main`` elements when
-the template has them; else in the deepest element that holds most of the slot
-text that is neither link nor template. Elements whose tag, role, class or id
-names them as menu, header, footer, sidebar, notice, advert, form or reader
-comments are dropped in either case.
+groups, and text becomes a text slot. The result is the
+host's wrapper: a regular expression without unions plus its text slots (element
+paths, on how many pages they have text and on how many mostly links).
+
+A page's texts are matched to the slots by their element path. A text that at
+least three different pages of the host and half of the pages with that slot
+have in the same slot is template, in ``article`` elements too; equal copies of a
+page count once. Pages that agree in the three longest texts beside the one in
+question may be copies with small changes: a text that only such pages share
+stays on a page that would have less than a tenth left. A repeated group of
+links in an element that holds no other text is a menu. Both go. What is left is the article; if ``article`` / ``main`` elements hold at
+least half of it, only what is inside them. Nothing else decides by place, so
+pages of another layout than most of their host keep their text.
+
+Names are a first hint: elements whose tag, role, class or id names them as
+menu, header, footer, sidebar, notice, advert, form or reader comments are
+dropped.
+
+Known limits: text outside the article that differs from page to page and has
+no telling name stays on pages without article / main; hosts with fewer than
+three different pages have no template texts; where most pages of a host are
+rewritten copies of one article, the paragraphs they share count as template.
 
 Wrappers are built per input partition, reduced to the distinct ones of a host
 by a partial aggregate and merged by host (hosts with many wrappers in two
@@ -33,6 +45,8 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -43,6 +57,8 @@ from tokenflow.llm.url_filter import split_url
 
 #: bytes of all wrappers up to which they are broadcast
 BROADCAST_BYTES = 32_000_000
+#: different pages that must have a text for it to be template
+TEMPLATE_PAGES = 3
 
 # fixed values: elements and names
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "head"}
@@ -72,24 +88,32 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
+_SIGNS = re.compile(r"[()+?#/]")  # the wrapper's own signs
+_DIGITS = re.compile(r"(?<=[-_])[0-9]+|[0-9]{3,}")  # post-17: the number of a page
+
+
+def _named(value: str, names: set[str]) -> bool:
+    return bool(({n.lower() for n in _NAME.findall(value)} | set(value.lower().split())) & names)
 
 
 class Element:
-    __slots__ = ("tag", "label", "drop", "main", "header")
+    __slots__ = ("tag", "label", "drop", "named", "holds", "main", "header")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.label = tag, tag
+        # named: dropped by class or id alone; holds: has an article, main or h1 inside
         self.drop, self.main, self.header = tag in DROP_TAGS, tag in MAIN_TAGS, tag == "header"
+        self.named = self.holds = False
         if not attrs or attrs.isspace():
             return
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
             if key in ("class", "id"):
-                self.label += f".{value.strip()}"
+                # one word without the signs of groups
+                self.label += "." + _SIGNS.sub("_", _DIGITS.sub("0", ".".join(value.split())))
                 if tag not in ("html", "body"):
-                    names = {n.lower() for n in _NAME.findall(value)} | set(value.lower().split())
-                    self.drop |= bool(names & DROP_NAMES)
-                    self.header |= bool(names & HEADER_NAMES) and tag not in MAIN_TAGS
+                    self.named |= _named(value, DROP_NAMES)
+                    self.header |= _named(value, HEADER_NAMES) and tag not in MAIN_TAGS
             elif key == "role":
                 self.drop |= value.lower() in DROP_ROLES
                 self.main |= value.lower() == "main"
@@ -99,11 +123,21 @@ class Element:
                 self.drop |= "display:none" in value.replace(" ", "").lower()
 
 
+class Block(NamedTuple):
+    path: tuple[str, ...]
+    text: str
+    link: int  # characters in links
+    main: bool  # in article or main
+    title: bool  # in h1
+    drop: bool
+    hard: bool  # dropped by more than the names of elements around it
+    named: tuple[Element, ...]
+
+
 def read(page: str):
-    """(tokens, blocks): the structure tokens of a page, and its text blocks as
-    (path, text, characters in links, in main, dropped)."""
+    """(tokens, blocks): the structure tokens of a page, and its text blocks."""
     tokens: list[str] = []
-    blocks: list[tuple[tuple[str, ...], str, int, bool, bool]] = []
+    blocks: list[Block] = []
     stack: list[Element] = []
     buffer: list[str] = []
     links, in_link, at, end = 0, False, 0, len(page)
@@ -119,7 +153,10 @@ def read(page: str):
                 for e in stack:
                     inside |= e.main
                     head |= e.header and not inside
-                blocks.append((path, text, min(links, len(text)), main, head or any(e.drop for e in stack)))
+                named = tuple(e for e in stack if e.named)
+                hard = head or any(e.drop for e in stack) or any(e.main for e in named)
+                blocks.append(Block(path, text, min(links, len(text)), main, any(e.tag == "h1" for e in stack),
+                                    hard or bool(named), hard, named))
                 tokens.append("#")
         buffer.clear()
         links = 0
@@ -139,7 +176,7 @@ def read(page: str):
         tag = m[2] or m[5]
         if not tag:
             continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
+        tag, closing = _SIGNS.sub("_", tag.lower()), bool(m[1] or m[4])
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
@@ -168,6 +205,9 @@ def read(page: str):
         while stack and (stack[-1].tag in CLOSED_BY_BLOCK or stack[-1].tag in SIBLINGS.get(tag, ())):
             tokens.append(f"/{stack.pop().tag}")
         e = Element(tag, m[3] or m[6] or "")
+        if e.main or tag == "h1":
+            for x in stack:
+                x.holds = True
         tokens.append(e.label)
         if tag not in VOID:
             stack.append(e)
@@ -258,8 +298,8 @@ class Wrapper:
     def __init__(self, data: dict | None = None):
         self.tokens: list[str] = data["tokens"] if data else []
         self.pages: int = data["pages"] if data else 0
-        # path -> [pages, characters, in links, main, dropped, template text or None]
-        self.slots: dict[str, list] = data["slots"] if data else {}
+        # path -> [pages that have text there, pages where it is mostly links]
+        self.slots: dict[str, list[int]] = data["slots"] if data else {}
         self._seen: set[tuple[str, ...]] = set()
 
     def add_page(self, tokens: list[str], blocks) -> None:
@@ -269,25 +309,19 @@ class Wrapper:
             shape = collapse(tokens)
             self.tokens = align(self.tokens, shape) if self.pages else shape
         self.pages += 1
-        found: dict[str, list] = {}
-        for path, text, link, main, drop in blocks:
-            s = found.setdefault(" ".join(path), [1, 0, 0, main, drop, text if len(text) <= 200 else None])
-            if s[1]:
-                s[5] = None  # a repeated group is no template text
-            s[1] += len(text)
-            s[2] += link
-        self._merge(found)
-
-    def _merge(self, slots: dict[str, list]) -> None:
-        for path, s in slots.items():
-            old = self.slots.get(path)
-            if old is None:
-                self.slots[path] = list(s)
-            else:
-                for k in range(3):
-                    old[k] += s[k]
-                old[3], old[4] = old[3] or s[3], old[4] and s[4]
-                old[5] = old[5] if old[5] == s[5] else None
+        found: dict[str, list[int]] = {}
+        for b in blocks:
+            if not b.drop:
+                s = found.setdefault(" ".join(b.path), [0, 0])
+                s[0] += len(b.text)
+                s[1] += b.link
+        self._merge({p: [1, int(2 * link > size)] for p, (size, link) in found.items()})
+
+    def _merge(self, slots: dict[str, list[int]]) -> None:
+        for path, (pages, links) in slots.items():
+            old = self.slots.setdefault(path, [0, 0])
+            old[0] += pages
+            old[1] += links
 
     def add(self, other: "Wrapper") -> None:
         self.tokens = align(self.tokens, other.tokens) if self.pages else other.tokens
@@ -297,63 +331,144 @@ class Wrapper:
     def dump(self) -> str:
         return json.dumps({"tokens": self.tokens, "pages": self.pages, "slots": self.slots}, sort_keys=True)
 
-    def region(self) -> str | None:
-        """Path of the deepest element with most slot text, for templates
-        without an article element; None if the template has one."""
-        text = {p: s for p, s in self.slots.items() if not s[4] and not self._template(s)}
-        if any(s[3] for s in text.values()):
-            return None
-        weight: dict[tuple[str, ...], int] = {}
-        for p, s in text.items():
-            own = max(s[1] - 2 * s[2], 0)
-            parts = tuple(p.split(" ")) if p else ()
-            for k in range(len(parts) + 1):
-                weight[parts[:k]] = weight.get(parts[:k], 0) + own
-        total = weight.get((), 0)
-        good = [p for p, w in weight.items() if w >= 0.7 * total and (not p or not _leaf(p[-1]))]
-        return " ".join(max(good, key=lambda p: (len(p), p), default=()))
-
-    def _template(self, slot: list) -> bool:
-        return self.pages >= 3 and slot[0] >= 3 and slot[5] is not None
-
-    def rules(self) -> dict:
-        return {"region": self.region(), "template": sorted(
-            p for p, s in self.slots.items() if not s[3] and self._template(s))}
-
-
-def _leaf(label: str) -> bool:
-    return label.split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "blockquote")
+    def repeated(self) -> set[str]:
+        """Paths of the text slots that lie in a repeated group."""
+        out: set[str] = set()
+        stack: list[str] = []
+        opened: list[int] = []  # depths of "(" marks; every "(" is a group's
+        for part in " ".join(self.tokens).split(" "):
+            bare = part.lstrip("(")
+            opened += [len(stack)] * (len(part) - len(bare))
+            token = re.sub(r"[)+?]+$", "", bare)
+            if token == "#":
+                if opened:
+                    out.add(" ".join(e for e in stack if _tag(e) not in ("html", "body")))
+            elif token.startswith("/"):
+                for k in range(len(stack) - 1, -1, -1):
+                    if _tag(stack[k]) == token[1:]:
+                        del stack[k:]
+                        break
+            elif token and _tag(token) not in VOID:
+                stack.append(token)
+            for _ in range(bare.count(")")):
+                if opened:
+                    opened.pop()
+        return out
+
+    def rules(self, texts=()) -> dict:
+        """What the extraction needs: keys of template texts, and the slots of
+        menus (repeated groups of links in an element without other text).
+        ``texts``: (slot key, text key, sure) of the host's template texts."""
+        fixed, repeated = {g for g, _, _ in texts}, self.repeated()
+        plain: set[str] = set()  # elements that hold text other than links and template
+        for p, (pages, links) in self.slots.items():
+            if 2 * links <= pages and (p in repeated or _key(p) not in fixed):
+                parts = p.split(" ") if p else []
+                plain |= {" ".join(parts[:k]) for k in range(len(parts) + 1)}
+        return {"texts": {t: bool(sure) for _, t, sure in texts}, "menus": {
+            p for p, (pages, links) in self.slots.items()
+            if 2 * links > pages and p in repeated and _holder(p) not in plain}}
+
+
+def _tag(label: str) -> str:
+    return label.split(".")[0]
+
+
+def _holder(path: str) -> str:
+    """The element that a list or paragraph of this path stands in."""
+    parts = path.split(" ") if path else []
+    while parts and _tag(parts[-1]) in ("p", "li", "dt", "dd", "td", "th", "tr", "tbody", "table", "ul", "ol", "dl"):
+        parts.pop()
+    return " ".join(parts)
+
+
+def _key(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                          "little", signed=True)
+
+
+def _weight(blocks) -> int:
+    return sum(len(b.text) - b.link for b in blocks)
+
+
+def _kept(blocks) -> list:
+    return [b for b in blocks if not b.drop]
 
 
 def main_text(page: str | None, rules: dict | None) -> str:
-    """The article of a page as blocks joined by newlines."""
+    """The article of a page as blocks joined by newlines: what its host's
+    wrapper has neither as template text nor as menu; inside article / main
+    elements if these hold at least half of it."""
     _, blocks = read(page or "")
-    kept = [b for b in blocks if not b[4]]
-    if any(b[3] for b in kept):
-        return "\n".join(b[1] for b in kept if b[3])
-    rules = rules or {"region": None, "template": []}
-    template, region = set(rules["template"]), rules["region"]
-    out = []
-    for path, text, link, _, _ in kept:
-        p = " ".join(path)
-        if p in template or 2 * link > len(text):
-            continue
-        if region and not (p == region or p.startswith(region + " ")):
+    rules = rules or _EMPTY
+    texts, menus = rules["texts"], rules["menus"]
+    out, doubtful = [], set()
+    for b in _kept(blocks):
+        p = " ".join(b.path)
+        sure = texts.get(_key(p, b.text)) if texts else None
+        if sure or p in menus and 2 * b.link > len(b.text):
             continue
-        out.append(text)
-    return "\n".join(out)
+        if sure is not None:
+            doubtful.add(id(b))
+        out.append(b)
+    own = [b for b in out if id(b) not in doubtful]
+    if 10 * _weight(own) >= _weight(out):  # else the page is a copy with small changes
+        out = own
+    inside = [b for b in out if b.main]
+    if inside and 2 * _weight(inside) >= _weight(out):
+        out = inside
+    return "\n".join(b.text for b in out)
+
+
+_EMPTY: dict = {"texts": {}, "menus": frozenset()}
 
 
 # ------------------------------------------------------------------- operator
 
+_LEARNED = "host string, wrapper string, slot bigint, txt bigint, page bigint, rest bigint"
+
+
+def _seen_texts(blocks) -> Iterator[tuple[int, int | None, int, int]]:
+    """(slot, text, page, rest) of a page's kept texts, text null once per slot.
+    ``page`` tells pages apart by the three longest texts beside the one in
+    question, ``rest`` by all of them."""
+    kept = _kept(blocks)
+    texts = {b.text: _key(b.text) for b in kept}
+    longest = sorted(texts, key=lambda t: (-len(t), t))[:4]
+    whole, total = _key(*longest[:3]), sum(texts.values())
+    beside = {t: _key(*[x for x in longest if x != t][:3]) for t in longest}
+    slots: dict[str, set[str]] = {}
+    for b in kept:
+        slots.setdefault(" ".join(b.path), set()).add(b.text)
+    for p, found in slots.items():
+        g = _key(p)
+        yield g, None, whole, _long(total)
+        for t in found:
+            yield g, _key(p, t), beside.get(t, whole), _long(total - texts[t])
+
+
+def _long(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("slot", pa.int64()), ("txt", pa.int64()),
+                        ("page", pa.int64()), ("rest", pa.int64())])
     found: dict[str, Wrapper] = {}
     for b in batches:
+        rows: list[list] = [[] for _ in schema]
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found.setdefault(host, Wrapper()).add_page(*read(page or ""))
+            tokens, blocks = read(page or "")
+            found.setdefault(host, Wrapper()).add_page(tokens, blocks)
+            for seen in _seen_texts(blocks):
+                for column, value in zip(rows, (host, None, *seen)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([w.dump() for w in found.values()])],
-                                         ["host", "wrapper"])
+        none = pa.nulls(len(found), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()),
+                                          pa.array([w.dump() for w in found.values()]), none, none, none, none],
+                                         schema=schema)
 
 
 def _merged(t: pa.Table) -> pa.Table:
@@ -362,20 +477,40 @@ def _merged(t: pa.Table) -> pa.Table:
         w = Wrapper(json.loads(text))
         w.pages *= times
         for s in w.slots.values():
-            s[:3] = [x * times for x in s[:3]]
+            s[:] = [x * times for x in s]
         total.add(w)
     return pa.table({"host": [t.column("host")[0].as_py()], "wrapper": [total.dump()]})
 
 
+def _template_texts(seen: DataFrame) -> DataFrame:
+    """(host, texts): per host the (slot, text) that at least three different
+    pages and half of the pages with that slot have; ``sure`` if the pages
+    differ in their three longest other texts."""
+    counts = cut(seen.groupBy("host", "slot", "txt").agg(
+        F.count_distinct("page").alias("n"), F.count_distinct("rest").alias("m")).where(f"m >= {TEMPLATE_PAGES}"))
+    slots = counts.where("txt is null").select(F.col("host").alias("h"), F.col("slot").alias("g"),
+                                               F.col("n").alias("ns"), F.col("m").alias("ms"))
+    found = counts.where("txt is not null").join(
+        slots, F.col("host").eqNullSafe(F.col("h")) & (F.col("slot") == F.col("g"))).where("2 * m >= ms")
+    sure = F.expr(f"int(n >= {TEMPLATE_PAGES} and 2 * n >= ns)").alias("sure")
+    return found.select(F.col("host").alias("th"), F.struct("slot", "txt", sure).alias("x")).groupBy("th").agg(
+        F.collect_list("x").alias("texts"))
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper): one wrapper per host, from all its pages."""
+    """(host, wrapper, texts): one wrapper per host, from all its pages, and
+    the host's template texts."""
     host, _ = split_url(F.col(url))
-    parts = pages.select(host.alias("host"), F.col(html).alias("html")).mapInArrow(_learn, "host string, wrapper string")
+    learned = cut(pages.select(host.alias("host"), F.col(html).alias("html")).mapInArrow(_learn, _LEARNED))
+    parts = learned.where("wrapper is not null").select("host", "wrapper")
     for salt in (64, 1):  # distinct wrappers of a host, merged in two steps
         distinct = parts.groupBy("host", "wrapper").agg(F.count("*").alias("times")).withColumn(
             "salt", F.pmod(F.xxhash64("wrapper"), F.lit(salt)))
         parts = distinct.groupby("host", "salt").applyInArrow(_merged, "host string, wrapper string")
-    return parts
+    texts = _template_texts(learned.where("wrapper is null"))
+    return parts.join(texts, F.col("host").eqNullSafe(F.col("th")), "left").select(
+        "host", "wrapper",
+        F.coalesce("texts", F.expr("cast(array() as array<struct<slot: bigint, txt: bigint, sure: int>>)")).alias("texts"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html",
@@ -384,9 +519,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html",
     spark = pages.sparkSession
     known = cut(wrappers(pages, url, html))
     host, _ = split_url(F.col(url))
-    size = known.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
+    size = known.agg(F.coalesce(F.sum(F.length("wrapper") + 20 * F.size("texts")), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        rules = {r[0]: Wrapper(json.loads(r[1])).rules() for r in known.toLocalIterator()}
+        rules = {r[0]: Wrapper(json.loads(r[1])).rules(r[2]) for r in known.toLocalIterator()}
         shared = spark.sparkContext.broadcast(rules)
 
         @F.pandas_udf("string")
@@ -396,19 +531,24 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html",
         return pages.withColumn("main_text", by_host(host, F.col(html)))
 
     @F.pandas_udf("string")
-    def by_wrapper(w: pd.Series, page: pd.Series) -> pd.Series:
-        seen: dict[str, dict] = {}
+    def by_wrapper(w: pd.Series, t: pd.Series, page: pd.Series) -> pd.Series:
+        seen: dict[tuple[str, str], dict] = {}
         out = []
-        for x, p in zip(w, page):
-            if x not in seen:
-                seen[x] = Wrapper(json.loads(x)).rules() if isinstance(x, str) else None
-            out.append(main_text(p, seen[x]))
+        for x, texts, p in zip(w, t, page):
+            if not isinstance(x, str):
+                out.append(main_text(p, None))
+                continue
+            if (x, texts) not in seen:
+                seen[x, texts] = Wrapper(json.loads(x)).rules([tuple(v) for v in json.loads(texts)])
+            out.append(main_text(p, seen[x, texts]))
         return pd.Series(out, dtype=object)
 
     cols = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns]
     held = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), host.alias("_host"))
-    return held.join(known.withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"), "left").select(
-        *cols, by_wrapper(F.col("wrapper"), F.col(f"_row.`{html}`")).alias("main_text"))
+    pairs = F.expr("concat('[', array_join(transform(array_sort(texts), x -> concat('[', x.slot, ',', x.txt, ',', x.sure, ']')), ','), ']')")
+    known = known.select(F.col("host").alias("_h"), "wrapper", pairs.alias("texts"))
+    return held.join(known, F.col("_host").eqNullSafe(F.col("_h")), "left").select(
+        *cols, by_wrapper(F.col("wrapper"), F.col("texts"), F.col(f"_row.`{html}`")).alias("main_text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
