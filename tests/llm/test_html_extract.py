@@ -113,3 +113,15 @@ def test_long_template_texts_go_too(spark):
     legal = [f"Legal paragraph {c} " + "of many words " * 12 for c in "abcde"]
     got = answers(spark, [f'<div class="q1"><h2>T {k}</h2>{marked(paras(k, 6))}</div><div class="q2">{marked(legal)}</div>' for k in range(8)])
     assert got == ["\n".join([f"T {k}"] + paras(k, 6)) for k in range(8)]
+
+
+def test_pages_of_another_layout_keep_their_text(spark):
+    htmls = [f'<div class="q1"><p>Our site</p></div><div class="content">{marked(paras(k, 3))}</div>' for k in range(8)]
+    htmls += [f'<div class="q1"><p>Our site</p></div><div class="story">{marked(paras(k, 2))}</div>' for k in (8, 9)]
+    htmls += [f'<div class="q1"><p>Our site</p></div><div class="huge">{marked(paras(10, 300))}</div>']
+    assert answers(spark, htmls) == ["\n".join(paras(k, 3 if k < 8 else 2 if k < 10 else 300)) for k in range(11)]
+
+
+def test_heading_and_lead_beside_the_body(spark):
+    htmls = [f'<div class="c"><h1>T {k}</h1><p>Lead of {k}.</p><div class="body">{marked(paras(k, 9))}</div></div>' for k in range(5)]
+    assert answers(spark, htmls) == ["\n".join([f"T {k}", f"Lead of {k}."] + paras(k, 9)) for k in range(5)]
