@@ -125,3 +125,32 @@ def test_pages_of_another_layout_keep_their_text(spark):
 def test_heading_and_lead_beside_the_body(spark):
     htmls = [f'<div class="c"><h1>T {k}</h1><p>Lead of {k}.</p><div class="body">{marked(paras(k, 9))}</div></div>' for k in range(5)]
     assert answers(spark, htmls) == ["\n".join([f"T {k}", f"Lead of {k}."] + paras(k, 9)) for k in range(5)]
+
+
+def test_names_are_whole_tokens_and_spare_the_article():
+    for names in ("layout has-sidebar", "content no-sidebar", "with-comments-open", "page-without-ads"):
+        assert text(f'<div class="{names}"><article><p>Text</p></article></div>') == "Text"
+        assert text(f'<div class="{names}"><p>Text</p></div>') == "Text"
+    assert text('<div class="widget"><article><p>Text</p></article></div><div class="ad">Buy</div>') == "Text"
+    assert text('<div class="banner"><h1>Head</h1><p>Text</p></div><p>x</p>') == "Head\nText\nx"
+    for names in ("sidebar", "main-nav", "share-buttons", "adBox", "ad ad-1", "cookie-notice", "related-posts"):
+        assert text(f'<article><p>Text</p></article><div class="{names}"><article>Other</article></div>') == "Text"
+        assert text(f'<p>Text</p><div class="{names}"><p>Other, longer than the text</p></div>') == "Text"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = f'<div class="q1"><h2>Head</h2><div class="q2"><p>{paras(0, 1)[0]}</p></div></div>'
+    assert answers(spark, [page] * 5) == [f"Head\n{paras(0, 1)[0]}"] * 5
+    dated = [f'<div class="q1"><h2>Head</h2>{marked(paras(0, 4))}<i>{k} views</i></div>' for k in range(5)]
+    assert answers(spark, dated) == ["\n".join(["Head"] + paras(0, 4) + [f"{k} views"]) for k in range(5)]
+
+
+def test_links_go_with_menus_only(spark):
+    def links(k, n):
+        return "".join(f'<li><a href="/{j}">Go to {k} {j}</a></li>' for j in range(n))
+
+    htmls = [f'<div class="q0"><ul>{links(100 + k, 4)}</ul></div><div class="q1">{marked(paras(k, 2))}<p><a href="/x">Source {k}</a></p>'
+             f'<ul>{links(k, 3)}</ul></div>' for k in range(4)]
+    for some in (htmls, htmls[:1]):
+        assert answers(spark, some) == ["\n".join(paras(k, 2) + [f"Source {k}"] + [f"Go to {k} {j}" for j in range(3)])
+                                        for k in range(len(some))]

@@ -17,9 +17,10 @@ links in an element that holds no other text is a menu. Both go. What is left is
 least half of it, only what is inside them. Nothing else decides by place, so
 pages of another layout than most of their host keep their text.
 
-Names are a first hint: elements whose tag, role, class or id names them as
-menu, header, footer, sidebar, notice, advert, form or reader comments are
-dropped.
+Names are a first hint: elements whose tag, role, or whole class or id token
+names them as menu, header, footer, sidebar, notice, advert, form or reader
+comments are dropped, unless such a class or id stands around the page's only
+article, main or h1.
 
 Known limits: text outside the article that differs from page to page and has
 no telling name stays on pages without article / main; hosts with fewer than
@@ -76,6 +77,11 @@ DROP_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adverti
               "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "share",
               "sharing", "social", "related", "recommended", "recommendations", "widget", "widgets", "toolbar",
               "pagination", "pager", "copyright", "masthead", "topbar", "skip"}
+#: words that may stand beside a name in one class or id token
+PLAIN_NAMES = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "footer", "form",
+               "global", "group", "header", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list",
+               "main", "media", "page", "panel", "posts", "primary", "right", "secondary", "section", "side", "site",
+               "slot", "stories", "the", "title", "top", "unit", "wrap", "wrapper"}
 HEADER_NAMES = {"header", "head", "site-header", "pageheader"}
 MAIN_TAGS = {"article", "main"}
 CLOSED_BY_BLOCK = {"p"}
@@ -93,7 +99,15 @@ _DIGITS = re.compile(r"(?<=[-_])[0-9]+|[0-9]{3,}")  # post-17: the number of a p
 
 
 def _named(value: str, names: set[str]) -> bool:
-    return bool(({n.lower() for n in _NAME.findall(value)} | set(value.lower().split())) & names)
+    """Whether a whole class or id token is such a name, with nothing but plain
+    words beside it: share-buttons and ad-1 are, has-sidebar is not."""
+    for token in value.split():
+        if token.lower() in names:
+            return True
+        words = {n.lower() for n in _NAME.findall(token)}
+        if words & names and all(n in names or n in PLAIN_NAMES or n.isdigit() for n in words):
+            return True
+    return False
 
 
 class Element:
@@ -392,7 +406,17 @@ def _weight(blocks) -> int:
 
 
 def _kept(blocks) -> list:
-    return [b for b in blocks if not b.drop]
+    """Blocks outside dropped elements. An element dropped by its name alone
+    that holds an article, main or h1 is taken back if nothing of the kind is
+    left and the rest of the page has less text."""
+    kept = [b for b in blocks if not b.drop]
+    if any(b.main or b.title for b in kept):
+        return kept
+    back = [b for b in blocks if b.drop and not b.hard and all(e.holds for e in b.named)]
+    if _weight(back) <= _weight(kept):
+        return kept
+    ids = {id(b) for b in back}
+    return [b for b in blocks if not b.drop or id(b) in ids]
 
 
 def main_text(page: str | None, rules: dict | None) -> str:
