@@ -3,8 +3,15 @@
 A run is a sequence of consecutive lines of one document. A run of at least
 ``min_words`` words that occurs earlier (by doc_id, then line) is deleted
 wherever it occurs again; the union of all such runs is what each document
-loses, so passages that documents share are found even if their neighbours
-differ. A line that goes always has an earlier copy that stays.
+loses, so runs of lines that documents share are found even if their
+neighbours differ. A line that goes always has an earlier copy that stays.
+
+Limit: the unit is the whole line, equal in every byte. A shared passage that
+starts or ends inside a line loses only its inner lines, if these have
+``min_words`` words, and a passage inside one line stays. In documents of
+sf0.1, 16 benchmark passages of 50 words or more stand in two or more
+documents (38 places, none flush with line borders); at 27 of the 38 a line
+that the passage touches occurs once in the table.
 
 How:
 
