@@ -73,3 +73,14 @@ def test_threshold_is_inclusive(spark):
     rows = [(1, a), (2, b)]
     assert brute(rows)[1][2] == 1
     assert {x.component for x in J.near_duplicates(simple(spark, rows)).collect()} == {1}
+
+
+def test_keep_one_keeps_one_row_of_near_copies(spark):
+    a, b, c, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abce")
+    rows = [(None, a), (None, a), (None, a + " more"), (None, e), (5, b), (5, b), (5, c), (7, a), (8, "few"), (8, "few"), (9, None), (9, None)]
+    kept = J.keep_one(simple(spark, rows)).collect()
+    assert [r.doc_id for r in kept if r.text in (a, a + " more", e)] == [None, None]
+    assert e in {r.text for r in kept}
+    assert sorted((r.doc_id, r.text) for r in kept if r.text in (b, c)) == [(5, b), (5, c)]
+    assert sorted(r.doc_id for r in kept if r.text in ("few", None)) == [8, 9, 9]
+    assert kept[0].__fields__ == simple(spark, rows).columns

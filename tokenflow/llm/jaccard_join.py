@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenflow.llm.common import cut, narrowed, table
+from tokenflow.llm.common import cut, narrowed, table, written
 from tokenflow.llm.graph import components
 from tokenflow.llm.lm_scoring import _add, _chunks, _words, mix
 
@@ -465,12 +465,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component."""
+    """Rows of ``docs`` whose id is the smallest of its component; of rows that
+    are near copies under null or repeated ids, the one with the smallest (id,
+    text hash) stays. Rows without shingles are nobody's copies."""
     out = cut(near_duplicates(docs, text, doc_id))
     drop = out.groupBy("doc").agg(F.min("component").alias("component")).where("doc <> component").select(
         F.col("doc").alias("__dropped"))
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    return docs.join(drop, key == F.col("__dropped"), "left_anti")
+    kept = docs.join(drop, key == F.col("__dropped"), "left_anti")
+    if out.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    # each row a node of its own; written, so that all passes see the same row numbers
+    rows = written(kept.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(key.alias("id"), F.xxhash64(text).alias("th"), F.col("__row").alias("row"))
+    each = cut(near_duplicates(rows, text, "__row").where("n_shingles > 0").select("doc", "component").join(
+        rows.select("__row", order.alias("o")), F.col("doc") == F.col("__row")))
+    first = each.groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias("__first"))
+    again = each.join(first, F.col("doc") == F.col("__first"), "left_anti").select(F.col("doc").alias("__dropped"))
+    return rows.join(again, F.col("__row") == F.col("__dropped"), "left_anti").drop("__row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
