@@ -3,7 +3,7 @@ than the Spark operator does."""
 
 from __future__ import annotations
 
-from tokenflow.llm import mixing, quality_rules as Q, url_filter as U
+from tokenflow.llm import centroid_clusters as C, mixing, quality_rules as Q, url_filter as U, vector_codes as V
 
 _SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,7 +133,65 @@ SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.
 FROM c LEFT JOIN n ON n.a = c.vec_id
 """
 
+_WHOLE = "v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOOR_MEAN = "CAST((sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _clusters() -> str:
+    """One row per component, the distances by a join on the component."""
+    steps = []
+    for n in range(C.ROUNDS + 1):
+        steps.append(f"""a{n} AS (SELECT r, k, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place FROM (
+  SELECT x.r, c.k, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{n} c ON c.i = x.i GROUP BY x.r, c.k)) WHERE place = 1)""")
+        if n < C.ROUNDS:
+            steps.append(f"""c{n + 1} AS (SELECT c.k, c.i, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+  SELECT a.k, x.i, {_FLOOR_MEAN} AS v FROM x JOIN a{n} a ON a.r = x.r GROUP BY a.k, x.i) m ON m.k = c.k AND m.i = c.i)""")
+    last = C.ROUNDS
+    return f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT row_number() OVER () AS r, vec_id, v FROM e WHERE {_WHOLE} AND len(v) = {C.WIDTH}),
+x AS (SELECT r, i, CAST(floor({C.SCALE} * v[i]) AS BIGINT) AS v FROM ok, (SELECT unnest(range(1, {C.WIDTH + 1})) AS i)),
+starts AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k FROM ok),
+c0 AS (SELECT s.k, x.i, x.v FROM starts s JOIN x ON x.r = s.r WHERE s.k < {C.K}),
+{", ".join(steps)},
+digests AS (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS h FROM c{last} GROUP BY k)
+SELECT ok.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+  CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{last} a JOIN ok ON ok.r = a.r JOIN digests ON digests.k = a.k
+"""
+
+
+def _codes() -> str:
+    """Direct squared distances, one row per component."""
+    steps = []
+    for n in range(V.ROUNDS + 1):
+        steps.append(f"""a{n} AS (SELECT r, p, k, d FROM (SELECT *, row_number() OVER (PARTITION BY r, p ORDER BY d, k) AS place FROM (
+  SELECT x.r, x.p, c.k, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{n} c ON c.p = x.p AND c.i = x.i GROUP BY x.r, x.p, c.k))
+  WHERE place = 1)""")
+        if n < V.ROUNDS:
+            steps.append(f"""c{n + 1} AS (SELECT c.k, c.p, c.i, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+  SELECT a.k, x.p, x.i, {_FLOOR_MEAN} AS v FROM x JOIN a{n} a ON a.r = x.r AND a.p = x.p GROUP BY a.k, x.p, x.i) m
+  ON m.k = c.k AND m.p = c.p AND m.i = c.i)""")
+    last = V.ROUNDS
+    return f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT row_number() OVER () AS r, vec_id, label, v FROM e WHERE {_WHOLE}),
+w AS (SELECT CAST(ceil(max(len(v)) / {V.PARTS}) AS BIGINT) AS w FROM ok),
+x AS (SELECT r, (i - 1) // w AS p, (i - 1) % w AS i, CAST(floor({V.SCALE} * coalesce(v[i], 0)) AS BIGINT) AS v
+      FROM (SELECT r, v, w, unnest(range(1, {V.PARTS} * w + 1)) AS i FROM ok, w)),
+starts AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS k FROM ok),
+c0 AS (SELECT s.k, x.p, x.i, x.v FROM starts s JOIN x ON x.r = s.r WHERE s.k < {V.ENTRIES}),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY r),
+digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, k, i)) AS h FROM c{last})
+SELECT ok.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM digest) AS codebooks_sha256
+FROM coded JOIN ok ON ok.r = coded.r
+"""
+
+
 ORACLE = {
+    "op11_centroid_clusters": _clusters(),
+    "op12_vector_codes": _codes(),
     "op1_jaccard_join": JACCARD,
     "op4_line_dedup": LINES,
     "op5_url_filter": URLS,

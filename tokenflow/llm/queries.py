@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tokenflow.llm import (embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, lm_scoring,
-                            mixing, oracle, packing, quality_rules, url_filter)
+from tokenflow.llm import (centroid_clusters, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup,
+                            lm_scoring, mixing, oracle, packing, quality_rules, url_filter, vector_codes)
 
 QUERIES = {
     "op3_html_extract": html_extract.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op5_url_filter": url_filter.query,
     "op7_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
+    "op11_centroid_clusters": centroid_clusters.query,
+    "op12_vector_codes": vector_codes.query,
 }
 
 ORACLE = dict(oracle.ORACLE)
