@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tokenflow.llm import (centroid_clusters, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup,
-                            lm_scoring, mixing, oracle, packing, quality_rules, url_filter, vector_codes)
+                            lm_scoring, mixing, oracle, packing, quality_rules, toxicity, url_filter, vector_codes)
 
 QUERIES = {
     "op3_html_extract": html_extract.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op11_centroid_clusters": centroid_clusters.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_toxicity": toxicity.query,
 }
 
 ORACLE = dict(oracle.ORACLE)
