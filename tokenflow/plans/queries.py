@@ -381,6 +381,7 @@ from tokenflow.operators import quality as QL  # noqa: E402
 from tokenflow.functions import rules as RU  # noqa: E402
 from tokenflow.functions import scalar as SC  # noqa: E402
 from tokenflow.sources import pages as PG  # noqa: E402
+from tokenflow.sources import response_rules as RR  # noqa: E402
 
 
 @register("holding_period", C.with_ctes("HOLDERS_HP") + """
@@ -727,26 +728,115 @@ def q_response_status(spark, sf):
     return PG.response_status(pages).select("event_id", "response_ok", "is_empty", "rate_limited", "pro_only", "result_is_array")
 
 
-@register("response_schema", C.with_ctes("TX") + """
+_B = "block_number % 61"
+#: (field, JSON of its damaged value or None: left out, problem, explorers whose rules object); the place is the key of the damaged rows
+_TX_DAMAGE = [(f, None, "is required", "all") for f in ("blockNumber", "timeStamp", "hash", "from", "to", "value", "contractAddress")] + [
+    (f, '"1x"', "does not match pattern", "all") for f in (
+        "blockNumber", "timeStamp", "hash", "nonce", "blockHash", "from", "contractAddress", "to", "value", "tokenDecimal",
+        "transactionIndex", "gas", "gasPrice", "gasUsed", "cumulativeGasUsed", "confirmations")] + [
+    ("input", '"zz"', "does not match pattern", "etherscan bscscan"), ("tokenName", '""', "is too short", "bscscan"),
+    ("tokenSymbol", '""', "is too short", "bscscan"), ("value", "7", "is not text", "all"), ("tokenName", "{}", "is not text", "all"),
+    ("nonce", "null", "is not text", "all")]
+_MORE_FIELDS = {"nonce": "7", "tokenName": "Coin", "tokenSymbol": "C", "tokenDecimal": "6", "transactionIndex": "0", "gas": "21000",
+                "cumulativeGasUsed": "5", "input": "0x", "confirmations": "9", "blockHash": "0x" + "ab" * 32, "other": "?"}
+
+
+def _damaged(rec, key, damage):
+    """The record with the field of the damage that its key names left out or replaced; fields become JSON values."""
+    for field in dict.fromkeys(f for f, *_ in damage):
+        whole = F.col(f"rec.{field}") if field not in _MORE_FIELDS else F.lit(_MORE_FIELDS[field])
+        value = F.parse_json(F.concat(F.lit('"'), whole, F.lit('"')))
+        for place, (f, bad, *_) in enumerate(damage):
+            if f == field:
+                value = F.when(key == place, F.lit(None) if bad is None else F.parse_json(F.lit(bad))).otherwise(value)
+        rec = rec.withField(field, value)
+    return rec
+
+
+def _damage_sql(table, key, damage, prefix="result[*]."):
+    return " UNION ALL ".join(
+        f"SELECT source_explorer, stablecoin, chain, '{prefix}{f} {problem}' AS error FROM {table} WHERE {key} = {place}"
+        + ("" if who == "all" else " AND source_explorer IN (" + ", ".join(f"'{x}'" for x in who.split()) + ")")
+        for place, (f, _, problem, who) in enumerate(damage))
+
+
+def _counted_errors(pages, endpoint):
+    pages = RR.check_responses(pages.select("source_explorer", "stablecoin", "chain", F.lit(endpoint).alias("endpoint"),
+                                            RR.answer_text().alias("body")), max_depth=None)
+    e = pages.select("source_explorer", "stablecoin", "chain", F.explode("schema_errors").alias("e"))
+    return e.groupBy("source_explorer", "stablecoin", "chain", F.regexp_replace("e", r"\[[0-9]+\]", "[*]").alias("error")).agg(
+        F.count("*").cast("bigint").alias("n"))
+
+
+@register("response_schema", C.with_ctes("TX") + f"""
 SELECT source_explorer, stablecoin, chain, error, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT *, 'result[*].value does not match pattern' AS error FROM tx WHERE block_number % 13 = 0
-  UNION ALL SELECT *, 'result[*].to is required' FROM tx WHERE block_number % 17 = 0
-  UNION ALL SELECT *, 'result[*].timeStamp does not match pattern' FROM tx WHERE block_number % 19 = 0
-  UNION ALL SELECT *, 'result[*].gasPrice does not match pattern' FROM tx WHERE block_number % 23 = 0) GROUP BY 1, 2, 3, 4""")
+{_damage_sql("tx", _B, _TX_DAMAGE)}) GROUP BY 1, 2, 3, 4""")
 def q_response_schema(spark, sf):
-    """Errors per group and field of pages whose records are damaged by key."""
-    b = F.col("block_number")
-
+    """Problems per group and field of transfer pages whose records are damaged by key, under each explorer's rules."""
     def damage(r):
-        rec = F.col("rec")
-        for field, m, bad in (("value", 13, "1x"), ("to", 17, None), ("timeStamp", 19, "abc"), ("gasPrice", 23, "-1")):
-            rec = rec.withField(field, F.when(b % m == 0, F.lit(bad).cast("string")).otherwise(F.col(f"rec.{field}")))
-        return r.withColumn("rec", rec)
+        return r.withColumn("rec", _damaged(F.col("rec"), F.col("block_number") % 61, _TX_DAMAGE))
 
-    pages = PG.response_schema_errors(PG.landed_transfer_pages(_tx(spark, sf), change=damage))
-    e = pages.select("source_explorer", "stablecoin", "chain", F.explode("schema_errors").alias("e"))
-    return e.groupBy("source_explorer", "stablecoin", "chain", F.regexp_replace("e", r"\[[0-9]+\]", "[*]").alias("error")).agg(
-        F.count("*").cast("bigint").alias("n"))
+    return _counted_errors(PG.landed_transfer_pages(_tx(spark, sf), change=damage), "tokentx")
+
+
+_HOLDER_DAMAGE = [("TokenHolderAddress", None, "is required", "all"), ("TokenHolderAddress", '"0x12"', "does not match pattern", "all"),
+                  ("TokenHolderQuantity", None, "is required", "all"), ("TokenHolderQuantity", '"1.5"', "does not match pattern", "all"),
+                  ("TokenHolderQuantity", "[]", "is not text", "all")]
+_CENTS = "((CAST(balance * 100 AS BIGINT) % 31) + 31) % 31"
+
+
+@register("holder_response_schema", C.with_ctes("HOLDERS") + f"""
+SELECT source_explorer, stablecoin, chain, error, CAST(count(*) AS BIGINT) AS n FROM (
+{_damage_sql("holders", _CENTS, _HOLDER_DAMAGE)}
+UNION ALL SELECT source_explorer, stablecoin, chain, 'result[*].TokenHolderQuantity does not match pattern' FROM holders
+  WHERE balance < 0 AND {_CENTS} NOT IN (2, 3, 4)) GROUP BY 1, 2, 3, 4""")
+def q_holder_response_schema(spark, sf):
+    """The same on holder pages; negative balances are no digits."""
+    h = _holders(spark, sf)
+
+    def damage(r):
+        cents = F.col("rec.TokenHolderQuantity")
+        return r.withColumn("rec", _damaged(F.col("rec"), F.col("k"), _HOLDER_DAMAGE)).drop("k")
+
+    keyed = h.select("address", "stablecoin", "chain", "source_explorer", F.pmod((F.col("balance") * 100).cast("bigint"), F.lit(31)).alias("k"))
+    pages = PG.landed_holder_pages(h, change=lambda r: damage(r.join(keyed, ["address", "stablecoin", "chain", "source_explorer"])))
+    return _counted_errors(pages, "tokenholderlist")
+
+
+_NOTICE = "CASE WHEN event_id % 3 = 1 AND event_id % 2 = 1 THEN '{}' ELSE '' END"
+#: (answer, problems) of every form; the last ones depend on the explorer and the endpoint
+_ANSWERS = [
+    ('{"status":"1","message":"OK","result":[]}', "''"),
+    ('{"status":"2","message":"OK","result":[]}', "'status is not an allowed value'"),
+    ('{"status":1,"message":"OK","result":[]}', "'status is not text'"),
+    ('{"status":"1","result":[]}', "'message is required'"),
+    ('{"status":"1","message":null}', "'message is not text,result is required'"),
+    ('{"status":"1","message":"OK","result":[],"trace":"x"}', "'trace is not expected'"),
+    ('{"status":"1","message":"OK","result":5}', "'result matches no allowed form'"),
+    ('{"status":"1","message":"OK","result":[3]}', "'result[0] is not an object'"),
+    ('<html>busy</html>', "'answer is not JSON'"), ('[]', "'answer is not an object'"), (None, "'answer is not JSON'"),
+    ('{"status":"0","message":"NOTOK","result":"Max rate limit reached"}', _NOTICE.format("result does not match pattern")),
+    ('{"status":"0","message":"NOTOK","result":""}', _NOTICE.format("result is too short,result does not match pattern")),
+    ('{"status":"0","message":"NOTOK","result":"Error: ' + "x" * 500 + '"}', _NOTICE.format("result is too long")),
+    ('{"status":"0","message":"NOTOK","result":"No token holder found"}', "''"),
+    ('{"status":"1","message":"OK","result":[[[[[[[[[[[[]]]]]]]]]]]]}', "'answer is nested too deeply'")]
+
+
+@register("response_envelope", f"""
+SELECT event_id, CASE event_id % {len(_ANSWERS) + 1} {' '.join(f"WHEN {i} THEN {e}" for i, (_, e) in enumerate(_ANSWERS))}
+  ELSE 'no rules for this explorer and endpoint' END AS errors,
+  CASE WHEN event_id % {len(_ANSWERS) + 1} < {len(_ANSWERS)} THEN '1.0.0' END AS schema_version FROM events""")
+def q_response_envelope(spark, sf):
+    """One answer per event, of every form, under the rules of all explorers and endpoints; the last form has no rules."""
+    i = F.col("event_id")
+    form = i % (len(_ANSWERS) + 1)
+    body = F.lit(None).cast("string")
+    for k, (text, _) in enumerate(_ANSWERS):
+        body = F.when(form == k, F.lit(text)).otherwise(body)
+    explorer = F.when(form == len(_ANSWERS), "unknownscan").when(i % 3 == 0, "etherscan").when(i % 3 == 1, "BscScan").otherwise("polygonscan")
+    ev = TD.table(spark, sf, "events").select(
+        "event_id", body.alias("body"), explorer.alias("source_explorer"), F.when(i % 2 == 0, "tokentx").otherwise("tokenholderlist").alias("endpoint"))
+    return RR.check_responses(ev).select("event_id", F.array_join("schema_errors", ",").alias("errors"), "schema_version")
 
 
 @register("schema_version_class", """
