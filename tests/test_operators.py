@@ -155,6 +155,25 @@ def test_scale_amount_known_answer(spark):
     assert e == dt.datetime(2023, 11, 3, 8, 26, 40)
 
 
+def test_numbers_out_of_range_reject_and_do_not_raise(spark):
+    df = spark.createDataFrame([("99999999999999999",), ("253402300799",), ("253402300800",), ("-62135596801",), ("9" * 40,), ("",)], "s string")
+    got = [r[0] is None for r in df.select(S.parse_epoch("s").cast("string")).collect()]
+    assert got == [True, False, True, True, True, False]
+    gas = spark.createDataFrame([(21000, Decimal(10) ** 25), (21000, Decimal(10) ** 20), (10**18, Decimal("1.5")), (None, Decimal(1)),
+                                 (2**63 - 1, Decimal(10) ** 28), (3, None)], "u long, p decimal(38,9)")
+    got = [r[0] for r in gas.select(S.gas_cost_native("u", "p")).collect()]
+    assert got == [None, 2.1e6, 1.5, None, None, None]
+
+
+def test_union_keeps_the_order_of_each_type(spark):
+    a = spark.createDataFrame([("x", 10), ("x", 9)], "name string, ingest_key long")
+    b = spark.createDataFrame([("y", "10"), ("y", "9")], "name string, ingest_key string")
+    out = MG.union_sources([a, b, a])
+    first = {r[0]: r[1] for r in out.groupBy("ingest_key.source_rank").agg(F.min("ingest_key").alias("k")).select("source_rank", "k.pos").collect()}
+    assert first[0].k0 == 9 and first[1].k1 == "10" and first[2].k0 == 9
+    assert MG.union_sources([a, a]).schema["ingest_key"].dataType["pos"].dataType.simpleString() == "bigint"
+
+
 def test_duplicate_prediction_address_raises(spark):
     h = spark.createDataFrame([holder_row()], HOLDER)
     p = spark.createDataFrame([(A1, True), (A1, False)], "address string, prediction boolean")

@@ -15,6 +15,8 @@ ADDRESS_RE = r"^0x[a-fA-F0-9]{40}$"
 HASH_RE = r"^0x[a-fA-F0-9]{64}$"
 AMOUNT_RE = r"^[0-9]+(\.[0-9]{1,18})?$"
 US_PER_DAY = 86_400_000_000
+#: 0001-01-01 and 9999-12-31T23:59:59 in Unix seconds
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
 def col(c) -> Column:
@@ -43,10 +45,10 @@ def scale_amount(raw, decimals) -> Column:
 
 # P2 ---------------------------------------------------------------------
 def parse_epoch(s) -> Column:
-    """Unix seconds string -> UTC timestamp; missing -> epoch 0, malformed ->
-    NULL (the caller rejects the record)."""
+    """Unix seconds string -> UTC timestamp; missing -> epoch 0, malformed or
+    outside the years 1 to 9999 -> NULL (the caller rejects the record)."""
     secs = F.when(missing(s), F.lit(0).cast("bigint")).otherwise(col(s).try_cast("bigint"))
-    return F.timestamp_seconds(secs)
+    return F.timestamp_seconds(F.when(secs.between(FIRST_SECOND, LAST_SECOND), secs))
 
 
 def missing(s) -> Column:
@@ -131,11 +133,11 @@ explorer_for_chain = dims.explorer_expr
 def gas_wei_product(gas_used, gas_price) -> Column:
     """gas_used * gas_price in wei, exact to the 9 digits that a price may
     have: whole and fractional part of the price are multiplied apart, so the
-    product keeps its scale."""
-    used, price = col(gas_used).cast("decimal(19,0)"), col(gas_price).cast("decimal(38,9)")
-    whole = F.floor(price).cast("decimal(19,0)")
+    product keeps its scale. A product of 1e29 wei or more is NULL."""
+    used, price = col(gas_used).cast("decimal(19,0)"), col(gas_price).try_cast("decimal(38,9)")
+    whole = F.floor(price)
     part = (price - whole).cast("decimal(9,9)")
-    return ((used * whole).try_cast("decimal(37,9)") + (used * part).cast("decimal(28,9)")).cast("decimal(38,9)")
+    return F.try_add(F.try_multiply(used, whole).try_cast("decimal(38,9)"), (used * part).cast("decimal(28,9)")).try_cast("decimal(38,9)")
 
 
 def gas_cost_native(gas_used, gas_price) -> Column:

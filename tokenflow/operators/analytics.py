@@ -116,9 +116,8 @@ def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, values: list[st
     for a in dims.ACTIVITY_TYPES:
         aggs.append(F.count_if(F.col("activity_type") == a).alias(f"_n_{a}"))
     if gas:
-        ok = F.col("gas_used").isNotNull() & F.col("gas_price").isNotNull()
-        aggs += [F.count_if(ok).alias("_gas_n"),
-                 F.sum(F.when(ok, S.gas_wei_product("gas_used", "gas_price"))).alias("_gas_wei")]
+        wei = S.gas_wei_product("gas_used", "gas_price")
+        aggs += [F.count(wei).alias("_gas_n"), F.sum(wei).alias("_gas_wei")]
     g = tx.where(F.col(dim).isin(*values)).groupBy(dim).agg(*aggs)
     j = enum_df.join(F.broadcast(g), dim, "left")
     hs = _holder_sov_by(holders, dim, values)
@@ -205,8 +204,8 @@ def holder_metrics(holders: DataFrame, period_col: str = "holding_period_days")
 # A10 ------------------------------------------------------------------------
 def by_chain(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """Per chain (3 fixed): count, volume, avg (row count), avg gas cost in
-    native units (null if no gas data), rows excluded for null gas, SoV
-    ratio, activity %. Gas cost is summed exactly in wei; without gas columns
+    native units (null if no gas data), rows excluded for null or
+    unpayable gas (1e29 wei or more), SoV ratio, activity %. Gas cost is summed exactly in wei; without gas columns
     every row is excluded and the cost is null."""
     require_columns(tx, {"chain", "amount", "activity_type"})
     for c in ("gas_used", "gas_price"):

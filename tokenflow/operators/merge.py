@@ -17,16 +17,19 @@ def union_sources(batches: list[DataFrame], order_col: str = ORDER) -> DataFrame
 
     ``ingest_key`` = struct(source_rank, within-source order). Every batch must
     carry its order column (e.g. file name + array position from S1/S5): scan
-    order changes with file splits and retries. Orders of different types are
-    compared as text.
+    order changes with file splits and retries. Where batches order by different types,
+    the within-source order has one field per type and a batch fills its own, so
+    every batch keeps its own order (9 before 10 in numbers).
     """
     for b in batches:
         if order_col not in b.columns:
             raise ValueError(f"union_sources needs an order column {order_col!r} in every batch")
-    kinds = {b.schema[order_col].dataType.simpleString() for b in batches}
+    kinds = list(dict.fromkeys(b.schema[order_col].dataType for b in batches))
     parts = []
     for rank, b in enumerate(batches):
-        inner = F.col(order_col) if len(kinds) == 1 else F.col(order_col).cast("string")
+        own = b.schema[order_col].dataType
+        inner = F.col(order_col) if len(kinds) == 1 else F.struct(*[
+            (F.col(order_col) if k == own else F.lit(None).cast(k)).alias(f"k{i}") for i, k in enumerate(kinds)])
         parts.append(b.withColumn(order_col, F.struct(F.lit(rank).alias("source_rank"),
                                                       inner.alias("pos"))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

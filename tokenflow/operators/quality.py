@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tokenflow import dims
 from tokenflow.functions import rules as R
+from tokenflow.operators.select import first_n
 
 ERR = "errors"
 
@@ -160,16 +161,16 @@ def class_filter(df: DataFrame, classes: list[str]) -> DataFrame:
 def run_filters(tx: DataFrame, sources: list[str] | None = None, coins: list[str] | None = None,
                 max_records: int | None = None, order_cols=("block_number", "timestamp")) -> DataFrame:
     """Per-run source and coin filters and the newest ``max_records``
-    per (source, coin) (the explorer returns newest first)."""
+    per (source, coin) (the explorer returns newest first), by cut-off keys:
+    no source or coin is gathered in one task."""
     out = tx
     if sources:
         out = out.where(F.col("source_explorer").isin(*sources))
     if coins:
         out = out.where(F.col("stablecoin").isin(*coins))
     if max_records is not None:
-        w = Window.partitionBy("source_explorer", "stablecoin").orderBy(
-            *[F.col(c).desc() for c in order_cols], F.col("transaction_hash"))
-        out = out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_records).drop("_rn")
+        out = first_n(out, ["source_explorer", "stablecoin"],
+                      [*[(c, False) for c in order_cols], ("transaction_hash", True)], max_records)
     return out
 
 

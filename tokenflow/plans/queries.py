@@ -459,6 +459,20 @@ def q_union_sources(spark, sf):
         F.count("*").cast("bigint").alias("rows"))
 
 
+@register("union_mixed_orders", C.with_ctes("HOLDERS", "SUPP_HOLDERS") + """
+SELECT stablecoin, chain, 0 AS source_rank, first(address ORDER BY CAST(balance * 100 AS BIGINT), address) AS first_address,
+  CAST(count(*) AS BIGINT) AS rows FROM holders GROUP BY 1, 2
+UNION ALL SELECT stablecoin, chain, 1, min(address), CAST(count(*) AS BIGINT) FROM supp_holders GROUP BY 1, 2""")
+def q_union_mixed_orders(spark, sf):
+    """D1 with batches that order by a number and by text: each keeps its own order."""
+    h = _holders(spark, sf)
+    batches = [h.withColumn("ingest_key", F.struct((F.col("balance") * 100).cast("bigint").alias("cents"), "address")),
+               TD.supplier_holders(spark, sf).withColumn("ingest_key", F.col("address"))]
+    u = MG.union_sources(batches)
+    return u.groupBy("stablecoin", "chain", F.col("ingest_key.source_rank").alias("source_rank")).agg(
+        F.min_by("address", "ingest_key").alias("first_address"), F.count("*").cast("bigint").alias("rows"))
+
+
 @register("merge_holders", C.with_ctes("HOLDERS", "SUPP_HOLDERS", extra="""
 src AS (SELECT *, 0 AS r FROM holders UNION ALL SELECT *, 1 FROM supp_holders),
 ps AS (SELECT lower(address) AS ak, stablecoin, chain, source_explorer, min(r) AS sf,
@@ -690,6 +704,42 @@ def q_read_api_transfers(spark, sf):
     return valid.drop("ingest_key")
 
 
+_FIRST = 2500
+_NEWEST_DAY = "2001-12-31"
+
+
+@register("read_api_transfers_first", C.with_ctes("TX") + f"""
+SELECT transaction_hash, block_number, lower(from_address) AS from_address, CAST(amount AS DOUBLE) AS amount, stablecoin, chain, source_explorer
+FROM (SELECT *, row_number() OVER (PARTITION BY source_explorer, stablecoin, chain
+  ORDER BY date_diff('day', CAST("timestamp" AS DATE), DATE '{_NEWEST_DAY}'), block_number DESC, transaction_hash DESC) AS rn FROM tx)
+WHERE rn <= {_FIRST}""")
+def q_read_api_transfers_first(spark, sf):
+    """S5 with a fetch limit: one page file per day, numbered from the newest day on, so page_10 follows page_9."""
+    day = F.datediff(F.lit(_NEWEST_DAY).cast("date"), F.to_date(F.timestamp_seconds(F.col("rec.timeStamp").cast("bigint"))))
+    pages = PG.landed_transfer_pages(_tx(spark, sf), page=day)
+    pages = pages.withColumn("file", F.concat_ws("/", F.lit("landing"), "source_explorer", F.concat(F.lit("page_"), F.col("page"), F.lit(".json"))))
+    valid, _, _ = QL.split_valid(PG.read_api_transfers(pages.drop("page"), limit=_FIRST))
+    return valid.select("transaction_hash", "block_number", "from_address", "amount", "stablecoin", "chain", "source_explorer")
+
+
+_LONG_NUMBERS = [("timeStamp", 13, "99999999999999999"), ("blockNumber", 17, "9" * 30), ("gasUsed", 19, "1" * 25),
+                 ("gasPrice", 23, "1" + "0" * 40), ("value", 29, "9" * 60)]
+
+
+@register("api_transfer_rejects", C.with_ctes("TX") + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, CAST(count(*) AS BIGINT) AS rejected FROM tx WHERE block_number % {m} = 0 HAVING count(*) > 0" for f, m, _ in _LONG_NUMBERS))
+def q_api_transfer_rejects(spark, sf):
+    """Numbers too long for their type reject their record and stop nothing."""
+    def damage(r):
+        rec = F.col("rec")
+        for f, m, bad in _LONG_NUMBERS:
+            rec = rec.withField(f, F.when(F.col("block_number") % m == 0, F.lit(bad)).otherwise(F.col(f"rec.{f}")))
+        return r.withColumn("rec", rec)
+
+    _, _, counts = QL.split_valid(PG.read_api_transfers(PG.landed_transfer_pages(_tx(spark, sf), change=damage)))
+    return counts
+
+
 @register("read_api_holders", C.with_ctes("HOLDERS") + """
 SELECT lower(address) AS address, CAST(balance AS DOUBLE) AS balance, stablecoin, chain,
   CAST(NULL AS VARCHAR) AS first_seen, CAST(NULL AS VARCHAR) AS last_activity, false AS is_store_of_value,
@@ -873,6 +923,19 @@ def q_gas_cost_native(spark, sf):
             .select("transaction_hash", "chain", SC.gas_cost_native("gas_used", "gas_price").alias("gas_cost")))
 
 
+@register("gas_cost_extremes", C.with_ctes("TX") + """
+SELECT chain, CAST(count(*) AS BIGINT) AS transaction_count, CAST(count(*) - count(wei) AS BIGINT) AS excluded_gas_count,
+  CASE WHEN count(wei) > 0 THEN CAST(sum(wei) AS DOUBLE) / CAST(count(wei) AS DOUBLE) / 1e18 END AS avg_gas_cost
+FROM (SELECT chain, CASE block_number % 5 WHEN 0 THEN CAST(gas_used AS HUGEINT) * 100000000000000000000
+    WHEN 1 THEN NULL ELSE CAST(gas_used AS HUGEINT) * CAST(gas_price AS HUGEINT) END AS wei FROM tx) GROUP BY chain""")
+def q_gas_cost_extremes(spark, sf):
+    """P13 and A10 with prices of 1e20 wei (paid) and 1e28 wei (excluded) among the rows."""
+    b, price = F.col("block_number") % 5, F.col("gas_price")
+    tx = _tx(spark, sf).withColumn("gas_price", F.when(price.isNull(), price).when(b == 0, F.lit("1" + "0" * 20).cast("decimal(38,9)"))
+                                   .when(b == 1, F.lit("1" + "0" * 28).cast("decimal(38,9)")).otherwise(price))
+    return A.by_chain(tx).where("transaction_count > 0").select("chain", "transaction_count", "excluded_gas_count", "avg_gas_cost")
+
+
 @register("period_bucket", C.with_ctes("TX") + f"""
 SELECT {C.ymd('CAST("timestamp" AS DATE)')} AS day, {C.ymd(C.week_tue('"timestamp"'))} AS week,
   {C.ymd(C.period_sql('"timestamp"', 'monthly'))} AS month, CAST(count(*) AS BIGINT) AS n
