@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tokenflow import dims
 from tokenflow.functions import scalar as S
+from tokenflow.operators.rank import median
 from tokenflow.functions.frames import attach_scalars
 
 
@@ -181,14 +182,18 @@ def avg_tx_size(tx: DataFrame, group_by: str | None = None) -> DataFrame:
 # A5 -------------------------------------------------------------------------
 def holder_metrics(holders: DataFrame, period_col: str = "holding_period_days") -> DataFrame:
     """One row: totals, SoV share, average balances (sum / row count), mean and
-    exact median holding period of SoV holders. Null SoV flag -> false."""
+    exact median holding period of SoV holders (``rank.median``). Null SoV flag -> false."""
     require_columns(holders, {"is_store_of_value", "balance"})
     sov = F.coalesce(F.col("is_store_of_value"), F.lit(False))
     n = F.count("*")
     n_sov = F.count_if(sov)
     n_act = F.count_if(~sov)
-    hp = F.col(period_col) if period_col in holders.columns else F.lit(None).cast("double")
-    return holders.agg(
+    known = period_col in holders.columns
+    hp = F.col(period_col) if known else F.lit(None).cast("double")
+    middle = F.lit(None).cast("double")
+    if known:
+        middle = median(holders.where(sov).select(hp.cast("double").alias("_period")), "_period").scalar()
+    totals = holders.agg(
         n.cast("bigint").alias("total_holders"),
         n_sov.cast("bigint").alias("sov_count"),
         _pct(n_sov, n).alias("sov_percentage"),
@@ -196,9 +201,8 @@ def holder_metrics(holders: DataFrame, period_col: str = "holding_period_days")
                .cast("double") / n_sov.cast("double")).otherwise(0.0).alias("avg_balance_sov"),
         F.when(n_act > 0, F.coalesce(F.sum(F.when(~sov, F.col("balance"))), F.lit(0))
                .cast("double") / n_act.cast("double")).otherwise(0.0).alias("avg_balance_active"),
-        F.coalesce(F.avg(F.when(sov, hp.cast("double"))), F.lit(0.0)).alias("avg_holding_period_days"),
-        F.coalesce(F.percentile(F.when(sov, hp.cast("double")), F.lit(0.5)), F.lit(0.0))
-        .alias("median_holding_period_days"))
+        F.coalesce(F.avg(F.when(sov, hp.cast("double"))), F.lit(0.0)).alias("avg_holding_period_days"))
+    return totals.withColumn("median_holding_period_days", F.coalesce(middle, F.lit(0.0)))
 
 
 # A10 ------------------------------------------------------------------------

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tokenflow.session import checkpoint_dir
+
 TERMINAL = ["completed", "failed", "partial"]  # `partial` accepted as terminal (Q33)
 STATUSES = ["pending", "running", "completed", "failed", "cancelled", "partial"]
 # fixed names: step outputs loaded from the newest completed run
@@ -77,32 +79,64 @@ def latest_artifacts(runs: DataFrame, pipeline_col: str = "pipeline", base: str
 
 
 def request_rate(events: DataFrame, key: str = "user_id", ts: str = "ts",
-                 window_seconds: int = 60, limit: int = 100) -> DataFrame:
+                 window_seconds: int = 60, limit: int = 100, partitions: int | None = None) -> DataFrame:
     """Sliding-window request count per key for every event.
 
     Frame = events of the key in (ts - window, ts] (an event exactly one
-    window old is outside). To keep a hot key from landing in one task the
-    timeline is cut into buckets one window wide; each event is also copied
-    into the next bucket as context, so every frame lies inside one
-    (key, bucket) partition.
+    window old is outside). ``window_load`` gives the frame of every time at which
+    the key has events; a key's timeline may span any number of tasks.
 
     allowed = earlier events in the frame < limit; remaining = limit -
     frame count when allowed else 0; retry_after = max(1, int(oldest +
     window - now) + 1) when refused. Unlike the live limiter, refused
-    requests are counted too (rate report over the full log, Q28)."""
-    wus = window_seconds * 1_000_000
+    requests are counted too (rate report over the full log, Q28). Events without
+    a key form one group; events without a time have null results."""
     e = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    # one scan: every event as itself (bucket b) and as context of bucket b+1
-    both = (e.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-             .withColumn("_b", F.floor(F.col("_us") / F.lit(wus)) + F.when(F.col("_own"), 0).otherwise(1)))
-    w = (Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(wus - 1), 0))
-    r = (both.withColumn("in_window", F.count("*").over(w))
-             .withColumn("_oldest", F.min("_us").over(w))
-             .where("_own"))
+    load = window_load(e.select(F.col(key).alias("_key"), F.col("_us").alias("_at")), window_seconds * 1_000_000, partitions)
+    r = e.join(load, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_us") == F.col("_at")), "left")
     allowed = (F.col("in_window") - 1) < limit
-    retry = F.greatest(F.lit(1), F.floor((F.col("_oldest") + wus - F.col("_us")) / F.lit(1_000_000)) + 1)
-    return (r.withColumn("in_window", F.col("in_window").cast("bigint"))
-             .withColumn("allowed", allowed)
-             .withColumn("remaining", F.when(allowed, F.lit(limit) - F.col("in_window")).otherwise(0).cast("bigint"))
-             .withColumn("retry_after", F.when(allowed, F.lit(0)).otherwise(retry).cast("bigint"))
-             .drop("_us", "_b", "_own", "_oldest"))
+    retry = F.greatest(F.lit(1), F.floor((F.col("_free") - F.col("_us")) / F.lit(1_000_000)) + 1)
+    return r.select(*events.columns, "in_window", allowed.alias("allowed"),
+                    F.when(allowed, F.lit(limit) - F.col("in_window")).when(~allowed, 0).cast("bigint").alias("remaining"),
+                    F.when(allowed, F.lit(0)).when(~allowed, retry).cast("bigint").alias("retry_after"))
+
+
+def window_load(events: DataFrame, window_us: int, partitions: int | None = None) -> DataFrame:
+    """(_key, _at, in_window, _free) for every time ``_at`` (microseconds) at which a
+    key has events: the events in (_at - window, _at], and the time at which the
+    oldest of them leaves.
+
+    Every event is +1 at its time and -1 one window later; the count is the prefix
+    sum of these differences, and the oldest event leaves at the next -1. Equal
+    times are added up first, the differences are range-partitioned by (key, time) and
+    frozen in the shared folder, sums run inside a range partition, and one row per
+    (key, range partition) carries the totals over the borders. So a key with
+    nearly all events is spread over all tasks."""
+    steps = differences(events, window_us, partitions)
+    leaves = F.when(F.col("_go") > 0, F.col("_at"))
+    borders = steps.groupBy("_key", "_part").agg(F.sum(F.col("_come") - F.col("_go")).alias("_sum"), F.min(leaves).alias("_next"))
+    before = Window.unboundedPreceding, -1
+    across = Window.partitionBy("_key")  # at most one row per range partition
+    borders = borders.select(F.col("_key").alias("_bkey"), F.col("_part").alias("_bpart"),
+                             F.coalesce(F.sum("_sum").over(across.orderBy("_part").rowsBetween(*before)), F.lit(0)).alias("_carried"),
+                             F.min("_next").over(across.orderBy(F.desc("_part")).rowsBetween(*before)).alias("_later"))
+    inside = Window.partitionBy("_part", "_key")
+    steps = steps.withColumns({
+        "_run": F.sum(F.col("_come") - F.col("_go")).over(inside.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)),
+        "_soon": F.min(leaves).over(inside.orderBy(F.desc("_at")).rowsBetween(*before))})  # running, not per-row, minimum
+    return (steps.where("_come > 0").join(borders, F.col("_key").eqNullSafe(F.col("_bkey")) & (F.col("_part") == F.col("_bpart")))
+            .select("_key", "_at", (F.col("_carried") + F.col("_run")).cast("bigint").alias("in_window"),
+                    F.coalesce("_soon", "_later").alias("_free")))
+
+
+def differences(events: DataFrame, window_us: int, partitions: int | None = None) -> DataFrame:
+    """(_key, _at, _come, _go, _part): how many events come and leave at each
+    time, dealt by ranges of (key, time) and frozen there."""
+    spark = events.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    steps = events.where(F.col("_at").isNotNull()).select("_key", F.explode(F.array(
+        F.struct(F.col("_at").alias("at"), F.lit(1).alias("come"), F.lit(0).alias("go")),
+        F.struct((F.col("_at") + window_us).alias("at"), F.lit(0).alias("come"), F.lit(1).alias("go")))).alias("s"))
+    return (steps.groupBy("_key", F.col("s.at").alias("_at")).agg(F.sum("s.come").alias("_come"), F.sum("s.go").alias("_go"))
+             .repartitionByRange(n, "_key", "_at").withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))

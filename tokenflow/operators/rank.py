@@ -1,4 +1,4 @@
-"""Exact global percentile rank without a single-partition window.
+"""Exact global percentile ranks (W1) and medians (A5) without a single-partition window.
 
 pandas ``rank(pct=True)`` = average rank of ties / non-null count. A window
 ``ORDER BY value`` without PARTITION BY would pull every row into one task.
@@ -52,3 +52,16 @@ def average_percentile(df: DataFrame, value_col: str, out_col: str = "percentile
            / F.col("_total").cast("double") * 100.0)
     r = r.select(F.col(value_col).alias("_v"), pct.alias(out_col))
     return df.join(r, df[value_col] == r["_v"], "left").drop("_v")
+
+
+def median(df: DataFrame, value_col: str, partitions: int | None = None) -> DataFrame:
+    """One row ``median``: the exact interpolated median of the non-null
+    values (null without any). An order statistic by counting: the two middle
+    places are looked up in the running counts of the range partitions, so no
+    task holds more than its range of distinct values."""
+    r = value_ranks(df, value_col, partitions)
+    lower, upper = (F.col("_total") - 1) / 2, F.col("_total") / 2  # places n - 1 and n halved: the middle one or two
+    holds = [(F.col("_below") <= F.floor(p)) & (F.floor(p) < F.col("_below") + F.col("_cnt")) for p in (lower, upper)]
+    picked = r.where(holds[0] | holds[1]).select(  # at most two rows
+        F.when(holds[0], F.col(value_col)).alias("lo"), F.when(holds[1], F.col(value_col)).alias("hi"))
+    return picked.agg((F.max("lo").cast("double") * 0.5 + F.max("hi").cast("double") * 0.5).alias("median"))
