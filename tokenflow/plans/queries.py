@@ -1681,6 +1681,39 @@ def vector_to_array_1(c):
     return vector_to_array(c)[1]
 
 
+def _landed_documents(spark, sf) -> str:
+    """One export document per explorer and year, records in order of their hash. A document is written line by
+    line by the task that owns its file, so no document is ever a row."""
+    tx = _tx(spark, sf)
+    doc = F.concat_ws("-", "source_explorer", F.year("timestamp").cast("string"))
+    tx = tx.withColumn("doc", doc)
+    first = tx.groupBy("doc").agg(F.min(F.struct("transaction_hash", "chain")).alias("first"))  # one row per document
+    rows = EX.tx_to_json(tx).columns
+    lines = tx.join(first, "doc").select(
+        "doc", F.lit(1).alias("part"), "transaction_hash", "chain",
+        F.concat(F.when(F.struct("transaction_hash", "chain") == F.col("first"), F.lit("")).otherwise(F.lit(",")),
+                 F.to_json(F.struct(*rows))).alias("value"))
+    head = first.select("doc", F.lit(0).alias("part"), F.lit("").alias("transaction_hash"), F.lit("").alias("chain"),
+                        F.concat(F.lit('{"metadata": {"run_id": "'), "doc", F.lit('"}, "transactions": [')).alias("value"))
+    tail = first.select("doc", F.lit(2), F.lit(""), F.lit(""), F.lit('], "holders": [], "errors": ["none } of \\"many\\""]}'))
+    path = scratch_path(spark, f"documents/{uuid.uuid4().hex}")
+    (lines.unionByName(head).union(tail).repartition("doc").sortWithinPartitions("doc", "part", "transaction_hash", "chain")
+     .select("doc", "value").write.partitionBy("doc").text(path))
+    return path
+
+
+@register("export_documents", C.with_ctes("TX") + """
+SELECT doc, transaction_hash, chain, block_number, CAST(row_number() OVER (PARTITION BY doc ORDER BY transaction_hash, chain) - 1 AS BIGINT) AS pos,
+  'none } of "many"' AS error
+FROM (SELECT *, source_explorer || '-' || CAST(year("timestamp") AS VARCHAR) AS doc FROM tx)""")
+def q_export_documents(spark, sf):
+    """Documents written from all transfers, each read back by byte ranges with the positions of its records."""
+    tx, _, meta, errors = EX.read_large_documents(spark, _landed_documents(spark, sf))
+    files = meta.select("file", F.col("run_id").alias("doc")).join(errors.select("file", "error"), "file")
+    return tx.join(files, "file").select("doc", "transaction_hash", "chain", F.col("block_number").cast("bigint").alias("block_number"),
+                                         F.col("pos").cast("bigint").alias("pos"), "error")
+
+
 # --------------------------------------------------------------------- X1 / X2 (rows-only; batch-equality tested)
 from tokenflow.streaming import ingest as ST  # noqa: E402
 
