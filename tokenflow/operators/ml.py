@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tokenflow import dims
+from tokenflow.operators import boosting
 from tokenflow.operators.features import split
 from tokenflow.operators.rank import value_ranks
 from tokenflow.schemas import FEATURES
@@ -120,13 +121,17 @@ def class_index(c) -> F.Column:
 
 def train_wallets(labeled: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42,
                   model: str = "forest"):
-    """4-class model on M3 labels with class weights (M4)."""
+    """4-class model on M3 labels with class weights (M4): ``forest``, ``boosted`` (one
+    multinomial model, ``boosting``) or ``ovr-gbt`` (one binary model per class)."""
     from tokenflow.operators.features import class_weights
     d = labeled.withColumn("label", class_index(F.col("behavior_class")))
     s = split(d, test_size=0.2, seed=seed, label="behavior_class")
     w = class_weights(s.where(~F.col("is_test"))).select("behavior_class", "weight")  # training rows only
     s = s.join(F.broadcast(w.where(F.col("behavior_class").isin(*dims.BEHAVIOR_CLASSES))), "behavior_class", "left")
     s = s.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    if model == "boosted":
+        pm = boosting.fit(s.where(~F.col("is_test")), _assembler(), len(CLASS_INDEX), trees, depth, seed=seed)
+        return pm, pm.transform(s.where(F.col("is_test"))), s
     if model == "ovr-gbt":
         clf = OneVsRest(classifier=GBTClassifier(maxDepth=depth, maxIter=trees, seed=seed),
                         labelCol="label", featuresCol="features", weightCol="weight")
@@ -185,7 +190,9 @@ def pred_metadata(preds: DataFrame) -> DataFrame:
 def classify_wallets(features: DataFrame, model: PipelineModel) -> DataFrame:
     """class, confidence = max probability, one probability column per class
     looked up by label index (absent class -> 0)."""
-    p = model.transform(features).withColumn("_pr", vector_to_array("probability"))
+    p = model.transform(features)
+    vector = p.schema["probability"].dataType.typeName() != "array"
+    p = p.withColumn("_pr", vector_to_array("probability") if vector else F.col("probability"))
     cols = []
     for c, i in CLASS_INDEX.items():
         cols.append(F.coalesce(F.when(F.size("_pr") > i, F.col("_pr")[i]), F.lit(0.0)).alias(f"prob_{c}"))

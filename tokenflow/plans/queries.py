@@ -1568,8 +1568,8 @@ _FITTED: dict[tuple, tuple] = {}
 
 
 def _fitted(spark, sf, name, train):
-    """One fit per application and input: the queries share the model."""
-    key = (app_id(spark), sf, name)
+    """One fit per application and input state: the queries share the model."""
+    key = (app_id(spark), sf, name, TD.input_state(spark, sf))
     if key not in _FITTED:
         _FITTED[key] = train()
     return _FITTED[key]
@@ -1702,6 +1702,20 @@ def _landed_documents(spark, sf) -> str:
     return path
 
 
+@register("classify_wallets_boosted", C.with_ctes("HOLDERS") + """
+SELECT address, true AS in_bounds, true AS sums_to_one, true AS class_is_likeliest FROM holders""")
+def q_classify_wallets_boosted(spark, sf):
+    """One multinomial boosted model; one row per wallet whose probabilities are a distribution."""
+    f = _features(spark, sf)
+    model, _, _ = _fitted(spark, sf, "boosted", lambda: ML.train_wallets(FE.label_wallets(f), trees=4, depth=3, model="boosted"))
+    out = ML.classify_wallets(f, model)
+    probs = [F.col(f"prob_{c}") for c in dims.BEHAVIOR_CLASSES]
+    own = F.coalesce(*[F.when(F.col("behavior_class") == c, p) for c, p in zip(dims.BEHAVIOR_CLASSES, probs)])
+    return out.select("address", (F.least(*probs) >= 0) & (F.greatest(*probs) <= 1) & (F.col("confidence") == F.greatest(*probs)),
+                      F.abs(sum(probs[1:], probs[0]) - 1) < 1e-9, own == F.greatest(*probs)).toDF(
+        "address", "in_bounds", "sums_to_one", "class_is_likeliest")
+
+
 @register("export_documents", C.with_ctes("TX") + """
 SELECT doc, transaction_hash, chain, block_number, CAST(row_number() OVER (PARTITION BY doc ORDER BY transaction_hash, chain) - 1 AS BIGINT) AS pos,
   'none } of "many"' AS error
