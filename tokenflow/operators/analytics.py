@@ -390,6 +390,25 @@ def chart_long(metrics: DataFrame, key: str, value_cols: list[str]) -> DataFrame
     return m.unpivot([key], value_cols, "metric", "value")
 
 
+def chart_frames(tx: DataFrame, holders: DataFrame) -> dict[str, DataFrame]:
+    """The frames behind the charts: ``coin_activity`` (stablecoin, activity_type,
+    percentage) for coins and activities in full, ``chain`` (chain, metric, value),
+    ``gas`` (chain, avg_gas_cost, excluded_count) for chains with gas data only, and
+    ``holders`` (status, count). Each has at most a dozen rows."""
+    coins = by_stablecoin(tx, holders)
+    chains = by_chain(tx, holders)
+    acts = coins.select("stablecoin", *[F.col(f"pct_{a}").alias(a) for a in dims.ACTIVITY_TYPES])
+    sov = F.coalesce(F.col("is_store_of_value").cast("boolean"), F.lit(False))
+    counts = holders.agg(F.count_if(sov).cast("bigint").alias("sov"), F.count_if(~sov).cast("bigint").alias("active"))
+    status = F.explode(F.array(*[F.struct(S.sov_status_label(F.lit(flag)).alias("status"), F.col(c).alias("count"))
+                                 for flag, c in ((True, "sov"), (False, "active"))]))
+    return {"coin_activity": acts.unpivot(["stablecoin"], dims.ACTIVITY_TYPES, "activity_type", "percentage"),
+            "chain": chart_long(chains, "chain", ["total_volume", "avg_transaction_size", "sov_ratio"]),
+            "gas": chains.where(F.col("avg_gas_cost").isNotNull()).select(
+                "chain", "avg_gas_cost", F.col("excluded_gas_count").alias("excluded_count")),
+            "holders": counts.select(status.alias("s")).select("s.*")}
+
+
 def activity_pivot(tx: DataFrame, dim: str, values: list[str]) -> DataFrame:
     """activity x dim percentage cross-table with fixed rows and columns;
     percentage of the dim value's rows; absent = 0. One global aggregation

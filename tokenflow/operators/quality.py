@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tokenflow import dims
 from tokenflow.functions import rules as R
@@ -145,6 +145,55 @@ def assert_writable(df: DataFrame, required: list[str]) -> DataFrame:
                                F.lit(True)))
 
 
+#: fixed values: required fields of an export, by section
+SECTIONS = {
+    "metadata": ["run_id", "collection_timestamp", "agent_version", "explorers_queried", "total_records"],
+    "summary": ["kind", "key", "count", "volume"],
+    "transactions": ["transaction_hash", "block_number", "timestamp", "from_address", "to_address", "amount", "stablecoin",
+                     "chain", "activity_type", "source_explorer"],
+    "holders": ["address", "balance", "stablecoin", "chain", "first_seen", "last_activity", "is_store_of_value", "source_explorer"],
+}
+METADATA_TYPES = {"run_id": ("a string", T.StringType), "collection_timestamp": ("a string", T.StringType),
+                  "explorers_queried": ("a list", T.ArrayType), "total_records": ("an integer", T.IntegralType)}
+
+
+def section_problems(sections: dict[str, DataFrame]) -> list[str]:
+    """What is wrong with the sections of an export before anything is written:
+    missing sections and fields, types of the metadata (all from schemas, no
+    job), and missing parts of the summary."""
+    out = [f"Missing '{s}' section" for s in SECTIONS if s not in sections]
+    for name, required in SECTIONS.items():
+        if name in sections:
+            out += [f"{name}: missing field {c}" for c in required if c not in sections[name].columns]
+    meta = sections.get("metadata")
+    if meta is not None:
+        out += [f"'{c}' must be {what}" for c, (what, kind) in METADATA_TYPES.items()
+                if c in meta.columns and not isinstance(meta.schema[c].dataType, kind)]
+    summary = sections.get("summary")
+    if summary is not None and "kind" in summary.columns:
+        kinds = {r[0] for r in summary.where(F.col("kind").isin(SUMMARY_PARTS)).select("kind").distinct().collect()}
+        out += [f"Missing summary field by_{k}" for k in SUMMARY_PARTS if k not in kinds]
+    return out
+
+
+def validate_before_write(sections: dict[str, DataFrame], nullable: tuple[str, ...] = ("first_seen", "last_activity")) -> dict[str, DataFrame]:
+    """Raise on the first look at schemas and summary, and return record
+    sections that fail the write job if a required field is null (one pass, while writing)."""
+    problems = section_problems(sections)
+    if problems:
+        raise ValueError("; ".join(problems))
+    return {name: assert_writable(df, [c for c in SECTIONS[name] if c not in nullable]) if name in ("transactions", "holders") else df
+            for name, df in sections.items()}
+
+
+def missing_required(df: DataFrame, required: list[str]) -> DataFrame:
+    """(field, missing) for every required field: rows in which it is null, or
+    all rows if there is no such column; one pass."""
+    n = df.agg(F.count("*").cast("bigint").alias("_rows"), *[F.count_if(F.col(c).isNull()).cast("bigint").alias(c) for c in required if c in df.columns])
+    return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c if c in df.columns else "_rows").alias("missing"))
+                                        for c in required])).alias("m")).select("m.*")
+
+
 # V18 / V20 / V21 -------------------------------------------------------------
 def invalid_enum_rows(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Non-strict V18: rows whose value is outside the enum (left-anti join

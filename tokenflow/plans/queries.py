@@ -1474,6 +1474,7 @@ def q_bundle_findings(spark, sf):
 
 
 # --------------------------------------------------------------------- S1 / S9 / S11 / S16 / S18 / S17
+from tokenflow.plans import steps as SP  # noqa: E402
 from tokenflow.sources import export as EX  # noqa: E402
 from tokenflow.sources import sample as SM  # noqa: E402
 
@@ -1941,6 +1942,128 @@ def q_step_outputs(spark, sf):
     return safe.select("chain", F.col("total_volume").alias("total_volume_text"), "avg_gas_cost")
 
 
+_c, _s = _per_dim_sql("stablecoin", dims.STABLECOINS, False)
+_c2, _s2 = _per_dim_sql("chain", dims.CHAINS, True)
+_BY_BOTH = C.with_ctes("TX", "HOLDERS_TYPED", extra=_c.strip().replace("g AS", "cg AS").replace("hs AS", "chs AS").replace("e AS", "ce AS")
+                       + ",\n" + _c2.strip()) + ", bc AS (" + _s.strip().replace("g.", "cg.").replace("hs.", "chs.").replace(
+    "FROM e LEFT JOIN g ON", "FROM ce e LEFT JOIN cg ON").replace("LEFT JOIN hs ON", "LEFT JOIN chs ON") + "), bh AS (" + _s2.strip() + ")"
+
+
+@register("chart_frames", _BY_BOTH + """
+SELECT 'coin_activity' AS chart, stablecoin AS key, activity_type AS series, percentage AS value FROM (
+  UNPIVOT (SELECT stablecoin, pct_transaction AS "transaction", pct_store_of_value AS store_of_value, pct_other AS other FROM bc)
+  ON "transaction", store_of_value, other INTO NAME activity_type VALUE percentage)
+UNION ALL SELECT 'chain', chain, 'total_volume', total_volume FROM bh
+UNION ALL SELECT 'chain', chain, 'avg_transaction_size', avg_transaction_size FROM bh
+UNION ALL SELECT 'chain', chain, 'sov_ratio', sov_ratio FROM bh
+UNION ALL SELECT 'gas', chain, 'avg_gas_cost', avg_gas_cost FROM bh WHERE avg_gas_cost IS NOT NULL
+UNION ALL SELECT 'gas', chain, 'excluded_count', excluded_gas_count FROM bh WHERE avg_gas_cost IS NOT NULL
+UNION ALL SELECT 'holders', 'Store of Value', 'count', count_if(coalesce(is_store_of_value, false)) FROM holders_typed
+UNION ALL SELECT 'holders', 'Active Transactor', 'count', count_if(NOT coalesce(is_store_of_value, false)) FROM holders_typed""")
+def q_chart_frames(spark, sf):
+    """All chart frames in one long form."""
+    f = A.chart_frames(_tx(spark, sf), _hsov(spark, sf))
+    d = lambda c: F.col(c).cast("double").alias("value")
+    gas = f["gas"]
+    parts = [f["coin_activity"].select(F.lit("coin_activity").alias("chart"), F.col("stablecoin").alias("key"), F.col("activity_type").alias("series"), d("percentage")),
+             f["chain"].select(F.lit("chain"), "chain", "metric", d("value")),
+             *[gas.select(F.lit("gas"), "chain", F.lit(c), d(c)) for c in ("avg_gas_cost", "excluded_count")],
+             f["holders"].select(F.lit("holders"), "status", F.lit("count"), d("count"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@register("step_wrappers", C.with_ctes("TX", "HOLDERS_TYPED", extra="""
+by_act AS (SELECT a.activity_type, count(tx.chain) AS n, coalesce(sum(amount), 0) AS vol
+        FROM (VALUES ('transaction'), ('store_of_value'), ('other')) a(activity_type) LEFT JOIN tx ON tx.activity_type = a.activity_type GROUP BY 1),
+top AS (SELECT balance, row_number() OVER (ORDER BY coalesce(balance, 0) DESC, address, stablecoin, chain) AS r, address FROM holders_typed),
+ts AS (SELECT count(*) AS n FROM tx WHERE "timestamp" IS NOT NULL AND activity_type IS NOT NULL AND stablecoin IS NOT NULL
+       GROUP BY CAST("timestamp" AS DATE), activity_type, stablecoin)""") + """
+SELECT 'activity' AS step, 'counts.' || activity_type AS key, CAST(n AS VARCHAR) AS value FROM by_act
+UNION ALL SELECT 'activity', 'volumes.' || activity_type, CAST(CAST(vol AS DECIMAL(38,18)) AS VARCHAR) FROM by_act
+UNION ALL SELECT 'holder', 'total_holders', CAST(count(*) AS VARCHAR) FROM holders_typed
+UNION ALL SELECT 'holder', 'sov_count', CAST(count_if(coalesce(is_store_of_value, false)) AS VARCHAR) FROM holders_typed
+UNION ALL SELECT 'holder', 'top.' || CAST(r - 1 AS VARCHAR), address || ' ' || CAST(CAST(balance AS DECIMAL(38,18)) AS VARCHAR) FROM top WHERE r <= 10
+UNION ALL SELECT 'time_series', 'rows', CAST(count(*) AS VARCHAR) FROM ts
+UNION ALL SELECT 'time_series', 'transactions', CAST(sum(n) AS VARCHAR) FROM ts
+UNION ALL SELECT 'chain', CAST(c.i AS VARCHAR) || '.' || c.chain, CAST((SELECT count(*) FROM tx WHERE tx.chain = c.chain) AS VARCHAR)
+  FROM (VALUES (0, 'ethereum'), (1, 'bsc'), (2, 'polygon')) c(i, chain)""")
+def q_step_wrappers(spark, sf):
+    """The JSON texts of all four steps, read back with their types."""
+    tx, h = _tx(spark, sf), _hsov(spark, sf)
+    counts = "counts map<string,long>, volumes map<string,string>"
+    act = SP.activity_step(tx).select(F.from_json("output", counts).alias("o"))
+    out = act.select(F.lit("activity").alias("step"), F.explode(F.map_concat(
+        F.transform_keys("o.counts", lambda k, v: F.concat(F.lit("counts."), k)).cast("map<string,string>"),
+        F.transform_keys("o.volumes", lambda k, v: F.concat(F.lit("volumes."), k)))).alias("key", "value"))
+    ho = SP.holder_step(h).select(F.from_json(
+        "output", "total_holders long, sov_count long, top_holders array<struct<address:string,balance:string>>").alias("o"))
+    out = out.union(ho.select(F.lit("holder"), F.explode(F.create_map(
+        F.lit("total_holders"), F.col("o.total_holders").cast("string"), F.lit("sov_count"), F.col("o.sov_count").cast("string")))))
+    out = out.union(ho.select(F.posexplode("o.top_holders").alias("i", "t")).select(
+        F.lit("holder"), F.concat(F.lit("top."), F.col("i").cast("string")), F.concat_ws(" ", "t.address", "t.balance")))
+    ts = SP.time_series_step(tx).agg(F.count("*").alias("n"), F.sum(F.get_json_object("output", "$.transaction_count").cast("long")).alias("t"))
+    out = out.union(ts.select(F.lit("time_series"), F.explode(F.create_map(
+        F.lit("rows"), F.col("n").cast("string"), F.lit("transactions"), F.col("t").cast("string")))))
+    ch = SP.chain_step(tx, h).select(F.posexplode(F.from_json(
+        F.get_json_object("output", "$.chain_metrics"), "array<struct<chain:string,transaction_count:long>>")).alias("i", "m"))
+    return out.union(ch.select(F.lit("chain"), F.concat_ws(".", F.col("i").cast("string"), "m.chain"), F.col("m.transaction_count").cast("string")))
+
+
+@register("missing_required", C.with_ctes("TX", "HOLDERS") + """
+SELECT 'transactions' AS section, f AS field, CAST(CASE f WHEN 'timestamp' THEN (SELECT count(*) FROM tx WHERE block_number % 17 = 0)
+  WHEN 'amount' THEN (SELECT count(*) FROM tx WHERE block_number % 5 = 0) WHEN 'source_explorer' THEN (SELECT count(*) FROM tx) ELSE 0 END AS BIGINT) AS missing
+FROM (VALUES ('transaction_hash'), ('block_number'), ('timestamp'), ('from_address'), ('to_address'), ('amount'), ('stablecoin'), ('chain'),
+  ('activity_type'), ('source_explorer')) t(f)
+UNION ALL SELECT 'holders', f, CAST(CASE f WHEN 'first_seen' THEN (SELECT count(*) - count(first_seen) FROM holders)
+  WHEN 'last_activity' THEN (SELECT count(*) - count(last_activity) FROM holders) ELSE 0 END AS BIGINT)
+FROM (VALUES ('address'), ('balance'), ('stablecoin'), ('chain'), ('first_seen'), ('last_activity'), ('is_store_of_value'), ('source_explorer')) t(f)""")
+def q_missing_required(spark, sf):
+    """Required fields that are null or absent, per section, of records blanked by key."""
+    b = F.col("block_number")
+    tx = _tx(spark, sf).withColumns({"timestamp": F.when(b % 17 != 0, F.col("timestamp")), "amount": F.when(b % 5 != 0, F.col("amount"))}).drop("source_explorer")
+    parts = [QL.missing_required(df, QL.SECTIONS[s]).select(F.lit(s).alias("section"), "field", "missing")
+             for s, df in (("transactions", tx), ("holders", _holders(spark, sf)))]
+    return parts[0].unionByName(parts[1])
+
+
+@register("loaded_artifacts", C.with_ctes("TX", "HOLDERS") + """
+SELECT 'run-2' AS run_id, * FROM (
+  SELECT 'activity_breakdown' AS artifact, CAST(3 AS BIGINT) AS rows, CAST((SELECT count(*) FROM tx WHERE activity_type IN ('transaction', 'store_of_value', 'other')) AS BIGINT) AS figure
+  UNION ALL SELECT 'holder_metrics', 1, CAST((SELECT count(*) FROM holders) AS BIGINT)
+  UNION ALL SELECT 'time_series', CAST(count(*) AS BIGINT), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM tx
+    WHERE "timestamp" IS NOT NULL AND activity_type IS NOT NULL AND stablecoin IS NOT NULL GROUP BY CAST("timestamp" AS DATE), activity_type, stablecoin)
+  UNION ALL SELECT 'chain_metrics', 3, CAST((SELECT count(*) FROM tx) AS BIGINT)
+  UNION ALL SELECT 'sov_predictions', CAST((SELECT count(*) FROM holders) AS BIGINT), CAST((SELECT count(*) FROM holders) AS BIGINT)
+  UNION ALL SELECT 'wallet_classifications', CAST((SELECT count(*) FROM holders) AS BIGINT), CAST((SELECT count(*) FROM holders) AS BIGINT))""")
+def q_loaded_artifacts(spark, sf):
+    """Two completed runs and a newer failed one; the six artifacts of the newest completed run are loaded and summed up."""
+    from tokenflow.plans import artifacts as AR
+    from tokenflow.plans.pipeline import analysis_pipeline
+    outs = analysis_pipeline(spark, _tx(spark, sf), _holders(spark, sf), TD.REFERENCE_TIME)
+    preds = _rule_preds(spark, sf).select("address", F.col("score").alias("sov_probability"), (F.col("prediction") == 1).alias("predicted_class"))
+    frames = {k: outs[k] for k in ("activity_breakdown", "holder_metrics", "time_series", "chain_metrics")} | {
+        "sov_predictions": preds, "wallet_classifications": outs["wallet_labels"]}
+    base = scratch_path(spark, f"artifacts/{uuid.uuid4().hex}")
+    AR.write_artifacts(spark, base, "run-1", {"holder_metrics": frames["holder_metrics"]})
+    AR.write_artifacts(spark, base, "run-2", frames)
+    runs = spark.createDataFrame([("master", "run-1", "completed", 1), ("master", "run-2", "completed", 2), ("master", "run-3", "failed", 3),
+                                  ("other", "run-4", "completed", 4)], "pipeline string, run_id string, status string, created_at int")
+    got = AR.load_latest_artifacts(spark, runs, base, "master")
+    if got.problems:
+        raise ValueError(f"artifacts not loaded: {got.problems}")
+    figure = {"activity_breakdown": F.sum("tx_count"), "holder_metrics": F.sum("total_holders"), "time_series": F.sum("transaction_count"),
+              "chain_metrics": F.sum("transaction_count"), "sov_predictions": F.count("predicted_class"), "wallet_classifications": F.count("behavior_class")}
+    parts = [df.agg(F.count("*").alias("rows"), figure[n].cast("bigint").alias("figure")).select(
+        F.lit(got.run_id).alias("run_id"), F.lit(n).alias("artifact"), "rows", "figure") for n, df in got.frames.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("pipeline_output", C.with_ctes("TX", "HOLDERS") + """
 SELECT * FROM (VALUES ('activity_breakdown', CAST(3 AS BIGINT)), ('holder_metrics', 1), ('chain_metrics', 3)) t(output, rows)
 UNION ALL SELECT 'top_holders', CAST(least(count(*), 10) AS BIGINT) FROM holders
