@@ -380,6 +380,7 @@ from tokenflow.operators import merge as MG  # noqa: E402
 from tokenflow.operators import quality as QL  # noqa: E402
 from tokenflow.functions import rules as RU  # noqa: E402
 from tokenflow.functions import scalar as SC  # noqa: E402
+from tokenflow.schemas import TX_STRING  # noqa: E402
 from tokenflow.sources import pages as PG  # noqa: E402
 from tokenflow.sources import response_rules as RR  # noqa: E402
 
@@ -639,6 +640,72 @@ def q_invariants_tx(spark, sf):
                  F.count_if(F.size("errors") > 0).cast("bigint").alias("rejected"))
 
 
+#: (field, its damaged value in SQL, in export text or None: no such damage); the place is the key of the damaged rows
+_BAD_TX = [("transaction_hash", "''", ""), ("from_address", "NULL", None), ("to_address", "' '", " "), ("block_number", "-1", "-1"),
+           ("amount", "CAST(-0.5 AS DECIMAL(38,18))", "1e"), ("gas_used", "-1", "-1"), ("gas_price", "CAST(-2 AS DECIMAL(38,9))", "x"),
+           ("stablecoin", "'DAI'", "DAI"), ("chain", "'tron'", ""), ("activity_type", "'mint'", "mint"), ("timestamp", "", "2024-13-01"),
+           ("source_explorer", "", "")]
+
+
+def _damaged_tx(tx, key, values):
+    """Rows whose key is a place in ``values`` get that field's bad value."""
+    for place, (field, value) in enumerate(values):
+        if value is not None:
+            own = F.expr(value[1:]) if value.startswith("=") else F.lit(value)
+            tx = tx.withColumn(field, F.when(key == place, own.cast(tx.schema[field].dataType)).otherwise(F.col(field)))
+    return tx
+
+
+@register("invariants_tx_damaged", C.with_ctes("TX") + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS field, CAST(count(*) AS BIGINT) AS rejected FROM tx WHERE block_number % 31 = {i}" for i, (f, v, _) in enumerate(_BAD_TX) if v)
+    + ") WHERE rejected > 0 UNION ALL SELECT 'valid', CAST(count(*) AS BIGINT) FROM tx WHERE block_number % 31 NOT IN ("
+    + ", ".join(str(i) for i, (_, v, _) in enumerate(_BAD_TX) if v) + ")")
+def q_invariants_tx_damaged(spark, sf):
+    """V8: every constructor rule rejects its own damaged rows."""
+    bad = _damaged_tx(_tx(spark, sf), F.col("block_number") % 31, [(f, f"={v}" if v else None) for f, v, _ in _BAD_TX])
+    valid, _, counts = QL.split_valid(QL.tx_invariant_errors(bad))
+    return counts.unionByName(valid.agg(F.lit("valid").alias("field"), F.count("*").cast("bigint").alias("rejected")))
+
+
+@register("validate_export_tx", C.with_ctes("TX", extra="""
+p AS (SELECT block_number % 37 AS k, row_number() OVER (ORDER BY transaction_hash || '|' || chain) - 1 AS pos FROM tx)""") + " UNION ALL ".join(
+    f"SELECT 'transactions[' || CAST(pos AS VARCHAR) || '].{f}: invalid' AS error FROM p WHERE k = {i}"
+    for i, (f, _, v) in enumerate(_BAD_TX) if v is not None))
+def q_validate_export_tx(spark, sf):
+    """V9 record rules over the export form of the transfers, damaged by key, with the index of each record."""
+    tx = _tx(spark, sf).withColumn("_key", F.concat_ws("|", "transaction_hash", "chain"))
+    from tokenflow.operators.rank import value_ranks
+    ranks = value_ranks(tx, "_key").select(F.col("_key").alias("_a"), F.col("_below").alias("pos"))
+    text = tx.select("_key", (F.col("block_number") % 37).alias("_place"), *[F.col(c).cast("string").alias(c) for c in TX_STRING.fieldNames()])
+    text = text.withColumn("timestamp", F.date_format(F.col("timestamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    bad = _damaged_tx(text, F.col("_place"), [(f, v) for f, _, v in _BAD_TX])
+    placed = bad.join(ranks, F.col("_key") == F.col("_a"))
+    return QL.export_tx_errors(placed).select(F.explode("errors").alias("error"))
+
+
+_META_ERRORS = {0: "run_id", 1: "collection_timestamp", 2: "agent_version", 3: "explorers_queried", 4: "total_records"}
+
+
+@register("validate_export_parts", C.with_ctes("TX") + "SELECT 'metadata ' || CAST(event_id AS VARCHAR) AS part, CASE event_id % 6 " + " ".join(
+    f"WHEN {k} THEN 'metadata.{f}: missing or invalid'" for k, f in _META_ERRORS.items()) + """ END AS error FROM events WHERE event_id % 6 < 5
+UNION ALL SELECT 'summary', 'summary.by_chain: missing'
+UNION ALL SELECT 'summary', 'summary.by_stablecoin.' || stablecoin || '.count: invalid' FROM (SELECT DISTINCT stablecoin FROM tx)
+UNION ALL SELECT 'summary', 'summary.by_activity_type.other.volume: invalid'""")
+def q_validate_export_parts(spark, sf):
+    """V9 rules of metadata (one document per event) and summary, damaged by key."""
+    i, k = F.col("event_id"), F.col("event_id") % 6
+    keep = lambda n, good, bad: F.when(k == n, F.lit(bad).cast("string") if n != 3 else F.lit(None).cast("array<string>")).otherwise(good)
+    meta = TD.table(spark, sf, "events").select(
+        "event_id", keep(0, i.cast("string"), " ").alias("run_id"), keep(1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "today").alias("collection_timestamp"),
+        keep(2, F.lit("1.0.0"), None).alias("agent_version"), keep(3, F.array(F.lit("etherscan")), None).alias("explorers_queried"),
+        keep(4, F.lit("7"), "7.5").alias("total_records"))
+    meta = QL.export_metadata_errors(meta).select(F.concat_ws(" ", F.lit("metadata"), F.col("event_id").cast("string")).alias("part"), F.explode("errors").alias("error"))
+    summary = SM.sample_summary(_tx(spark, sf)).where("kind <> 'chain'").withColumns({
+        "count": F.when(F.col("kind") == "stablecoin", -F.col("count") - 1).otherwise(F.col("count")),
+        "volume": F.when(F.col("key") == "other", F.lit(None)).otherwise(F.col("volume"))})
+    return meta.unionByName(QL.export_summary_errors(summary).select(F.lit("summary").alias("part"), "error"))
+
+
 @register("required_tx", C.with_ctes("TX") + """
 SELECT CAST(count(*) AS BIGINT) AS kept FROM tx
 WHERE block_number % 13 <> 0 AND block_number % 17 <> 0 AND block_number % 19 <> 0 AND block_number % 23 <> 0""")
@@ -1663,6 +1730,37 @@ def q_class_confidence(spark, sf):
     return A.class_confidence(ML.classify_wallets(f, model))
 
 
+@register("predict_sov_bounds", C.with_ctes("HOLDERS") + """
+SELECT address, true AS in_bounds, true AS class_follows FROM holders""")
+def q_predict_sov_bounds(spark, sf):
+    """One row per wallet, a probability in [0, 1] and the class that it stands for."""
+    f, (model, _, _) = _trained_sov(spark, sf)
+    p = F.col("sov_probability")
+    return ML.predict_sov(f, model).select("address", p.between(0, 1).alias("in_bounds"), (F.col("predicted_class") == (p > 0.5)).alias("class_follows"))
+
+
+@register("model_registry", """
+WITH v AS (SELECT event_type AS model_name, CAST(event_id AS VARCHAR) AS version, CAST(ts AS TIMESTAMP) AS t, event_id FROM events),
+p AS (SELECT model_name, arg_max(version, {'t': t, 'e': event_id}) AS prod FROM v WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT v.model_name, v.version, coalesce(v.version = p.prod, false) AS is_production, coalesce(v.version <> p.prod, true) AS promotable,
+  CAST(event_id % 100 AS DOUBLE) / 100 AS auc FROM v LEFT JOIN p ON p.model_name = v.model_name""")
+def q_model_registry(spark, sf):
+    """A registry of one version per event; every third one was promoted, the latest of them is in production."""
+    base = scratch_path(spark, f"registry/{uuid.uuid4().hex}")
+    ev = TD.table(spark, sf, "events").select(
+        F.col("event_type").alias("model_name"), F.col("event_id").cast("string").alias("version"), "event_id",
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1).alias("us"))
+    ev.select("model_name", "version", F.lit("").alias("path"), F.timestamp_micros("us").alias("created"),
+              F.create_map(F.lit("auc"), (F.col("event_id") % 100) / 100.0).alias("metrics"), F.lit(False).alias("is_production")).write.parquet(f"{base}/_versions")
+    ev.where("event_id % 3 = 0").select("model_name", "version", F.timestamp_micros("us").alias("promoted"), "event_id").write.parquet(f"{base}/_promotions")
+    names = [r[0] for r in ev.select("model_name").distinct().collect()]  # the fixed set of event types
+    parts = [ML.model_versions(spark, base, n) for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("model_name", "version", "is_production", "promotable", F.element_at("metrics", F.lit("auc")).alias("auc"))
+
+
 @register("model_store", """
 SELECT 'sov_predictor' AS model_name, 'v1' AS version, true AS is_production, false AS promotable, CAST(2 AS BIGINT) AS stages""")
 def q_model_store(spark, sf):
