@@ -25,22 +25,12 @@ def col(c) -> Column:
 
 # P1 ---------------------------------------------------------------------
 def scale_amount(raw, decimals) -> Column:
-    """Raw number string / 10^decimals, exact: the decimal point is shifted
-    inside the string, so no intermediate type can overflow or round. A raw
-    fraction ("1.5") moves the point by its own digits as well.
-    Malformed or too large (> 20 integer digits) -> NULL."""
+    """Raw number string / 10^decimals, exact: the text gets the exponent
+    ``e-<decimals>`` and is parsed once, so no intermediate type can overflow or
+    round. Malformed or too large (> 20 integer digits) -> NULL."""
     text = col(raw)
-    v = F.replace(text, F.lit("."), F.lit(""))
-    fraction = F.length(F.regexp_extract(text, r"\.([0-9]*)$", 1))
-    d = (col(decimals) if not isinstance(decimals, int) else F.lit(decimals)) + fraction
-    n = F.length(v)
-    width = F.greatest(n, d + 1)
-    z = F.lpad(v, width, "0")
-    zl = F.length(z)
-    txt = F.concat(F.substring(z, F.lit(1), zl - d), F.lit("."),
-                   F.substring(z, zl - d + 1, d))
-    digits_only = text.rlike(r"^[0-9]+(\.[0-9]+)?$")
-    return F.when(digits_only, txt.try_cast(AMOUNT))
+    d = (col(decimals) if not isinstance(decimals, int) else F.lit(decimals)).cast("string")
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(text, F.lit("e-"), d).try_cast(AMOUNT))
 
 
 # P2 ---------------------------------------------------------------------
