@@ -244,18 +244,19 @@ def chain_activity_dist(tx: DataFrame) -> DataFrame:
 def summary_by_stablecoin(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """Per coin seen in TX: tx count, volume, distinct lower-cased addresses
     over senders, receivers and holders of that coin (holders only count for
-    coins present in TX)."""
-    g = tx.groupBy("stablecoin").agg(F.count("*").cast("bigint").alias("total_transactions"),
-                                     F.sum("amount").alias("total_volume"))
-    ends = tx.select("stablecoin", F.explode(F.array(F.lower("from_address"),
-                                                     F.lower("to_address"))).alias("a"))
+    coins present in TX): one scan of TX, no join."""
+    ends = tx.select("stablecoin", F.explode(F.array(
+        F.struct(F.lower("from_address").alias("a"), F.lit(1).alias("n"), F.col("amount").alias("v")),
+        F.struct(F.lower("to_address").alias("a"), F.lit(0).alias("n"), F.lit(None).cast(tx.schema["amount"].dataType).alias("v")))).alias("e"))
+    ends = ends.select("stablecoin", "e.a", "e.n", "e.v", F.lit(True).alias("moved"))
     if holders is not None:
-        hs = holders.select("stablecoin", F.lower("address").alias("a"))
-        hs = hs.join(g.select("stablecoin"), "stablecoin", "left_semi")
-        ends = ends.unionByName(hs)
-    # distinct (coin, address) pairs first -> partial-aggregated dedup, then count
-    u = ends.distinct().groupBy("stablecoin").agg(F.count("*").cast("bigint").alias("unique_addresses"))
-    return g.join(u, "stablecoin", "left")
+        ends = ends.unionByName(holders.select("stablecoin", F.lower("address").alias("a"), F.lit(0).alias("n"),
+                                               F.lit(None).cast(tx.schema["amount"].dataType).alias("v"), F.lit(False).alias("moved")))
+    # one row per (coin, address): a hot address is one partial row per task
+    per = ends.groupBy("stablecoin", "a").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.bool_or("moved").alias("moved"))
+    g = per.groupBy("stablecoin").agg(F.sum("n").cast("bigint").alias("total_transactions"), F.sum("v").alias("total_volume"),
+                                      F.count("*").cast("bigint").alias("unique_addresses"), F.bool_or("moved").alias("moved"))
+    return g.where("moved").drop("moved")
 
 
 def summary_by_activity(tx: DataFrame, holders: DataFrame | None = None) -> DataFrame:
@@ -360,17 +361,14 @@ def sov_pred_summary(predictions: DataFrame) -> DataFrame:
 
 # A22 / A23 ------------------------------------------------------------------
 def class_breakdown(classified: DataFrame) -> DataFrame:
-    """count and % per behaviour class (fixed order, zero-filled), total."""
-    spark = classified.sparkSession
-    e = spark.createDataFrame([(c, i) for i, c in enumerate(dims.BEHAVIOR_CLASSES)],
-                              "behavior_class string, class_rank int")
-    g = classified.groupBy("behavior_class").agg(F.count("*").alias("n"))
-    j = e.join(F.broadcast(g), "behavior_class", "full")
-    j = j.withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(_all()).cast("bigint"))
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return j.where(F.col("class_rank").isNotNull()).select(
-        "behavior_class", "class_rank", n.alias("count"), _pct(n, F.col("total")).alias("percentage"),
-        "total")
+    """count and % per behaviour class (fixed order, zero-filled), total of all
+    rows: one aggregation, no join."""
+    c = F.col("behavior_class")
+    one = classified.agg(F.count("*").cast("bigint").alias("total"),
+                         *[F.count_if(c == v).cast("bigint").alias(f"count__{v}") for v in dims.BEHAVIOR_CLASSES])
+    st = _stack(one, dims.BEHAVIOR_CLASSES, "behavior_class", ["count"])
+    return st.select("behavior_class", F.col("behavior_class_rank").alias("class_rank"), "count",
+                     _pct(F.col("count"), F.col("total")).alias("percentage"), "total")
 
 
 def class_confidence(classified: DataFrame, low: float = 0.6) -> DataFrame:
