@@ -16,8 +16,9 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 @pytest.mark.parametrize("name", CHECKED)
 def test_plan_has_no_cross_join_or_python(spark, name):
     df = E.queries()[name](spark, SF)
-    df.write.format("noop").mode("overwrite").save()          # final adaptive plan
+    df.collect()  # of this very plan, so that the adaptive one is final
     plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not plan.startswith("AdaptiveSparkPlan") or plan.startswith("AdaptiveSparkPlan isFinalPlan=true")
     for op in FORBIDDEN:
         assert op not in plan, f"{name}: {op} in plan"
 
@@ -27,3 +28,19 @@ def test_scan_is_pruned(spark):
     plan = TD.raw_transfers(spark, SF).select("amount")._jdf.queryExecution().executedPlan().toString()
     scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "lineitem" in ln][0]
     assert "l_returnflag" not in scan and "l_extendedprice" in scan
+
+
+@pytest.mark.parametrize("threshold", ["-1", "100MB"])
+def test_dedup_shares_the_exchange_of_the_join(spark, threshold):
+    """Transfers are exchanged once, by order key, whether the join is a merge or a broadcast."""
+    from tokenflow.sources import testdata as TD
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = TD.canonical_tx(spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(_tid" not in plan
+    assert plan.count("hashpartitioning") == (2 if threshold == "-1" else 1)

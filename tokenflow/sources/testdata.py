@@ -56,16 +56,20 @@ def _coin_of_key(key) -> F.Column:
     return F.when(S.col(key) % 2 == 0, "USDC").otherwise("USDT")
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined(spark: SparkSession, sf_dir: str, clustered: bool = False) -> DataFrame:
     """Compact numeric rows of lineitem x orders: the transfer id
     (orderkey * 8 + linenumber; line numbers are 1..7, so it is unique and
     the 64-digit hash string is a function of it), the return flag (-> chain),
     the order key, and ``ingest_key`` = the arrival order, which also carries
-    every other source column."""
+    every other source column. ``clustered`` deals the rows by order key before the
+    join, whatever the join: a later aggregate whose keys include the order key
+    then needs no exchange of its own."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         "l_shipdate")
+    if clustered:
+        li = li.repartition("l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
@@ -115,14 +119,19 @@ def raw_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _to_tx(_joined(spark, sf_dir), canonical=False)
 
 
+#: the order key is part of the transfer id: it only tells the planner that the join's partitioning will do
+DEDUP_KEYS = ("l_orderkey", "_tid", "l_returnflag")
+
+
 def canonical_tx(spark: SparkSession, sf_dir: str, keep_ingest_key: bool = False) -> DataFrame:
     """Raw transfers -> first per (hash, chain) (D2) -> canonical activity.
 
     D2 runs on the compact key (transfer id, return flag), which is one-to-one
-    with (transaction_hash, chain); classification is per row, so applying it
+    with (transaction_hash, chain); the transfer id fixes the order key, so that the join and
+    the aggregate share one exchange on it. Classification is per row, so applying it
     after the de-duplication gives the same rows."""
     from tokenflow.operators.merge import dedup_tx
-    first = dedup_tx(_joined(spark, sf_dir), keys=("_tid", "l_returnflag"))
+    first = dedup_tx(_joined(spark, sf_dir, clustered=True), keys=DEDUP_KEYS, shuffle_first=False)
     return _to_tx(first, canonical=True, keep_ingest_key=keep_ingest_key)
 
 
@@ -130,7 +139,7 @@ def collected_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated transfers with the collect-time activity (may hold
     ``unknown``), as the aggregator sees them before classification."""
     from tokenflow.operators.merge import dedup_tx
-    first = dedup_tx(_joined(spark, sf_dir), keys=("_tid", "l_returnflag"))
+    first = dedup_tx(_joined(spark, sf_dir, clustered=True), keys=DEDUP_KEYS, shuffle_first=False)
     return _to_tx(first, canonical=False, keep_ingest_key=False)
 
 
