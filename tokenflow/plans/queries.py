@@ -880,7 +880,8 @@ def _damage_sql(table, key, damage, prefix="result[*]."):
 def _counted_errors(pages, endpoint):
     pages = RR.check_responses(pages.select("source_explorer", "stablecoin", "chain", F.lit(endpoint).alias("endpoint"),
                                             RR.answer_text().alias("body")), max_depth=None)
-    e = pages.select("source_explorer", "stablecoin", "chain", F.explode("schema_errors").alias("e"))
+    # outer: the plain form adds a filter on the array, which evaluates all rules of a page once more for each of its conditions
+    e = pages.select("source_explorer", "stablecoin", "chain", F.explode_outer("schema_errors").alias("e")).where(F.col("e").isNotNull())
     return e.groupBy("source_explorer", "stablecoin", "chain", F.regexp_replace("e", r"\[[0-9]+\]", "[*]").alias("error")).agg(
         F.count("*").cast("bigint").alias("n"))
 

@@ -81,10 +81,18 @@ def check_document(rule, at: str) -> None:
 
 # ------------------------------------------------------------------ compiler
 
-def _of_kind(v: Column, kind: str) -> Column:
-    if kind == "text":
-        return F.schema_of_variant(v) == "STRING"
-    return F.try_variant_get(v, "$", {"list": "array<variant>", "object": "map<string,variant>"}[kind]).isNotNull()
+#: what a value of a kind reads as; null: it is of another kind
+READ = {"text": "string", "list": "array<variant>", "object": "map<string,variant>"}
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _read(v: Column, kind: str) -> Column:
+    read = F.try_variant_get(v, "$", READ[kind])
+    return F.when(F.schema_of_variant(v) == "STRING", read) if kind == "text" else read  # a number reads as text, too
 
 
 def _case(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -105,60 +113,59 @@ def _inside(path, name: str):
 NONE = "array<string>"
 
 
-def _problems(v: Column, path, rule: dict) -> Column:
-    """array<string> of the problems of a value of the right kind."""
+def _flag(wrong: Column, message: Column) -> Column:
+    return F.when(wrong, F.array(message)).otherwise(F.array().cast(NONE))
+
+
+def _problems(x: Column, path, rule: dict) -> Column:
+    """array<string> of the problems of a value of the right kind, as ``_read`` gives it."""
     kind = rule["kind"]
+    parts = []
     if kind == "text":
-        s = F.variant_get(v, "$", "string")
-        found = []
         if "one_of" in rule:
-            found.append(F.when(~s.isin(rule["one_of"]), _say(path, "is not an allowed value")))
+            parts.append(_flag(~x.isin(rule["one_of"]), _say(path, "is not an allowed value")))
         if "at_least" in rule:
-            found.append(F.when(F.length(s) < rule["at_least"], _say(path, "is too short")))
+            parts.append(_flag(F.length(x) < rule["at_least"], _say(path, "is too short")))
         if "at_most" in rule:
-            found.append(F.when(F.length(s) > rule["at_most"], _say(path, "is too long")))
+            parts.append(_flag(F.length(x) > rule["at_most"], _say(path, "is too long")))
         if "like" in rule:
-            found.append(F.when(~s.rlike(re.sub(r"\$$", r"\\z", PATTERNS[rule["like"]])), _say(path, "does not match pattern")))
-        return F.array_compact(F.array(*found)) if found else F.array().cast(NONE)
-    if kind == "list":
-        items = F.variant_get(v, "$", "array<variant>")
-        parts = []
+            parts.append(_flag(~x.rlike(re.sub(r"\$$", r"\\z", PATTERNS[rule["like"]])), _say(path, "does not match pattern")))
+    elif kind == "list":
         if "at_most" in rule:
-            parts.append(F.when(F.size(items) > rule["at_most"], F.array(_say(path, "has too many items")))
-                         .otherwise(F.array().cast(NONE)))
+            parts.append(_flag(F.size(x) > rule["at_most"], _say(path, "has too many items")))
         if "each" in rule:
             at = path if isinstance(path, Column) else F.lit(path)
-            parts.append(F.flatten(F.transform(items, lambda x, i: _checked(
-                x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), rule["each"]))))
-        return F.concat(*parts) if parts else F.array().cast(NONE)
-    parts = []
-    for name in dict.fromkeys([*rule.get("needs", ()), *rule.get("fields", {})]):
-        x = F.variant_get(v, f"$.{name}", "variant")  # null: the field is not there
-        own = _inside(path, name)
-        ok = _checked(x, own, rule["fields"][name]) if name in rule.get("fields", {}) else F.array().cast(NONE)
-        lacks = F.array(_say(own, "is required")) if name in rule.get("needs", ()) else F.array().cast(NONE)
-        parts.append(F.when(x.isNull(), lacks).otherwise(ok))
-    if rule.get("closed"):
-        keys = F.map_keys(F.variant_get(v, "$", "map<string,variant>"))
-        known = F.array(*[F.lit(n) for n in rule.get("fields", {})]) if rule.get("fields") else F.array().cast(NONE)
-        at = F.lit("") if path == ROOT else F.concat(path if isinstance(path, Column) else F.lit(path), F.lit("."))
-        parts.append(F.transform(F.array_except(keys, known), lambda k: F.concat(at, k, F.lit(" is not expected"))))
-    return F.concat(*parts) if parts else F.array().cast(NONE)
+            parts.append(F.flatten(F.transform(x, lambda item, i: _checked(
+                item, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), rule["each"]))))
+    else:
+        for name in dict.fromkeys([*rule.get("needs", ()), *rule.get("fields", {})]):
+            own = _inside(path, name)
+            lacks = F.array(_say(own, "is required")) if name in rule.get("needs", ()) else F.array().cast(NONE)
+            checked = (lambda f: _checked(f, own, rule["fields"][name])) if name in rule.get("fields", {}) else (
+                lambda f: F.array().cast(NONE))
+            # null: the field is not there
+            parts.append(_let(F.try_element_at(x, F.lit(name)), lambda f: F.when(f.isNull(), lacks).otherwise(checked(f))))
+        if rule.get("closed"):
+            known = F.array(*[F.lit(n) for n in rule.get("fields", {})]) if rule.get("fields") else F.array().cast(NONE)
+            at = F.lit("") if path == ROOT else F.concat(path if isinstance(path, Column) else F.lit(path), F.lit("."))
+            parts.append(F.transform(F.array_except(F.map_keys(x), known), lambda k: F.concat(at, k, F.lit(" is not expected"))))
+    if not parts:
+        return F.array().cast(NONE)
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def _checked(v: Column, path, rule: dict) -> Column:
     """array<string> of the problems of a value that is there."""
-    if "either" in rule:
-        return _case([(_of_kind(v, r["kind"]), _problems(v, path, r)) for r in rule["either"]],
-                     F.array(_say(path, "matches no allowed form")))
-    return F.when(_of_kind(v, rule["kind"]), _problems(v, path, rule)).otherwise(
-        F.array(_say(path, f"is not {KINDS[rule['kind']]}")))
+    found = F.array(_say(path, "matches no allowed form" if "either" in rule else f"is not {KINDS[rule['kind']]}"))
+    for r in reversed(rule.get("either", [rule])):
+        found = _let(_read(v, r["kind"]), lambda x: F.when(x.isNotNull(), _problems(x, path, r)).otherwise(found))
+    return found
 
 
 def compile_rule(doc: dict, body) -> Column:
     """array<string>: the problems of the answer text ``body`` under a document."""
-    v = F.try_parse_json(S.col(body))
-    return F.when(v.isNull(), F.array(F.lit(f"{ROOT} is not JSON"))).otherwise(_checked(v, ROOT, doc["answer"]))
+    return _let(F.try_parse_json(S.col(body)), lambda v: F.when(v.isNull(), F.array(F.lit(f"{ROOT} is not JSON"))).otherwise(
+        _checked(v, ROOT, doc["answer"])))
 
 
 # ------------------------------------------------------------------ operator
