@@ -31,3 +31,12 @@ def test_counted_errors_evaluate_the_rules_once(spark):
     assert {r.error: r.n for r in counted.collect()}["result[*].hash does not match pattern"] == 2
     filters = [line for line in optimized(counted).splitlines() if "Filter" in line]
     assert all("variant" not in line.lower() for line in filters)
+
+
+@pytest.mark.parametrize("price, n, mean", [("9" + "0" * 28, 4, 9e10), ("1", 3, 1e-18)])
+def test_gas_total_beyond_one_decimal(spark, price, n, mean):
+    tx = spark.range(n).select(F.lit("ethereum").alias("chain"), F.lit(1).cast("decimal(38,18)").alias("amount"),
+                               F.lit("transaction").alias("activity_type"), F.lit(1).cast("bigint").alias("gas_used"),
+                               F.lit(price).cast("decimal(38,9)").alias("gas_price"))
+    r = A.by_chain(tx).where("chain = 'ethereum'").first()
+    assert r.avg_gas_cost == pytest.approx(mean, rel=1e-15) and r.excluded_gas_count == 0

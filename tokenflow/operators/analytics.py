@@ -118,7 +118,10 @@ def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, values: list[st
         aggs.append(F.count_if(F.col("activity_type") == a).alias(f"_n_{a}"))
     if gas:
         wei = S.gas_wei_product("gas_used", "gas_price")
-        aggs += [F.count(wei).alias("_gas_n"), F.sum(wei).alias("_gas_wei")]
+        unit = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+        low = wei % unit  # high part and rest: neither sum can overflow below 1e10 rows
+        aggs += [F.count(wei).alias("_gas_n"), F.try_sum(wei).alias("_gas_wei"), F.sum(low).alias("_gas_low"),
+                 F.sum(((wei - low) / unit).cast("decimal(11,0)")).alias("_gas_high")]
     g = tx.where(F.col(dim).isin(*values)).groupBy(dim).agg(*aggs)
     j = enum_df.join(F.broadcast(g), dim, "left")
     hs = _holder_sov_by(holders, dim, values)
@@ -137,7 +140,12 @@ def _per_dim(tx: DataFrame, holders: DataFrame | None, dim: str, values: list[st
                 .alias("sov_ratio"))
     if gas:
         gn = F.coalesce("_gas_n", F.lit(0)).cast("bigint")
-        cols += [F.when(gn > 0, F.col("_gas_wei").cast("double") / gn.cast("double") / F.lit(1e18))
+        # a total of 1e29 wei or more has no decimal with 9 digits: whole wei from its two parts, beyond 1e38 as double
+        high = F.col("_gas_high")
+        whole = F.try_add(F.concat(high.cast("string"), F.lit("0" * 19)).try_cast("decimal(38,0)"), F.floor("_gas_low"))
+        total = F.coalesce(F.col("_gas_wei").cast("double"), whole.cast("double"),
+                           high.cast("double") * F.lit(1e19) + F.col("_gas_low").cast("double"))
+        cols += [F.when(gn > 0, total / gn.cast("double") / F.lit(1e18))
                  .alias("avg_gas_cost"),
                  (n - gn).alias("excluded_gas_count")]
     return j.select(*cols, *[c for c in enum_df.columns if c.endswith("_rank")])
