@@ -40,3 +40,11 @@ def test_gas_total_beyond_one_decimal(spark, price, n, mean):
                                F.lit(price).cast("decimal(38,9)").alias("gas_price"))
     r = A.by_chain(tx).where("chain = 'ethereum'").first()
     assert r.avg_gas_cost == pytest.approx(mean, rel=1e-15) and r.excluded_gas_count == 0
+
+
+def test_mix_is_returned_in_training_order(spark, tmp_path):
+    from tokenflow.llm import mixing
+    docs(spark, [(i, "w " * (i % 13), "en", f"s{i % 4}") for i in range(400)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    at = [r.position for r in mixing.query(spark, str(tmp_path)).collect()]
+    known = [t for t in at if t is not None]
+    assert len(at) == 400 and known == sorted(known) and at[:len(known)] == known

@@ -122,14 +122,18 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     words of a document, range-sorted by training position. A pass that the
     target ends inside a document takes the whole document when at least half
     of it lies before the target, so texts stay whole."""
-    spark = docs.sparkSession
     p = placed(docs, text, source, doc_id, **kw)
     kept = F.filter(F.arrays_zip(F.col("mix.positions").alias("t"),
                                  F.filter("mix.passes", lambda n: n > 0).alias("n")),
                     lambda z: z["n"] * 2 >= F.col("mix.size"))
     rows = p.withColumn("_z", F.explode(kept)).select("_row", F.col("_z.t").alias("_t"))
-    out = rows.repartitionByRange(shuffle_partitions(spark), "_t", F.col(f"_row.{doc_id}"))
-    return out.sortWithinPartitions("_t", F.col(f"_row.{doc_id}")).select("_row.*")
+    return _in_training_order(rows, F.col("_t"), F.col(f"_row.{doc_id}")).select("_row.*")
+
+
+def _in_training_order(rows: DataFrame, at, doc_id) -> DataFrame:
+    """``rows`` range-sorted by training time; rows without one (nothing taken) come last."""
+    order = [at.asc_nulls_last(), doc_id]
+    return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +141,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = docs.select(F.struct("doc_id").alias("_row"), "source", F.md5(doc_key(F.col("doc_id"))).alias("_k"),
                        F.size(words(F.col("text"))).cast("long").alias("size"), F.lit("").alias("_tk"))
     out = _place(cut(held), WEIGHTS, BUDGET, MOST)
-    return out.select("_row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken",
-                      F.get("mix.positions", F.lit(0)).alias("position"))
+    out = out.select("_row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken",
+                     F.get("mix.positions", F.lit(0)).alias("position"))
+    return _in_training_order(out, F.col("position"), F.col("doc_id"))
 
 
 SQL = """
