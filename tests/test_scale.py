@@ -42,6 +42,18 @@ def test_gas_total_beyond_one_decimal(spark, price, n, mean):
     assert r.avg_gas_cost == pytest.approx(mean, rel=1e-15) and r.excluded_gas_count == 0
 
 
+def test_transfers_are_dealt_by_their_number(spark, monkeypatch):
+    want = TD.canonical_tx(spark, SF)
+    monkeypatch.setattr(TD, "ROWS_PER_TASK", 100)
+    got = TD.canonical_tx(spark, SF)
+    assert got.rdd.getNumPartitions() >= TD.table(spark, SF, "lineitem").count() // 100
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_written_tables_need_no_sort(spark):
+    assert not any("chain=" in f for t in (TD.tx_table, TD.holders_base_table) for f in t(spark, SF).inputFiles())
+
+
 def test_mix_is_returned_in_training_order(spark, tmp_path):
     from tokenflow.llm import mixing
     docs(spark, [(i, "w " * (i % 13), "en", f"s{i % 4}") for i in range(400)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")

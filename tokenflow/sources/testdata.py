@@ -10,6 +10,7 @@ small, decided at runtime by AQE).
 from __future__ import annotations
 
 import datetime as _dt
+import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -56,6 +57,20 @@ def _coin_of_key(key) -> F.Column:
     return F.when(S.col(key) % 2 == 0, "USDC").otherwise("USDT")
 
 
+#: rows of lineitem that one task joins, de-duplicates and writes
+ROWS_PER_TASK = 400_000
+
+
+def _by_order(spark: SparkSession, li: DataFrame) -> DataFrame:
+    """``li`` dealt by order key, in partitions of about ``ROWS_PER_TASK`` rows where
+    the session's number of partitions would make larger ones: what a task
+    sorts does not grow with the table."""
+    parts = math.ceil(li.count() / ROWS_PER_TASK)  # row counts of the file footers
+    if parts <= int(spark.conf.get("spark.sql.shuffle.partitions", "200")):
+        return li.repartition("l_orderkey")
+    return li.repartition(parts, "l_orderkey")
+
+
 def _joined(spark: SparkSession, sf_dir: str, clustered: bool = False) -> DataFrame:
     """Compact numeric rows of lineitem x orders: the transfer id
     (orderkey * 8 + linenumber; line numbers are 1..7, so it is unique and
@@ -69,7 +84,7 @@ def _joined(spark: SparkSession, sf_dir: str, clustered: bool = False) -> DataFr
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         "l_shipdate")
     if clustered:
-        li = li.repartition("l_orderkey")
+        li = _by_order(spark, li)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
@@ -287,7 +302,7 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
-def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Materialise a derived table once per application as parquet below the
     shared checkpoint folder and return a reader over it (a "silver" table:
     every later query reads compact columnar files instead of recomputing
@@ -300,10 +315,7 @@ def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: li
         built = build()
         cols = built.columns
         path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
-        w = built.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        built.write.mode("overwrite").parquet(path)  # by no column: a partitioned write sorts whole tasks of wide rows
         _remove_at_exit(spark, path)
         df = spark.read.parquet(path).select(*cols)
         _WRITTEN[key] = df
@@ -311,13 +323,13 @@ def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: li
 
 
 def tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical TX as a written table partitioned by chain."""
-    return written(spark, sf_dir, "tx", lambda: canonical_tx(spark, sf_dir), ["chain"])
+    """The canonical TX as a written table."""
+    return written(spark, sf_dir, "tx", lambda: canonical_tx(spark, sf_dir))
 
 
 def holders_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HOLDER from customers with first/last activity, written once."""
-    return written(spark, sf_dir, "holders", lambda: holders(spark, sf_dir, tx_table(spark, sf_dir)), ["chain"])
+    return written(spark, sf_dir, "holders", lambda: holders(spark, sf_dir, tx_table(spark, sf_dir)))
 
 
 def holders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,9 +341,9 @@ def holders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         tx = tx_table(spark, sf_dir)
         return with_holding_period_days(sov_heuristic(holders_base_table(spark, sf_dir), tx, REFERENCE_TIME))
-    return written(spark, sf_dir, "holders_sov", build, ["chain"])
+    return written(spark, sf_dir, "holders_sov", build)
 
 
 def collected_tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated TX with collect-time activity, written once."""
-    return written(spark, sf_dir, "txc", lambda: collected_tx(spark, sf_dir), ["chain"])
+    return written(spark, sf_dir, "txc", lambda: collected_tx(spark, sf_dir))
