@@ -54,6 +54,17 @@ def test_written_tables_need_no_sort(spark):
     assert not any("chain=" in f for t in (TD.tx_table, TD.holders_base_table) for f in t(spark, SF).inputFiles())
 
 
+def test_side_stats_hash(spark):
+    rows = [("a", "b", 1, "x"), ("a", "c", 2, "y"), ("b", "c", 3, "x"), ("b", "c", 3, None), ("d", "d", 1, None)]
+    tx = spark.createDataFrame(rows, "from_address string, to_address string, amount int, chain string").withColumn(
+        "amount", F.col("amount").cast("decimal(38,18)"))
+    got = FE.side_stats(tx)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert {r.a: (r.chains_from, r.chains_to) for r in got.collect()} == {
+        "a": (True, None), "b": (False, False), "c": (None, True), "d": (None, None)}
+
+
 def test_mix_is_returned_in_training_order(spark, tmp_path):
     from tokenflow.llm import mixing
     docs(spark, [(i, "w " * (i % 13), "en", f"s{i % 4}") for i in range(400)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")

@@ -20,14 +20,17 @@ def side_stats(tx: DataFrame) -> DataFrame:
     """Per lower-cased address, one pass over TX (each transfer exploded to
     its two ends, aggregated map-side before the shuffle):
     counts, exact decimal sums, sample std and first / last chain per side
-    (two chains exactly if they differ). TX without a chain column has one."""
+    (two chains exactly if they differ). TX without a chain column has one.
+    Chains are compared by 64-bit hashes: with fixed-size values only, the
+    aggregate is a hash table, not a sort of all transfer ends."""
     if "chain" not in tx.columns:
         tx = tx.withColumn("chain", F.lit(""))
+    chain = F.when(F.col("chain").isNotNull(), F.xxhash64("chain"))
     ends = tx.select(F.explode(F.array(
         F.struct(F.lower("from_address").alias("a"), F.lit(True).alias("out"),
-                 F.col("amount").alias("amt"), F.col("chain").alias("ch")),
+                 F.col("amount").alias("amt"), chain.alias("ch")),
         F.struct(F.lower("to_address").alias("a"), F.lit(False).alias("out"),
-                 F.col("amount").alias("amt"), F.col("chain").alias("ch")))).alias("e")).select("e.*")
+                 F.col("amount").alias("amt"), chain.alias("ch")))).alias("e")).select("e.*")
     o, i = F.col("out"), ~F.col("out")
     return ends.groupBy("a").agg(
         F.count_if(o).alias("n_from"), F.count_if(i).alias("n_to"),
