@@ -65,6 +65,25 @@ def test_side_stats_hash(spark):
         "a": (True, None), "b": (False, False), "c": (None, True), "d": (None, None)}
 
 
+def test_class_summary_reads_predictions_once(spark):
+    c = spark.createDataFrame([("a", 0.5), ("a", 0.9), ("b", None)], "behavior_class string, confidence double")
+    s = ML.class_summary(c)
+    rows = {r.behavior_class: tuple(r)[1:] for r in s.collect()}
+    assert rows == {"a": (2, 1, 0.7, 0.5, 0.9), "b": (1, 1, 0.7, 0.5, 0.9)}
+    plan = s._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan") == 1
+    assert ML.class_summary(c.limit(0)).count() == 0
+
+
+def test_training_frame_is_computed_once(spark):
+    f = spark.range(60).select(F.concat(F.lit("0x"), F.col("id").cast("string")).alias("address"), (F.col("id") % 2).cast("int").alias("label"),
+                               *[(F.col("id") * k % 7).cast("double").alias(c) for k, c in enumerate(FEATURES, 1)])
+    for split in (ML.train_sov(f, trees=2, depth=2)[2],
+                  ML.train_wallets(FE.label_wallets(f.drop("label")), trees=2, depth=2)[2]):
+        assert "left_outer" not in split._jdf.queryExecution().logical().toString().lower().replace("leftouter", "left_outer").split("logicalrdd")[-1]
+        assert "_th" not in optimized(split)
+
+
 def test_mix_is_returned_in_training_order(spark, tmp_path):
     from tokenflow.llm import mixing
     docs(spark, [(i, "w " * (i % 13), "en", f"s{i % 4}") for i in range(400)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")

@@ -23,6 +23,7 @@ from tokenflow.operators import boosting
 from tokenflow.operators.features import split
 from tokenflow.operators.rank import value_ranks
 from tokenflow.schemas import FEATURES
+from tokenflow.session import checkpoint_dir
 
 CLASS_INDEX = {c: i for i, c in enumerate(dims.BEHAVIOR_CLASSES)}
 
@@ -50,7 +51,8 @@ def train_sov(labeled: DataFrame, model: str = "forest", trees: int = 100, depth
     counted on the training side only. Returns (PipelineModel | None, test
     predictions, train/test split frame). A single-class label set returns no
     model (metrics short-circuit); no labelled row at all is an error."""
-    s = split(labeled, test_size=test_size, seed=seed, label="label")
+    checkpoint_dir(labeled.sparkSession)
+    s = split(labeled, test_size=test_size, seed=seed, label="label").checkpoint(eager=True)  # every pass of the fit reads it
     counts = s.where(~F.col("is_test")).groupBy("label").count().collect()  # <= 2 rows
     if not counts and labeled.isEmpty():
         raise ValueError("no feature row matches a labelled holder")
@@ -125,7 +127,8 @@ def train_wallets(labeled: DataFrame, trees: int = 100, depth: int = 10, seed: i
     multinomial model, ``boosting``) or ``ovr-gbt`` (one binary model per class)."""
     from tokenflow.operators.features import class_weights
     d = labeled.withColumn("label", class_index(F.col("behavior_class")))
-    s = split(d, test_size=0.2, seed=seed, label="behavior_class")
+    checkpoint_dir(d.sparkSession)
+    s = split(d, test_size=0.2, seed=seed, label="behavior_class").checkpoint(eager=True)  # every pass of the fit reads it
     w = class_weights(s.where(~F.col("is_test"))).select("behavior_class", "weight")  # training rows only
     s = s.join(F.broadcast(w.where(F.col("behavior_class").isin(*dims.BEHAVIOR_CLASSES))), "behavior_class", "left")
     s = s.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -202,11 +205,15 @@ def classify_wallets(features: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def class_summary(classified: DataFrame, low: float = 0.6) -> DataFrame:
-    g = classified.groupBy("behavior_class").agg(F.count("*").cast("bigint").alias("count"))
-    s = classified.agg(F.count_if(F.col("confidence") < low).cast("bigint").alias("low_confidence"),
-                       F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"),
-                       F.max("confidence").alias("max_confidence"))
-    return _one(g, s)
+    """Rows per class with the confidence figures of all rows, from one pass over the predictions."""
+    c = F.col("confidence")
+    g = classified.groupBy("behavior_class").agg(
+        F.count("*").cast("bigint").alias("count"), F.count_if(c < low).alias("_low"), F.sum(c).alias("_sum"),
+        F.count(c).alias("_n"), F.min(c).alias("_min"), F.max(c).alias("_max"))
+    w = Window.partitionBy()  # over the k class rows
+    return g.select("behavior_class", "count", F.sum("_low").over(w).cast("bigint").alias("low_confidence"),
+                    (F.sum("_sum").over(w) / F.nullif(F.sum("_n").over(w), F.lit(0).cast("bigint"))).alias("avg_confidence"),
+                    F.min("_min").over(w).alias("min_confidence"), F.max("_max").over(w).alias("max_confidence"))
 
 
 # M15 ------------------------------------------------------------------------
