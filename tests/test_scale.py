@@ -84,6 +84,21 @@ def test_training_frame_is_computed_once(spark):
         assert "_th" not in optimized(split)
 
 
+def test_ingest_deals_by_key_hash(spark, tmp_path, monkeypatch):
+    from tokenflow.operators import merge
+    from tokenflow.streaming import ingest as ST, key_index as KI
+    raw = TD.raw_transfers(spark, SF).limit(200)
+    raw.coalesce(1).write.mode("append").parquet(f"{tmp_path}/land")
+    raw.coalesce(1).write.mode("append").parquet(f"{tmp_path}/land")  # the same rows once more
+    used, real = [], merge.dedup_tx
+    monkeypatch.setattr(merge, "dedup_tx", lambda tx, keys, **kw: used.append(keys) or real(tx, keys, **kw))
+    ST.incremental_ingest(spark, f"{tmp_path}/land", f"{tmp_path}/out", f"{tmp_path}/ckpt", f"{tmp_path}/bad",
+                          schema=spark.read.parquet(f"{tmp_path}/land").schema, max_files=1)
+    assert len(used) == 2 and all(k[0] == KI.KEY for k in used)
+    got = ST.ingested(spark, f"{tmp_path}/out")
+    assert got.count() == raw.select("transaction_hash", "chain").distinct().count() > 0
+
+
 def test_mix_is_returned_in_training_order(spark, tmp_path):
     from tokenflow.llm import mixing
     docs(spark, [(i, "w " * (i % 13), "en", f"s{i % 4}") for i in range(400)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
