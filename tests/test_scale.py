@@ -84,6 +84,16 @@ def test_training_frame_is_computed_once(spark):
         assert "_th" not in optimized(split)
 
 
+def test_export_is_compressed(spark, tmp_path):
+    tx = TD.tx_table(spark, SF).limit(50)
+    out = EX.write_export(spark, str(tmp_path), "r", tx, TD.holders_base_table(spark, SF).limit(5), ["etherscan"])
+    for part, n in (("transactions", 50), ("holders", 5)):
+        files = [f for f in os.listdir(f"{out}/{part}") if f.startswith("part-")]
+        assert files and all(f.endswith(".json.gz") for f in files)
+    read = EX.read_export(spark, out)
+    assert (read[0].count(), read[1].count()) == (50, 5)
+
+
 def test_ingest_deals_by_key_hash(spark, tmp_path, monkeypatch):
     from tokenflow.operators import merge
     from tokenflow.streaming import ingest as ST, key_index as KI
