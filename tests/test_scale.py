@@ -84,6 +84,11 @@ def test_training_frame_is_computed_once(spark):
         assert "_th" not in optimized(split)
 
 
+def test_checked_metrics_are_frozen(spark):
+    ml = Q._metrics_long(spark, SF)
+    assert "Join" not in optimized(ml) and ml.count() == 8
+
+
 def test_export_is_compressed(spark, tmp_path):
     tx = TD.tx_table(spark, SF).limit(50)
     out = EX.write_export(spark, str(tmp_path), "r", tx, TD.holders_base_table(spark, SF).limit(5), ["etherscan"])

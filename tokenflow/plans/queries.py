@@ -1339,7 +1339,7 @@ def _metrics_long(spark, sf):
         F.lit("sov_predictor").alias("model_name"), F.lit("rule-percentile").alias("version"), *MO.METRICS)
     e2 = ML.eval_binary(_rule_preds(spark, sf, "holding")).select(
         F.lit("sov_predictor").alias("model_name"), F.lit("rule-holding").alias("version"), *MO.METRICS)
-    return MO.to_long(e1.unionByName(e2))
+    return MO.to_long(e1.unionByName(e2)).checkpoint(eager=True)  # eight rows that the checks read many times
 
 
 _CHECK_SQL = _ml_ctes(_preds_sql("pr1", "percentile"), _eval_sql("pr1", "ev1"),
