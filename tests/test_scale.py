@@ -89,6 +89,12 @@ def test_checked_metrics_are_frozen(spark):
     assert "Join" not in optimized(ml) and ml.count() == 8
 
 
+def test_pipeline_computes_shared_frames_once(spark):
+    outs = PL.analysis_pipeline(spark, TD.tx_table(spark, SF), TD.holders_base_table(spark, SF), TD.REFERENCE_TIME)
+    for name in ("holder_metrics", "top_holders", "features", "wallet_labels"):
+        assert "Generate explode" not in optimized(outs[name]), name
+
+
 def test_export_is_compressed(spark, tmp_path):
     tx = TD.tx_table(spark, SF).limit(50)
     out = EX.write_export(spark, str(tmp_path), "r", tx, TD.holders_base_table(spark, SF).limit(5), ["etherscan"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenflow import dims
+from tokenflow.session import checkpoint_dir
 
 
 def select_sources(spark: SparkSession, explorers: list[str] | None = None,
@@ -24,13 +25,15 @@ def select_sources(spark: SparkSession, explorers: list[str] | None = None,
 def analysis_pipeline(spark: SparkSession, tx: DataFrame, holders: DataFrame, reference_time,
                       aggregation: str = "daily") -> dict[str, DataFrame]:
     """Classification, SoV heuristic, the four analysis steps and the
-    features of one run, as lazy DataFrames sharing one canonical TX
-    (cached by the caller if reused across many actions)."""
+    features of one run, as DataFrames sharing one canonical TX
+    (cached by the caller if reused across many actions). The holders with their flags and
+    the features, which several outputs read, are computed once and kept in the shared folder."""
     from tokenflow.operators import analytics as A, classify as CL, features as FE, timeseries as TS
     from tokenflow.sources.typed import with_holding_period_days
     tx = CL.classify_transactions(tx)
-    h = with_holding_period_days(CL.sov_heuristic(holders, tx, reference_time))
-    feats = FE.holder_features(h, tx, reference_time)
+    checkpoint_dir(spark)
+    h = with_holding_period_days(CL.sov_heuristic(holders, tx, reference_time)).checkpoint(eager=True)
+    feats = FE.holder_features(h, tx, reference_time).checkpoint(eager=True)
     return {"activity_breakdown": A.activity_breakdown(tx), "holder_metrics": A.holder_metrics(h),
             "top_holders": A.top_holders(h), "time_series": TS.time_series(tx, aggregation),
             "chain_metrics": A.by_chain(tx, h), "features": feats,
