@@ -51,7 +51,7 @@ def test_transfers_are_dealt_by_their_number(spark, monkeypatch):
 
 
 def test_written_tables_need_no_sort(spark):
-    assert not any("chain=" in f for t in (TD.tx_table, TD.holders_base_table) for f in t(spark, SF).inputFiles())
+    assert not any("chain=" in f for t in (TD.tx_table, TD.collected_tx_table) for f in t(spark, SF).inputFiles())
 
 
 def test_side_stats_hash(spark):

@@ -302,7 +302,7 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
-def written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
     """Materialise a derived table once per application as parquet below the
     shared checkpoint folder and return a reader over it (a "silver" table:
     every later query reads compact columnar files instead of recomputing
@@ -315,7 +315,10 @@ def written(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         built = build()
         cols = built.columns
         path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
-        built.write.mode("overwrite").parquet(path)  # by no column: a partitioned write sorts whole tasks of wide rows
+        w = built.write.mode("overwrite")
+        if partition_by:  # not for transfers: it sorts whole tasks of wide rows
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
         _remove_at_exit(spark, path)
         df = spark.read.parquet(path).select(*cols)
         _WRITTEN[key] = df
@@ -329,7 +332,7 @@ def tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holders_base_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HOLDER from customers with first/last activity, written once."""
-    return written(spark, sf_dir, "holders", lambda: holders(spark, sf_dir, tx_table(spark, sf_dir)))
+    return written(spark, sf_dir, "holders", lambda: holders(spark, sf_dir, tx_table(spark, sf_dir)), ["chain"])
 
 
 def holders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +344,7 @@ def holders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         tx = tx_table(spark, sf_dir)
         return with_holding_period_days(sov_heuristic(holders_base_table(spark, sf_dir), tx, REFERENCE_TIME))
-    return written(spark, sf_dir, "holders_sov", build)
+    return written(spark, sf_dir, "holders_sov", build, ["chain"])
 
 
 def collected_tx_table(spark: SparkSession, sf_dir: str) -> DataFrame:
