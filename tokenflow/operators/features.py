@@ -132,7 +132,8 @@ def split(df: DataFrame, key: str = "address", test_size: float = 0.2, seed: int
     rows of one key stay together). Without a label, or when the smallest
     class has fewer than max(2, ceil(1 / test_size)) rows, the whole frame is
     one class. Ranks come from the range-partitioned rank over (class, hash),
-    so no class is gathered into one task."""
+    so no class is gathered into one task, and the test side meets the rows in a
+    shuffle: it is a share of them and is never sent through the driver."""
     hash_ = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     cls = F.lit("") if label is None else F.coalesce(F.col(label).cast("string"), F.lit(""))
     x = df.withColumn("_cls", cls).withColumn("_h", hash_)
@@ -146,7 +147,7 @@ def split(df: DataFrame, key: str = "address", test_size: float = 0.2, seed: int
     test = (ranks.withColumn("_cls", F.col("_o._cls")).join(per, "_cls")
             .where(F.col("_below") - F.col("_first") < F.round(F.lit(test_size) * F.col("_n")))
             .select(F.col("_o._cls").alias("_tc"), F.col("_o._h").alias("_th"), F.lit(True).alias("_t")))
-    out = x.join(test, (F.col("_cls") == F.col("_tc")) & (F.col("_h") == F.col("_th")), "left")
+    out = x.join(test.hint("merge"), (F.col("_cls") == F.col("_tc")) & (F.col("_h") == F.col("_th")), "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_t", F.lit(False)).alias("is_test"))
 
 
