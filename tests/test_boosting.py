@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
@@ -95,3 +96,12 @@ def test_missing_classes_and_weights(spark):
     m = B.fit(df, VectorAssembler(inputCols=["a"], outputCol="features"), 4, rounds=2, depth=1)
     r = m.transform(df).first()
     assert r.prediction == 2.0 and r.probability[2] > 0.999 and abs(sum(r.probability) - 1) < 1e-9
+
+
+def test_classes_of_a_round_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Every fit waits for the other two: one after the other they would never start."""
+    together, one = threading.Barrier(3, timeout=60), B.DecisionTreeRegressor.fit
+    monkeypatch.setattr(B.DecisionTreeRegressor, "fit", lambda self, df: together.wait() is not None and one(self, df))
+    df = spark.createDataFrame([(1.0, 0.0, 1.0), (0.0, 1.0, 1.0), (2.0, 2.0, 1.0)], "a double, label double, weight double")
+    m = B.fit(df, VectorAssembler(inputCols=["a"], outputCol="features"), 3, rounds=1, depth=2)
+    assert [r.prediction for r in m.transform(df).collect()] == [0.0, 1.0, 2.0]

@@ -5,7 +5,8 @@ With scores f_1 .. f_K and p = softmax(f), a round fits one tree per class to
 the working response z = (y - p) / h with row weight w * h, h = p (1 - p). The weighted
 mean of z in a leaf is sum(w (y - p)) / sum(w h), the Newton step of the
 multinomial log-likelihood, so Spark's leaf values need no second pass. All classes of a
-round start from the same probabilities, which therefore sum to 1.
+round start from the same probabilities, which therefore sum to 1, and their trees
+are fitted at the same time (as ``OneVsRest`` does with ``parallelism``).
 
 Rows stay distributed: the driver loop sees trees only. The scores of the
 training rows are frozen in the shared folder after every round. The result is
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
@@ -70,16 +73,17 @@ def fit(train: DataFrame, assembler, classes: int, rounds: int = 30, depth: int
     for r in range(rounds if len(known) > 1 else 0):
         p = softmax(scores)
         now = rows.withColumns({f"_p{k}": p[k] for k in known})
-        step = {}
-        for k in known:
+
+        def fit_class(k):
             h = F.greatest(2 * F.col(f"_p{k}") * (1 - F.col(f"_p{k}")), F.lit(LEAST))
             z = ((F.col("_y") == k).cast("double") - F.col(f"_p{k}")) / h
             target = now.select("features", z.alias("_z"), (F.col("_w") * h).alias("_wh"))
-            tree = DecisionTreeRegressor(labelCol="_z", weightCol="_wh", featuresCol="features", maxDepth=depth, seed=seed + r,
+            return DecisionTreeRegressor(labelCol="_z", weightCol="_wh", featuresCol="features", maxDepth=depth, seed=seed + r,
                                          predictionCol=f"_t{k}").fit(target)
-            trees[k].append(tree)
-            step[k] = tree
+        with ThreadPool(len(known)) as pool:
+            step = dict(zip(known, pool.map(inheritable_thread_target(train.sparkSession)(fit_class), known)))
         for k, tree in step.items():
+            trees[k].append(tree)
             rows = tree.transform(rows)
         rows = rows.withColumns({f"_f{k}": F.col(f"_f{k}") + rate * F.col(f"_t{k}") for k in step}).drop(
             *[f"_t{k}" for k in step]).checkpoint(eager=True)

@@ -106,7 +106,6 @@ def _to_tx(j: DataFrame, canonical: bool, keep_ingest_key: bool = True) -> DataF
     chain = _chain_of_flag(F.col("l_returnflag"))
     frm = key_address(k("k8"))
     to = key_address(k("k3"))
-    act = (S.classify_tx(frm, to, amount) if canonical else S.classify_collect(frm, to, amount))
     cols = [
         F.concat(F.lit("0x"), F.lpad(F.col("_tid").cast("string"), 64, "0")).alias("transaction_hash"),
         F.col("l_orderkey").cast("bigint").alias("block_number"),
@@ -116,7 +115,6 @@ def _to_tx(j: DataFrame, canonical: bool, keep_ingest_key: bool = True) -> DataF
         amount.alias("amount"),
         _coin_of_status(k("k9")).alias("stablecoin"),
         chain.alias("chain"),
-        act.alias("activity_type"),
         dims.explorer_expr(chain).alias("source_explorer"),
         F.when(k("k7") == 0, F.lit(None).cast("bigint"))
          .otherwise(F.lit(21000) + k("k2")).alias("gas_used"),
@@ -124,7 +122,12 @@ def _to_tx(j: DataFrame, canonical: bool, keep_ingest_key: bool = True) -> DataF
     ]
     if keep_ingest_key:
         cols.append(F.col("ingest_key"))
-    return j.select(*cols)
+    out = j.select(*cols)
+    # the addresses are built once, then classified
+    classify = S.classify_tx if canonical else S.classify_collect
+    act = classify("from_address", "to_address", "amount").alias("activity_type")
+    at = out.columns.index("source_explorer")
+    return out.select(*out.columns[:at], act, *out.columns[at:])
 
 
 def raw_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
