@@ -25,6 +25,9 @@ from tokenflow.operators.rank import value_ranks
 from tokenflow.schemas import FEATURES
 from tokenflow.session import checkpoint_dir
 
+#: wallets up to which Spark may choose to broadcast a side of the label join
+FEW = 100_000
+
 CLASS_INDEX = {c: i for i, c in enumerate(dims.BEHAVIOR_CLASSES)}
 
 
@@ -37,13 +40,15 @@ def label_join(features: DataFrame, holders: DataFrame, one_row_per_address: boo
     """Features x distinct (lower(address), SoV flag); may fan out when an
     address carries both flags (kept, as in the reference) unless
     ``one_row_per_address`` (then any True wins). Both sides are as many as the
-    wallets: joined by a shuffle even where their compressed files look small enough
-    to be sent through the driver."""
+    wallets: more than ``FEW`` are joined by a shuffle even where their compressed
+    files look small enough to be sent through the driver."""
     lab = holders.select(F.lower("address").alias("_a"),
                          F.coalesce("is_store_of_value", F.lit(False)).cast("int").alias("label"))
     lab = (lab.groupBy("_a").agg(F.max("label").alias("label")) if one_row_per_address
            else lab.dropDuplicates(["_a", "label"]))
-    return features.join(lab.hint("merge"), F.lower(features["address"]) == lab["_a"], "inner").drop("_a")
+    if features.count() > FEW:
+        lab = lab.hint("merge")
+    return features.join(lab, F.lower(features["address"]) == lab["_a"], "inner").drop("_a")
 
 
 # M6 -------------------------------------------------------------------------
