@@ -858,16 +858,18 @@ _MORE_FIELDS = {"nonce": "7", "tokenName": "Coin", "tokenSymbol": "C", "tokenDec
                 "cumulativeGasUsed": "5", "input": "0x", "confirmations": "9", "blockHash": "0x" + "ab" * 32, "other": "?"}
 
 
-def _damaged(rec, key, damage):
-    """The record with the field of the damage that its key names left out or replaced; fields become JSON values."""
-    for field in dict.fromkeys(f for f, *_ in damage):
-        whole = F.col(f"rec.{field}") if field not in _MORE_FIELDS else F.lit(_MORE_FIELDS[field])
-        value = F.parse_json(F.concat(F.lit('"'), whole, F.lit('"')))
+def _damaged(records, key, damage):
+    """JSON text of ``rec``, the field of the damage that its key names left out or replaced."""
+    own = records.schema["rec"].dataType.names
+    parts = []
+    for field in dict.fromkeys([*own, *(f for f, *_ in damage)]):
+        whole = F.col(f"rec.{field}") if field in own else F.lit(_MORE_FIELDS[field])
+        value = F.concat(F.lit(f'"{field}":"'), whole, F.lit('"'))  # digits, addresses and names: nothing to escape
         for place, (f, bad, *_) in enumerate(damage):
             if f == field:
-                value = F.when(key == place, F.lit(None) if bad is None else F.parse_json(F.lit(bad))).otherwise(value)
-        rec = rec.withField(field, value)
-    return rec
+                value = F.when(key == place, F.lit(None) if bad is None else F.lit(f'"{field}":{bad}')).otherwise(value)
+        parts.append(value)
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def _damage_sql(table, key, damage, prefix="result[*]."):
@@ -892,7 +894,7 @@ SELECT source_explorer, stablecoin, chain, error, CAST(count(*) AS BIGINT) AS n
 def q_response_schema(spark, sf):
     """Problems per group and field of transfer pages whose records are damaged by key, under each explorer's rules."""
     def damage(r):
-        return r.withColumn("rec", _damaged(F.col("rec"), F.col("block_number") % 61, _TX_DAMAGE))
+        return r.withColumn("rec", _damaged(r, F.col("block_number") % 61, _TX_DAMAGE))
 
     return _counted_errors(PG.landed_transfer_pages(_tx(spark, sf), change=damage), "tokentx")
 
@@ -914,7 +916,7 @@ def q_holder_response_schema(spark, sf):
 
     def damage(r):
         cents = F.col("rec.TokenHolderQuantity")
-        return r.withColumn("rec", _damaged(F.col("rec"), F.col("k"), _HOLDER_DAMAGE)).drop("k")
+        return r.withColumn("rec", _damaged(r, F.col("k"), _HOLDER_DAMAGE)).drop("k")
 
     keyed = h.select("address", "stablecoin", "chain", "source_explorer", F.pmod((F.col("balance") * 100).cast("bigint"), F.lit(31)).alias("k"))
     pages = PG.landed_holder_pages(h, change=lambda r: damage(r.join(keyed, ["address", "stablecoin", "chain", "source_explorer"])))
